@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, separator_scan, token_files
-from .common import scratch
+from . import decontaminate, packing, quality_rules, separator_scan, sharding, token_files, toxicity
+from .common import crc_of, pick, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.scan_flat(spark, path)
 
 
+def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules whose thresholds follow each language and source."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of patched frame-of-reference blocks, read back."""
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-files"))
@@ -32,6 +37,16 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fifth."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", label="toxic")
+    held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False))
+    model = toxicity.fit(toxicity.with_labels(docs, labels.where(~held_out & F.col("label").isNotNull())))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), window=13)
@@ -47,12 +62,29 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents shuffled into 16 shards whose counts differ by one at most, read back from them."""
+    shards = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return shards.select(
+        "doc_id",
+        sharding.size_of().alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_separator_scan": op1_separator_scan,
+        "op2_adaptive_quality": op2_adaptive_quality,
         "op4_patched_blocks": op4_patched_blocks,
         "op6_power_of_two_packing": op6_power_of_two_packing,
+        "op7_char_ngram_toxicity": op7_char_ngram_toxicity,
         "op8_suffix_automaton": op8_suffix_automaton,
+        "op9_two_pass_shuffle": op9_two_pass_shuffle,
     }
 
 
