@@ -15,7 +15,7 @@ import re
 from array import array
 
 #: Pieces that a Python worker remembers; the cache starts anew beyond it.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_500_000
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -38,10 +38,14 @@ class _Pieces(dict):
 
     def __init__(self, encode):
         self.encode = encode
+        self.newline = encode("\n")
+        self.marks = {mark: encode(mark) for mark in ".,;:!?|"}
 
     def __missing__(self, piece: str) -> bytes:
         if piece.startswith("\n"):
-            ids = self.encode("\n") + (self.encode(piece[1:]) if len(piece) > 1 else b"")
+            ids = self.newline + (self.encode(piece[1:]) if len(piece) > 1 else b"")
+        elif piece[-1:] in self.marks and piece[:-1].isalpha():  # letters and a mark are never merged
+            ids = self[piece[:-1]] + self.marks[piece[-1]]
         else:
             ids = self.encode(" " + piece)
         self[piece] = ids
