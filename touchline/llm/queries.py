@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, separator_scan, sharding, token_files, toxicity
+from . import decontaminate, jaccard_join, packing, quality_rules, separator_scan, sharding, token_files, toxicity
 from .common import crc_of, pick, scratch
 
 
@@ -76,6 +76,11 @@ def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components at a Jaccard similarity of 0.8 over five-word shingles."""
+    return jaccard_join.link(table(spark, sf_dir, "documents"), percent=80)
+
+
 def queries() -> dict:
     return {
         "op1_separator_scan": op1_separator_scan,
@@ -85,6 +90,7 @@ def queries() -> dict:
         "op7_char_ngram_toxicity": op7_char_ngram_toxicity,
         "op8_suffix_automaton": op8_suffix_automaton,
         "op9_two_pass_shuffle": op9_two_pass_shuffle,
+        "op10_partenum_join": op10_partenum_join,
     }
 
 
