@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, quality_rules, separator_scan, sharding, token_files, toxicity
+from . import decontaminate, jaccard_join, katz, packing, pseudonyms, quality_rules, separator_scan, sharding, token_files, toxicity
 from .common import crc_of, pick, scratch
 
 
@@ -25,6 +25,11 @@ def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the personal values in their texts replaced within their formats."""
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op4_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of patched frame-of-reference blocks, read back."""
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-files"))
@@ -32,6 +37,12 @@ def op4_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a model of those outside the held-out seventh."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return katz.score(docs.withColumn("held_out", F.coalesce(crc_of("doc_id") % 7 == 2, F.lit(False))))
+
+
 def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), longest=1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -85,7 +96,9 @@ def queries() -> dict:
     return {
         "op1_separator_scan": op1_separator_scan,
         "op2_adaptive_quality": op2_adaptive_quality,
+        "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
         "op4_patched_blocks": op4_patched_blocks,
+        "op5_katz_backoff": op5_katz_backoff,
         "op6_power_of_two_packing": op6_power_of_two_packing,
         "op7_char_ngram_toxicity": op7_char_ngram_toxicity,
         "op8_suffix_automaton": op8_suffix_automaton,
