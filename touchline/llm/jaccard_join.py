@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, saved
 from .components import components
-from .shingles import mixed, shingle_set
+from .shingles import mixed, shingle_sets
 
 #: Seeds that a set may go through before its empty subsets count.
 SEEDS = 10
@@ -139,7 +139,7 @@ def _digest(docs: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py()) for text in batch.column(1)]
+            sets = list(shingle_sets(text.as_py() for text in batch.column(1)))
             once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             twice = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -163,8 +163,7 @@ def _signed(docs: DataFrame, percent: int) -> DataFrame:
             def made() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "doc_id"])
 
-            for doc_id, text in zip(ids, batch.column(1)):
-                shingles = shingle_set(text.as_py())
+            for doc_id, shingles in zip(ids, shingle_sets(text.as_py() for text in batch.column(1))):
                 if shingles.size:
                     sigs = signatures(shingles, percent)
                     found.append(sigs)
@@ -209,18 +208,22 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                rows, size = [], 0
-                while at < batch.num_rows and size < 1 << 20:
-                    shingles = shingle_set(batch.column(1)[at].as_py())
-                    rows.append((batch.column(0)[at].as_py(), shingles.size, sketch(shingles).tobytes(), shingles.tobytes()))
-                    size += shingles.size
-                    at += 1
+            rows, size = [], 0
+
+            def made() -> pa.RecordBatch:
                 ids, sizes, sketches, sets = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "n", "sketch", "shingles"])
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "n", "sketch", "shingles"])
 
-    return docs.mapInArrow(build, "doc_id long, n long, sketch binary, shingles binary")
+            for doc_id, shingles in zip(batch.column(0).to_pylist(), shingle_sets(text.as_py() for text in batch.column(1))):
+                rows.append((doc_id, shingles.size, sketch(shingles).view(np.int64), shingles.tobytes()))
+                size += shingles.size
+                if size > 1 << 20:
+                    yield made()
+                    rows, size = [], 0
+            if rows:
+                yield made()
+
+    return docs.mapInArrow(build, "doc_id long, n long, sketch array<long>, shingles binary")
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -228,6 +231,17 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and sketches don't rule out: no similar pair is left out, and sets need not travel for the rest."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
+    sizes = F.col("n_a") + F.col("n_b")
+    near = (100 + percent) * differ <= (100 - percent) * sizes
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.where(near & alike).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs whose sets are similar enough, by exact intersection.
 
@@ -280,7 +294,7 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
         if labels.size < 2 or (labels == labels[0]).all():
             return
         ids, sizes = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        bits = np.array([r[3] for r in rows], np.int64)
         for at in range(0, len(rows), 256):
             block = slice(at, at + 256)
             least = np.bitwise_count(bits[block, None, :] ^ bits[None, at:, :]).sum(axis=2, dtype=np.int64)
@@ -322,11 +336,11 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent:
 
     # First each member with its smallest leader, then with leaders of other components.
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = saved(_verified(nearest, sets, percent), "links")
+    edges = saved(_verified(saved(_plausible(nearest, sets, percent), "near"), sets, percent), "links")
     labels = components(edges)
     for more in ("stars", "groups"):
         if more == "stars":
-            rest = _apart(stars.join(nearest, ["a", "b"], "left_anti"), labels)
+            rest = _plausible(_apart(stars.join(nearest, ["a", "b"], "left_anti"), labels), sets, percent)
         else:
             rest = _across(groups, labels, sets, percent).join(stars, ["a", "b"], "left_anti")
         rest = saved(rest, "rest")
