@@ -19,9 +19,11 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import pick, saved
 
@@ -183,6 +185,17 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(kept) + data[at:]).decode("utf-8", "replace")
 
 
+@F.pandas_udf(StringType())
+def _cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    found = [() if x is None else [(s["first"], s["end"]) for s in x] for x in spans]
+    return pd.Series([without_spans(t, x) if len(x) else t for t, x in zip(texts, found)], dtype=object)
+
+
+def cleaned(text: Column, spans: Column) -> Column:
+    """The text without its spans; texts without any are passed on as they are."""
+    return F.when(F.size(spans) > 0, _cleaned(text, spans)).otherwise(text)
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """``docs`` with n_words, spans (of covered words) and items (ids as strings) in columns hit_*.
 

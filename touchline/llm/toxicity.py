@@ -125,7 +125,9 @@ def fit(df: DataFrame, *, text: str = "text", label: str = "label", fit_rows: in
     order = F.xxhash64(F.lit(7), "text")
     sample = None
     for value, rows in ((1, toxic), (0, other)):
-        taken = labelled.where(F.col("label") == value).orderBy(order, "text").limit(fit_rows)
+        # Hashes below this share hold about four times the rows wanted, so few travel to the one task that sorts them.
+        low = F.pmod(order, F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * 4 * (fit_rows + 100) / rows))
+        taken = labelled.where((F.col("label") == value) & low).orderBy(order, "text").limit(fit_rows)
         # The classes count in the sample as they do among all labelled rows.
         share = rows / min(rows, fit_rows) * (min(toxic, fit_rows) + min(other, fit_rows)) / (toxic + other)
         taken = taken.withColumn("share", F.lit(float(share)))
