@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import results
+from . import ledger, results
 
-MODULES = [results]
+MODULES = [results, ledger]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
