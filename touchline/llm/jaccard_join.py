@@ -45,7 +45,7 @@ SEEDS = 10
 BROADCAST_IDS = 2_000_000
 #: Members of one group that are checked by one task.
 MEMBERS_A_TASK = 2000
-#: 64-bit words of the sketch: parities of the shingles by hash.
+#: 64-bit words of the coarse sketch: parities of the shingles by hash.
 SKETCH_WORDS = 8
 
 
@@ -128,12 +128,25 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the set's shingles in 64 * SKETCH_WORDS classes: differing bits never exceed differing shingles."""
-    odd = np.bincount((shingles % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def parities(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the set's shingles in 64 * words classes: differing bits never exceed differing shingles."""
+    odd = np.bincount((shingles % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def fine_words(n: int) -> int:
+    """Words of the fine sketch: a power of two with about two bits or more for each shingle."""
+    return max(SKETCH_WORDS, 1 << max(0, (2 * n - 1) // 64).bit_length())
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A sketch in fewer classes."""
+    while bits.size > words:
+        half = bits.size // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
 def _digest(docs: DataFrame) -> DataFrame:
     """doc_id, n, and 128 bits that identify the set."""
 
@@ -203,19 +216,21 @@ def _groups(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(lead, "sig long, leader long, doc_id long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sketch, shingles (64-bit hashes) of documents that have candidates."""
+def _sets(docs: DataFrame, sketched: bool) -> DataFrame:
+    """doc_id, n, and the set's shingles (64-bit hashes), or its coarse and fine sketches."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
 
             def made() -> pa.RecordBatch:
-                ids, sizes, sketches, sets = zip(*rows)
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "n", "sketch", "shingles"])
+                ids, sizes, coarse, bodies = zip(*rows)
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(coarse, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], ["doc_id", "n", "coarse", "body"])
 
             for doc_id, shingles in zip(batch.column(0).to_pylist(), shingle_sets(text.as_py() for text in batch.column(1))):
-                rows.append((doc_id, shingles.size, sketch(shingles).view(np.int64), shingles.tobytes()))
+                coarse = parities(shingles, SKETCH_WORDS).view(np.int64) if sketched else None
+                body = parities(shingles, fine_words(shingles.size)) if sketched else shingles
+                rows.append((doc_id, shingles.size, coarse, body.tobytes()))
                 size += shingles.size
                 if size > 1 << 20:
                     yield made()
@@ -223,7 +238,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             if rows:
                 yield made()
 
-    return docs.mapInArrow(build, "doc_id long, n long, sketch array<long>, shingles binary")
+    return docs.mapInArrow(build, "doc_id long, n long, coarse array<long>, body binary")
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -231,27 +246,35 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and sketches don't rule out: no similar pair is left out, and sets need not travel for the rest."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
-    sizes = F.col("n_a") + F.col("n_b")
-    near = (100 + percent) * differ <= (100 - percent) * sizes
-    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return both.where(near & alike).select("a", "b").distinct()
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and fine sketches don't rule out: no similar pair is left out, and sets need not travel for the rest."""
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("body").alias(f"body_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(x.size, y.size)
+                differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                keep.append((100 + percent) * differ <= (100 - percent) * n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "body_a", "body_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(near, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs whose sets are similar enough, by exact intersection.
 
     Members travel to their leader's task; a leader with many members is copied to several.
     """
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    bodies = saved(_sets(only(docs, ids, "left_semi"), False).select("doc_id", "body"), "sets")
     tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("tasks"))
     salted = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"))
-    bodies = sets.select("doc_id", "shingles")
-    members = salted.join(bodies, salted.b == bodies.doc_id).select("a", "salt", "b", "shingles")
-    heads = tasks.join(bodies, tasks.a == bodies.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+    members = salted.join(bodies, salted.b == bodies.doc_id).select("a", "salt", "b", "body")
+    heads = tasks.join(bodies, tasks.a == bodies.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "body")
     together = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +299,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return together.mapInArrow(check, "a long, b long").distinct()
 
 
-def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within one signature group that a sketch can't rule out."""
     named = labels.select(F.col("node").alias("doc_id"), "label")
     member = groups.join(named, "doc_id", "left").select("sig", "leader", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -285,7 +308,7 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     mixed_sigs = member.where("label <> first").select("sig").distinct()
     member = member.join(mixed_sigs, "sig")
     rows = member.select("sig", "doc_id", "label").unionByName(member.select("sig", F.col("leader").alias("doc_id"), F.col("first").alias("label"))).distinct()
-    rows = rows.join(sets.select("doc_id", "n", "sketch"), "doc_id").select("sig", "label", "doc_id", "n", "sketch")
+    rows = rows.join(sketches.select("doc_id", "n", "coarse"), "doc_id").select("sig", "label", "doc_id", "n", "coarse")
     s = Fraction(percent, 100)
     share = float((1 - s) / (1 + s))
 
@@ -332,20 +355,21 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent:
     groups = saved(_groups(_signed(nodes, percent)), "groups")
     stars = saved(groups.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     wanted = saved(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    sets = saved(_sets(only(nodes, wanted, "left_semi")), "sets")
+    sketches = saved(_sets(only(nodes, wanted, "left_semi"), True), "sketches")
 
-    # First each member with its smallest leader, then with leaders of other components.
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = saved(_verified(saved(_plausible(nearest, sets, percent), "near"), sets, percent), "links")
+    # First each member with its smallest plausible leader, then with leaders of other components.
+    stars_left = saved(_plausible(stars, sketches, percent), "near")
+    nearest = saved(stars_left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
+    edges = saved(_verified(nearest, nodes, percent), "links")
     labels = components(edges)
     for more in ("stars", "groups"):
         if more == "stars":
-            rest = _plausible(_apart(stars.join(nearest, ["a", "b"], "left_anti"), labels), sets, percent)
+            rest = _apart(stars_left.join(nearest, ["a", "b"], "left_anti"), labels)
         else:
-            rest = _across(groups, labels, sets, percent).join(stars, ["a", "b"], "left_anti")
+            rest = _plausible(_across(groups, labels, sketches, percent).join(stars, ["a", "b"], "left_anti"), sketches, percent)
         rest = saved(rest, "rest")
         if not rest.isEmpty():
-            edges = saved(edges.unionByName(saved(_verified(rest, sets, percent), "links")), "links")
+            edges = saved(edges.unionByName(saved(_verified(rest, nodes, percent), "links")), "links")
             labels = components(edges)
 
     # A document's texts, its copies and its links all lead to one component.
