@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ledger, results
+from . import ingest, ledger, results
 
-MODULES = [results, ledger]
+MODULES = [results, ledger, ingest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
