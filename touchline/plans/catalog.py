@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, ledger, results
+from . import ingest, ledger, models, results
 
-MODULES = [results, ledger, ingest]
+MODULES = [results, ledger, ingest, models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
