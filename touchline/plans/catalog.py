@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, ledger, models, results
+from . import ingest, ledger, models, results, text
 
-MODULES = [results, ledger, ingest, models]
+MODULES = [results, ledger, ingest, models, text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
