@@ -124,7 +124,7 @@ QUERIES = {
   case when home_score > away_score then home_team_id when away_score > home_score then away_team_id end as winner from matches"""),
     ),
     "ing8_ing9_ing11_ids": (ids, None),
-    "src13_urls": (urls, "select page_id, split_part(url, '?', 1) || case when contains(url, '?') then '?' || array_to_string(list_sort(string_split(split_part(url, '?', 2), '&')), '&') else '' end as url from pages"),
+    "src13_urls": (urls, "select page_id, split_part(u, '?', 1) || case when contains(u, '?') then '?' || array_to_string(list_sort(string_split(split_part(u, '?', 2), '&')), '&') else '' end as url from (select page_id, split_part(url, '#', 1) as u from pages)"),
     "fn27_tx8_grounding": (
         grounded,
         r"""with n as (select doc_id as id, list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?')) as l from documents), p as (select id + 1 as id, l from n where id % 2 = 0 union all select id, l from n where id % 10 = 0)
