@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontaminate, jaccard_join, packing, pseudonyms, toxicity
-from touchline.llm.common import crc_of, pick, saved, scratch
+from touchline.llm.common import bounded_batches, crc_of, pick, saved, scratch
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -40,6 +40,7 @@ def _with_text(df: DataFrame, docs: DataFrame, at: dict[str, str], text: Column)
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below a half."""
+    bounded_batches(spark)
     labels = pick(spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_id="doc_id", label="toxic")
     learned = F.coalesce(crc_of("doc_id") % 5 != 0, F.lit(True)) & F.col("label").isNotNull()
     model = toxicity.fit(toxicity.with_labels(pick(docs, doc_id="doc_id", text="text"), labels.where(learned)))
@@ -50,6 +51,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every component of near duplicates."""
+    bounded_batches(spark)
     linked = jaccard_join.link(docs, percent=80)
     gone = saved(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
     plain, at = _plain(docs)
@@ -60,6 +62,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without contaminated documents (a twentieth of the words hit), and without the passages hit in others."""
+    bounded_batches(spark)
     plain, at = _plain(docs)
     hits = decontaminate.find_hits(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=at["text"], window=13)
     n_hit = decontaminate.hit_count()
@@ -69,6 +72,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced within their formats."""
+    bounded_batches(spark)
     plain, at = _plain(docs)
     new = pseudonyms.pseudonymise(plain.withColumn("body", F.col(at["text"])), text="body")
     return _with_text(new, docs, at, F.col("body"))
@@ -76,6 +80,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length, each a sequence of its own."""
+    bounded_batches(spark)
     return packing.pack(docs, longest=1024)
 
 

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows that go to a Python worker at once: whole texts can be long, and workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session hold BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select ``columns`` (new name = exact old name) whatever other columns there are.
 

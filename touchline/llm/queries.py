@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, katz, packing, pseudonyms, quality_rules, separator_scan, sharding, token_files, toxicity
-from .common import crc_of, pick, scratch
+from .common import bounded_batches, crc_of, pick, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
