@@ -9,11 +9,13 @@ pair would leave nothing; its count is taken as one higher.
 
 How it runs. Documents are cut into blocks of a few million tokens; a task writes a block
 as a file of token numbers, with its words by hash, into the shared folder, and later passes
-read blocks by name. Counting and lookup are one exchange: blocks send their distinct pairs,
-by context, to buckets; a bucket adds up the counts of all blocks and answers each block in
-the order of its pairs. Contexts with more than a fair share of the tokens are dealt to
-several buckets by the second word; only their sums (at most 4 for each bucket of
-BUCKET_TOKENS tokens) come together at the driver. Tables: words and n-grams by bucket.
+read blocks by name. Counting and lookup are one exchange: blocks send their distinct words,
+and then their distinct pairs by context, to buckets, packed in one row for each block and
+bucket; a bucket adds up the counts of all blocks and answers each block in the order of what
+it sent. Contexts with more than a fair share of the tokens are dealt to several buckets by
+the second word; only their sums (at most 4 for each bucket of BUCKET_TOKENS tokens) come
+together at the driver. Tables: words and n-grams by bucket. An exchange has a row for each
+block and bucket that have words in common, so both sizes should rise with a large corpus.
 
 Defined results: a null or empty text has the end token alone; documents without an id are
 learned from; rows with the same id are scored each; without training documents the unknown
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved, scratch
+from .common import pick, scratch
 from .files import committed, opened
 
 #: Highest count that is discounted.
@@ -52,6 +54,11 @@ def packed(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all fit."""
+    return x.astype(np.uint32 if not x.size or int(x.max()) < 1 << 32 else np.int64)
+
+
 def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
@@ -119,8 +126,19 @@ class _Numbers(dict):
         return n
 
 
-def _write_blocks(docs: DataFrame, path: str, block_tokens: int) -> DataFrame:
-    """Write (doc_id, text, held_out) as blocks; block, word, n: each block's words and their training counts."""
+def _word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """A stable order by bucket, and (bucket, from, to) of its runs."""
+    order = np.argsort(buckets, kind="stable")
+    cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1)).tolist()
+    return order, [(int(buckets[order[a]]), a, b) for a, b in zip(cuts, [*cuts[1:], order.size])]
+
+
+def _write_blocks(docs: DataFrame, path: str, block_tokens: int, buckets: int) -> DataFrame:
+    """Write (doc_id, text, held_out) as blocks; bucket, block, payload: each block's words and their training counts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -138,11 +156,14 @@ def _write_blocks(docs: DataFrame, path: str, block_tokens: int) -> DataFrame:
             counts = np.bincount(local[trained], minlength=order.size)
             counts[place[-1]] = int((~held_out).sum())  # the start
             block = (task << 24) | number
+            hashes = hashes[order]
             with committed(f"{path}/{block}.block") as out:
-                out.write(packed(hashes[order], local, ends_at, held_out, np.array(pa.concat_arrays(keys).to_pylist(), object)))
+                out.write(packed(hashes, local, ends_at, held_out, np.array(pa.concat_arrays(keys).to_pylist(), object)))
             number += 1
             keys, held, ends, tokens, words, size = [], [], [], [], _Numbers(), 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(order.size, block, np.int64)), pa.array(hashes[order]), pa.array(counts)], ["block", "word", "n"])
+            sorted_by, runs = _by_bucket(_word_bucket(hashes, buckets))
+            payloads = [packed(hashes[sorted_by[a:b]], counts[sorted_by[a:b]].astype(np.uint32)) for _, a, b in runs]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([block] * len(runs), pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "block", "payload"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -159,7 +180,56 @@ def _write_blocks(docs: DataFrame, path: str, block_tokens: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(write, "block long, word long, n long")
+    return docs.mapInArrow(write, "bucket int, block long, payload binary")
+
+
+def _count_words(sent: DataFrame) -> DataFrame:
+    """Add up each bucket's words. Rows by kind:
+
+    answer: block, bucket, payload (ids and counts, in the order sent); words: the bucket's table;
+    stat: what in block, value: tokens (0), words of count 1 to K + 1, all words (-1), texts (-2).
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (blocks, payloads) in _by_key(batches):
+            parts = [unpacked(p) for p in payloads]
+            words, group = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            total = np.bincount(group, np.concatenate([p[1] for p in parts]).astype(np.float64), words.size).astype(np.int64)
+            ids = (bucket << 32) + np.arange(words.size, dtype=np.int64)
+            rows: list[tuple] = []
+            at = 0
+            for block, (hashes, _) in zip(blocks.tolist(), parts):
+                mine = group[at : at + hashes.size]
+                rows.append(("answer", block, bucket, packed(ids[mine], total[mine]), None))
+                at += hashes.size
+            real = total[(words != START) & (total > 0)]
+            stats = {0: real.sum(), -1: real.size, -2: total[words == START].sum()} | {r: (real == r).sum() for r in range(1, K + 2)}
+            rows += [("stat", what, bucket, None, float(v)) for what, v in stats.items()]
+            rows.append(("words", bucket, bucket, packed(words, total), None))
+            yield _rows(rows)
+
+    ordered = sent.repartition("bucket").sortWithinPartitions("bucket", "block")
+    return ordered.mapInArrow(count, ROWS)
+
+
+#: Rows of both exchanges' answers and tables.
+ROWS = "kind string, block long, bucket int, payload binary, value double"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kind, block, bucket, payload, value = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), pa.array(value, pa.float64())], ["kind", "block", "bucket", "payload", "value"])
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Write exchange rows as a table by kind, and read it."""
+    path = scratch(df.sparkSession, name)
+    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema("block long, bucket int, payload binary, value double, kind string").parquet(path)
+
+
+def _answers(stored: DataFrame) -> DataFrame:
+    return stored.where("kind = 'answer'").select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block", "bucket")
 
 
 def _read(path: str, name: str) -> tuple[np.ndarray, ...]:
@@ -182,34 +252,69 @@ def _bucket(first: np.ndarray, second: np.ndarray, spread: np.ndarray, buckets:
     return ((mix(first) + mix(second) % spread.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _send(looked_up: DataFrame, path: str, uni: Unigrams, buckets: int) -> DataFrame:
-    """From (block, word, id, c) by block: bucket, block, payload with the block's pairs there."""
+@dataclass
+class _Block:
+    """A block's pairs in the order in which they are sent: by bucket, context and word."""
+
+    hashes: np.ndarray
+    local: np.ndarray
+    ends: np.ndarray
+    held: np.ndarray
+    keys: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    spread: np.ndarray  # buckets of each word as a context
+    first: np.ndarray
+    second: np.ndarray
+    inverse: np.ndarray  # of each token, its pair
+    order: np.ndarray
+    runs: list[tuple[int, int, int]]
+
+    @classmethod
+    def of(cls, path: str, block: int, ids: np.ndarray, counts: np.ndarray, tokens: int, buckets: int) -> "_Block":
+        hashes, local, ends, held, keys = _read(path, f"{block}.block")
+        pairs, inverse = _pairs(local, ends, int(np.searchsorted(hashes, START)))
+        first, second = pairs >> 32, pairs & 0xFFFFFFFF
+        spread = np.maximum(1, np.minimum(buckets, -(-4 * buckets * counts // max(1, tokens))))
+        at = _bucket(hashes[first], hashes[second], spread[first], buckets)
+        order = np.lexsort((ids[second], ids[first], at))
+        cuts = np.flatnonzero(np.diff(at[order], prepend=-1)).tolist()
+        runs = [(int(at[order[a]]), a, b) for a, b in zip(cuts, [*cuts[1:], order.size])]
+        return cls(hashes, local, ends, held, keys, ids, counts, spread, first, second, inverse, order, runs)
+
+
+def _looked_up(path: str, block: int, buckets_of_words: int, buckets: np.ndarray, payloads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of a block's words, from the answers of its buckets."""
+    hashes = _read(path, f"{block}.block")[0]
+    order, runs = _by_bucket(_word_bucket(hashes, buckets_of_words))
+    if [r[0] for r in runs] != buckets.tolist():
+        raise ValueError(f"block {block} lacks answers")
+    ids, counts = np.empty(hashes.size, np.int64), np.empty(hashes.size, np.int64)
+    for (_, a, b), payload in zip(runs, payloads):
+        ids[order[a:b]], counts[order[a:b]] = unpacked(payload)
+    return ids, counts
+
+
+def _send(answers: DataFrame, path: str, uni: Unigrams, word_buckets: int, buckets: int) -> DataFrame:
+    """From the words' answers by block: bucket, block, payload with the block's pairs there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (words, ids, counts) in _by_key(batches):
-            hashes, local, ends, held, _ = _read(path, f"{block}.block")
-            if not np.array_equal(words, hashes):
-                raise ValueError(f"block {block} does not fit its words")
-            start = int(np.searchsorted(hashes, START))
-            pairs, inverse = _pairs(local, ends, start)
-            trained = np.bincount(inverse[np.repeat(~held, np.diff(ends, prepend=0))], minlength=pairs.size)
-            first, second = pairs >> 32, pairs & 0xFFFFFFFF
-            spread = np.maximum(1, np.minimum(buckets, -(-4 * buckets * counts // max(1, uni.tokens)))) if uni.tokens else np.ones(counts.size, np.int64)
-            at = _bucket(hashes[first], hashes[second], spread[first], buckets)
-            order = np.lexsort((ids[second], ids[first], at))
-            with committed(f"{path}/{block}.sent") as out:  # what scoring needs again
-                out.write(packed(counts, spread > 1, ids, order.astype(np.uint32), at[order].astype(np.int32)))
-            cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), order.size]):
-                some = order[a:b]
-                x, y = ids[first[some]], ids[second[some]]
-                heads = np.flatnonzero(np.diff(x, prepend=-1))
-                steps = np.diff(y, prepend=0)
-                steps[heads] = y[heads]
-                payload = packed(x[heads], np.diff(np.append(heads, some.size)).astype(np.uint32), steps, trained[some].astype(np.uint32), counts[second[some]], spread[first[some][heads]] > 1)
-                yield pa.RecordBatch.from_arrays([pa.array([int(at[some[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], ["bucket", "block", "payload"])
-
-    return looked_up.mapInArrow(send, "bucket int, block long, payload binary")
+        for block, (answered, payloads) in _by_key(batches):
+            ids, counts = _looked_up(path, block, word_buckets, answered, payloads)
+            with committed(f"{path}/{block}.words") as out:  # scoring needs them again
+                out.write(packed(ids, counts))
+            x = _Block.of(path, block, ids, counts, uni.tokens, buckets)
+            trained = np.bincount(x.inverse[np.repeat(~x.held, np.diff(x.ends, prepend=0))], minlength=x.first.size)
+            for bucket, a, b in x.runs:
+                some = x.order[a:b]
+                contexts, words = ids[x.first[some]], ids[x.second[some]]
+                heads = np.flatnonzero(np.diff(contexts, prepend=-1))
+                steps = np.diff(words, prepend=0)
+                steps[heads] = words[heads]
+                payload = packed(contexts[heads], np.diff(np.append(heads, some.size)).astype(np.uint32), steps, trained[some].astype(np.uint32), small(counts[x.second[some]]), x.spread[x.first[some][heads]] > 1)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], ["bucket", "block", "payload"])
+
+    return answers.mapInArrow(send, "bucket int, block long, payload binary")
 
 
 def _count(sent: DataFrame, uni: Unigrams) -> DataFrame:
@@ -252,26 +357,27 @@ def _count(sent: DataFrame, uni: Unigrams) -> DataFrame:
         spread_ids: set[int] = set()
         for block, part, n in zip(blocks.tolist(), parts, sizes):
             mine = np.searchsorted(ids, part[0])
-            rows.append(row("answer", block, bucket, packed(count[group[at : at + n]], sums[:, mine])))
+            rows.append(row("answer", block, bucket, packed(small(count[group[at : at + n]]), sums[:, mine])))
             spread_ids.update(part[0][part[5]].tolist())
             at += n
         for context in sorted(spread_ids):
             column = sums[:, np.searchsorted(ids, context)]
             rows += [row("sum", context, j, None, float(v)) for j, v in enumerate(column)]
         rows += [row("kinds", r, bucket, None, float((count == r).sum())) for r in range(1, K + 2)]
-        rows.append(row("pairs", bucket, bucket, packed(ids, np.diff(np.append(heads, contexts.size)), words, count)))
-        kinds, block_column, place, payload, value = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(block_column, pa.int64()), pa.array(place, pa.int32()), pa.array(payload, pa.binary()), pa.array(value, pa.float64())], ["kind", "block", "bucket", "payload", "value"])
+        gaps = np.diff(words, prepend=0)
+        gaps[heads] = words[heads]
+        rows.append(row("pairs", bucket, bucket, packed(ids, np.diff(np.append(heads, contexts.size)).astype(np.uint32), gaps, small(count))))
+        yield _rows(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (blocks, payloads) in _by_key(batches):
             yield from reduce(bucket, blocks, payloads)
 
     ordered = sent.repartition("bucket").sortWithinPartitions("bucket", "block")
-    return ordered.mapInArrow(count, "kind string, block long, bucket int, payload binary, value double")
+    return ordered.mapInArrow(count, ROWS)
 
 
-def _scored(answers: DataFrame, path: str, uni: Unigrams, d: np.ndarray, spread_sums: dict[int, np.ndarray], id_type: str) -> DataFrame:
+def _scored(answers: DataFrame, path: str, uni: Unigrams, d: np.ndarray, spread_sums: dict[int, np.ndarray], buckets: int) -> DataFrame:
     def total(sums: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of contexts: the count to divide by, and alpha."""
         kept = sums[K] + (d[1:, None] * np.arange(1, K + 1)[:, None] * sums[:K]).sum(axis=0)
@@ -282,20 +388,21 @@ def _scored(answers: DataFrame, path: str, uni: Unigrams, d: np.ndarray, spread_
         return whole, np.where(c > 0, (whole - kept) / np.where(whole > 0, whole, 1) / rest, 1.0)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (buckets, payloads) in _by_key(batches):
-            hashes, local, ends, held, keys = _read(path, f"{block}.block")
-            counts, is_spread, ids, order, at = _read(path, f"{block}.sent")
-            pairs, inverse = _pairs(local, ends, int(np.searchsorted(hashes, START)))
-            first, second = pairs >> 32, pairs & 0xFFFFFFFF
-            pair_count = np.empty(pairs.size, np.int64)
-            sums = np.zeros((K + 2, hashes.size))
-            for bucket, payload in zip(buckets.tolist(), payloads):
-                mine = order[np.searchsorted(at, bucket) : np.searchsorted(at, bucket, "right")]
+        for block, (answered, payloads) in _by_key(batches):
+            ids, counts = _read(path, f"{block}.words")
+            x = _Block.of(path, block, ids, counts, uni.tokens, buckets)
+            local, ends, held, keys, first, second, inverse = x.local, x.ends, x.held, x.keys, x.first, x.second, x.inverse
+            if [r[0] for r in x.runs] != answered.tolist():
+                raise ValueError(f"block {block} lacks answers")
+            pair_count = np.empty(first.size, np.int64)
+            sums = np.zeros((K + 2, ids.size))
+            for (_, a, b), payload in zip(x.runs, payloads):
+                mine = x.order[a:b]
                 got, context_sums = unpacked(payload)
                 pair_count[mine] = got
                 owners = first[mine]
                 sums[:, owners[np.flatnonzero(np.diff(ids[owners], prepend=-1))]] = context_sums
-            for k in np.flatnonzero(is_spread).tolist():
+            for k in np.flatnonzero(x.spread > 1).tolist():
                 if int(ids[k]) in spread_sums:
                     sums[:, k] = spread_sums[int(ids[k])]
             whole, alpha = total(sums, counts)
@@ -319,7 +426,7 @@ def _scored(answers: DataFrame, path: str, uni: Unigrams, d: np.ndarray, spread_
             ).cast(target)
 
     target = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return answers.mapInArrow(judge, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers.mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: str = "held_out", block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, path: str | None = None) -> DataFrame:
@@ -327,36 +434,19 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out
     spark = df.sparkSession
     path = path or scratch(spark, "katz")
     docs = pick(df, doc_id=doc_id, text=text, held_out=held_out).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    words = saved(_write_blocks(docs, path, block_tokens), "block-words")
-    vocabulary = saved(words.groupBy("word").agg(F.sum("n").alias("c")), "words").withColumn("at", F.monotonically_increasing_id())
-
-    real = (F.col("word") != START) & (F.col("c") > 0)
-    row = vocabulary.agg(
-        F.sum(F.when(real, F.col("c"))).alias("tokens"),
-        F.count_if(real).alias("kinds"),
-        F.max(F.when(F.col("word") == START, F.col("c"))).alias("texts"),
-        F.max(F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("most"),
-        *[F.count_if(real & (F.col("c") == r)).alias(f"r{r}") for r in range(1, K + 2)],
-    ).first()
-    uni = Unigrams.of(row["tokens"] or 0, row["kinds"], row["texts"] or 0, [row[f"r{r}"] for r in range(1, K + 2)])
-    # Ids without large gaps: task number times the most rows of a task, plus the row.
-    stride = (row["most"] or 0) + 1
-    numbered = vocabulary.select("word", "c", (F.shiftright("at", 33) * F.lit(stride) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
-    looked_up = words.select("block", "word").join(numbered, "word").select("block", "word", "id", "c")
-    looked_up = looked_up.repartition("block").sortWithinPartitions("block", "word")
+    word_buckets = max(MIN_BUCKETS, docs.rdd.getNumPartitions())
+    words = _stored(_count_words(_write_blocks(docs, path, block_tokens, word_buckets)), "words")
+    stats = {r["block"]: int(r["v"]) for r in words.where("kind = 'stat'").groupBy("block").agg(F.sum("value").alias("v")).collect()}
+    uni = Unigrams.of(stats.get(0, 0), stats.get(-1, 0), stats.get(-2, 0), [stats.get(r, 0) for r in range(1, K + 2)])
 
     buckets = max(MIN_BUCKETS, -(-uni.tokens // bucket_tokens))
-    counted = _count(_send(looked_up, path, uni, buckets), uni)
-    tables = scratch(spark, "ngrams")
-    counted.write.partitionBy("kind").option("compression", "zstd").parquet(tables)
-    ngrams = spark.read.schema("block long, bucket int, payload binary, value double, kind string").parquet(tables)
+    ngrams = _stored(_count(_send(_answers(words), path, uni, word_buckets, buckets), uni), "ngrams")
     kinds = {r["block"]: int(r["n"]) for r in ngrams.where("kind = 'kinds'").groupBy("block").agg(F.sum("value").alias("n")).collect()}
     d = discounts([kinds.get(r, 0) for r in range(1, K + 2)])
     spread_sums: dict[int, np.ndarray] = {}
     for r in ngrams.where("kind = 'sum'").groupBy("block", "bucket").agg(F.sum("value").alias("v")).toLocalIterator():
         spread_sums.setdefault(r["block"], np.zeros(K + 2))[r["bucket"]] = r["v"]
-    answers = ngrams.where("kind = 'answer'").select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block", "bucket")
-    return _scored(answers, path, uni, d, spread_sums, "long")
+    return _scored(_answers(ngrams), path, uni, d, spread_sums, buckets)
 
 
 def bits(scores: DataFrame) -> float:
