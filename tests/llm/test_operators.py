@@ -53,7 +53,7 @@ def tokenizer():
 
 def test_cached_tokens_are_the_tokenizers(tokenizer):
     rng = random.Random(2)
-    enc = tokens.Encoder(tokens.default_vocabulary(), cache_entries=50)
+    enc = tokens.Encoder(tokens.default_vocabulary(), cache_entries=20)
     parts = [" ", "\n", "\t", "\x1c", "　", "a", "B", "'s", "!", "1", "é", "漢", ".", "word", "words.", "<|endoftext|>"]
     for text in ODD[1:] + ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

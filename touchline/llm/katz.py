@@ -229,7 +229,8 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _answers(stored: DataFrame) -> DataFrame:
-    return stored.where("kind = 'answer'").select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block", "bucket")
+    tasks = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of our own: payloads are small, their work is not
+    return stored.where("kind = 'answer'").select("block", "bucket", "payload").repartition(tasks, "block").sortWithinPartitions("block", "bucket")
 
 
 def _read(path: str, name: str) -> tuple[np.ndarray, ...]:

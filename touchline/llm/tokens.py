@@ -14,12 +14,22 @@ import os
 import re
 from array import array
 
-#: Pieces that a Python worker remembers; the cache starts anew beyond it.
-CACHE_ENTRIES = 1_500_000
+#: Pieces that a Python worker remembers (below 100 MB); the cache starts anew beyond it.
+CACHE_ENTRIES = 500_000
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _shown() -> dict[int, int]:
+    """Byte -> the character that stands for it in a byte-level vocabulary: itself if it is printable, else the next from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
+_SHOWN = _shown()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -36,18 +46,23 @@ def encoder(path: str) -> "Encoder":
 class _Pieces(dict):
     """Piece -> ids; a piece is what follows a space, or starts with a newline."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, encode_word, limit: int):
+        self.encode, self.encode_word, self.limit = encode, encode_word, limit
         self.newline = encode("\n")
         self.marks = {mark: encode(mark) for mark in ".,;:!?|"}
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.startswith("\n"):
-            ids = self.newline + (self.encode(piece[1:]) if len(piece) > 1 else b"")
+        if piece.isalpha():
+            ids = self.encode_word(" " + piece)
         elif piece[-1:] in self.marks and piece[:-1].isalpha():  # letters and a mark are never merged
             ids = self[piece[:-1]] + self.marks[piece[-1]]
+        elif piece.startswith("\n"):
+            rest = piece[1:]
+            ids = self.newline + ((self.encode_word(rest) if rest.isalpha() else self.encode(rest)) if rest else b"")
         else:
             ids = self.encode(" " + piece)
+        if len(self) >= self.limit:
+            self.clear()
         self[piece] = ids
         return ids
 
@@ -58,13 +73,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = cache_entries
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.plain)
+        # The cut into pieces is right for byte-level models without a normalizer; others get whole texts.
+        self.cuts = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and type(self.tokenizer.model).__name__ == "BPE" and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.model = self.tokenizer.model
+        self.pieces = _Pieces(self.plain, self.word, cache_entries) if self.cuts else None
 
     def plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of one word, with or without a space before it: one step of the model."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+
     def plain_without_specials(self, text: str) -> bytes:
         """Ids of a text whose special tokens' strings count as ordinary text."""
         self.tokenizer.encode_special_tokens = True
@@ -77,10 +98,8 @@ class Encoder:
         """Ids of a text (None: no ids)."""
         if not text:
             return b""
-        if _TWO_SPACES.search(text) or any(s in text for s in self.special):
+        if not self.cuts or _TWO_SPACES.search(text) or any(s in text for s in self.special):
             return self.plain(text)
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
         cut = iter(text.replace("\n", " \n").split(" "))
         start = next(cut)
         return (self.plain(start) if start else b"") + b"".join(map(self.pieces.__getitem__, cut))

@@ -36,7 +36,7 @@ EPOCHS = 2
 SCALE = 20.0
 PACE = 0.3
 #: Bytes of a text that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def normal(text: str | None) -> np.ndarray:
@@ -93,7 +93,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
                 for found in features(text.as_py()):
                     waiting[label].append(found)
                     sizes[label] += found.size
-                    if sizes[label] > 4 << 20:
+                    if sizes[label] > 1 << 20:
                         add(label)
         add(0)
         add(1)
