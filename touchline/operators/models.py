@@ -164,9 +164,10 @@ def hit_probability() -> Column:
 def losses(df: DataFrame, *keys: str) -> DataFrame:
     """Log loss, Brier score and accuracy of three-way forecasts."""
     brier = sum(((c(p) - F.when(c("y") == k, 1.0).otherwise(0.0)) ** 2 for k, p in enumerate(("home", "draw", "away"))), F.lit(0.0))
+    level = lambda x: F.floor(x * 1e9 + 0.5)  # noqa: E731  probabilities equal but for their last bits tie
     best = F.greatest("home", "draw", "away")
     return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(-F.log(F.greatest(hit_probability(), F.lit(1e-12)))).alias("log_loss"), F.avg(brier).alias("brier"), F.avg((hit_probability() == best).cast("int")).alias("accuracy")
+        F.count("*").alias("n"), F.avg(-F.log(F.greatest(hit_probability(), F.lit(1e-12)))).alias("log_loss"), F.avg(brier).alias("brier"), F.avg((level(hit_probability()) == level(best)).cast("int")).alias("accuracy")
     )
 
 

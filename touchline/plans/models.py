@@ -52,7 +52,7 @@ graded as (select match_id, season, market, probability, case when status = 'pos
   when 'over25' then home_score + away_score > 2 else home_score > 0 end then 'won' else 'lost' end as grade from picked join matches using (match_id))"""
 S = lambda body: sql(body, M, TM, STRENGTH)
 NAMES = ["home_rate", "away_rate", "home", "draw", "away", "over25", "both", "home_scores"]
-LOSS = f"""count(*) as n, {r6("avg(-ln(greatest(hit, 1e-12)))")} as log_loss, {r6("avg(pow(home - (y = 0)::int, 2) + pow(draw - (y = 1)::int, 2) + pow(away - (y = 2)::int, 2))")} as brier, {r6("avg((hit = greatest(home, draw, away))::int)")} as accuracy"""
+LOSS = f"""count(*) as n, {r6("avg(-ln(greatest(hit, 1e-12)))")} as log_loss, {r6("avg(pow(home - (y = 0)::int, 2) + pow(draw - (y = 1)::int, 2) + pow(away - (y = 2)::int, 2))")} as brier, {r6("avg((floor(hit * 1e9 + 0.5) = floor(greatest(home, draw, away) * 1e9 + 0.5))::int)")} as accuracy"""
 
 QUERIES = {
     "ml1_wn24_decayed_strengths": (
