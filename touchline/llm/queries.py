@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, katz, packing, pseudonyms, quality_rules, separator_scan, sharding, token_files, toxicity
+from . import decontaminate, jaccard_join, katz, packing, pseudonyms, quality_rules, separator_scan, sharding, sql, token_files, toxicity
 from .common import bounded_batches, crc_of, pick, scratch
 
 
@@ -109,4 +109,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL knows no tokenizer, keyed hash, model fit or seeded shuffle; the other queries' tests are against plain versions."""
+    return {"op2_adaptive_quality": sql.quality(), "op8_suffix_automaton": sql.HITS, "op10_partenum_join": sql.LINKS}
