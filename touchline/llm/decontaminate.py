@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import workers
 from .common import pick, saved
 
 #: Words of items that one automaton may hold.
@@ -164,10 +165,12 @@ class Automaton:
 
 
 _automata: dict[tuple, Automaton] = {}
+workers.on_change(_automata.clear)
 
 
 def _automaton(key: str, items: list, window: int) -> Automaton:
     """The worker's automaton of a group of items; an earlier one is let go."""
+    workers.turn_to("decontaminate")
     if (key, window) not in _automata:
         _automata.clear()
         _automata[key, window] = Automaton(items, window)

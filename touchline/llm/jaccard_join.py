@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import workers
 from .common import pick, saved
 from .components import components
 from .shingles import mixed, shingle_sets
@@ -151,6 +152,7 @@ def _digest(docs: DataFrame) -> DataFrame:
     """doc_id, n, and 128 bits that identify the set."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("jaccard")
         for batch in batches:
             sets = list(shingle_sets(text.as_py() for text in batch.column(1)))
             once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -167,6 +169,7 @@ def _signed(docs: DataFrame, percent: int) -> DataFrame:
     """sig, doc_id: every signature of every set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("jaccard")
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found: list[np.ndarray] = []
@@ -195,6 +198,7 @@ def _groups(signed: DataFrame) -> DataFrame:
     """sig, leader, doc_id: members of signature groups but their first, which is the leader."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("jaccard")
         last_sig = last_leader = None
         for batch in batches:
             sigs, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -220,6 +224,7 @@ def _sets(docs: DataFrame, sketched: bool) -> DataFrame:
     """doc_id, n, and the set's shingles (64-bit hashes), or its coarse and fine sketches."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("jaccard")
         for batch in batches:
             rows, size = [], 0
 
@@ -252,6 +257,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("jaccard")
         for batch in batches:
             keep = []
             for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
@@ -278,6 +284,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     together = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("jaccard")
         key, heads = None, []
         for batch in batches:
             found_a, found_b = [], []
@@ -330,6 +337,7 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("jaccard")
         sig, rows = None, []
         for batch in batches:
             for row in zip(*[batch.column(k).to_pylist() for k in range(5)]):

@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import workers
 from .common import pick, scratch
 from .files import committed, opened
 
@@ -141,6 +142,7 @@ def _write_blocks(docs: DataFrame, path: str, block_tokens: int, buckets: int) -
     """Write (doc_id, text, held_out) as blocks; bucket, block, payload: each block's words and their training counts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("katz")
         task, number = TaskContext.get().partitionId(), 0
         keys, held, ends, tokens, words, size = [], [], [], [], _Numbers(), 0
 
@@ -191,6 +193,7 @@ def _count_words(sent: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("katz")
         for bucket, (blocks, payloads) in _by_key(batches):
             parts = [unpacked(p) for p in payloads]
             words, group = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -300,6 +303,7 @@ def _send(answers: DataFrame, path: str, uni: Unigrams, word_buckets: int, bucke
     """From the words' answers by block: bucket, block, payload with the block's pairs there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("katz")
         for block, (answered, payloads) in _by_key(batches):
             ids, counts = _looked_up(path, block, word_buckets, answered, payloads)
             with committed(f"{path}/{block}.words") as out:  # scoring needs them again
@@ -371,6 +375,7 @@ def _count(sent: DataFrame, uni: Unigrams) -> DataFrame:
         yield _rows(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("katz")
         for bucket, (blocks, payloads) in _by_key(batches):
             yield from reduce(bucket, blocks, payloads)
 
@@ -389,6 +394,7 @@ def _scored(answers: DataFrame, path: str, uni: Unigrams, d: np.ndarray, spread_
         return whole, np.where(c > 0, (whole - kept) / np.where(whole > 0, whole, 1) / rest, 1.0)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("katz")
         for block, (answered, payloads) in _by_key(batches):
             ids, counts = _read(path, f"{block}.words")
             x = _Block.of(path, block, ids, counts, uni.tokens, buckets)

@@ -14,10 +14,13 @@ import os
 import re
 from array import array
 
+from . import workers
+
 #: Pieces that a Python worker remembers (below 100 MB); the cache starts anew beyond it.
 CACHE_ENTRIES = 500_000
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
+workers.on_change(_encoders.clear)
 
 
 def _shown() -> dict[int, int]:
@@ -38,6 +41,7 @@ def default_vocabulary() -> str:
 
 def encoder(path: str) -> "Encoder":
     """The worker's encoder for a vocabulary file (workers are reused between tasks)."""
+    workers.turn_to("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import workers
 from .common import pick
 
 BITS = 18
@@ -79,6 +80,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
     """feature, toxic and other n-gram counts over all rows of (text, label)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("toxicity")
         counts = np.zeros((2, 1 << BITS), np.int64)
         waiting: list[list[np.ndarray]] = [[], []]
         sizes = [0, 0]
@@ -137,6 +139,7 @@ def fit(df: DataFrame, *, text: str = "text", label: str = "label", fit_rows: in
     sent = spark.sparkContext.broadcast(ratio)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("toxicity")
         ratio = sent.value
         weights, squares = np.ones(1 << BITS), np.ones(1 << BITS)
         bias, bias_squares = -2.0, 1.0
@@ -167,6 +170,7 @@ def score(df: DataFrame, model: Model, *, text: str = "text", column: str = "sco
     at = df.columns.index(text)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn_to("toxicity")
         model = sent.value
         for batch in batches:
             scores = pa.array([model.score(value.as_py()) for value in batch.column(at)], pa.float64())
