@@ -207,8 +207,11 @@ MARKETS = {"home": 0.6, "away": 0.6, "over25": 0.7, "home_scores": 0.875}
 def picks(probabilities: DataFrame) -> DataFrame:
     """One pick a match: the market furthest over its threshold, the earlier market on a tie."""
     offers = F.array(*[F.struct((c(m) - t).alias("margin"), F.lit(-k).alias("order"), F.lit(m).alias("market"), c(m).alias("probability")) for k, (m, t) in enumerate(MARKETS.items())])
-    best = probabilities.select("match_id", F.array_max(F.filter(offers, lambda o: o["margin"] >= 0)).alias("b"))
-    return best.where("b is not null").select("match_id", "b.market", "b.probability")
+    # Filtered after they are rows of their own: a filter on one expression of all markets would be
+    # pushed below the grid and repeat it.
+    each = probabilities.select("match_id", F.explode(offers).alias("o")).select("match_id", "o.*").where("margin >= 0")
+    best = each.groupBy("match_id").agg(F.max(F.struct("margin", "order", "market", "probability")).alias("b"))
+    return best.select("match_id", "b.market", "b.probability")
 
 
 def graded(picked: DataFrame, matches: DataFrame) -> DataFrame:
