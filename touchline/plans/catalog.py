@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, ledger, models, profiles, results, text
+from . import crosschecks, ingest, ledger, models, profiles, results, text
 
-MODULES = [results, ledger, ingest, models, text, profiles]
+MODULES = [results, ledger, ingest, models, text, profiles, crosschecks]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
