@@ -81,9 +81,12 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length, each a sequence of its own."""
     bounded_batches(spark)
-    return packing.pack(docs, longest=1024)
+    return packing.pack(docs, longest=1024, cache_entries=CACHE_ENTRIES)
 
 
+#: The tokenizer's cache in a worker: smaller than alone, as executors hold what earlier stages have left.
+CACHE_ENTRIES = 150_000
+
 STAGES = [
     ("toxicity", remove_toxic),
     ("near_duplicates", remove_near_duplicates),

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import pick
-from .tokens import default_vocabulary, encoder
+from .tokens import CACHE_ENTRIES, default_vocabulary, encoder
 
 
 def lengths_of(n: int, longest: int) -> list[int]:
@@ -29,7 +29,7 @@ def lengths_of(n: int, longest: int) -> list[int]:
     return [longest] * full + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pack(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", longest: int = 1024, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
+def pack(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", longest: int = 1024, end_id: int = 0, vocabulary: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, start, length (its bucket), doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
@@ -38,7 +38,7 @@ def pack(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", longest:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, cache_entries)
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         ranks = [0] * longest.bit_length()

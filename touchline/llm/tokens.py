@@ -16,7 +16,7 @@ from array import array
 
 from . import workers
 
-#: Pieces that a Python worker remembers (below 100 MB); the cache starts anew beyond it.
+#: Pieces that a Python worker remembers, about 200 bytes each; the cache starts anew beyond it.
 CACHE_ENTRIES = 500_000
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
@@ -39,11 +39,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> "Encoder":
     """The worker's encoder for a vocabulary file (workers are reused between tasks)."""
     workers.turn_to("tokens")
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, cache_entries)
+        workers.trim()  # what reading the vocabulary has left
     return _encoders[path]
 
 
@@ -67,6 +68,7 @@ class _Pieces(dict):
             ids = self.encode(" " + piece)
         if len(self) >= self.limit:
             self.clear()
+            workers.trim()
         self[piece] = ids
         return ids
 

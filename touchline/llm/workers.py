@@ -29,9 +29,14 @@ def turn_to(operator: str) -> None:
     if _current:
         for clear in _caches:
             clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
     _current = operator
+
+
+def trim() -> None:
+    """Give memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
