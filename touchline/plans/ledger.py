@@ -50,7 +50,7 @@ QUERIES = {
         S(f"""select * from (select *, cast(row_number() over (partition by team_id order by goals desc, shots_on_target desc, passes_completed desc, duels_won desc, player_id) as int) as place from (
   select team_id, player_id, {", ".join(f"count(*) filter (where {g.TEAM_STATS[k]}) as {k}" for k in ("goals", "shots_on_target", "passes_completed", "duels_won"))} from ledger group by all)) where place <= 4"""),
     ),
-    "ag16_player_profile": (profiles, sql(PROFILE, M, L, MINUTES)),
+    "ag16_pr3_player_profile": (profiles, sql(PROFILE, M, L, MINUTES)),
     "ag20_player_impact": (
         lambda s, d: g.impact(ledger(s, d)),
         S("""select match_id, player_id, count(*) filter (where is_goal) as n_goals, count(*) filter (where is_own_goal) as n_own_goals, count(*) filter (where event_type = 'shot') as n_shots, count(*) filter (where event_type = 'pass') as n_passes,
@@ -81,7 +81,7 @@ QUERIES = {
         S("""select g.match_id, g.sequence as goal_at, g.player_id as scorer, max(p.sequence) as pass_at, arg_max(p.player_id, p.sequence) as assist from ledger g join ledger p on g.match_id = p.match_id and g.team_id = p.team_id
   and p.sequence between g.sequence - 6 and g.sequence - 1 where g.is_goal and p.event_type = 'pass' and p.outcome = 'success' group by all"""),
     ),
-    "wn3_wn4_running_score": (
+    "wn3_wn4_wn22_running_score": (
         lambda s, d: g.running_score(ledger(s, d)),
         S("""select match_id, sequence, minute, player_id, is_own_goal, count(*) filter (where home) over u as home_score, count(*) filter (where not home) over u as away_score,
   count(*) filter (where home) over b as home_before, count(*) filter (where not home) over b as away_before, minute - lag(minute) over (partition by match_id order by sequence) as since_goal from goals

@@ -181,7 +181,7 @@ _NEWEST = "row_number() over (partition by team_id order by day desc, match_id d
 
 QUERIES = {
     "league_table": (lambda s, d: r.league_table(rows(s, d)), S(table_sql())),
-    "ag1_league_table": (
+    "ag1_wn1_league_table": (
         lambda s, d: r.league_table(rows(s, d)).join(r.form(rows(s, d)), ["competition_id", "season", "team_id"]),
         S(f"""select t.*, f.form from ({table_sql()}) t join (
   select competition_id, season, team_id, string_agg(case when points = 3 then 'W' when points = 1 then 'D' else 'L' end, '' order by k) as form from (
@@ -256,7 +256,7 @@ QUERIES = {
     "tk10_due_queue": (due_queue, S(f"select match_id, day from matches where status = 'scheduled' and day <= {AS_OF} order by day, match_id limit 30")),
     "so1_halves": (halves, S("select home_team_id as team_id, match_id from matches where season = 1996 union all select away_team_id, match_id from matches where season = 1996")),
     "so2_first_meeting": (distinct_first, S("select least(home_team_id, away_team_id) as team_a, greatest(home_team_id, away_team_id) as team_b, arg_min(match_id, day * 1000000000 + match_id) as match_id from matches group by all")),
-    "so3_never_met": (
+    "so3_jn5_never_met": (
         never_met,
         S("""select a.n_nationkey as team_a, b.n_nationkey as team_b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey
   where not exists (select 1 from matches where season = 1995 and least(home_team_id, away_team_id) = a.n_nationkey and greatest(home_team_id, away_team_id) = b.n_nationkey)"""),
