@@ -130,8 +130,8 @@ def thresholds(base: DataFrame, *, min_rows: int = MIN_ROWS, reach: int = REACH)
     renamed = lambda df, tag: df.select(*[F.col(c).alias(c if c in ("lang", "source") else f"{tag}_{c}") for c in df.columns])
     g = renamed(fences(own, ["lang", "source"], reach), "own")
     m = renamed(fences(by_lang, ["lang"], reach), "lang").withColumnRenamed("lang", "lang_key")
-    a = renamed(fences(merged(by_lang, []), [], reach), "all")
-    joined = g.join(m, F.col("lang").eqNullSafe(F.col("lang_key"))).crossJoin(F.broadcast(a))  # a is one row
+    a = renamed(fences(merged(by_lang, []), [], reach), "all").withColumn("one", F.lit(1))  # a single row
+    joined = g.join(m, F.col("lang").eqNullSafe(F.col("lang_key"))).withColumn("one", F.lit(1)).join(F.broadcast(a), "one")
     choose = lambda c: F.when(F.col("own_group_rows") >= min_rows, F.col(f"own_{c}")).when(F.col("lang_group_rows") >= min_rows, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
     return joined.select("lang", "source", *[choose(c).alias(c) for c in bounds])
 
