@@ -77,10 +77,10 @@ def allocated(demands: DataFrame, pool: int) -> DataFrame:
     """Grants from a pool: every floor first, then by tier and id while it lasts: (id, tier, floor_want, want)."""
     order = Window.orderBy("tier", "id")
     extra = F.greatest(c("want") - c("floor_want"), F.lit(0))
-    floors = demands.agg(F.coalesce(F.sum("floor_want"), F.lit(0)).alias("floors"))  # one row
+    floors = F.sum("floor_want").over(Window.partitionBy())
     before = F.coalesce(F.sum(extra).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.greatest(pool - c("floors") - before, F.lit(0))
-    return demands.crossJoin(F.broadcast(floors)).select("id", "tier", (c("floor_want") + F.least(extra, left)).cast("long").alias("granted"))
+    left = F.greatest(pool - floors - before, F.lit(0))
+    return demands.select("id", "tier", (c("floor_want") + F.least(extra, left)).cast("long").alias("granted"))
 
 
 def confident_accuracy(df: DataFrame, share: float) -> DataFrame:
