@@ -44,6 +44,8 @@ from .shingles import mixed, shingle_sets
 SEEDS = 10
 #: Ids up to which a list is sent to every task; beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Tasks that look up one group of copies.
+SALTS = 16
 #: Members of one group that are checked by one task.
 MEMBERS_A_TASK = 2000
 #: 64-bit words of the coarse sketch: parities of the shingles by hash.
@@ -355,8 +357,12 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent:
     docs = pick(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = saved(_digest(docs), "digest")
     known = digest.where("n > 0 and doc_id is not null")
-    first = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
-    same = saved(known.join(first, ["f1", "f2"]).select("doc_id", "first").distinct(), "copies")
+    # Only groups of copies are looked up, each from several tasks: one may hold a third of all rows.
+    first = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    first = first.select("f1", "f2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    found = salted.join(first, ["f1", "f2", "salt"], "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))
+    same = saved(found.distinct(), "copies")
     copies = same.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("first")).alias("is_first")).where("not is_first").select("doc_id")
     nodes = only(docs.where("doc_id is not null"), copies, "left_anti")
 
