@@ -47,7 +47,7 @@ BROADCAST_IDS = 2_000_000
 #: Tasks that look up one group of copies.
 SALTS = 16
 #: Members of one group that are checked by one task.
-MEMBERS_A_TASK = 2000
+MEMBERS_A_TASK = 128
 #: 64-bit words of the coarse sketch: parities of the shingles by hash.
 SKETCH_WORDS = 8
 
