@@ -1,6 +1,7 @@
 """The text operators against plain versions and exact round trips, with odd rows in every table."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -273,6 +274,46 @@ def test_pseudonyms(spark, docs, rows, empty):
     assert same == {k: t for k, t, *_ in rows} and pseudonyms.pseudonymised(empty).count() == 0
 
 
+FORMS = {
+    "555-123-4567": r"\d{3}-\d{3}-\d{4}", "555.123.4567": r"\d{3}\.\d{3}\.\d{4}", "1-555-123-4567": r"1-\d{3}-\d{3}-\d{4}", "(555)1234567": r"\(\d{3}\)\d{7}", "+1 555 123 4567": r"\+1 \d{3} \d{3} \d{4}",
+    "+44 20 7946 0958": r"\+44 \d\d \d{4} \d{4}", "+442079460958": r"\+44\d{10}", "0044 20 7946 0958": r"0044 \d\d \d{4} \d{4}", "+49 (0)30 123456": r"\+49 \(0\)\d\d \d{6}", "020 7946 0958": r"0\d\d \d{4} \d{4}", "(020) 7946 0958": r"\(0\d\d\) \d{4} \d{4}", "06 12 34 56 78": r"0\d(?: \d\d){4}", "0171/1234567": r"0\d{3}/\d{7}",
+    "3782 822463 10005": r"3\d{3} \d{6} \d{5}", "3056-930902-5904": r"3\d{3}-\d{6}-\d{4}", "4111 1111 1111 1111 123": r"4\d{3}(?: \d{4}){3} 123",
+    "1990-05-12T10:00": r"(?:19|20)\d\d-\d\d-\d\dT10:00", "1990/05/12": r"(?:19|20)\d\d/\d\d/\d\d", "25/12/1990": r"(?:1[3-9]|[23]\d)/\d\d/(?:19|20)\d\d", "12-25-1990": r"\d\d-(?:1[3-9]|[23]\d)-(?:19|20)\d\d", "5.1.1990": r"\d\d?\.\d\d?\.(?:19|20)\d\d",
+    "api_key=sk_live_4eC39HqLyjWDarjtT1": r"api_key=[a-z]{2}_[a-z]{4}_\d[a-z][A-Z]\d\d[A-Z][a-z][A-Z]\w{10}", '"api-key": "ab-12-cd-34-ef-56-gh"': r'"api-key": "(?:[a-z]{2}-\d\d-){3}[a-z]{2}"', "Authorization: Bearer abcDEF123.ghi-JKL_456": r"Authorization: Bearer [a-z]{3}[A-Z]{3}\d{3}\.[a-z]{3}-[A-Z]{3}_\d{3}",
+    "password=P@ssw0rd": r"password=[A-Z][!#$%&*+?@^~][a-z]{3}\d[a-z]{2}", "pwd: '@a!b#c'": r"pwd: '(?:[!#$%&*+?@^~][a-z]){3}'",
+}
+
+
+@pytest.fixture(scope="module")
+def written(spark):
+    """Every form among other words, before a date and at the end of a sentence."""
+    texts = [(form, k, text) for form in FORMS for k, text in enumerate((f"See {form} or so.", f"{form} 2020-01-02", f"It is {form}."))]
+    df = spark.createDataFrame(texts, "form string, k int, text string").coalesce(1)
+    return {(r["form"], r["k"]): (r["text"], r["pii_values"], r["pii_invalid"]) for r in pseudonyms.pseudonymise(df, key="k").collect()}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_written_forms_are_replaced_within_their_format(written, form):
+    got = [written[form, k] for k in range(3)]
+    new = re.fullmatch(rf"See ({FORMS[form]}) or so\.", got[0][0])
+    assert new and new[1] != form and got[0][1:] == (1, 0), got
+    assert got[1][0].startswith(f"{new[1]} ") and not got[1][0].endswith("2020-01-02") and got[1][1:] == (2, 0) and got[2] == (f"It is {new[1]}.", 1, 0), got
+    if form[0] in "34" and form[4] in " -":
+        assert luhn(re.sub(r"\D", "", new[1].removesuffix(" 123")))
+
+
+def test_what_only_looks_like_a_value_stays(spark):
+    texts = {"3782 822463 10006": 1, "31/31/1990": 1, "0171 1234": 1, "1.2.3.4.5 and 10 20 30": 0, "in 2019-2020, 0.1234567890, 1234567890": 0, "a token: short-value": 0, "pages 555-123-456": 0}
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(t, t) for t in texts], "old string, text string").coalesce(1)).collect()
+    assert {r["old"]: (r["text"], r["pii_values"], r["pii_invalid"]) for r in got} == {t: (t, 0, n) for t, n in texts.items()}
+
+
+def test_days_of_the_other_order_are_permuted_among_themselves(spark):
+    late = spark.range(73049).where(F.dayofmonth(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))) > 12)
+    moved = late.select("id", pseudonyms.permuted_day(F.col("id").cast("int"), "k", late=True).alias("n"))
+    assert moved.select("n").exceptAll(late.select(F.col("id").cast("int"))).count() == 0 == moved.where("n is null").count()
+
+
 def test_feistel_is_a_permutation(spark):
     days = spark.range(73049).select(pseudonyms.permuted_day(F.col("id").cast("int"), "k").alias("n")).agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()
     assert tuple(days) == (73049, 0, 73048)

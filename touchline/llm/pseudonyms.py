@@ -7,7 +7,15 @@ addresses, and access keys and tokens. A value is an array of positions, each wi
 to one half of the positions, modulo their radix, a keyed hash of the other half. That
 permutes the values of a format, so equal values get equal pseudonyms in all documents and
 different ones stay different. Card numbers get a new check digit; dates are permuted as day
-numbers, walking the permutation's cycle until the result is a day of the range.
+numbers, walking the permutation's cycle until the result is a day of the range. A date whose
+usual order (MM/DD with slashes, else DD first) is no day is read in the other order; such days
+come after the 12th and are permuted among themselves, so they can't be taken for the usual order.
+
+Written forms: telephone numbers with + or 00 and a country code, with a trunk 0, and of three,
+three and four digits, with or without brackets (8 to 15 digits; their country code stays);
+cards of 13 to 19 digits in a row or grouped 4-4-4-4(-1 to 3), 4-6-5 and 4-6-4; numeric dates,
+also before a time; tokens and passwords after their name and = or :, tokens after "bearer".
+Names of months, years of two digits and bare numbers without +, 00 or 0 are not taken.
 
 Only DataFrame functions are used, and nothing is shuffled. Defined results: null stays null,
 with no values; what looks like a value but fails validation is left as it is, and counted;
@@ -25,19 +33,31 @@ ROUNDS = 8
 #: For tests and demonstrations; pass a secret key of your own.
 DEMO_KEY = "demonstration key"
 
+#: Country codes but 1 (E.164).
+_COUNTRY = r"(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+_NO_MORE = r"(?!\d|[./-]\d)"
+_NO_DATE = r"(?! (?:19|20)\d\d-\d\d-)"
+_BRACKETS = r"\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}"
+_THREE_THREE_FOUR = rf"(?:\+1[ .-]?\d{{3}}[ .-]?\d{{3}}[ .-]?\d{{4}}|(?<!\d[.,-])(?:1[ .-])?\d{{3}}(?:-\d{{3}}-|\.\d{{3}}\.| \d{{3}}[ -])\d{{4}}){_NO_MORE}"
+_ABROAD = rf"(?:\+{_COUNTRY}|00(?:1|{_COUNTRY})(?=[ .-]|\d{{9}}))(?:[ .-]?\(\d{{1,4}}\))?(?:{_NO_DATE}[ ./-]?\d){{6,12}}{_NO_MORE}"
+_TRUNK = rf"(?<!\d[.,-])(?:0[1-9](?:(?:[ .-]\d\d){{4}}|\d{{8,9}}|\d{{1,3}}[ /-](?:{_NO_DATE}[ -]?\d){{4,8}})|\(0\d{{1,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}){_NO_MORE}"
+#: Not where the next pair of a list or a mark-up tag begins.
+_GOES_ON = r"(?![,;&]\w{1,20}[=:]|</?[A-Za-z]{1,10}\d?[\s/>])"
 #: Kinds and their patterns; an earlier one wins where several match.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
-    "phone": r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
+    "phone": rf"(?<![\w+])(?:{_BRACKETS}|{_THREE_THREE_FOUR}|{_ABROAD}|{_TRUNK})(?!\d)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "date": r"(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\w-]|\.\d)",
-    "card": r"(?<![\w])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\w)",
+    "date": r"(?<![\w.-])(?:(?:19|20)\d\d(?:-\d\d-|/\d\d/)\d\d|\d\d?(?:\.\d\d?\.|/\d\d?/|-\d\d?-)(?:19|20)\d\d)(?:(?=[Tt]\d\d:?\d\d)|(?![\w-]|\.\d))",
+    "card": r"(?<![\w])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\w)",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "token": r"(?i:token|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9]{16,}+\"?",
-    "password": r"(?i:password|passwd|pwd)\s*[=:]\s*\"?[A-Za-z0-9]{6,}+\"?",
+    "token": r"(?:(?i:token|secret|(?:api|access|private)[_ -]?key)(?:[_-]\w{1,20})?[\"']?\s*[=:]\s*[\"']?|(?i:bearer)\s+)[A-Za-z0-9_.~+/=-]{16,}+[\"']?",
+    "password": rf"(?i:password|passwd|pwd)[\"']?\s*[=:]\s*(?:\"[^\"\n]{{6,}}+\"|'[^'\n]{{6,}}+'|[\"']?(?:{_GOES_ON}[^\s\"']){{6,}}+[\"']?)",
 }
 _ANY = "|".join(PATTERNS.values())
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef"
+#: Symbols of passwords; others stay.
+_SYMBOLS = "!#$%&*+?@^~"
 _FIRST_DAY = "1900-01-01"
 #: Days from 1900-01-01 to 2099-12-31, and the radices of the network that holds them.
 _DAYS, _DAY_RADICES = 73049, (271, 270)
@@ -68,19 +88,27 @@ def feistel(values: Column, radices: Column, key: str, tag: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
 
 
-def _alphabet(c: Column, hexadecimal: Column | None = None, first: Column | None = None) -> Column:
+def _alphabet(c: Column, hexadecimal: Column | None = None, first: Column | None = None, leads: tuple[str, ...] = (), symbols: str = "") -> Column:
     """Letters that may stand for a character; none for one that stays."""
-    digit = F.lit(_DIGITS) if first is None else F.when(first, F.when(c < "2", F.lit("01")).otherwise(F.lit("23456789"))).otherwise(F.lit(_DIGITS))
+    digit = F.lit(_DIGITS)
+    if first is not None:
+        lead = F.lit(leads[-1])
+        for group in leads[:-1]:
+            lead = F.when(F.instr(F.lit(group), c) > 0, F.lit(group)).otherwise(lead)
+        digit = F.when(first, lead).otherwise(digit)
     lower = F.lit(_LOWER) if hexadecimal is None else F.when(hexadecimal, F.lit(_HEX)).otherwise(F.lit(_LOWER))
-    return F.when(c.rlike("^[0-9]$"), digit).when(c.rlike("^[a-z]$"), lower).when(c.rlike("^[A-Z]$"), F.lit(_UPPER)).otherwise(F.lit(""))
+    out = F.when(c.rlike("^[0-9]$"), digit).when(c.rlike("^[a-z]$"), lower).when(c.rlike("^[A-Z]$"), F.lit(_UPPER))
+    if symbols:
+        out = out.when(F.instr(F.lit(symbols), c) > 0, F.lit(symbols))
+    return out.otherwise(F.lit(""))
 
 
-def _permuted(body: Column, key: str, kind: str, hexadecimal: Column | None = None, first: list[int] | None = None) -> Column:
-    """The characters of ``body`` permuted within their alphabets."""
+def _permuted(body: Column, key: str, kind: str, hexadecimal: Column | None = None, first: list[int] | None = None, leads: tuple[str, ...] = ("01", "23456789"), symbols: str = "") -> Column:
+    """The characters of ``body`` permuted within their alphabets; digits at the ``first`` places within their one of ``leads``."""
     place = (lambda i: F.array_contains(F.array(*[F.lit(k) for k in first]), i)) if first else (lambda i: None)
 
     def chosen(chars: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.struct(c.alias("c"), _alphabet(c, hexadecimal, place(i)).alias("a")))
+        return F.transform(chars, lambda c, i: F.struct(c.alias("c"), _alphabet(c, hexadecimal, place(i), leads, symbols).alias("a")))
 
     def moved(z: Column) -> Column:
         radices = F.transform(z, lambda x: F.greatest(F.length(x["a"]), F.lit(1)))
@@ -102,43 +130,64 @@ def luhn_sum(digits: Column, doubled_from_right: int) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = F.translate(m, " -", "")
-    n = F.length(digits)
-    middle = _permuted(F.substr(digits, F.lit(2), n - 2), key, "card")
-    payload = F.concat(F.substr(digits, F.lit(1), F.lit(1)), middle)
-    whole = F.concat(payload, ((10 - luhn_sum(payload, 0) % 10) % 10).cast("string"))
-    gap = lambda at: F.substr(m, F.lit(at), F.lit(1))
-    grouped = F.concat(F.substr(whole, F.lit(1), F.lit(4)), gap(5), F.substr(whole, F.lit(5), F.lit(4)), gap(10), F.substr(whole, F.lit(9), F.lit(4)), gap(15), F.substr(whole, F.lit(13), F.lit(4)))
-    valid = luhn_sum(digits, 1) % 10 == 0
-    return F.when(valid, F.when(F.length(m) > n, grouped).otherwise(whole))
-
-
-def _day(m: Column) -> Column:
-    part = lambda at, k: F.substr(m, F.lit(at), F.lit(k))
-    iso = F.when(m.rlike(r"^\d{4}-"), m).when(m.contains("."), F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))).otherwise(F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
-    return F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
-
-
-def permuted_day(day: Column, key: str) -> Column:
-    """A day number of the range to another: the network again and again until it is in the range."""
+    def moved(m: Column) -> Column:
+        digits = F.translate(m, " -", "")
+        n = F.length(digits)
+        middle = _permuted(F.substr(digits, F.lit(2), n - 2), key, "card")
+        payload = F.concat(F.substr(digits, F.lit(1), F.lit(1)), middle)
+        whole = F.concat(payload, ((10 - luhn_sum(payload, 0) % 10) % 10).cast("string"))
+        place = lambda i: F.length(F.translate(F.substr(m, F.lit(1), i + 1), " -", ""))
+        grouped = let(whole, lambda w: F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), lambda c, i: F.when(c.isin(" ", "-"), c).otherwise(F.substr(w, place(i), F.lit(1)))), ""))
+        return F.when(luhn_sum(digits, 1) % 10 == 0, F.when(F.length(m) > n, grouped).otherwise(whole))
+
+    # Digits after four groups of four belong to the card, or else are another number, as the security code.
+    four = F.substr(m, F.lit(1), F.lit(19))
+    more = (F.length(m) > 19) & m.rlike(r"^\d{4}[ -]\d{4}[ -]")
+    return F.coalesce(moved(m), F.when(more, F.concat(moved(four), F.substr(m, F.lit(20), F.length(m)))))
+
+
+def permuted_day(day: Column, key: str, late: bool = False) -> Column:
+    """A day number of the range to another: the network again and again until it is in the range.
+
+    ``late``: days after the 12th of their month, permuted among themselves; null if the walk
+    is longer than the tries (each ends it with a chance of more than a half).
+    """
     a, b = _DAY_RADICES
 
     def once(n: Column) -> Column:
         x = feistel(F.array(F.floor(n / b).cast("int"), (n % b).cast("int")), F.array(F.lit(a), F.lit(b)), key, F.lit("date"))
         return F.get(x, F.lit(0)) * b + F.get(x, F.lit(1))
 
+    def fits(n: Column) -> Column:
+        within = n < _DAYS
+        return within & (F.dayofmonth(F.date_add(F.lit(_FIRST_DAY).cast("date"), n)) > 12) if late else within
+
     # No walk can be longer than the numbers outside the range, plus one.
     tries = F.sequence(F.lit(0), F.lit(a * b - _DAYS))
     start = F.struct(day.cast("int").alias("n"), F.lit(False).alias("done"))
-    walk = lambda s, _: F.when(s["done"], s).otherwise(F.struct(once(s["n"]).alias("n"), (once(s["n"]) < _DAYS).alias("done")))
-    return F.aggregate(tries, start, walk)["n"]
+    step = lambda s: let(once(s["n"]).cast("int"), lambda n: F.struct(n.alias("n"), fits(n).alias("done")))
+    end = F.aggregate(tries, start, lambda s, _: F.when(s["done"], s).otherwise(step(s)))
+    return let(end, lambda s: F.when(s["done"], s["n"])) if late else end["n"]
 
 
 def _date(m: Column, key: str) -> Column:
-    day = _day(m)
-    moved = F.date_add(F.lit(_FIRST_DAY).cast("date"), permuted_day(day, key))
-    shown = F.when(m.rlike(r"^\d{4}-"), F.date_format(moved, "yyyy-MM-dd")).when(m.contains("."), F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))
-    return F.when(day.isNotNull(), shown)
+    part = lambda k: F.get(F.split(m, "[./-]"), F.lit(k))
+    two = lambda x: F.lpad(x, 2, "0")
+    day = lambda y, mo, d: F.datediff(F.try_to_date(F.concat_ws("-", y, two(mo), two(d)), "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
+    year_first, slash = m.rlike(r"^\d{4}"), m.contains("/")
+    day_first, month_first = day(part(2), part(1), part(0)), day(part(2), part(0), part(1))
+    usual = F.when(year_first, day(part(0), part(1), part(2))).when(slash, month_first).otherwise(day_first)
+    other = F.when(year_first, F.lit(None)).when(slash, day_first).otherwise(month_first)
+    sep = F.regexp_extract(m, "[./-]", 0)
+    padded = year_first | m.rlike(r"^\d\d\D\d\d\D")
+
+    def shown(n: Column, swapped: bool) -> Column:
+        moved = F.date_add(F.lit(_FIRST_DAY).cast("date"), n)
+        y = F.date_format(moved, "yyyy")
+        mo, d = (F.when(padded, F.date_format(moved, x * 2)).otherwise(F.date_format(moved, x)) for x in "Md")
+        return F.when(year_first, F.concat(y, sep, mo, sep, d)).when(slash != swapped, F.concat(mo, sep, d, sep, y)).otherwise(F.concat(d, sep, mo, sep, y))
+
+    return F.when(usual.isNotNull(), let(permuted_day(usual, key), lambda n: shown(n, False))).when(other.isNotNull(), let(permuted_day(other, key, late=True), lambda n: shown(n, True)))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -149,7 +198,14 @@ def _ip(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^[^(]*", 0)
-    return F.concat(country, _permuted(F.regexp_extract(m, r"\(.*$", 0), key, "phone", first=[1]))
+    area_in_brackets = F.concat(country, _permuted(F.regexp_extract(m, r"\(.*$", 0), key, "phone", first=[1]))
+    # What stays: the country code and a trunk 0.
+    head = F.regexp_extract(m, rf"^(?:(?:\+|00)(?:1|{_COUNTRY})|1(?=[ .-]))?[ .-]*(?:\(0\)|\(?0)?[ ./-]*\(?", 0)
+    rest = F.substr(m, F.length(head) + 1, F.length(m))
+    others = F.concat(head, _permuted(rest, key, "phone", first=[0], leads=("0", "1", "23456789")))
+    n = F.length(F.regexp_replace(m, r"^00|\D", ""))
+    good = F.when(m.rlike(r"^\(?0(?!0)"), n.between(9, 12)).otherwise(n.between(8, 15))
+    return F.when(good, F.when(m.rlike(rf"^{_BRACKETS}$") & ~m.contains("(0"), area_in_brackets).otherwise(others))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -157,12 +213,14 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(_permuted(F.substr(m, F.lit(1), F.length(m) - F.length(top)), key, "email"), top)
 
 
-def _named(m: Column, key: str, kind: str) -> Column:
-    """What follows "name =" or "name:"."""
-    head = F.regexp_extract(m, r'^[^=:]*[=:]\s*"?', 0)
-    body = F.regexp_extract(m, r'[=:]\s*"?([A-Za-z0-9]+)"?$', 1)
-    tail = F.when(m.endswith('"'), F.lit('"')).otherwise(F.lit(""))
-    return F.concat(head, _permuted(body, key, kind, hexadecimal=body.rlike("^[0-9a-f]+$")), tail)
+def _named(m: Column, key: str, kind: str, symbols: str = "") -> Column:
+    """What follows "name =", "name:" or "bearer", from its first to its last character that has an alphabet."""
+    head = F.regexp_extract(m, r"^(?:(?i:bearer)\s+|[^=:]*[=:]\s*)", 0)
+    value = F.substr(m, F.length(head) + 1, F.length(m))
+    start = F.regexp_extract(value, rf"^[^A-Za-z0-9{symbols}]*", 0)
+    body = F.regexp_extract(value, rf"(?s)[A-Za-z0-9{symbols}](?:.*[A-Za-z0-9{symbols}])?", 0)
+    tail = F.substr(value, F.length(start) + F.length(body) + 1, F.length(value))
+    return F.concat(head, start, _permuted(body, key, kind, hexadecimal=body.rlike("^[0-9a-f]+$"), symbols=symbols), tail)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -176,7 +234,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(is_a("card"), _card(m, key))
         .when(is_a("key"), F.concat(F.lit("AKIA"), _permuted(F.substr(m, F.lit(5), F.lit(16)), key, "key")))
         .when(is_a("token"), _named(m, key, "token"))
-        .when(is_a("password"), _named(m, key, "password"))
+        .when(is_a("password"), _named(m, key, "password", _SYMBOLS))
     )
 
 
