@@ -50,14 +50,26 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component of near duplicates."""
+    """One row of every component of near duplicates: the one with the smallest id, ids before null.
+
+    Rows are told apart by a number of their own, as ids may be null or repeated; it is written
+    down with the rows, so that a repeated task can't number them anew.
+    """
     bounded_batches(spark)
-    linked = jaccard_join.link(docs, percent=80)
-    gone = saved(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
     plain, at = _plain(docs)
+    rows = saved(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    doc_id = F.col(at["doc_id"]).cast("long")
+    linked = jaccard_join.link(rows, doc_id="row", text=at["text"], percent=80).select(F.col("doc_id").alias("linked"), "component_id")
+    # Most rows are alone in their component.
+    shared = saved(linked.where("component_id <> linked").select("linked", "component_id"), "near-duplicates")
+    shared = shared.unionByName(shared.select(F.col("component_id").alias("linked"), "component_id").distinct())
+    members = rows.select("row", doc_id.alias("id")).join(shared, F.col("row") == F.col("linked"))
+    order = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("row"))
+    first = members.groupBy("component_id").agg(F.min(order)["row"].alias("first"))
+    gone = saved(shared.join(first, F.col("linked") == F.col("first"), "left_anti").select(F.col("linked").alias("gone")), "gone")
     few = gone.count() <= jaccard_join.BROADCAST_IDS
-    kept = plain.join(F.broadcast(gone) if few else gone, F.col(at["doc_id"]).cast("long") == F.col("gone"), "left_anti")
-    return kept.toDF(*docs.columns)
+    kept = rows.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("gone"), "left_anti")
+    return kept.drop("row").toDF(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,17 @@ def test_near_duplicates(spark, documents):
     assert out.columns == documents.columns and {r["doc_id"] for r in out.collect()} == want
 
 
+def test_one_row_of_each_group_stays_whatever_its_ids(spark, documents):
+    """Repeated rows of an id, rows without ids and two texts of one id."""
+    a, b, d = ("".join(f"{x}{k} " for k in range(40)) for x in "abd")
+    rows = [(5, a)] * 3 + [(7, a), (None, a), (None, b), (None, b), (None, b + "end"), (9, d), (9, "another text of the same id"), (8, d + "end"), (None, None), (None, None), (4, ""), (4, "")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t) if t else None) for k, t in rows], documents.schema).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.remove_near_duplicates(spark, df, SF).collect()]
+    assert sum(k is None and (t or "").startswith("b0 ") for k, t in got) == 1
+    rest = [r for r in got if not (r[0] is None and r[1])]
+    assert sorted(rest, key=str) == sorted([(5, a), (9, "another text of the same id"), (8, d + "end"), (None, None), (None, None), (4, ""), (4, "")], key=str)
+
+
 def test_decontamination(spark, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     out = {r["doc_id"]: r for r in corpus_pipeline.decontaminate_benchmark(spark, documents, SF).collect()}
