@@ -106,3 +106,11 @@ def test_streams(spark, tmp_path):
     live.run_once(live.tumbling(stream, late="60 days"), f"{tmp_path}/windows", f"{tmp_path}/c3", "update")
     last = spark.read.parquet(f"{tmp_path}/windows").groupBy("start", "event_type").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0]
     assert last == events.count()
+
+
+def test_every_named_entity_is_found_longest_alias_first(spark):
+    titles = spark.createDataFrame([(1, "Houston Dynamo vs. Sporting Kansas City | Highlights"), (2, "Sporting vs. Porto"), (3, "Borussia Mönchengladbach II: kansas city sporting kansas"), (4, ""), (5, None)], "id int, title string")
+    aliases = spark.createDataFrame([("houston dynamo", 1), ("sporting kansas city", 2), ("sporting", 3), ("porto", 4), ("Borussia Mönchengladbach II", 5), ("borussia", 6), ("city", 7)], "alias string, entity int")
+    got = sorted((r["id"], r["entity"]) for r in text.longest_alias(titles, aliases).collect())
+    assert got == [(1, 1), (1, 2), (2, 3), (2, 4), (3, 3), (3, 5), (3, 7)]
+    assert text.longest_alias(titles, aliases.limit(0)).count() == 0

@@ -59,14 +59,22 @@ def alias_index(names: DataFrame) -> DataFrame:
 
 
 def longest_alias(titles: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The longest alias among a title's words and pairs of words, by an equi-join on the phrase."""
-    words = F.filter(F.split(fold(c("title")), "[^a-z0-9]+"), lambda w: w != "")
-    staged = titles.select("id", words.alias("w"))
-    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("w", i), w))
-    phrases = staged.select("id", F.explode(F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))))).alias("alias"))
-    hits = phrases.join(aliases, "alias")
-    best = F.max(F.struct(F.length("alias").alias("size"), "alias", "entity"))
-    return hits.groupBy("id").agg(best.alias("b")).select("id", c("b.alias").alias("alias"), c("b.entity").alias("entity"))
+    """The aliases that a title names, and their entities: spans that don't overlap, accepted longest first, then by place.
+
+    Phrases of up to the longest alias's words are met with the aliases by an equi-join; an entity named
+    twice by one alias is one row. Of entities that share an alias the smallest is taken.
+    """
+    words = lambda text: F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda w: w != "")
+    known = aliases.select(F.array_join(words(c("alias")), " ").alias("alias"), "entity").where("alias <> ''").groupBy("alias").agg(F.min("entity").alias("entity"))
+    most = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
+    staged = titles.select("id", words(c("title")).alias("w")).where(F.size("w") > 0)
+    spans = F.flatten(F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.size("w") - i))), lambda n: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice("w", i + 1, n), " ").alias("alias")))))
+    hits = staged.select("id", F.explode(spans).alias("s")).select("id", "s.*").join(known, "alias")
+    hit = F.struct((-F.length("alias")).alias("size"), "start", "end", "alias", "entity")
+    found = hits.groupBy("id").agg(F.sort_array(F.collect_set(hit)).alias("hits"))
+    accept = lambda taken, h: F.when(F.exists(taken, lambda t: (h["start"] < t["end"]) & (t["start"] < h["end"])), taken).otherwise(F.array_append(taken, h))
+    accepted = F.aggregate("hits", F.filter("hits", lambda _: F.lit(False)), accept)
+    return found.select("id", F.explode(accepted).alias("h")).select("id", "h.alias", "h.entity").distinct()
 
 
 def classify(title: Column) -> Column:
