@@ -27,3 +27,11 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_customer_gets_ids(spark):
+    """On a table with more than 500 customers."""
+    sf_dir = SF.replace("sf0.001", "sf0.01")
+    got = catalog.queries()["ing8_ing9_ing11_ids"](spark, sf_dir).select("c_custkey")
+    want = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    assert want.count() > 500 and want.exceptAll(got).count() == got.exceptAll(want).count() == 0

@@ -44,7 +44,7 @@ def labels(s, d):
 
 
 def ids(s, d):
-    n = table(s, d, "customer").where("c_custkey <= 500")
+    n = table(s, d, "customer")
     return n.select("c_custkey", x.uuid5("6ba7b8109dad11d180b400c04fd430c8", c("c_name")).alias("uuid"), x.slug(F.concat(c("c_name"), F.lit(" Müller & Söhne!"))).alias("slug"), F.sha2(F.concat_ws("|", "c_name", "c_mktsegment"), 256).alias("hash"))
 
 
