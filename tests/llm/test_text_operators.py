@@ -178,16 +178,19 @@ def test_decontamination(spark, words):
     rng = random.Random(6)
     pool = " ".join(t for _, t in ITEMS if t).lower().split() + ["zzz", "five", "words"]
     texts = [" ".join(rng.choices(pool, k=rng.randint(0, 50))) for _ in range(60)] + [f"x {a[1]} y {b[1]}" for a in ITEMS for b in ITEMS if a[1] and b[1]]
-    texts += [(ITEMS[0][1] + " ") * 3, ITEMS[0][1].upper().replace(" ", "--"), "five WORDS five words.", " ".join(ITEMS[0][1].split()[:13]), " ".join(ITEMS[0][1].split()[:12])] + ODD
+    texts += ["long " * 300 + ITEMS[0][1] + " tail" * 120, ITEMS[0][1] + " far" * 700 + " " + ITEMS[5][1], (ITEMS[0][1] + " ") * 3, ITEMS[0][1].upper().replace(" ", "--"), "five WORDS five words.", " ".join(ITEMS[0][1].split()[:13]), " ".join(ITEMS[0][1].split()[:12])] + ODD
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string").select("*", F.lit("clash").alias("TEXT"))
     hits = decontaminate.find_hits(df, items, window=13, max_item_words=words)
     for r in hits.select("doc_id", "hit_words", decontaminate.hit_count().alias("n"), "hit_items").collect():
         assert (r["hit_words"], r["n"], r["hit_items"]) == brute.hits(texts[r["doc_id"]], ITEMS), texts[r["doc_id"]]
-    cleaned = hits.select("doc_id", decontaminate.cleaned(F.col("text"), F.col("hit_spans")).alias("text")).collect()
-    for r in cleaned:
-        n, hit, _ = brute.hits(texts[r["doc_id"]], ITEMS)
-        assert (r["text"] == texts[r["doc_id"]]) if not hit else brute.hits(r["text"], [])[0] == n - hit
+    cleaned = {r["doc_id"]: r for r in decontaminate.decontaminate(df, items, window=13, max_item_words=words).collect()}
+    for key, text in enumerate(texts):
+        n, hit, _ = brute.hits(text, ITEMS)
+        assert (key in cleaned) == (not (hit and 20 * hit >= n)), text
+        if key in cleaned:
+            r = cleaned[key]
+            assert r["hit_changed"] == bool(hit) and ((r["text"] == text) if not hit else brute.hits(r["text"], [])[0] == n - hit)
     assert decontaminate.find_hits(df, items.limit(0)).where(decontaminate.hit_count() > 0).count() == 0
     assert decontaminate.find_hits(df.limit(0), items).count() == 0
 

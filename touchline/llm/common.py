@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: Rows that go to a Python worker at once: whole texts can be long, and workers share an executor's memory.
+#: Rows and bytes that go to a Python worker at once: whole texts can be long, and workers share an executor's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of the session hold BATCH_ROWS rows at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Let Arrow batches of the session hold BATCH_ROWS rows and BATCH_BYTES bytes at most.
+
+    The settings are read when a query runs, long after this returns, so they stay; smaller
+    ones of the session are kept.
+    """
+    for name, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", (1 << 31) - 1, BATCH_BYTES)):
+        said = spark.conf.get(name, str(usual))
+        if not said.isdigit() or not 0 < int(said) <= most:
+            spark.conf.set(name, str(most))
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -5,8 +5,8 @@ through it, keeping the longest match that ends at each word; a match of at leas
 ``window`` words, or of a whole shorter item, marks the words it covers.
 
 Memory: items are grouped into automata of at most ``MAX_ITEM_WORDS`` words; each group is a
-pass of its own, so the items collected and sent to the tasks at once are bounded whatever
-the number of items.
+pass of its own over the texts, so the items collected and sent to the tasks at once are bounded
+whatever the number of items. Only spans are kept between passes.
 
 Defined results: null or wordless texts have no words and no hits; wordless items match
 nothing; items with the same id count once; items without an id mark words but have no
@@ -18,12 +18,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import workers
 from .common import pick, saved
@@ -188,67 +188,149 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(kept) + data[at:]).decode("utf-8", "replace")
 
 
-@F.pandas_udf(StringType())
-def _cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    found = [() if x is None else [(s["first"], s["end"]) for s in x] for x in spans]
-    return pd.Series([without_spans(t, x) if len(x) else t for t, x in zip(texts, found)], dtype=object)
+def too_much(hit: int, words: int) -> bool:
+    """The contract's rule of contamination: a twentieth of the words or more are hit."""
+    return hit > 0 and 20 * hit >= words
 
 
-def cleaned(text: Column, spans: Column) -> Column:
-    """The text without its spans; texts without any are passed on as they are."""
-    return F.when(F.size(spans) > 0, _cleaned(text, spans)).otherwise(text)
+def _item_groups(benchmark: DataFrame, item_id: str, item_text: str, max_item_words: int) -> Iterator[tuple[int, list[tuple[str | None, str | None]]]]:
+    """How many groups there are, and the items of each; every group is of a bounded size, and there is at least one."""
+    items = pick(benchmark, name=item_id, text=item_text).select(F.col("name").cast("string").alias("name"), "text")
+    sized = items.withColumn("words", F.length("text") / 2 + 1)
+    groups = max(1, -(-int(sized.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]) // max_item_words))
+    for group in range(groups):
+        yield groups, [(r["name"], r["text"]) for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(groups)) == group).toLocalIterator()]
+
+
+def _matches(spark: SparkSession, items: list, window: int):
+    """A function from a text to its number of words, spans and item ids, for use in tasks."""
+    sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def match(text: str | None) -> tuple[int, list[list[int]], list[str]]:
+        automaton = _automaton(key, sent.value, window)
+        words = words_of(text)
+        spans, numbers = automaton.match(words)
+        return len(words), spans, sorted({automaton.names[k] for k in numbers if automaton.names[k] is not None})
+
+    return match
+
+
+_SPANS, _ITEMS = "array<struct<first:int,end:int>>", "array<string>"
+
+
+def _hit_rows(rows: DataFrame, match) -> DataFrame:
+    """(row, text) to row, hit_spans, hit_items, hit_words."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [match(value.as_py()) for value in batch.column(1)]
+            spans = pa.array([[{"first": a, "end": b} for a, b in x[1]] for x in found], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans, pa.array([x[2] for x in found], pa.list_(pa.string())), pa.array([x[0] for x in found], pa.int32())], ["row", "hit_spans", "hit_items", "hit_words"])
+
+    return rows.mapInArrow(judge, f"row long, hit_spans {_SPANS}, hit_items {_ITEMS}, hit_words int")
+
+
+def _passes(docs: DataFrame, at: int, groups: Iterator, first: tuple, window: int) -> DataFrame:
+    """``docs`` with hit_*, over several groups of items: the texts are read once for each group, and only
+    rows with hits are kept between the passes; the documents themselves are written once, with row numbers."""
+    spark = docs.sparkSession
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    numbered = saved(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    texts = numbered.select("row", names[at])
+    parts = []
+    for k, (_, items) in enumerate(chain([first], groups)):
+        hits = _hit_rows(texts, _matches(spark, items, window))
+        # The first pass also counts the words of every row.
+        parts.append(saved(hits if k == 0 else hits.where(F.size("hit_spans") > 0), "decontaminate-hits"))
+    every = reduce(DataFrame.unionByName, parts)
+    merged = every.groupBy("row").agg(
+        F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"), F.max("hit_words").alias("hit_words")
+    )
+    joined = numbered.join(merged, "row").select(*names, _joined_spans(F.col("hit_spans")).alias("hit_spans"), "hit_items", "hit_words")
+    return joined.toDF(*docs.columns, "hit_spans", "hit_items", "hit_words")
+
+
+def _joined_spans(spans: Column) -> Column:
+    """Spans of several passes in order, those that overlap or touch made one."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
+        rest = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(F.coalesce(s["first"] <= last["end"], F.lit(False)), F.concat(rest, F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), add)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
-    """``docs`` with n_words, spans (of covered words) and items (ids as strings) in columns hit_*.
+    """``docs`` with hit_words, hit_spans (of covered words) and hit_items (ids as strings) in last columns.
 
-    The other columns pass through by position. One pass over the documents for each group
-    of items; a single group, the usual case, needs no shuffle and writes nothing.
+    The other columns pass through by position. A single group of items, the usual case, is
+    one pass without a shuffle; further groups read the texts again.
     """
     spark = docs.sparkSession
-    items = pick(benchmark, name=item_id, text=item_text).select(F.col("name").cast("string").alias("name"), "text")
-    sized = items.withColumn("words", F.length("text") / 2 + 1)
-    groups = max(1, -(-int(sized.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]) // max_item_words))
-    out = docs.select("*", F.lit(None).cast("array<struct<first:int,end:int>>").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items"), F.lit(0).cast("int").alias("hit_words"))
     at = docs.columns.index(text)
-    schema = out.schema
-    for group in range(groups):
-        part = [(r["name"], r["text"]) for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(groups)) == group).toLocalIterator()]
-        sent = spark.sparkContext.broadcast(part)
-        key = uuid.uuid4().hex
-
-        def judge(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(key, sent.value, window)
-            for batch in batches:
-                counts, all_spans, all_items = [], [], []
-                n = batch.num_columns
-                for value, old, named in zip(batch.column(at), batch.column(n - 3), batch.column(n - 2)):
-                    words = words_of(value.as_py())
-                    spans, numbers = automaton.match(words)
-                    if earlier := old.as_py():
-                        spans = _merged(spans + [[s["first"], s["end"]] for s in earlier])
-                    names = {automaton.names[k] for k in numbers} | set(named.as_py() or ())
-                    counts.append(len(words))
-                    all_spans.append([{"first": a, "end": b} for a, b in spans])
-                    all_items.append(sorted(x for x in names if x is not None))
-                fields = batch.schema
-                arrays = [*batch.columns[: n - 3], pa.array(all_spans, fields.field(n - 3).type), pa.array(all_items, fields.field(n - 2).type), pa.array(counts, pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, schema=fields)
-
-        out = out.mapInArrow(judge, schema)
-        if groups > 1:
-            out = saved(out, "decontaminate")
-    return out
-
-
-def _merged(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for first, end in sorted(spans):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([first, end])
-    return out
+    groups = _item_groups(benchmark, item_id, item_text, max_item_words)
+    first = next(groups)
+    if first[0] > 1:
+        return _passes(docs, at, groups, first, window)
+    match = _matches(spark, first[1], window)
+    schema = docs.select("*", F.lit(None).cast(_SPANS).alias("hit_spans"), F.lit(None).cast(_ITEMS).alias("hit_items"), F.lit(0).cast("int").alias("hit_words")).schema
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [match(value.as_py()) for value in batch.column(at)]
+            spans = pa.array([[{"first": a, "end": b} for a, b in x[1]] for x in found], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
+            arrays = [*batch.columns, spans, pa.array([x[2] for x in found], pa.list_(pa.string())), pa.array([x[0] for x in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "hit_spans", "hit_items", "hit_words"])
+
+    return docs.mapInArrow(judge, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_item_words: int = MAX_ITEM_WORDS, changed: str = "hit_changed") -> DataFrame:
+    """``docs`` without contaminated rows and, in the others, without the passages hit.
+
+    ``changed`` is a last column that says whether the text was cut. The texts meet Python
+    once; a row's spans are used where they are found.
+    """
+    spark = docs.sparkSession
+    at = docs.columns.index(text)
+    groups = _item_groups(benchmark, item_id, item_text, max_item_words)
+    first = next(groups)
+    hits, match = docs, None
+    if first[0] > 1:
+        hits = _passes(docs, at, groups, first, window)
+    else:
+        match = _matches(spark, first[1], window)
+    schema = docs.select("*", F.lit(False).alias(changed)).schema
+    width = len(docs.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[int] = []
+            new: dict[int, str] = {}
+            known = zip(batch.column(width).to_pylist(), batch.column(width + 2).to_pylist()) if match is None else None
+            for k in range(batch.num_rows):
+                if match is None:
+                    spans, words = next(known)
+                    spans = [(s["first"], s["end"]) for s in spans]
+                    value = batch.column(at)[k].as_py() if spans else None
+                else:
+                    value = batch.column(at)[k].as_py()
+                    words, spans, _ = match(value)
+                if too_much(sum(b - a for a, b in spans), words):
+                    continue
+                if spans:
+                    new[k] = without_spans(value, spans)
+                keep.append(k)
+            columns = list(batch.columns[:width])
+            if new:
+                columns[at] = pa.array([new.get(k, value) for k, value in enumerate(columns[at].to_pylist())], columns[at].type)
+            taken = pa.array(keep, pa.int64())
+            flags = pa.array([k in new for k in keep], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[c.take(taken) for c in columns], flags], [*batch.schema.names[:width], changed])
+
+    return hits.mapInArrow(cut, schema)
 
 
 def hit_count() -> Column:

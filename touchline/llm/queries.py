@@ -60,7 +60,8 @@ def op7_char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Words of every document that lie in occurrences of benchmark windows."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), window=13)
     n_hit = decontaminate.hit_count()
     n_words = F.col("hit_words").cast("long")
