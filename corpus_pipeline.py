@@ -4,6 +4,14 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before kep
 the last return the columns of documents; toxic documents, near duplicates and contaminated
 documents go, and remaining benchmark passages and personal values are taken out of the
 texts. The last returns one row per packed piece, with its token ids.
+
+Defined results, for every stage: a null text counts as an empty one and stays null; an empty
+or null text is never toxic by more than the model's bias, never a near duplicate, never
+contaminated, holds no personal value, and is packed as its end token alone. Rows with a null
+or a repeated id are rows like any other, but near duplicates of each other are one group, of
+which the row with the least id (ids before null, then the earlier row) stays. Long texts are
+worked on whole. An empty table gives an empty table. Further columns pass through, whatever
+their names; a column that differs from doc_id, text or n_chars by case alone is one of them.
 """
 
 from __future__ import annotations
@@ -24,9 +32,8 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), at
 
 
-def _with_text(df: DataFrame, docs: DataFrame, at: dict[str, str], text: Column) -> DataFrame:
+def _with_text(df: DataFrame, docs: DataFrame, at: dict[str, str], text: Column, changed: Column) -> DataFrame:
     """The columns of docs, with a new text; n_chars follows a text that changed."""
-    changed = ~text.eqNullSafe(F.col(at["text"]))
     columns = []
     for i, field in enumerate(docs.schema.fields):
         old = F.col(f"in_{i}")
@@ -76,10 +83,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Without contaminated documents (a twentieth of the words hit), and without the passages hit in others."""
     bounded_batches(spark)
     plain, at = _plain(docs)
-    hits = decontaminate.find_hits(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=at["text"], window=13)
-    n_hit = decontaminate.hit_count()
-    clean = hits.where(~((n_hit > 0) & (20 * n_hit >= F.col("hit_words"))))
-    return _with_text(clean, docs, at, decontaminate.cleaned(F.col(at["text"]), F.col("hit_spans")))
+    clean = decontaminate.decontaminate(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=at["text"], window=13, changed="changed")
+    return _with_text(clean, docs, at, F.col(at["text"]), F.col("changed"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +92,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     bounded_batches(spark)
     plain, at = _plain(docs)
     new = pseudonyms.pseudonymise(plain.withColumn("body", F.col(at["text"])), text="body")
-    return _with_text(new, docs, at, F.col("body"))
+    return _with_text(new, docs, at, F.col("body"), ~F.col("body").eqNullSafe(F.col(at["text"])))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
