@@ -238,20 +238,67 @@ def test_shingles():
         assert found.size == len(brute.shingles(text))
 
 
+def plain_shuffle(spark, rows, shards, seed, buckets):
+    """Scatter, Fisher-Yates and places in plain Python; hashes are Spark's."""
+    copies = Counter()
+    numbered = []
+    for k, t in sorted(rows, key=str):
+        numbered.append((k, t, copies[k, t]))
+        copies[k, t] += 1
+    df = spark.createDataFrame(numbered, "doc_id long, text string, copy long")
+    into = defaultdict(list)
+    for r in df.select("*", F.xxhash64(F.lit(seed), "doc_id", "text", "copy").alias("h"), F.xxhash64("text").alias("t")).collect():
+        into[r["h"] % buckets].append(((r["doc_id"] is not None, r["doc_id"] or 0, r["t"], r["copy"]), r["doc_id"], r["text"]))
+    draws = spark.createDataFrame([(b, i) for b, x in into.items() for i in range(len(x))], "bucket long, i int")
+    drawn = {(r["bucket"], r["i"]): r["h"] % (r["i"] + 1) for r in draws.select("*", F.xxhash64(F.lit(seed), "bucket", "i").alias("h")).collect()}
+    at, found, n = 0, [], len(numbered)
+    for b in sorted(into):
+        place = []
+        for i in range(len(into[b])):
+            place.append(i)
+            j = drawn[b, i]
+            place[i], place[j] = place[j], place[i]
+        for k, (_, doc_id, text) in enumerate(sorted(into[b], key=lambda x: x[0])):
+            p = at + place[k]
+            shard = p * shards // n
+            found.append((doc_id, text, p - -(-shard * n // shards), shard))
+        at += len(into[b])
+    return Counter(found)
+
+
 def test_sharding(spark, docs, rows, empty, nameless):
-    got = sharding.shard_rows(docs, shards=16, bucket_bytes=2000).collect()
-    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((k, t) for k, t, *_ in rows)
-    counts = Counter(r["shard"] for r in got)
+    got = Counter(tuple(r) for r in sharding.shard_rows(docs, shards=16, bucket_bytes=2000, seed=77).select("doc_id", "text", "slot", "shard").collect())
+    pairs = [(k, t) for k, t, *_ in rows]
+    total = sum(len((t or "").encode()) + 1 for _, t in pairs)
+    assert got == plain_shuffle(spark, pairs, 16, 77, max(64, -(-total // 2000)))
+    counts = Counter(s for _, _, _, s in got)
     assert max(counts.values()) - min(counts[s] for s in range(16)) <= 1
-    for shard in counts:
-        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(counts[shard]))
-    again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_rows(docs.repartition(7), shards=16, bucket_bytes=2000).collect()}
-    other = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_rows(docs, shards=16, bucket_bytes=2000, seed=5).collect()}
-    mine = {(r["doc_id"], r["shard"], r["slot"]) for r in got}
-    assert len(mine & other) < len(mine) / 2 and len({(d, s) for d, s, _ in mine} & {(d, s) for d, s, _ in again}) > 0
+    other = Counter(tuple(r) for r in sharding.shard_rows(docs, shards=16, bucket_bytes=2000, seed=5).select("doc_id", "text", "slot", "shard").collect())
+    assert sum((got & other).values()) < len(rows) / 2
     assert sharding.shard_rows(empty).count() == 0 and sharding.shard_rows(nameless).count() == 6
 
 
+def test_sharding_is_the_same_whatever_the_partitions(spark, rows):
+    """Also of equal rows, and of rows without ids."""
+    table = [(k % 90, f"text {k % 120}") for k in range(400)] + [(None, None)] * 300 + [(7, "one row many times")] * 200
+    results = []
+    for parts, shuffles in ((3, 4), (11, 16)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame(table, "doc_id long, text string").repartition(parts)
+        results.append(Counter(tuple(r) for r in sharding.shard_rows(df, shards=8, bucket_rows=50, task_bytes=3000).collect()))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] and sum(results[0].values()) == 900
+
+
+def test_permutations_are_uniform(spark):
+    """Every order of four places comes about equally often."""
+    df = spark.range(4800).select(sharding.permutation(F.lit(4), 3, "id").alias("p")).groupBy("p").count().collect()
+    assert len(df) == 24 and all(140 < r["count"] < 260 for r in df)
+    assert spark.range(1).select(sharding.permutation(F.lit(0), 3, "id").alias("p")).first()["p"] == []
+
+
 def luhn(digits):
     d = [int(x) for x in digits][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
