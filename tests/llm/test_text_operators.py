@@ -320,8 +320,8 @@ def test_pseudonyms(spark, docs, rows, empty):
     assert got[3]["text"] is None and got[3]["pii_values"] == 0 and got[4]["text"] == ""
     y, m, d = new.split(" on ")[1][:10].split("-")
     assert f"{d}.{m}.{y}" in new and f"{m}/{d}/{y}" in new
-    same = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymised(docs).collect()}
-    assert same == {k: t for k, t, *_ in rows} and pseudonyms.pseudonymised(empty).count() == 0
+    same = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymised(docs, key="k").collect()}
+    assert same == {k: t for k, t, *_ in rows} and pseudonyms.pseudonymised(empty, key="k").count() == 0
 
 
 FORMS = {
@@ -352,9 +352,62 @@ def test_written_forms_are_replaced_within_their_format(written, form):
         assert luhn(re.sub(r"\D", "", new[1].removesuffix(" 123")))
 
 
+def test_forms_of_one_number_stay_linked(spark):
+    forms = ["(269) 555-3296", "(269)555-3296", "(269) 555 3296", "+1 (269) 555-3296", "269-555-3296", "269.555.3296", "1-269-555-3296", "+1 269 555 3296"]
+    other = ["+44 20 7946 0958", "+442079460958", "020 7946 0958", "(020) 7946 0958", "+44 (0)20 7946 0958"]
+    mail = ["John.Doe7@Mail.example.com", "john.doe7@mail.example.com"]
+    got = {r["old"]: r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame([(t, t) for t in forms + other + mail], "old string, text string").coalesce(1), key="k").collect()}
+    last = lambda t, n: re.sub(r"\D", "", t)[-n:]
+    assert len({last(got[t], 10) for t in forms}) == 1 != {last(got[t], 10) for t in forms} & {"2695553296"}
+    assert len({last(got[t], 10) for t in other[:2] + other[4:]} | {last(got[t], 10)[-10:] for t in other[2:4]}) == 1
+    assert got[mail[0]].lower() == got[mail[1]] and all(got[t] != t for t in got)
+
+
+def plain_feistel(values, radices, key, tag):
+    """The network in plain Python."""
+    import hashlib
+
+    x, half = list(values), len(values) // 2
+    for r in range(pseudonyms.ROUNDS):
+        left = r % 2 == 0
+        said = ",".join(map(str, x[half:] if left else x[:half]))
+        for i in range(0, half) if left else range(half, len(x)):
+            x[i] = (x[i] + int(hashlib.sha256(f"{key}|{tag}|{r}|{i}|{said}".encode()).hexdigest()[:12], 16)) % radices[i]
+    return x
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    """Phones, cards, addresses and days, value by value."""
+    rng = random.Random(31)
+    day = lambda n: str(np.datetime64("1900-01-01") + n)
+    rows = []
+    for _ in range(60):
+        d = [rng.randint(2, 9), *[rng.randint(0, 9) for _ in range(9)]]
+        radices = [8, *[10] * 9]
+        new = plain_feistel([d[0] - 2, *d[1:]], radices, "k", "phone:" + ",".join(map(str, radices)))
+        show = lambda x: "({}{}{}) {}{}{}-{}{}{}{}".format(*x)
+        rows.append((show(d), show([new[0] + 2, *new[1:]])))
+        octets = [rng.randint(0, 255) for _ in range(4)]
+        rows.append((".".join(map(str, octets)), ".".join(map(str, plain_feistel(octets, [256] * 4, "k", "ip")))))
+        n = m = rng.randrange(73049)
+        while True:
+            a, b = plain_feistel(divmod(m, 270), (271, 270), "k", "date")
+            m = a * 270 + b
+            if m < 73049:
+                break
+        rows.append((day(n), day(m)))
+        body = [rng.randint(0, 9) for _ in range(15)]
+        check = lambda x: next(c for c in range(10) if luhn("".join(map(str, x)) + str(c)))
+        middle = plain_feistel(body[1:], [10] * 14, "k", "card:" + ",".join(["10"] * 14))
+        if body[0]:
+            rows.append(("".join(map(str, body)) + str(check(body)), "".join(map(str, body[:1] + middle)) + str(check(body[:1] + middle))))
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(f"x {a} y", f"x {b} y") for a, b in rows], "text string, want string").coalesce(1), key="k").collect()
+    assert [r["text"] for r in got] == [r["want"] for r in got]
+
+
 def test_what_only_looks_like_a_value_stays(spark):
     texts = {"3782 822463 10006": 1, "31/31/1990": 1, "0171 1234": 1, "1.2.3.4.5 and 10 20 30": 0, "in 2019-2020, 0.1234567890, 1234567890": 0, "a token: short-value": 0, "pages 555-123-456": 0}
-    got = pseudonyms.pseudonymise(spark.createDataFrame([(t, t) for t in texts], "old string, text string").coalesce(1)).collect()
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(t, t) for t in texts], "old string, text string").coalesce(1), key="k").collect()
     assert {r["old"]: (r["text"], r["pii_values"], r["pii_invalid"]) for r in got} == {t: (t, 0, n) for t, n in texts.items()}
 
 

@@ -6,7 +6,8 @@ addresses, and access keys and tokens. A value is an array of positions, each wi
 (10 for a digit, 26 for a letter, 256 for an octet); a Feistel network of ROUNDS rounds adds
 to one half of the positions, modulo their radix, a keyed hash of the other half. That
 permutes the values of a format, so equal values get equal pseudonyms in all documents and
-different ones stay different. Card numbers get a new check digit; dates are permuted as day
+different ones stay different. Separators are no part of a value: the forms of one card, telephone
+number or date get the same new digits, and letters of an address the same in either case. Card numbers get a new check digit; dates are permuted as day
 numbers, walking the permutation's cycle until the result is a day of the range. A date whose
 usual order (MM/DD with slashes, else DD first) is no day is read in the other order; such days
 come after the 12th and are permuted among themselves, so they can't be taken for the usual order.
@@ -19,18 +20,25 @@ Names of months, years of two digits and bare numbers without +, 00 or 0 are not
 
 Only DataFrame functions are used, and nothing is shuffled. Defined results: null stays null,
 with no values; what looks like a value but fails validation is left as it is, and counted;
-values next to each other are told apart by the patterns below, in their order.
+values next to each other are told apart by the patterns below, in their order. Long texts are
+searched whole; repeated rows and null ids are rows like any other, an empty table stays empty;
+columns are taken by position, so their names don't matter.
+
+Whoever knows the key can invert the pseudonyms. It must be given; queries and the pipeline read
+the setting ``spark.touchline.pseudonymKey`` of the session and fall back to DEMO_KEY, which is
+public, only where that is unset.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick
 
 ROUNDS = 8
-#: For tests and demonstrations; pass a secret key of your own.
+KEY_SETTING = "spark.touchline.pseudonymKey"
+#: For tests and demonstrations; everyone knows it.
 DEMO_KEY = "demonstration key"
 
 #: Country codes but 1 (E.164).
@@ -196,16 +204,25 @@ def _ip(m: Column, key: str) -> Column:
     return F.array_join(out.cast("array<string>"), ".")
 
 
+def _laid(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced by ``digits``, in order."""
+    chars = F.filter(F.split(m, ""), lambda c: c != "")
+    place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), r"\D", ""))
+    return let(digits, lambda w: F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\d"), F.substr(w, place(i), F.lit(1))).otherwise(c)), ""))
+
+
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^[^(]*", 0)
-    area_in_brackets = F.concat(country, _permuted(F.regexp_extract(m, r"\(.*$", 0), key, "phone", first=[1]))
+    """The number's digits without country code and trunk 0 are permuted, whatever stands between them: its written forms stay linked."""
+    bracketed = m.rlike(rf"^{_BRACKETS}$") & ~m.contains("(0")
     # What stays: the country code and a trunk 0.
-    head = F.regexp_extract(m, rf"^(?:(?:\+|00)(?:1|{_COUNTRY})|1(?=[ .-]))?[ .-]*(?:\(0\)|\(?0)?[ ./-]*\(?", 0)
+    code = rf"^(?:(?:\+|00)(?:1|{_COUNTRY})|1(?=[ .-]))?[ .-]*(?:\(0\)|\(?0)?[ ./-]*\(?"
+    head = F.when(bracketed, F.regexp_extract(m, r"^[^(]*\(", 0)).otherwise(F.regexp_extract(m, code, 0))
     rest = F.substr(m, F.length(head) + 1, F.length(m))
-    others = F.concat(head, _permuted(rest, key, "phone", first=[0], leads=("0", "1", "23456789")))
+    digits = F.regexp_replace(rest, r"\D", "")
+    moved = F.concat(head, _laid(rest, _permuted(digits, key, "phone", first=[0], leads=("0", "1", "23456789"))))
     n = F.length(F.regexp_replace(m, r"^00|\D", ""))
     good = F.when(m.rlike(r"^\(?0(?!0)"), n.between(9, 12)).otherwise(n.between(8, 15))
-    return F.when(good, F.when(m.rlike(rf"^{_BRACKETS}$") & ~m.contains("(0"), area_in_brackets).otherwise(others))
+    return F.when(good, moved)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -238,7 +255,12 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(df: DataFrame, *, text: str = "text", key: str = DEMO_KEY, prefix: str = "pii_") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key, or the demonstration key."""
+    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
+
+
+def pseudonymise(df: DataFrame, *, key: str, text: str = "text", prefix: str = "pii_") -> DataFrame:
     """``df`` with its text replaced, and <prefix>values and <prefix>invalid (counts) in last columns."""
     at = df.columns.index(text)
     plain = df.toDF(*[f"in_{i}" for i in range(len(df.columns))])
@@ -255,6 +277,6 @@ def pseudonymise(df: DataFrame, *, text: str = "text", key: str = DEMO_KEY, pref
     return out.toDF(*df.columns, f"{prefix}values", f"{prefix}invalid")
 
 
-def pseudonymised(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", key: str = DEMO_KEY) -> DataFrame:
+def pseudonymised(df: DataFrame, *, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, pii_values, pii_invalid, for every document."""
     return pseudonymise(pick(df, doc_id=doc_id, text=text), key=key)

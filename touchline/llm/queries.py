@@ -28,7 +28,7 @@ def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the personal values in their texts replaced within their formats."""
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), key=pseudonyms.session_key(spark))
 
 
 def op4_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
