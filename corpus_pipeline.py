@@ -88,10 +88,10 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced within their formats."""
+    """Personal values replaced within their formats, under the session's key."""
     bounded_batches(spark)
     plain, at = _plain(docs)
-    new = pseudonyms.pseudonymise(plain.withColumn("body", F.col(at["text"])), text="body")
+    new = pseudonyms.pseudonymise(plain.withColumn("body", F.col(at["text"])), text="body", key=pseudonyms.session_key(spark))
     return _with_text(new, docs, at, F.col("body"), ~F.col("body").eqNullSafe(F.col(at["text"])))
 
 
