@@ -55,7 +55,7 @@ def tokenizer():
 def test_cached_tokens_are_the_tokenizers(tokenizer):
     rng = random.Random(2)
     enc = tokens.Encoder(tokens.default_vocabulary(), cache_entries=20)
-    parts = [" ", "\n", "\t", "\x1c", "　", "a", "B", "'s", "!", "1", "é", "漢", ".", "word", "words.", "<|endoftext|>"]
+    parts = [" ", "\n", "\t", "\x1c", "　", "a", "B", "'s", "!", "1", "é", "漢", ".", "word", "words.", "<|endoftext|>", "***", "$$$", "'", "_", "'ll", "né&&", "x%%%"]
     for text in ODD[1:] + ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -144,8 +144,10 @@ def test_packing(spark, docs, rows, empty, nameless, tokenizer):
     assert packing.pack(empty).count() == 0
     assert packing.pack(nameless).select("doc_id", "start").where("doc_id is null").count() > 0
     path = scratch(spark, "buckets")
-    packing.write_buckets(packing.pack(docs, longest=64), path)
-    assert spark.read.parquet(path).count() == len(got)
+    back = packing.bucketed(packing.pack(docs, longest=64), path)
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, got))
+    one = spark.read.parquet(f"{path}/length=32")
+    assert one.count() == sum(r["length"] == 32 for r in got) > 0
 
 
 def test_quality(spark, docs, rows, empty, nameless):

@@ -2,12 +2,14 @@
 
 A document of n tokens is cut into pieces whose lengths are powers of two: full pieces of
 the longest length, then one for each set bit of the rest, longest first. Pieces of one
-length form a bucket; each is a sequence of its own, so no sequence crosses documents and
+length form a bucket, a folder of its own when they are written; each is a sequence of its own, so no sequence crosses documents and
 none needs padding. Nothing is shuffled: a sequence's number is made of its bucket, its
 task and its rank there, so it is the same when a task is run again.
 
 Defined results: a null or empty text has the end id alone, one piece of length 1; rows with
-the same or a null document id are packed like any other.
+the same or a null document id are packed like any other; long texts are cut into as many
+pieces as they need; an empty table has no pieces; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -77,6 +79,10 @@ def pack(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", longest:
     return docs.mapInArrow(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write the pieces with one folder per length."""
+def bucketed(pieces: DataFrame, path: str) -> DataFrame:
+    """Write the pieces with one folder for each length, and read them back; a reader of one length opens its folder alone.
+
+    Each task writes a file for each length it has; nothing is shuffled.
+    """
     pieces.write.partitionBy("length").option("compression", "zstd").parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path).select(*pieces.columns)

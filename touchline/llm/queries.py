@@ -45,7 +45,8 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), longest=1024)
+    """Documents as pieces of power-of-two lengths, written to a folder for each length and read back."""
+    pieces = packing.bucketed(packing.pack(table(spark, sf_dir, "documents"), longest=1024), scratch(spark, "buckets"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -7,7 +7,8 @@ words. The file's end holds the start of every block, the documents' ids and len
 any range of ids can be read by decoding its blocks alone.
 
 Defined results: a null or empty text has the end id alone; rows of the same document id
-are all kept, next to each other; null document ids come first.
+are all kept, next to each other; null document ids come first; long texts span as many blocks
+as they need; an empty table writes no files; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -198,7 +199,8 @@ def write_tokens(df: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
             at = len(MAGIC)
             batch: pa.RecordBatch | None = first
             while batch is not None:
-                keys.append(batch.column(0))
+                # A copy: a slice would keep the whole batch, texts included, for as long as the file is written.
+                keys.append(batch.column(0).take(pa.array(range(batch.num_rows), pa.int64())))
                 for value in batch.column(1):
                     ids = enc.encode(value.as_py()) + end
                     lengths.append(len(ids) // 4)

@@ -18,6 +18,7 @@ from . import workers
 
 #: Pieces that a Python worker remembers, about 200 bytes each; the cache starts anew beyond it.
 CACHE_ENTRIES = 500_000
+_SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
 workers.on_change(_encoders.clear)
@@ -31,6 +32,7 @@ def _shown() -> dict[int, int]:
 
 
 _SHOWN = _shown()
+_SPACE = chr(_SHOWN[32])
 
 
 def default_vocabulary() -> str:
@@ -61,6 +63,13 @@ class _Pieces(dict):
             ids = self.encode_word(" " + piece)
         elif piece[-1:] in self.marks and piece[:-1].isalpha():  # letters and a mark are never merged
             ids = self[piece[:-1]] + self.marks[piece[-1]]
+        elif (head := piece.rstrip(_SYMBOLS)) != piece and head.isalpha():  # nor letters and a run of symbols
+            tail = piece[len(head) :]
+            if tail not in self.marks:
+                if len(self.marks) >= 10_000:
+                    self.marks.clear()
+                self.marks[tail] = self.encode(tail)
+            ids = self[head] + self.marks[tail]
         elif piece.startswith("\n"):
             rest = piece[1:]
             ids = self.newline + ((self.encode_word(rest) if rest.isalpha() else self.encode(rest)) if rest else b"")
@@ -90,7 +99,8 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of one word, with or without a space before it: one step of the model."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+        shown = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def plain_without_specials(self, text: str) -> bytes:
         """Ids of a text whose special tokens' strings count as ordinary text."""
