@@ -215,8 +215,10 @@ def test_chains_and_families_are_joined_whole(spark):
     short = [" ".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(120)]
     rows = list(enumerate(chain + family + short))
     rng.shuffle(rows)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute.components(rows)
+    want = brute.components(rows)
+    for block_rows in (jaccard_join.BLOCK_ROWS, 3):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block_rows).collect()}
+        assert got == want
 
 
 @pytest.mark.parametrize("percent", [60, 80, 90])
@@ -426,6 +428,17 @@ def test_feistel_is_a_permutation(spark):
     assert numbers.distinct().count() == 1000
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """The labels of sf0.1: three fifths of its toxic rows have a word that no other row has."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    both = toxicity.with_labels(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), labels)
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    scored = toxicity.score(both.where(~train), toxicity.fit(both.where(train))).select("label", (F.col("score") >= 0.5).alias("said")).collect()
+    hit = sum(r["said"] and r["label"] == 1 for r in scored)
+    assert hit >= 0.5 * sum(r["label"] == 1 for r in scored) and hit >= 0.95 * sum(r["said"] for r in scored)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(12)
     syllables = ["ta", "re", "lo", "mi", "son", "der", "ing"]
@@ -442,6 +455,14 @@ def test_toxicity(spark, empty):
     odd = spark.createDataFrame([(t,) for t in ODD + ["zounds " * 200_000]], "text string")
     scores = [r["score"] for r in toxicity.score(odd, model).collect()]
     assert all(0 <= s <= 1 for s in scores) and scores[0] == scores[1] and scores[-1] > 0.9
+    # One word in a long text decides, and characters outside ASCII are characters.
+    long = spark.createDataFrame([(" ".join(word() for _ in range(3000)) + " zounds blighter zounds",), (" ".join(word() for _ in range(3000)),)], "text string")
+    assert [round(r["score"]) for r in toxicity.score(long, model).collect()][1] == 0
+    grams = lambda t: len({t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)})
+    assert toxicity.features("ÄÖ漢字é").size == grams(" äö漢字é ") and toxicity.features("q" * 300_000).size == grams(" " + "q" * 20 + " ")
+    # Equal texts with both labels, ties and repeated rows train too.
+    tied = spark.createDataFrame([("same text", 1), ("same text", 0)] * 20 + [(None, 1), ("", 0), ("x", None)], "text string, label int")
+    assert 0.3 < [r["score"] for r in toxicity.score(tied.limit(1), toxicity.fit(tied)).collect()][0] < 0.7
     none = toxicity.fit(train.where("label = 0").limit(20))
     assert all(r["score"] < 0.1 for r in toxicity.score(odd, none).collect())
     assert toxicity.score(empty, toxicity.fit(train.limit(0))).count() == 0

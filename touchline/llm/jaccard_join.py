@@ -42,12 +42,14 @@ from .shingles import mixed, shingle_sets
 
 #: Seeds that a set may go through before its empty subsets count.
 SEEDS = 10
-#: Ids up to which a list is sent to every task; beyond, both sides are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which a list is sent to every task (about 40 bytes each in a hash relation: 40 MB); beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Tasks that look up one group of copies.
 SALTS = 16
 #: Members of one group that are checked by one task.
 MEMBERS_A_TASK = 128
+#: Rows of a signature group that are compared with each other in one task; larger groups are cut into blocks, and each pair of blocks is a task's.
+BLOCK_ROWS = 2048
 #: 64-bit words of the coarse sketch: parities of the shingles by hash.
 SKETCH_WORDS = 8
 
@@ -308,7 +310,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return together.mapInArrow(check, "a long, b long").distinct()
 
 
-def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of different components within one signature group that a sketch can't rule out."""
     named = labels.select(F.col("node").alias("doc_id"), "label")
     member = groups.join(named, "doc_id", "left").select("sig", "leader", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -316,22 +318,31 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
     member = member.join(first, "leader", "left").select("sig", "leader", "doc_id", "label", F.coalesce("first", "leader").alias("first"))
     mixed_sigs = member.where("label <> first").select("sig").distinct()
     member = member.join(mixed_sigs, "sig")
-    rows = member.select("sig", "doc_id", "label").unionByName(member.select("sig", F.col("leader").alias("doc_id"), F.col("first").alias("label"))).distinct()
-    rows = rows.join(sketches.select("doc_id", "n", "coarse"), "doc_id").select("sig", "label", "doc_id", "n", "coarse")
+    rows = saved(member.select("sig", "doc_id", "label").unionByName(member.select("sig", F.col("leader").alias("doc_id"), F.col("first").alias("label"))).distinct(), "apart")
+    # A large group is cut into blocks; every pair of blocks, a block with itself among them, is one piece of work.
+    blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = placed.join(sketches.select("doc_id", "n", "coarse"), "doc_id")
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "label", "doc_id", "n", "coarse")
     s = Fraction(percent, 100)
     share = float((1 - s) / (1 + s))
 
-    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        labels = np.array([r[0] for r in rows])
+    def pairs_of(key: tuple | None, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        p, q = key[1:] if key else (0, 0)
+        labels = np.array([r[1] for r in rows])
         if labels.size < 2 or (labels == labels[0]).all():
             return
-        ids, sizes = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        bits = np.array([r[3] for r in rows], np.int64)
+        sides, ids, sizes = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
+        bits = np.array([r[4] for r in rows], np.int64)
         for at in range(0, len(rows), 256):
             block = slice(at, at + 256)
             least = np.bitwise_count(bits[block, None, :] ^ bits[None, at:, :]).sum(axis=2, dtype=np.int64)
             most = share * (sizes[block, None] + sizes[None, at:]) + 1e-6
-            i, j = np.nonzero((least <= most) & (labels[block, None] != labels[None, at:]))
+            close = (least <= most) & (labels[block, None] != labels[None, at:])
+            if p != q:  # two blocks: each is compared with itself elsewhere
+                close &= sides[block, None] != sides[None, at:]
+            i, j = np.nonzero(close)
             i, j = i + at, j + at
             keep = i < j
             a, b = np.minimum(ids[i[keep]], ids[j[keep]]), np.maximum(ids[i[keep]], ids[j[keep]])
@@ -340,19 +351,19 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.turn_to("jaccard")
-        sig, rows = None, []
+        key, rows = None, []
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-                if row[0] != sig:
-                    yield from pairs_of(rows)
-                    sig, rows = row[0], []
-                rows.append(row[1:])
-        yield from pairs_of(rows)
+            for row in zip(*[batch.column(k).to_pylist() for k in range(8)]):
+                if row[:3] != key:
+                    yield from pairs_of(key, rows)
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        yield from pairs_of(key, rows)
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(search, "a long, b long").distinct()
+    return met.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "doc_id").mapInArrow(search, "a long, b long").distinct()
 
 
-def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that links reach)."""
     docs = pick(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = saved(_digest(docs), "digest")
@@ -380,7 +391,7 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent:
         if more == "stars":
             rest = _apart(stars_left.join(nearest, ["a", "b"], "left_anti"), labels)
         else:
-            rest = _plausible(_across(groups, labels, sketches, percent).join(stars, ["a", "b"], "left_anti"), sketches, percent)
+            rest = _plausible(_across(groups, labels, sketches, percent, block_rows).join(stars, ["a", "b"], "left_anti"), sketches, percent)
         rest = saved(rest, "rest")
         if not rest.isEmpty():
             edges = saved(edges.unionByName(saved(_verified(rest, nodes, percent), "links")), "links")
