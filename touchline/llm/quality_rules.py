@@ -28,7 +28,7 @@ SIGNALS = ["symbols", "mean_length", "dup_lines", "repeats"]
 #: Fences lie this many quartile distances outside the quartiles.
 REACH = 4
 #: Least distance that counts, by signal (symbols, lines and words per thousand; hundredths of a character).
-LEAST = {"symbols": 40, "mean_length": 40, "dup_lines": 100, "repeats": 50}
+LEAST = {"symbols": 20, "mean_length": 40, "dup_lines": 40, "repeats": 25}
 #: Documents that a group needs for thresholds of its own.
 MIN_ROWS = 100
 #: Copies of each threshold row, so that one source's documents spread over tasks.
