@@ -107,7 +107,7 @@ def test_fences_follow_each_source_and_every_signal_rejects(spark):
 def test_small_groups_borrow_their_languages_sketch(spark, n):
     """Below MIN_ROWS rows the group's own habit doesn't count."""
     words = lambda k, m: " ".join(f"w{k}x{j}yz" for j in range(m))
-    rows = [(k, words(k, 40), "en", "large") for k in range(400)] + [(1000 + k, words(k, 40) + " #" * (k % 30), "en", "small") for k in range(n)]
+    rows = [(k, words(k, 40), "en", "large") for k in range(400)] + [(1000 + k, words(k, 40) + "".join(f" {j}#" for j in range(k % 30)), "en", "small") for k in range(n)]
     base = quality_rules.saved(quality_rules.rated(quality_rules.signals(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))), "base")
     limits = {r["source"]: r["high_symbols"] for r in quality_rules.thresholds(base).collect()}
     assert (limits["small"] == limits["large"]) == (n < quality_rules.MIN_ROWS)
