@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fold, half_up
+from .ordered import before
 
 c = F.col
 
@@ -67,29 +68,53 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(half_up(F.corr("rx", "ry"), 6).alias("rho"))
 
 
-def input_hash(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """SHA-256 of a group's rows in order."""
+def input_hash(rows: DataFrame, key: str, day: str, order: list[str], fields: list[str]) -> DataFrame:
+    """SHA-256 over a group's days in order, each the SHA-256 of its rows in order.
+
+    A task holds the rows of one day, and then one hash for each day of a group.
+    """
     each = F.struct(*[c(x) for x in order], F.concat_ws("|", *[c(f).cast("string") for f in fields]).alias("line"))
-    return rows.groupBy(key).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda s: s["line"]), "\n"), 256).alias("hash"), F.count("*").alias("n"))
+    digest = lambda lines: F.sha2(F.array_join(lines, "\n"), 256)
+    days = rows.groupBy(key, day).agg(digest(F.transform(F.array_sort(F.collect_list(each)), lambda s: s["line"])).alias("h"), F.count("*").alias("k"))
+    return days.groupBy(key).agg(digest(F.transform(F.array_sort(F.collect_list(F.struct(day, "h"))), lambda s: s["h"])).alias("hash"), F.sum("k").alias("n"))
 
 
 def allocated(demands: DataFrame, pool: int) -> DataFrame:
-    """Grants from a pool: every floor first, then by tier and id while it lasts: (id, tier, floor_want, want)."""
-    order = Window.orderBy("tier", "id")
+    """Grants from a pool: every floor first, then by tier and id while it lasts: (id, tier, floor_want, want); ids are unique."""
     extra = F.greatest(c("want") - c("floor_want"), F.lit(0))
-    floors = F.sum("floor_want").over(Window.partitionBy())
-    before = F.coalesce(F.sum(extra).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.greatest(pool - floors - before, F.lit(0))
-    return demands.select("id", "tier", (c("floor_want") + F.least(extra, left)).cast("long").alias("granted"))
-
-
-def confident_accuracy(df: DataFrame, share: float) -> DataFrame:
-    """Accuracy of the most confident share of forecasts: (id, p, hit)."""
-    ranked = df.select("hit", F.row_number().over(Window.orderBy(F.desc("p"), "id")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.where(c("k") <= F.floor(c("n") * share)).agg(F.count("*").alias("n"), half_up(F.avg(c("hit").cast("int")), 6).alias("accuracy"))
+    wanted = demands.select("id", "tier", "floor_want", extra.alias("extra"))
+    tiers = wanted.groupBy("tier").agg(F.sum("extra").alias("e"), F.sum("floor_want").alias("f"))  # few rows
+    over = Window.partitionBy(F.lit(1)).orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
+    tiers = tiers.select(c("tier").alias("of_tier"), F.coalesce(F.sum("e").over(over), F.lit(0)).alias("tier_before"), F.sum("f").over(Window.partitionBy(F.lit(1))).alias("floors"))
+    inside = before(wanted, "id", {"extra": "extra", "floor_want": "floor_want"}, pool=("tier",))
+    left = F.greatest(pool - c("floors") - c("tier_before") - c("before_extra"), F.lit(0))
+    return inside.join(tiers, c("tier") == c("of_tier")).select("id", "tier", (c("floor_want") + F.least(c("extra"), left)).cast("long").alias("granted"))
+
+
+def confident_accuracy(df: DataFrame, shares: list[float]) -> DataFrame:
+    """Accuracy of the most confident shares of forecasts: (id, p, hit); of equal probabilities the smaller ids count first."""
+    out = None
+    n = df.count()
+    levels = before(df.withColumn("v", -c("p")), "v", {"hits": "cast(hit as int)"})
+    for share in shares:
+        most = int(n * share)
+        whole = levels.where(c("before_n") + c("n") <= most).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+        edge = levels.where((c("before_n") < most) & (c("before_n") + c("n") > most)).select((-c("v")).alias("at"), (most - c("before_n")).alias("room"))
+        tied = df.join(edge, c("p") == c("at")).select("id", "hit", "room")
+        some = before(tied, "id", {"hits": "cast(hit as int)", "room": "room"}).where(c("before_n") < c("room")).agg(F.count("*").alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+        both = whole.unionByName(some).agg(F.sum("n").cast("long").alias("n"), F.sum("hits").alias("hits"))
+        row = both.select(F.lit(share).alias("share"), "n", half_up(F.try_divide(c("hits"), c("n")), 6).alias("accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def activity(matches: DataFrame, now: int) -> DataFrame:
     """What a competition is doing on a day: live, soon, active or idle, by its nearest matches."""
     near = matches.groupBy("competition_id").agg(F.count_if(c("day") == now).alias("today"), F.count_if(c("day").between(now + 1, now + 3)).alias("soon"), F.count_if(c("day").between(now - 14, now + 14)).alias("fortnight"))
     return near.withColumn("state", F.when(c("today") > 0, "live").when(c("soon") > 0, "soon").when(c("fortnight") > 0, "active").otherwise("idle"))
+
+
+def members(rows: DataFrame, key: str, member: str, wanted: int) -> DataFrame:
+    """Keys that have a member, and how many members they have; only the rows of such keys are counted."""
+    having = rows.where(c(member) == wanted).select(key).distinct()
+    return rows.join(having, key, "left_semi").groupBy(key).agg(F.count_distinct(member).alias("n"))

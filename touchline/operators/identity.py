@@ -19,24 +19,26 @@ def near_days(a: DataFrame, b: DataFrame, keys: list[str], day_a: str, day_b: st
     return met.select(*[c(f"a.{x}") for x in a.columns], *[c(f"b.{x}") for x in b.columns if x not in keys])
 
 
-def fixture_proof(canonical: DataFrame, provider: DataFrame, least: int = 3, reach: int = 1) -> DataFrame:
-    """Match provider teams to canonical teams by their fixtures: (day, home, away) in both, teams by id or name.
+def fixture_proof(canonical: DataFrame, provider: DataFrame, keys: tuple[str, ...] = (), least: int = 3, reach: int = 1) -> DataFrame:
+    """Match provider teams to canonical teams by their fixtures: (keys, day, home, away) in both, teams by id or name.
 
-    A candidate must cover every fixture of the provider team, on the same side within ``reach``
-    days. Proven: one candidate, which proves one provider team only, with ``least`` fixtures.
+    Fixtures meet within their keys (competition and season), side and day only. A candidate must
+    cover every fixture of the provider team, on the same side within ``reach`` days. Proven: one
+    candidate, which proves one provider team only, with ``least`` fixtures.
     """
-    sides = lambda df, tag: df.select(F.posexplode(F.array("home", "away")).alias("side", f"{tag}_team"), c("day").alias(f"{tag}_day"))
+    keys = list(keys)
+    sides = lambda df, tag: df.select(*keys, F.posexplode(F.array("home", "away")).alias("side", f"{tag}_team"), c("day").alias(f"{tag}_day"))
     mine, theirs = sides(canonical, "canonical"), sides(provider, "provider")
-    total = theirs.groupBy("provider_team").agg(F.count_distinct("side", "provider_day").alias("fixtures"))
-    met = near_days(theirs, mine, ["side"], "provider_day", "canonical_day", reach)
-    cover = met.groupBy("provider_team", "canonical_team").agg(F.count_distinct("side", "provider_day").alias("covered"))
-    full = cover.join(total, "provider_team").where("covered = fixtures")
+    total = theirs.groupBy(*keys, "provider_team").agg(F.count_distinct("side", "provider_day").alias("fixtures"))
+    met = near_days(theirs, mine, [*keys, "side"], "provider_day", "canonical_day", reach)
+    cover = met.groupBy(*keys, "provider_team", "canonical_team").agg(F.count_distinct("side", "provider_day").alias("covered"))
+    full = cover.join(total, [*keys, "provider_team"]).where("covered = fixtures")
     # Taken together: how many candidates each side has.
-    full = full.withColumn("candidates", F.count("*").over(Window.partitionBy("provider_team"))).withColumn("claims", F.count("*").over(Window.partitionBy("canonical_team")))
-    one = full.groupBy("provider_team").agg(F.first("fixtures").alias("fixtures"), F.count("*").alias("candidates"), F.min("canonical_team").alias("canonical_team"), F.max("claims").alias("claims"))
-    out = total.join(one.drop("fixtures"), "provider_team", "left")
+    full = full.withColumn("claims", F.count("*").over(Window.partitionBy(*keys, "canonical_team")))
+    one = full.groupBy(*keys, "provider_team").agg(F.count("*").alias("candidates"), F.min("canonical_team").alias("canonical_team"), F.max("claims").alias("claims"))
+    out = total.join(one, [*keys, "provider_team"], "left")
     verdict = F.when(c("candidates").isNull(), "contradicted").when(c("fixtures") < least, "thin").when((c("candidates") > 1) | (c("claims") > 1), "ambiguous").otherwise("proven")
-    return out.select("provider_team", "fixtures", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.when(verdict == "proven", c("canonical_team")).alias("canonical_team"), verdict.alias("verdict"))
+    return out.select(*keys, "provider_team", "fixtures", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.when(verdict == "proven", c("canonical_team")).alias("canonical_team"), verdict.alias("verdict"))
 
 
 def minute_votes(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -61,11 +63,15 @@ def tolerant_attach(listings: DataFrame, stored: DataFrame, keys: list[str], rea
     return out.select("listing_id", F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), F.when(state == "attached", c("match_id")).alias("match_id"), state.alias("state"))
 
 
+def earlier_days(*keys: str):
+    """The rows of a key on days before a row's own."""
+    return Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+
+
 def latest_before(rows: DataFrame) -> DataFrame:
-    """As-of join of a team's matches with its latest earlier win, by a window instead of a join."""
-    before = Window.partitionBy("team_id").orderBy("day", "match_id").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.last(F.when(c("points") == 3, c("match_id")), ignorenulls=True).over(before)
-    return rows.select("match_id", "team_id", "day", won.alias("last_win"))
+    """As-of join of a team's matches with its latest win of an earlier day, by a window instead of a join."""
+    won = F.max(F.when(c("points") == 3, F.struct("day", "match_id"))).over(earlier_days("team_id"))
+    return rows.select("match_id", "team_id", "day", won["match_id"].alias("last_win"))
 
 
 def verified(computed: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,14 +86,13 @@ def verified(computed: DataFrame, source: DataFrame, keys: list[str]) -> DataFra
     return out.withColumn("verified", (c("different") == 0) & (c("repeated_ranks") == 0))
 
 
-def feeders(knockout: DataFrame) -> DataFrame:
-    """Bracket edges: for both teams of a match, the latest earlier match that the team won.
+def feeders(knockout: DataFrame, *keys: str) -> DataFrame:
+    """Bracket edges by ``keys``: for both teams of a match, the latest match of an earlier day, if the team won it.
 
     An edge holds only where both feeders are known and differ.
     """
-    sides = knockout.select("match_id", "day", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"), "winner")
-    before = Window.partitionBy("team_id").orderBy("day", "match_id").rowsBetween(Window.unboundedPreceding, -1)
-    fed = sides.withColumn("feeder", F.last(F.struct("match_id", (c("winner") == c("team_id")).alias("won"))).over(before))
+    sides = knockout.select(*keys, "match_id", "day", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"), "winner")
+    fed = sides.withColumn("feeder", F.max(F.struct("day", "match_id", (c("winner") == c("team_id")).alias("won"))).over(earlier_days(*keys, "team_id")))
     both = fed.groupBy("match_id").agg(F.count_if(F.col("feeder.won")).alias("won"), F.min("feeder.match_id").alias("feeder_a"), F.max("feeder.match_id").alias("feeder_b"))
     return both.where("won = 2 and feeder_a <> feeder_b").select("match_id", "feeder_a", "feeder_b")
 
@@ -98,20 +103,31 @@ def queue(reports: DataFrame) -> DataFrame:
 
 
 def acceptance(matches: DataFrame) -> DataFrame:
-    """Invariants of a season, one row each: check, failures, passed."""
+    """Invariants of all seasons, one row each: check, failures, passed.
+
+    Row checks are one aggregate; checks of keys count groups, each by one shuffle of its keys.
+    """
     m = matches.where("status = 'finished'")
-    per_team = m.select("competition_id", "season", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).groupBy("competition_id", "season", "team_id").agg(F.count("*").alias("n"))
-    one = lambda name, df: df.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures", (c("failures") == 0).alias("passed"))
-    checks = [
-        one("scores present", m.where("home_score is null or away_score is null")),
-        one("scores in range", m.where("home_score not between 0 and 30 or away_score not between 0 and 30")),
-        one("two different teams", m.where("home_team_id = away_team_id")),
-        one("unique ids", m.groupBy("match_id").count().where("count > 1")),
-        one("one listing per pair and day", m.groupBy("home_team_id", "away_team_id", "day").count().where("count > 1")),
-        one("balanced seasons", per_team.groupBy("competition_id", "season").agg((F.max("n") - F.min("n")).alias("spread")).where("spread > 0")),
-        one("season fits the day", m.where("season <> year(kickoff_at)")),
-    ]
-    out = checks[0]
-    for check in checks[1:]:
-        out = out.unionByName(check)
-    return out
+    bad = {
+        "scores present": "home_score is null or away_score is null",
+        "scores in range": "home_score not between 0 and 30 or away_score not between 0 and 30",
+        "two different teams": "home_team_id = away_team_id",
+        "season fits the day": "season <> year(kickoff_at)",
+        "kickoff present": "kickoff_at is null",
+        "teams present": "home_team_id is null or away_team_id is null",
+        "competition present": "competition_id is null",
+        "day fits the kickoff": "day <> datediff(cast(kickoff_at as date), date '1970-01-01')",
+    }
+    rows = m.agg(*[F.count_if(F.expr(p)).alias(k) for k, p in bad.items()], F.count("*").alias("all")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), c(k).alias("failures")) for k in bad], F.struct(F.lit("any match").alias("check"), (c("all") == 0).cast("long").alias("failures")))).alias("x")).select("x.*")
+    per_team = m.select("competition_id", "season", F.explode(F.array(F.struct(c("home_team_id").alias("t"), F.lit(1).alias("h")), F.struct(c("away_team_id").alias("t"), F.lit(0).alias("h")))).alias("s")).groupBy("competition_id", "season", "s.t").agg(F.count("*").alias("n"), F.sum("s.h").alias("home"))
+    seasons = per_team.groupBy("competition_id", "season").agg(
+        (F.max("n") > F.min("n")).cast("long").alias("balanced seasons"), (F.count("*") < 4).cast("long").alias("four teams or more"), (F.max(F.abs(2 * c("home") - c("n"))) > 1).cast("long").alias("as many matches at home as away")
+    )
+    names = ["balanced seasons", "four teams or more", "as many matches at home as away"]
+    by_season = seasons.agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in names]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), c(k).alias("failures")) for k in names])).alias("x")).select("x.*")
+    listed = m.groupBy("home_team_id", "away_team_id", "day").agg(F.count("*").alias("n")).agg(F.count_if(c("n") > 1).alias("failures")).select(F.lit("one listing per pair and day").alias("check"), "failures")
+    ids = m.groupBy("match_id").agg(F.count("*").alias("n")).agg(F.count_if(c("n") > 1).alias("failures")).select(F.lit("unique ids").alias("check"), "failures")
+    pairs = m.groupBy("competition_id", "season", "home_team_id", "away_team_id").agg(F.count("*").alias("n")).agg(F.count_if(c("n") > 1).alias("failures")).select(F.lit("one match per pair and season").alias("check"), "failures")
+    clash = per_team.groupBy("season", "t").agg(F.count("*").alias("n")).agg(F.count_if(c("n") > 1).alias("failures")).select(F.lit("one competition per team and season").alias("check"), "failures")
+    out = rows.unionByName(by_season).unionByName(listed).unionByName(ids).unionByName(pairs).unionByName(clash)
+    return out.select("check", "failures", (c("failures") == 0).alias("passed"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up, in_area, phase, ratio, third
+from .ordered import before
 
 c = F.col
 
@@ -180,9 +181,15 @@ def player_profile(events: DataFrame, played: DataFrame) -> DataFrame:
 
 def mid_rank_percentile(df: DataFrame, value: str, *pool: str, lower_is_better: bool = False) -> DataFrame:
     """(rank below + half of the equal ones) / (n - 1) in percent, rounded half up; missing values get none."""
-    known = df.where(c(value).isNotNull())
-    ranked = Window.partitionBy(*pool).orderBy(F.desc(value) if lower_is_better else F.asc(value))
-    equal, whole = Window.partitionBy(*pool, value), Window.partitionBy(*pool)
-    below = F.rank().over(ranked) - 1 + 0.5 * (F.count("*").over(equal) - 1)
-    n = F.count("*").over(whole)
-    return known.withColumn("percentile", F.floor(F.when(n > 1, below / (n - 1) * 100) + 0.5).cast("long"))
+    known = df.where(c(value).isNotNull()).withColumn("pct_v", -c(value) if lower_is_better else c(value))
+    levels = before(known, "pct_v", {}, pool=tuple(pool))
+    sizes = levels.groupBy(*pool).agg(F.sum("n").alias("pct_n"))
+    share = c("before_n") + 0.5 * (c("n") - 1)
+    places = (levels.join(sizes, list(pool)) if pool else levels.join(F.broadcast(sizes))).select(*pool, "pct_v", F.floor(F.when(c("pct_n") > 1, share / (c("pct_n") - 1) * 100) + 0.5).cast("long").alias("percentile"))
+    return known.join(places, [*pool, "pct_v"]).drop("pct_v")
+
+
+def sequences_agree(goals: DataFrame) -> DataFrame:
+    """Whether a match's goals in order add up, one by one, to the totals told with them: running scores with ``told``."""
+    step = (c("home_score") - c("home_before") + c("away_score") - c("away_before") == 1) & (c("told") == c("home_score") + c("away_score"))
+    return goals.groupBy("match_id").agg(F.count("*").alias("goals"), F.min(step).alias("consistent"))

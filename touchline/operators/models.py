@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up, poisson, wilson_low
+from .ordered import before
 
 c = F.col
 HALF_LIFE = 540.0
@@ -52,37 +53,32 @@ def rates(strengths: DataFrame) -> DataFrame:
 def markets(expected: DataFrame, rho: float = -0.1099) -> DataFrame:
     """Home, draw, away, over 2.5 and both score, from the grid of scorelines with the low-score correction.
 
-    The grid is a fixed set of expressions: no rows are made for scorelines.
+    The grid is a product of two rows but for four cells, so its sums come from one walk along both
+    rows; no rows are made for scorelines, and no expression for every cell.
     """
     h, a = c("home_rate"), c("away_rate")
-    ph = [poisson(k, h) for k in range(MOST_GOALS + 1)]
-    pa = [poisson(k, a) for k in range(MOST_GOALS + 1)]
-    staged = expected.select("*", F.array(*ph).alias("ph"), F.array(*pa).alias("pa"))
-    fix = {(0, 0): F.greatest(F.lit(0.0), 1 - h * a * rho), (0, 1): F.greatest(F.lit(0.0), 1 + h * rho), (1, 0): F.greatest(F.lit(0.0), 1 + a * rho), (1, 1): F.lit(1 - rho)}
-    cell = lambda i, j: F.get("ph", F.lit(i)) * F.get("pa", F.lit(j)) * fix.get((i, j), F.lit(1.0))
-    cells = [(i, j) for i in range(MOST_GOALS + 1) for j in range(MOST_GOALS + 1)]
-
-    def added(some: list[tuple[int, int]]) -> Column:
-        # Whole rows of the grid as one product: only the four corrected cells stand alone.
-        plain = [x for x in some if x not in fix]
-        rows = {}
-        for i, j in plain:
-            rows.setdefault(i, []).append(j)
-        total = F.lit(0.0)
-        for i, js in rows.items():
-            inner = F.lit(0.0)
-            for j in js:
-                inner = inner + F.get("pa", F.lit(j))
-            total = total + F.get("ph", F.lit(i)) * inner
-        for x in some:
-            if x in fix:
-                total = total + cell(*x)
-        return total
-
+    ph = F.array(*[poisson(k, h) for k in range(MOST_GOALS + 1)])
+    pa = F.array(*[poisson(k, a) for k in range(MOST_GOALS + 1)])
+    zero = F.lit(0.0)
+    start = F.struct(*[zero.alias(x) for x in ("home", "draw", "away", "sh", "sa")])
+
+    def walk(t: Column, k: Column) -> Column:
+        x, y = F.get("ph", k), F.get("pa", k)
+        return F.struct((t["home"] + x * t["sa"]).alias("home"), (t["draw"] + x * y).alias("draw"), (t["away"] + y * t["sh"]).alias("away"), (t["sh"] + x).alias("sh"), (t["sa"] + y).alias("sa"))
+
+    staged = expected.select("match_id", "home_rate", "away_rate", ph.alias("ph"), pa.alias("pa"))
+    staged = staged.withColumn("t", F.aggregate(F.sequence(F.lit(0), F.lit(MOST_GOALS)), start, walk))
+    p = lambda i, j: F.get("ph", F.lit(i)) * F.get("pa", F.lit(j))
+    fix = {(0, 0): F.greatest(zero, 1 - h * a * rho), (0, 1): F.greatest(zero, 1 + h * rho), (1, 0): F.greatest(zero, 1 + a * rho), (1, 1): F.lit(1 - rho)}
+    # What the correction adds to its four cells.
+    d00, d01, d10, d11 = (p(*x) * (f - 1) for x, f in fix.items())
+    low = p(0, 0) + p(0, 1) + p(1, 0) + p(1, 1) + p(0, 2) + p(2, 0)
+    staged = staged.select("*", d00.alias("d00"), d01.alias("d01"), d10.alias("d10"), d11.alias("d11"), low.alias("low"), F.get("ph", F.lit(0)).alias("h0"), F.get("pa", F.lit(0)).alias("a0"))
+    all_d = c("d00") + c("d01") + c("d10") + c("d11")
     sums = staged.select(
         "match_id", "home_rate", "away_rate",
-        added(cells).alias("whole"), added([x for x in cells if x[0] > x[1]]).alias("home"), added([x for x in cells if x[0] == x[1]]).alias("draw"), added([x for x in cells if x[0] < x[1]]).alias("away"),
-        added([x for x in cells if sum(x) > 2]).alias("over25"), added([x for x in cells if min(x) > 0]).alias("both"), added([x for x in cells if x[0] > 0]).alias("home_scores"),
+        (c("t.sh") * c("t.sa") + all_d).alias("whole"), (c("t.home") + c("d10")).alias("home"), (c("t.draw") + c("d00") + c("d11")).alias("draw"), (c("t.away") + c("d01")).alias("away"),
+        (c("t.sh") * c("t.sa") - c("low")).alias("over25"), ((c("t.sh") - c("h0")) * (c("t.sa") - c("a0")) + c("d11")).alias("both"), ((c("t.sh") - c("h0")) * c("t.sa") + c("d10") + c("d11")).alias("home_scores"),
     )
     share = lambda x: (c(x) / c("whole")).alias(x)
     return sums.select("match_id", "home_rate", "away_rate", *[share(x) for x in ("home", "draw", "away", "over25", "both", "home_scores")])
@@ -189,13 +185,9 @@ def bands(df: DataFrame, p: Column, hit: Column, edges: list[float]) -> DataFram
 
 
 def area_under_curve(df: DataFrame, score: Column, positive: Column) -> DataFrame:
-    """AUC by the rank sum; equal scores share the mean of their ranks.
-
-    Scores are counted first, so the ordered window runs over distinct scores.
-    """
-    by_score = df.select(score.alias("s"), positive.cast("long").alias("y")).groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score.select("n", "pos", (before + (c("n") + 1) / 2).alias("rank"))
+    """AUC by the rank sum; equal scores share the mean of their ranks."""
+    levels = before(df.select(score.alias("s"), positive.cast("long").alias("y")), "s", {"pos": "y"})
+    ranked = levels.select("n", "pos", (c("before_n") + (c("n") + 1) / 2).alias("rank"))
     sums = ranked.agg(F.sum("pos").alias("p"), F.sum(c("n") - c("pos")).alias("q"), F.sum(c("rank") * c("pos")).alias("r"))
     return sums.select(c("p").alias("positives"), c("q").alias("negatives"), F.try_divide(c("r") - c("p") * (c("p") + 1) / 2, c("p") * c("q")).alias("auc"))
 
@@ -228,25 +220,87 @@ def record(grades: DataFrame) -> DataFrame:
     return grades.groupingSets([[], [c("market")], [c("season")]], "market", "season").agg(n("won"), n("lost"), n("void"), half_up(F.sum(F.when(c("grade").isin("won", "lost"), c("probability"))), 4).alias("expected")).select("market", "season", "won", "lost", "void", "expected")
 
 
-def calibrated_temperature(df: DataFrame, steps: int = 25) -> float:
-    """Temperature that makes the log loss least: a golden search whose every step is one aggregate."""
+#: Calibrators of three-way forecasts: parameters (what they add to the three logits, as a function of
+#: the forecast's logits z), what they start from, and logits that are added as they are.
+_UNIT = [[1.0 if i == j else 0.0 for j in range(3)] for i in range(3)]
+CALIBRATORS = {
+    "temperature": ([lambda z: z], [1.0], None),
+    "bias": ([lambda z: [F.lit(1.0), F.lit(0.0), F.lit(0.0)], lambda z: [F.lit(0.0), F.lit(1.0), F.lit(0.0)]], [0.0, 0.0], "z"),
+    "vector": ([*[lambda z, k=k: [z[k] if j == k else F.lit(0.0) for j in range(3)] for k in range(3)], *[lambda z, k=k: [F.lit(_UNIT[k][j]) for j in range(3)] for k in range(2)]], [1.0, 1.0, 1.0, 0.0, 0.0], None),
+    "matrix": ([*[lambda z, k=k, m=m: [z[m] if j == k else F.lit(0.0) for j in range(3)] for k in range(3) for m in range(3)], *[lambda z, k=k: [F.lit(_UNIT[k][j]) for j in range(3)] for k in range(2)]], [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0, 0.0, 0.0], None),
+}
 
-    def loss(t: float) -> float:
-        powers = [F.pow(c(p), F.lit(1 / t)) for p in ("home", "draw", "away")]
-        own = F.when(c("y") == 0, powers[0]).when(c("y") == 1, powers[1]).otherwise(powers[2])
-        return df.agg(F.avg(-F.log(F.greatest(own / (powers[0] + powers[1] + powers[2]), F.lit(1e-12)))).alias("x")).first()["x"]
 
-    low, high, g = 0.3, 4.0, (5**0.5 - 1) / 2
-    a, b = high - g * (high - low), low + g * (high - low)
-    fa, fb = loss(a), loss(b)
-    for _ in range(steps):
-        if fa < fb:
-            high, b, fb = b, a, fa
-            a = high - g * (high - low)
-            fa = loss(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + g * (high - low)
-            fb = loss(b)
-    return (low + high) / 2
+def cut_off(df: DataFrame) -> DataFrame:
+    """The rows as they are now, to be read several times: a reliable checkpoint where the session has a folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
+
+def calibrated(df: DataFrame, method: str, fold: str | None = None, steps: int = 6, ridge: float = 1e-3) -> tuple[dict, DataFrame]:
+    """Fit a calibrator by Newton steps; with ``fold``, once without the rows of each of its values, for those rows.
+
+    Every step is one aggregate for all folds: the sums of first and second derivatives. Few values
+    come to the driver (folds times parameters squared). ``ridge`` pulls parameters to their start,
+    in proportion to the rows. Returns the parameters by fold (None: all rows) and the rows with
+    calibrated probabilities in cal_home, cal_draw and cal_away.
+    """
+    makers, start, offset = CALIBRATORS[method]
+    logs = [F.log(F.greatest(c(x), F.lit(1e-12))) for x in ("home", "draw", "away")]
+    based = df.select("*", *[z.alias(f"z{k}") for k, z in enumerate(logs)])
+    z = [c("z0"), c("z1"), c("z2")]
+    terms = [m(z) for m in makers]
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()] if fold else [None]
+    place = {f: k for k, f in enumerate(folds)}
+    theta = np.tile(np.array(start, float), (len(folds), 1))
+    n = len(makers)
+
+    def softmax(own: list[Column]) -> list[Column]:
+        logits = [sum((own[p] * terms[p][k] for p in range(n)), z[k] if offset else F.lit(0.0)) for k in range(3)]
+        top = F.greatest(*logits)
+        parts = [F.exp(x - top) for x in logits]
+        return [x / (parts[0] + parts[1] + parts[2]) for x in parts]
+
+    def with_parameters(rows: DataFrame, which: Column) -> DataFrame:
+        table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in theta])
+        return rows.withColumn("theta", F.get(table, which))
+
+    trained = based.withColumn("of", F.explode(F.array(*[F.lit(k) for k in range(len(folds))])))
+    if fold:
+        of = F.create_map(*[F.lit(x) for f, k in place.items() for x in (f, k)])
+        trained = trained.where(F.element_at(of, c(fold)) != c("of"))
+    for _ in range(steps):
+        q = with_parameters(trained, c("of"))
+        probabilities = softmax([F.get("theta", F.lit(p)) for p in range(n)])
+        q = q.select("*", *[x.alias(f"q{k}") for k, x in enumerate(probabilities)])
+        mean = [sum((c(f"q{k}") * terms[p][k] for k in range(3)), F.lit(0.0)) for p in range(n)]
+        told = [F.when(c("y") == 0, terms[p][0]).when(c("y") == 1, terms[p][1]).otherwise(terms[p][2]) for p in range(n)]
+        second = [(p, r) for p in range(n) for r in range(p, n)]
+        sums = q.groupBy("of").agg(
+            F.count("*").alias("n"),
+            *[F.sum(mean[p] - told[p]).alias(f"g{p}") for p in range(n)],
+            *[F.sum(sum((c(f"q{k}") * terms[p][k] * terms[r][k] for k in range(3)), F.lit(0.0)) - mean[p] * mean[r]).alias(f"h{p}_{r}") for p, r in second],
+        )
+        for row in sums.collect():
+            pull = ridge * row["n"] if n > 5 else 1e-9 * row["n"]
+            hessian = np.zeros((n, n))
+            for p, r in second:
+                hessian[p, r] = hessian[r, p] = row[f"h{p}_{r}"]
+            own = theta[row["of"]]
+            gradient = np.array([row[f"g{p}"] for p in range(n)]) + pull * (own - start)
+            theta[row["of"]] = own - np.linalg.solve(hessian + pull * np.eye(n), gradient)
+    which = F.element_at(F.create_map(*[F.lit(x) for f, k in place.items() for x in (f, k)]), c(fold)) if fold else F.lit(0)
+    out = with_parameters(based, which)
+    final = softmax([F.get("theta", F.lit(p)) for p in range(n)])
+    out = out.select(*df.columns, *[x.alias(f"cal_{name}") for x, name in zip(final, ("home", "draw", "away"))])
+    return {f: theta[k].tolist() for f, k in place.items()}, out
+
+
+def calibrator_losses(df: DataFrame, fold: str) -> DataFrame:
+    """Log loss of each calibrator, fitted without and scored on each season in turn, and of none; the best one is chosen."""
+    rows = cut_off(df)
+    loss = lambda d, names: d.agg(F.avg(-F.log(F.greatest(F.when(c("y") == 0, c(names[0])).when(c("y") == 1, c(names[1])).otherwise(c(names[2])), F.lit(1e-12)))).alias("log_loss"))
+    out = loss(rows, ("home", "draw", "away")).select(F.lit("none").alias("method"), "log_loss")
+    for method in CALIBRATORS:
+        _, scored = calibrated(rows, method, fold)
+        out = out.unionByName(loss(scored, ("cal_home", "cal_draw", "cal_away")).select(F.lit(method).alias("method"), "log_loss"))
+    return out.withColumn("chosen", c("log_loss") == F.min("log_loss").over(Window.partitionBy(F.lit(1))))

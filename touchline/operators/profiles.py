@@ -42,10 +42,19 @@ def team_load(rows: DataFrame) -> DataFrame:
 
 
 def recent_profile(rows: DataFrame, last: int = 8) -> DataFrame:
-    """Means over the last matches before each match (rows of the same day left out by the frame over days)."""
-    order = Window.partitionBy("team_id").orderBy("day", "match_id").rowsBetween(-last, -1)
-    mean = lambda x: F.avg(x).over(order)
-    return rows.select("match_id", "team_id", "is_home", F.count("*").over(order).alias("n"), mean("gf").alias("attack"), mean("ga").alias("conceded"), mean("points").alias("form"))
+    """Means over the last matches of earlier days, for each match; matches of one day don't see each other.
+
+    A team's days are rows of their own, so a frame of ``last`` days holds the last matches; of the
+    earliest of those days the later matches count.
+    """
+    days = rows.groupBy("team_id", "day").agg(F.array_sort(F.collect_list(F.struct("match_id", "is_home", "gf", "ga", "points"))).alias("own"))
+    back = Window.partitionBy("team_id").orderBy("day").rowsBetween(-last, -1)
+    seen = days.withColumn("seen", F.flatten(F.collect_list("own").over(back)))
+    seen = seen.withColumn("seen", F.slice("seen", F.greatest(F.size("seen") - last + 1, F.lit(1)), F.lit(last)))
+    n = F.size("seen").cast("long")
+    mean = lambda x: F.when(n > 0, F.aggregate("seen", F.lit(0).cast("long"), lambda a, m: a + m[x]) / n)
+    known = seen.select("team_id", "own", n.alias("n"), mean("gf").alias("attack"), mean("ga").alias("conceded"), mean("points").alias("form"))
+    return known.select("team_id", F.explode("own").alias("m"), "n", "attack", "conceded", "form").select("m.match_id", "team_id", "m.is_home", "n", "attack", "conceded", "form")
 
 
 def matchup(rows: DataFrame, least: int = 3) -> DataFrame:

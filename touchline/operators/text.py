@@ -38,24 +38,51 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda w: w != ""))
 
 
-def related(articles: DataFrame, k: int = 4, most_common: int = 50) -> DataFrame:
-    """For each article the k others that share most entities: (id, entity, weight).
+#: What a shared entity counts for, by its type; and the bonus for articles of one desk and for near days.
+ENTITY_WEIGHTS = {"Person": 60, "SportsEvent": 40, "SportsTeam": 26}
+DESK_BONUS, LEAST_SCORE = 4, 26
 
-    Entities that more than ``most_common`` articles name say little and would pair every article
-    with every other; they are left out, which is part of the definition.
+
+def related(articles: DataFrame, entities: DataFrame, k: int = 4, latest: int = 200) -> DataFrame:
+    """For each article the k of the ``latest`` published ones that are most related to it.
+
+    articles: (id, desk, day); entities: (id, type, entity). The score is the weight of all shared
+    entities, with a bonus for one desk and for days near each other; below LEAST_SCORE nothing is
+    related. Only the latest articles are offered (as in a feed), so an entity that very many
+    articles name meets at most so many others, and none is left out.
+    """
+    offered = articles.orderBy(F.desc("day"), F.desc("id")).limit(latest).select(c("id").alias("other"), c("desk").alias("other_desk"), c("day").alias("other_day"))
+    weights = F.create_map(*[F.lit(x) for kv in ENTITY_WEIGHTS.items() for x in kv])
+    named = entities.distinct().withColumn("weight", F.coalesce(F.element_at(weights, c("type")), F.lit(0)))
+    theirs = named.select(c("id").alias("other"), "type", "entity").join(F.broadcast(offered.select("other")), "other")
+    # At most ``latest`` articles' entities are on this side.
+    shared = named.join(theirs, ["type", "entity"]).where("id <> other").groupBy("id", "other").agg(F.sum("weight").alias("shared"))
+    both = shared.join(F.broadcast(offered), "other").join(articles, "id")
+    days = F.abs(c("day") - c("other_day"))
+    score = c("shared") + F.when(c("desk") == c("other_desk"), DESK_BONUS).otherwise(0) + F.when(days <= 1, 12).when(days <= 3, 9).when(days <= 7, 6).otherwise(0)
+    scored = both.select("id", "other", score.cast("long").alias("score"), "other_day").where(c("score") >= LEAST_SCORE)
+    order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("other_day"), F.desc("other"))
+    return scored.withColumn("place", F.row_number().over(order)).where(c("place") <= k).select("id", "other", "score", "place")
+
+
+#: Words of a club's name that are no part of its core name.
+CLUB_WORDS = ("fc", "sc", "cf", "afc", "ac", "club", "the")
+
+
+def alias_index(names: DataFrame, other_names: DataFrame | None = None) -> DataFrame:
+    """Aliases that name one entity only: (entity, name, short), and further names (entity, alias).
+
+    Forms: the full and the short name, the name without club words, further names, and every word
+    of four letters or more; each folded, and kept only where a single entity has it.
     """
-    common = articles.groupBy("entity").agg(F.count("*").alias("n")).where(c("n").between(2, most_common)).select("entity")
-    kept = articles.join(common, "entity")
-    a, b = kept.alias("a"), kept.alias("b")
-    scores = a.join(b, c("a.entity") == c("b.entity")).where("a.id <> b.id").groupBy(c("a.id").alias("id"), c("b.id").alias("other")).agg(F.sum(c("a.weight") * c("b.weight")).cast("long").alias("score"))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return scores.withColumn("place", F.row_number().over(order)).where(c("place") <= k)
-
-
-def alias_index(names: DataFrame) -> DataFrame:
-    """Aliases that name one entity only: the folded name, and its tokens of four letters and more."""
-    each = names.select("entity", F.explode(F.array_distinct(F.concat(F.array(fold(c("name"))), F.filter(tokens(c("name")), lambda w: F.length(w) >= 4)))).alias("alias"))
-    return each.groupBy("alias").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1").select("alias", "entity")
+    words = lambda x: F.filter(F.split(fold(x), "[^a-z0-9]+"), lambda w: w != "")
+    plain = lambda x: F.array_join(words(x), " ")
+    core = F.array_join(F.filter(words(c("name")), lambda w: ~w.isin(*CLUB_WORDS)), " ")
+    long_words = F.filter(words(c("name")), lambda w: F.length(w) >= 4)
+    each = names.select("entity", F.explode(F.array_distinct(F.concat(F.array(plain(c("name")), plain(F.coalesce("short", F.lit(""))), core), long_words))).alias("alias"))
+    if other_names is not None:
+        each = each.unionByName(other_names.select("entity", plain(c("alias")).alias("alias")))
+    return each.where("alias <> ''").groupBy("alias").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1").select("alias", "entity")
 
 
 def longest_alias(titles: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ SAME = "i.status is not distinct from m.status and i.home_score is not distinct
 
 
 def attempts(s, d):
-    return table(s, d, "lineitem").select((F.col("l_orderkey") % 500).alias("match_id"), (F.col("l_linenumber") % 3).cast("int").alias("component"), (F.col("l_quantity") >= 50).alias("complete")).where("match_id < 200")
+    return table(s, d, "lineitem").select((F.col("l_orderkey") % 500).alias("match_id"), (F.col("l_linenumber") % 3).cast("int").alias("component"), (F.col("l_quantity") >= 50).alias("complete"))
 
 
 def lanes(s, d):
@@ -47,21 +47,22 @@ def snapshots(s, d):
 
 
 def proof(s, d):
-    m = matches(s, d).where("competition_id = 1 and season = 1995")
-    mine = m.select("day", F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"))
-    theirs = m.where("match_id % 3 <> 0").select((F.col("day") + F.col("match_id") % 2).alias("day"), (F.col("home_team_id") + 100).alias("home"), (F.col("away_team_id") + 100).alias("away"))
-    return i.fixture_proof(mine, theirs)
+    keys = ["competition_id", "season"]
+    m = matches(s, d)
+    mine = m.select(*keys, "day", F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"))
+    theirs = m.where("match_id % 3 <> 0").select(*keys, (F.col("day") + F.col("match_id") % 2).alias("day"), (F.col("home_team_id") + 100).alias("home"), (F.col("away_team_id") + 100).alias("away"))
+    return i.fixture_proof(mine, theirs, ("competition_id", "season"))
 
 
-PROOF = """, season as (select * from matches where competition_id = 1 and season = 1995),
-mine as (select 0 as side, home_team_id as team, day from season union all select 1, away_team_id, day from season),
-theirs as (select 0 as side, home_team_id + 100 as team, day + match_id % 2 as day from season where match_id % 3 <> 0 union all select 1, away_team_id + 100, day + match_id % 2 from season where match_id % 3 <> 0),
-total as (select team, count(distinct (side, day)) as fixtures from theirs group by all),
-cover as (select t.team, m.team as candidate, count(distinct (t.side, t.day)) as covered from theirs t join mine m on t.side = m.side and abs(t.day - m.day) <= 1 group by all),
-full_ as (select c.team, candidate, fixtures, count(*) over (partition by candidate) as claims from cover c join total using (team) where covered = fixtures),
-one as (select team, count(*) as candidates, min(candidate) as candidate, max(claims) as claims from full_ group by all)
-select cast(team as int) as provider_team, fixtures, coalesce(candidates, 0) as candidates, case when verdict = 'proven' then candidate end as canonical_team, verdict from (select *,
-  case when candidates is null then 'contradicted' when fixtures < 3 then 'thin' when candidates > 1 or claims > 1 then 'ambiguous' else 'proven' end as verdict from total left join one using (team))"""
+PROOF = """,
+mine as (select competition_id, season, 0 as side, home_team_id as team, day from matches union all select competition_id, season, 1, away_team_id, day from matches),
+theirs as (select competition_id, season, 0 as side, home_team_id + 100 as team, day + match_id % 2 as day from matches where match_id % 3 <> 0 union all select competition_id, season, 1, away_team_id + 100, day + match_id % 2 from matches where match_id % 3 <> 0),
+total as (select competition_id, season, team, count(distinct (side, day)) as fixtures from theirs group by all),
+cover as (select competition_id, season, t.team, m.team as candidate, count(distinct (t.side, t.day)) as covered from theirs t join mine m using (competition_id, season, side) where abs(t.day - m.day) <= 1 group by all),
+full_ as (select competition_id, season, c.team, candidate, fixtures, count(*) over (partition by competition_id, season, candidate) as claims from cover c join total using (competition_id, season, team) where covered = fixtures),
+one as (select competition_id, season, team, count(*) as candidates, min(candidate) as candidate, max(claims) as claims from full_ group by all)
+select competition_id, season, cast(team as int) as provider_team, fixtures, coalesce(candidates, 0) as candidates, case when verdict = 'proven' then candidate end as canonical_team, verdict from (select *,
+  case when candidates is null then 'contradicted' when fixtures < 3 then 'thin' when candidates > 1 or claims > 1 then 'ambiguous' else 'proven' end as verdict from total left join one using (competition_id, season, team))"""
 
 
 def votes(s, d):
@@ -84,8 +85,8 @@ def standings(s, d):
 
 
 def knockout(s, d):
-    m = matches(s, d).where("status = 'finished' and season = 1996 and home_score <> away_score")
-    return i.feeders(m.withColumn("winner", F.when(F.col("home_score") > F.col("away_score"), F.col("home_team_id")).otherwise(F.col("away_team_id"))))
+    m = matches(s, d).where("status = 'finished' and home_score <> away_score")
+    return i.feeders(m.withColumn("winner", F.when(F.col("home_score") > F.col("away_score"), F.col("home_team_id")).otherwise(F.col("away_team_id"))), "season")
 
 
 def reports(s, d):
@@ -121,7 +122,7 @@ QUERIES = {
     "ing14_enrichment": (
         lambda s, d: g.enrichment(attempts(s, d)),
         """select match_id, component, attempts, status, case when status = 'pending' then cast(least(1440, 30 * pow(2.0, attempts - 1)) as bigint) end as retry_in from (select *, case when complete then 'complete' when attempts >= 8 then 'exhausted' else 'pending' end as status
-  from (select l_orderkey % 500 as match_id, cast(l_linenumber % 3 as int) as component, count(*) as attempts, bool_or(l_quantity >= 50) as complete from lineitem where l_orderkey % 500 < 200 group by all))""",
+  from (select l_orderkey % 500 as match_id, cast(l_linenumber % 3 as int) as component, count(*) as attempts, bool_or(l_quantity >= 50) as complete from lineitem group by all))""",
     ),
     "ing17_agreement": (
         lambda s, d: g.agreement(matches(s, d), incoming(s, d), "match_id", ["home_score", "away_score"]),
@@ -143,9 +144,10 @@ QUERIES = {
     "id6_queue": (reports, "select user_id as entity, arg_min(event_type, event_id) as first_reason, array_to_string(list_sort(list_distinct(list(event_type))), ',') as reasons, count(*) as reports from events group by all"),
     "id10_feeders": (
         knockout,
-        sql("""select match_id, feeder_a, feeder_b from (select match_id, count(*) filter (where won) as won, min(feeder) as feeder_a, max(feeder) as feeder_b from (
-  select match_id, lag(match_id) over w as feeder, lag(winner = team_id) over w as won from (select match_id, day, unnest([home_team_id, away_team_id]) as team_id, case when home_score > away_score then home_team_id else away_team_id end as winner
-    from matches where status = 'finished' and season = 1996 and home_score <> away_score) window w as (partition by team_id order by day, match_id)) group by all) where won = 2 and feeder_a <> feeder_b""", M),
+        sql("""select match_id, feeder_a, feeder_b from (select match_id, count(*) filter (where fed % 2 = 1) as won, min(fed // 2 % 100000000) as feeder_a, max(fed // 2 % 100000000) as feeder_b from (
+  select match_id, max((day * 100000000 + match_id) * 2 + (winner = team_id)::int) over (partition by season, team_id order by day range between unbounded preceding and 1 preceding) as fed
+    from (select match_id, season, day, unnest([home_team_id, away_team_id]) as team_id, case when home_score > away_score then home_team_id else away_team_id end as winner
+    from matches where status = 'finished' and home_score <> away_score)) group by all) where won = 2 and feeder_a <> feeder_b""", M),
     ),
     "id11_standings": (
         standings,
@@ -156,9 +158,14 @@ QUERIES = {
         lambda s, d: i.acceptance(matches(s, d)),
         sql("""select "check", failures, failures = 0 as passed from (select 'scores present' as "check", count(*) filter (where home_score is null or away_score is null) as failures from f
   union all select 'scores in range', count(*) filter (where home_score not between 0 and 30 or away_score not between 0 and 30) from f union all select 'two different teams', count(*) filter (where home_team_id = away_team_id) from f
+  union all select 'season fits the day', count(*) filter (where season <> year(kickoff_at)) from f union all select 'kickoff present', count(*) filter (where kickoff_at is null) from f union all select 'teams present', count(*) filter (where home_team_id is null or away_team_id is null) from f
+  union all select 'competition present', count(*) filter (where competition_id is null) from f union all select 'day fits the kickoff', count(*) filter (where day <> date_diff('day', date '1970-01-01', cast(kickoff_at as date))) from f union all select 'any match', cast(count(*) = 0 as bigint) from f
   union all select 'unique ids', count(*) from (select 1 from f group by match_id having count(*) > 1) union all select 'one listing per pair and day', count(*) from (select 1 from f group by home_team_id, away_team_id, day having count(*) > 1)
-  union all select 'balanced seasons', count(*) from (select competition_id, season from (select competition_id, season, team, count(*) as n from (select competition_id, season, unnest([home_team_id, away_team_id]) as team from f) group by all) group by all having max(n) > min(n))
-  union all select 'season fits the day', count(*) filter (where season <> year(kickoff_at)) from f)""", M, "\nf as (select * from matches where status = 'finished')"),
+  union all select 'one match per pair and season', count(*) from (select 1 from f group by competition_id, season, home_team_id, away_team_id having count(*) > 1)
+  union all select 'one competition per team and season', count(*) from (select 1 from t group by season, team having count(*) > 1)
+  union all select 'balanced seasons', count(*) from (select 1 from t group by competition_id, season having max(n) > min(n)) union all select 'four teams or more', count(*) from (select 1 from t group by competition_id, season having count(*) < 4)
+  union all select 'as many matches at home as away', count(*) from (select 1 from t group by competition_id, season having max(abs(2 * home - n)) > 1))""", M, "\nf as (select * from matches where status = 'finished')",
+  "\nt as (select competition_id, season, team, count(*) as n, sum(home) as home from (select competition_id, season, home_team_id as team, 1 as home from f union all select competition_id, season, away_team_id, 0 from f) group by all)"),
     ),
     "jn7_near_days": (
         lambda s, d: i.near_days(matches(s, d).where("season = 1995").select("match_id", "home_team_id", F.col("day").alias("day_a")), matches(s, d).where("season = 1995").select(F.col("match_id").alias("other_id"), "home_team_id", F.col("day").alias("day_b")), ["home_team_id"], "day_a", "day_b").where("match_id < other_id").select("match_id", "other_id", "home_team_id"),
@@ -166,7 +173,7 @@ QUERIES = {
     ),
     "jn10_latest_win_before": (
         lambda s, d: i.latest_before(r.team_match(matches(s, d))),
-        S("select match_id, team_id, day, last_value(case when points = 3 then match_id end ignore nulls) over (partition by team_id order by day, match_id rows between unbounded preceding and 1 preceding) as last_win from team_match"),
+        S("select match_id, team_id, day, max(case when points = 3 then day * 100000000 + match_id end) over (partition by team_id order by day range between unbounded preceding and 1 preceding) % 100000000 as last_win from team_match"),
     ),
     "jn12_tolerant_attach": (
         attach,

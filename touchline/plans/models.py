@@ -93,7 +93,7 @@ QUERIES = {
         S("""select market, season, count(*) filter (where grade = 'won') as won, count(*) filter (where grade = 'lost') as lost, count(*) filter (where grade = 'void') as void, floor(sum(probability) filter (where grade in ('won', 'lost')) * 1e4 + 0.5) / 1e4 as expected
   from graded group by grouping sets ((), (market), (season))"""),
     ),
-    "ml17_temperature": (lambda s, d: s.createDataFrame([(m.calibrated_temperature(judged(s, d), 8),)], "temperature double"), None),
+    "ml17_calibrators": (lambda s, d: rounded(m.calibrator_losses(judged(s, d), "season"), "log_loss"), None),
     "ml24_xt6_missed": (
         lambda s, d: matches(s, d).where("status = 'finished'").select("match_id", "competition_id").join(forecasts(s, d), "match_id", "left_anti"),
         S("select match_id, competition_id from matches where status = 'finished' and match_id not in (select match_id from forecast)"),

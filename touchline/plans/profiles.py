@@ -41,10 +41,11 @@ def groups(s, d):
 
 
 UPCOMING = 10227
-_W8 = "window w as (partition by team_id order by day, match_id rows between 8 preceding and 1 preceding)"
-RECENT = f"""
-recent as (select match_id, is_home, case when n >= 3 then attack end as attack, case when n >= 3 then conceded end as conceded, case when n >= 3 then form end as form, attack as a0, conceded as c0, form as f0 from (
-  select match_id, is_home, count(*) over w as n, avg(gf) over w as attack, avg(ga) over w as conceded, avg(points) over w as form from team_match {_W8})),
+RECENT = """
+numbered as (select *, row_number() over (partition by team_id order by day, match_id) as k from team_match),
+placed as (select *, min(k) over (partition by team_id, day) as first_k from numbered),
+recent as (select match_id, is_home, case when n >= 3 then a0 end as attack, case when n >= 3 then c0 end as conceded, case when n >= 3 then f0 end as form, a0, c0, f0 from (
+  select p.match_id, p.is_home, count(b.k) as n, avg(b.gf) as a0, avg(b.ga) as c0, avg(b.points) as f0 from placed p left join numbered b on b.team_id = p.team_id and b.k between p.first_k - 8 and p.first_k - 1 group by p.match_id, p.is_home)),
 edges as (select h.match_id, h.attack - a.attack as ea, a.conceded - h.conceded as ec, h.form - a.form as ef, h.a0 - a.a0 as xa, h.c0 - a.c0 as xc, h.f0 - a.f0 as xf from recent h join recent a on h.match_id = a.match_id and h.is_home and not a.is_home)"""
 _ROLL14 = "count(*) over (partition by team_id order by day range between 14 preceding and 1 preceding)"
 

@@ -17,7 +17,7 @@ from .models import STRENGTH, judged
 c = F.col
 NOW = 10227
 S = lambda body: sql(body, M, TM)
-NOTE = "A-C: title; D: qualified; E-Z: relegated"
+NOTE = "A-C: title; D: qualified; G-V: relegated"
 
 
 def due(s, d):
@@ -37,11 +37,10 @@ def rolling(s, d):
 
 
 def goal_sequences(s, d):
-    """Matches whose goals in order never lower a side's score and end at the counted score."""
+    """Matches whose told running totals, goal by goal, are those that the goals themselves give; some are told one goal short."""
     r = g.running_score(ledger(s, d))
-    back = Window.partitionBy("match_id").orderBy("sequence")
-    steps = r.withColumn("ok", (c("home_score") - c("home_before") + c("away_score") - c("away_before") == 1) & F.coalesce(c("home_before") == F.lag("home_score").over(back), F.lit(True)))
-    return steps.groupBy("match_id").agg(F.count("*").alias("goals"), F.min("ok").alias("consistent"))
+    told = c("home_score") + c("away_score") - F.when((c("match_id") % 13 == 0) & (c("minute") > 60), 1).otherwise(0)
+    return g.sequences_agree(r.withColumn("told", told))
 
 
 QUERIES = {
@@ -69,14 +68,14 @@ QUERIES = {
         lambda s, d: ledger(s, d).where("is_goal or is_own_goal").groupBy(x.beneficiary(c("is_own_goal"), c("team_id"), c("home_team_id"), c("away_team_id"), c("source_family")).alias("team")).agg(F.count("*").alias("n")),
         sql("select case when is_own_goal and source_family = 'wyscout_figshare' then case when team_id = home_team_id then away_team_id else home_team_id end else team_id end as team, count(*) as n from ledger where is_goal or is_own_goal group by all", M, L),
     ),
-    "fn22_search": (lambda s, d: table(s, d, "nation").where(x.names_match(c("n_name"), "AN")).select("n_nationkey", "n_name"), "select n_nationkey, n_name from nation where contains(lower(n_name), 'an')"),
+    "fn22_search": (lambda s, d: table(s, d, "nation").where(x.names_match(c("n_name"), "ION_1")).select("n_nationkey", "n_name"), "select n_nationkey, n_name from nation where contains(lower(n_name), 'ion_1')"),
     "fn23_titles": (
         lambda s, d: table(s, d, "documents").where(x.phrase_in(c("text"), F.lit("of the"))).select("doc_id"),
         "select doc_id from documents where contains(' ' || trim(regexp_replace(lower(translate(text, 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿßÆæ', 'aaaaaaceeeeiiiinooooouuuuyaaaaaaceeeeiiiinooooouuuuyysaa')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' of the ')",
     ),
     "fn24_zone_notes": (
-        lambda s, d: table(s, d, "nation").select("n_nationkey", x.zone_note(F.lit(NOTE), F.substring("n_name", 1, 1)).alias("zone")),
-        "select n_nationkey, case when n_name[1] between 'A' and 'C' then 'title' when n_name[1] = 'D' then 'qualified' else 'relegated' end as zone from nation",
+        lambda s, d: table(s, d, "nation").select("n_nationkey", x.zone_note(F.lit(NOTE), F.char(65 + c("n_nationkey"))).alias("zone")),
+        "select n_nationkey, case when n_nationkey < 3 then 'title' when n_nationkey = 3 then 'qualified' when n_nationkey between 6 and 21 then 'relegated' end as zone from nation",
     ),
     "fn34_licences": (
         lambda s, d: table(s, d, "documents").groupBy(x.licence(c("text"), c("source")).alias("licence")).agg(F.count("*").alias("n")),
@@ -105,7 +104,8 @@ QUERIES = {
     ),
     "tx12_goal_sequences": (
         goal_sequences,
-        sql("select match_id, count(*) as goals, true as consistent from ledger where is_goal or is_own_goal group by all", M, L),
+        sql("""select match_id, count(*) as goals, not bool_or(told <> so_far) as consistent from (select *, row_number() over (partition by match_id order by sequence) as so_far,
+  row_number() over (partition by match_id order by sequence) - case when match_id % 13 = 0 and minute > 60 then 1 else 0 end as told from ledger where is_goal or is_own_goal) group by all""", M, L),
     ),
     "dq3_dq6_uniqueness": (
         lambda s, d: matches(s, d).groupBy("home_team_id", "away_team_id", "day").agg(F.count("*").alias("n")).where("n > 1"),

@@ -61,9 +61,12 @@ def grounded(s, d):
     return t.ungrounded_numbers(articles(s, d), packets)
 
 
-def entities(s, d):
-    e = table(s, d, "events").where("event_id % 7 = 0")
-    return e.select(c("user_id").alias("id"), F.floor(c("value")).cast("long").alias("entity"), F.lit(1).alias("weight")).distinct()
+def articles_of_events(s, d):
+    """Articles of five events each, with a desk and a day, and what they name."""
+    e = table(s, d, "events").withColumn("id", F.floor(c("event_id") / 5))
+    meta = e.groupBy("id").agg(F.min("event_type").alias("desk"), F.max(F.datediff(c("ts").cast("date"), F.lit("2024-01-01").cast("date"))).cast("long").alias("day"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), v.cast("long").alias("entity")) for k, v in (("Person", c("user_id")), ("SportsEvent", F.floor(c("value"))), ("SportsTeam", c("user_id") % 20))])
+    return meta, e.select("id", F.explode(kinds).alias("k")).select("id", "k.*")
 
 
 def calls(s, d):
@@ -136,13 +139,23 @@ select n.id, len(n.l) as stated, len(list_filter(n.l, lambda x: not list_contain
   case when regexp_matches(text, '(?i)\b(at the end of the day|needless to say)\b') then 'filler' end, case when regexp_matches(text, '(?i)\b(idiot|moron|scum|pathetic)\b') then 'insult' end], lambda x: x is not null) as l from documents) where len(l) > 0""",
     ),
     "jn19_tk7_related": (
-        lambda s, d: t.related(entities(s, d)),
-        """with e as (select distinct user_id as id, cast(floor(value) as bigint) as entity from events where event_id % 7 = 0), k as (select entity from e group by all having count(*) between 2 and 50)
-select id, other, score, place from (select *, cast(row_number() over (partition by id order by score desc, other) as int) as place from (select a.id, b.id as other, count(*) as score from e a join e b on a.entity = b.entity and a.id <> b.id where a.entity in (from k) group by all)) where place <= 4""",
+        lambda s, d: t.related(*articles_of_events(s, d)),
+        """with ev as (select *, event_id // 5 as id from events), meta as (select id, min(event_type) as desk, max(date_diff('day', date '2024-01-01', cast(ts as date))) as day from ev group by all),
+named as (select distinct id, type, entity, weight from (select id, unnest(['Person', 'SportsEvent', 'SportsTeam']) as type, unnest([user_id, cast(floor(value) as bigint), user_id % 20]) as entity, unnest([60, 40, 26]) as weight from ev)),
+offered as (from meta order by day desc, id desc limit 200),
+shared as (select a.id, b.id as other, sum(a.weight) as shared from named a join named b using (type, entity) where b.id in (select id from offered) and a.id <> b.id group by all),
+scored as (select s.id, other, o.day as other_day, cast(shared + case when m.desk = o.desk then 4 else 0 end + case when abs(m.day - o.day) <= 1 then 12 when abs(m.day - o.day) <= 3 then 9 when abs(m.day - o.day) <= 7 then 6 else 0 end as bigint) as score
+  from shared s join offered o on other = o.id join meta m on s.id = m.id)
+select id, other, score, place from (select *, cast(row_number() over (partition by id order by score desc, other_day desc, other desc) as int) as place from scored where score >= 26) where place <= 4""",
     ),
     "id16_alias_index": (
-        lambda s, d: t.alias_index(table(s, d, "part").select(c("p_partkey").alias("entity"), c("p_name").alias("name"))),
-        """select alias, min(entity) as entity from (select distinct entity, alias from (select p_partkey as entity, lower(p_name) as alias from part union all select p_partkey, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) >= 4)) from part)) group by alias having count(*) = 1""",
+        lambda s, d: t.alias_index(
+            table(s, d, "part").select(c("p_partkey").alias("entity"), F.concat(F.lit("FC "), "p_name", F.lit(" "), "p_type", c("p_size").cast("string")).alias("name"), F.concat("p_name", F.lit("-"), c("p_size").cast("string")).alias("short")),
+            table(s, d, "part").select(c("p_partkey").alias("entity"), F.concat("p_brand", F.lit("/"), "p_name", F.lit("/"), "p_type").alias("alias")),
+        ),
+        """with w as (select p_partkey as entity, regexp_split_to_array(lower(p_name || ' ' || p_type || p_size), '[^a-z0-9]+') as words, regexp_replace(lower(p_name || '-' || p_size), '[^a-z0-9]+', ' ', 'g') as short, regexp_replace(lower(p_brand || '/' || p_name || '/' || p_type), '[^a-z0-9]+', ' ', 'g') as other from part),
+each as (select entity, 'fc ' || array_to_string(words, ' ') as alias from w union all select entity, array_to_string(words, ' ') from w union all select entity, short from w union all select entity, other from w union all select entity, unnest(list_filter(words, lambda x: length(x) >= 4)) from w)
+select alias, min(entity) as entity from each where alias <> '' group by alias having count(distinct entity) = 1""",
     ),
     "jn20_longest_alias": (
         lambda s, d: t.longest_alias(table(s, d, "pages").select(c("page_id").alias("id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title")), table(s, d, "nation").select(F.lower("n_name").alias("alias"), c("n_nationkey").alias("entity")).unionByName(s.createDataFrame([("the", 900), ("the and", 901), ("der", 902)], "alias string, entity int"))),
