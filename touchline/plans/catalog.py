@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosschecks, ingest, ledger, models, profiles, results, rules, text
+from . import assembly, crosschecks, ingest, ledger, models, profiles, results, rules, text
 
-MODULES = [results, ledger, ingest, models, text, profiles, crosschecks, rules]
+MODULES = [results, ledger, ingest, models, text, profiles, crosschecks, rules, assembly]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
