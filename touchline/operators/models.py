@@ -147,6 +147,35 @@ def rho_scores(expected: DataFrame, matches: DataFrame, grid: list[float]) -> Da
     return tried.groupBy("rho").agg(F.sum(F.log(F.greatest(tau, F.lit(1e-9)))).alias("log_likelihood"))
 
 
+def scoreline_loss(expected: DataFrame, matches: DataFrame, rho: float = -0.1099) -> DataFrame:
+    """Mean negative log probability of the scorelines that came, in the corrected grid."""
+    h, a, x, y = c("home_rate"), c("away_rate"), c("home_score"), c("away_score")
+    rows = expected.join(matches.where("status = 'finished'").select("match_id", "home_score", "away_score"), "match_id")
+    tau = F.when((x == 0) & (y == 0), F.greatest(F.lit(0.0), 1 - h * a * rho)).when((x == 0) & (y == 1), F.greatest(F.lit(0.0), 1 + h * rho)).when((x == 1) & (y == 0), F.greatest(F.lit(0.0), 1 + a * rho)).when((x == 1) & (y == 1), 1 - rho).otherwise(1.0)
+    pois = lambda n, rate: F.exp(-rate) * F.pow(rate, n.cast("double")) / F.factorial(n)
+    # The grid ends at MOST_GOALS; the four corrected cells add up to what the plain ones had, but for the clamps.
+    row = lambda rate: sum((poisson(k, rate) for k in range(MOST_GOALS + 1)), F.lit(0.0))
+    cells = {(0, 0): F.greatest(F.lit(0.0), 1 - h * a * rho), (0, 1): F.greatest(F.lit(0.0), 1 + h * rho), (1, 0): F.greatest(F.lit(0.0), 1 + a * rho), (1, 1): F.lit(1 - rho)}
+    whole = row(h) * row(a) + sum((poisson(i, h) * poisson(j, a) * (f - 1) for (i, j), f in cells.items()), F.lit(0.0))
+    p = pois(x, h) * pois(y, a) * tau / whole
+    return rows.select(F.log(F.greatest(p, F.lit(1e-12))).alias("l")).agg(F.count("*").alias("n"), F.sum("l").alias("log_likelihood"), (-F.avg("l")).alias("log_loss"))
+
+
+def leaks(rows: DataFrame) -> DataFrame:
+    """How many rows' league mean changes when earlier rows of the same day count too: the leak that the strict frames avoid."""
+    loose = Window.partitionBy("competition_id").orderBy("day", "match_id", "team_id").rowsBetween(Window.unboundedPreceding, -1)
+    strict = Window.partitionBy("competition_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    both = rows.select("competition_id", F.avg("gf").over(loose).alias("a"), F.avg("gf").over(strict).alias("b"))
+    return both.groupBy("competition_id").agg(F.count("*").alias("n"), F.count_if(~c("a").eqNullSafe(c("b"))).alias("changed"))
+
+
+def truncation_differences(build, rows: DataFrame, keys: list[str], values: list[str], day: int) -> DataFrame:
+    """Rows up to a day whose values change when all later rows are left out: none, for an operator that looks back only."""
+    whole, cut = build(rows).where(c("day") <= day), build(rows.where(c("day") <= day))
+    both = whole.select(*keys, F.struct(*values).alias("a")).join(cut.select(*keys, F.struct(*values).alias("b")), keys, "full")
+    return both.agg(F.count("*").alias("compared"), F.count_if(~c("a").eqNullSafe(c("b"))).alias("different"))
+
+
 def outcomes(probabilities: DataFrame, matches: DataFrame) -> DataFrame:
     """Forecasts with what happened: 0 home, 1 draw, 2 away."""
     y = F.when(c("home_score") > c("away_score"), 0).when(c("home_score") == c("away_score"), 1).otherwise(2)

@@ -81,18 +81,10 @@ QUERIES = {
         lambda s, d: table(s, d, "documents").groupBy(x.licence(c("text"), c("source")).alias("licence")).agg(F.count("*").alias("n")),
         r"select case when regexp_matches(lower(coalesce(text, '')), 'all rights reserved|trademark') then 'rejected' when regexp_matches(lower(coalesce(text, '')), '\bcc0\b|public domain') then 'approved' when regexp_matches(lower(coalesce(text, '')), 'cc[ -]by') and source is not null then 'approved' when regexp_matches(lower(coalesce(text, '')), '\bnc\b|\bnd\b') then 'restricted' else 'review required' end as licence, count(*) as n from documents group by all",
     ),
-    "ing7_conditional_update": (
-        lambda s, d: matches(s, d).select("match_id", F.when((c("status") == "scheduled") & (c("day") < NOW), "unknown").otherwise(c("status")).alias("status")).where("status = 'unknown'"),
-        S(f"select match_id, 'unknown' as status from matches where status = 'scheduled' and day < {NOW}"),
-    ),
     "ing15_due_retries": (
         due,
         "select match_id, array_to_string(list_sort(list_distinct(list(component))), ',') as components, count(*) as n from (select l_orderkey % 500 as match_id, l_linenumber as component from lineitem where l_partkey % 8 < 7 and l_suppkey % 60 <= 10) group by all",
     ),
-    "ing16_source_precedence": (
-        lambda s, d: matches(s, d).select("match_id", F.when(c("match_id") % 3 == 0, "owner").otherwise("observer").alias("source"), F.when(c("match_id") % 3 == 0, c("home_score")).alias("written")),
-        S("select match_id, case when match_id % 3 = 0 then 'owner' else 'observer' end as source, case when match_id % 3 = 0 then home_score end as written from matches"),
-    ),
     "so5_distinct": (lambda s, d: matches(s, d).select("competition_id", "season").distinct(), S("select distinct competition_id, season from matches")),
     "tk1_nulls_last": (
         lambda s, d: matches(s, d).orderBy(c("home_score").desc_nulls_last(), c("away_score").asc_nulls_last(), "match_id").limit(100).select("match_id", "home_score"),
