@@ -9,12 +9,17 @@ from ..functions.exprs import fold, numbers
 
 c = F.col
 
-#: Phrases that an article may not use, by rule.
+#: Phrases that an article may not use, by rule.
 BANNED: dict[str, str] = {
-    "betting": r"(?i)\b(odds|bet|betting|bookmaker|stake)\b",
-    "certainty": r"(?i)\b(guaranteed|certain to|cannot lose|sure thing)\b",
-    "filler": r"(?i)\b(at the end of the day|needless to say)\b",
-    "insult": r"(?i)\b(idiot|moron|scum|pathetic)\b",
+    "unsupported_quote": r"""(?i)[“”"]|\b(said|says|told reporters|admitted|insisted|according to)\b""",
+    "unsupported_medical": r"(?i)\b(injur\w*|hamstring|knock|fitness doubt|ruled out|sidelined|concussion|suspended|suspension)\b",
+    "unsupported_transfer": r"(?i)\b(transfer|rumou?r\w*|linked with|bid for|signing target|contract talks)\b",
+    "unsupported_market": r"(?i)\b(odds|bet(s|ting)?|wager|spread|moneyline|bookmaker|sportsbook|value pick|lock of)\b",
+    "unsupported_record": r"(?i)\b(record|first time|all-time|historic\w*|best ever|worst ever|unprecedented)\b",
+    "unsupported_mentality": r"(?i)\b(wanted it more|hungr\w*|lacked desire|mentality|bottled|choked|confiden\w*|frustrat\w*|pressure mounts)\b",
+    "unpublished_metric": r"(?i)\b(xg|expected goals|xt|expected threat|possession value|field tilt|ppda)\b",
+    "unsupported_possession": r"(?i)\bpossession\b",
+    "cliche": r"(?i)\b(game of two halves|at the end of the day|showed their class|statement win|put on a clinic)\b",
 }
 
 

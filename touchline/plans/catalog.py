@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, crosschecks, decisions, ingest, ledger, models, profiles, results, rules, text
+from . import assembly, crosschecks, decisions, desk, ingest, ledger, models, profiles, results, rules, text
 
-MODULES = [results, ledger, ingest, models, text, profiles, crosschecks, rules, assembly, decisions]
+MODULES = [results, ledger, ingest, models, text, profiles, crosschecks, rules, assembly, decisions, desk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,6 +56,12 @@ def articles(s, d):
     return table(s, d, "documents").select(c("doc_id").alias("id"), "text")
 
 
+def written(s, d):
+    """Texts with a phrase of each rule put at the end of some."""
+    ends = ["", " he Said so", " a Hamstring", " rumoured", " the odds", " HISTORICAL", " frustration", " an xG of one", " possession", " a game of two halves", " saidso unsaid"]
+    return articles(s, d).select("id", F.concat("text", F.element_at(F.array(*[F.lit(e) for e in ends]), (c("id") % 11 + 1).cast("int"))).alias("text"))
+
+
 def grounded(s, d):
     packets = articles(s, d).where("id % 2 = 0").select((c("id") + 1).alias("id"), "text").unionByName(articles(s, d).where("id % 10 = 0"))
     return t.ungrounded_numbers(articles(s, d), packets)
@@ -134,9 +140,9 @@ QUERIES = {
 select n.id, len(n.l) as stated, len(list_filter(n.l, lambda x: not list_contains(coalesce(p.l, []), x))) as missing, len(list_filter(n.l, lambda x: not list_contains(coalesce(p.l, []), x))) = 0 as passes from n left join p using (id)""",
     ),
     "fn28_tx10_phrases": (
-        lambda s, d: t.phrase_hits(articles(s, d)),
-        r"""select id, array_to_string(l, ',') as rules, len(l) as n from (select doc_id as id, list_filter([case when regexp_matches(text, '(?i)\b(odds|bet|betting|bookmaker|stake)\b') then 'betting' end, case when regexp_matches(text, '(?i)\b(guaranteed|certain to|cannot lose|sure thing)\b') then 'certainty' end,
-  case when regexp_matches(text, '(?i)\b(at the end of the day|needless to say)\b') then 'filler' end, case when regexp_matches(text, '(?i)\b(idiot|moron|scum|pathetic)\b') then 'insult' end], lambda x: x is not null) as l from documents) where len(l) > 0""",
+        lambda s, d: t.phrase_hits(written(s, d)),
+        "select id, array_to_string(l, ',') as rules, len(l) as n from (select id, list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{name}' end" for name, p in t.BANNED.items())
+        + "], lambda x: x is not null) as l from (select doc_id as id, text || list_extract(['', ' he Said so', ' a Hamstring', ' rumoured', ' the odds', ' HISTORICAL', ' frustration', ' an xG of one', ' possession', ' a game of two halves', ' saidso unsaid'], cast(doc_id % 11 + 1 as int)) as text from documents)) where len(l) > 0",
     ),
     "jn19_tk7_related": (
         lambda s, d: t.related(*articles_of_events(s, d)),
