@@ -114,3 +114,47 @@ def test_every_named_entity_is_found_longest_alias_first(spark):
     got = sorted((r["id"], r["entity"]) for r in text.longest_alias(titles, aliases).collect())
     assert got == [(1, 1), (1, 2), (2, 3), (2, 4), (3, 3), (3, 5), (3, 7)]
     assert text.longest_alias(titles, aliases.limit(0)).count() == 0
+
+
+def test_profiles_wins_and_feeders_leave_the_day_out(spark):
+    """Two matches of day 20: neither counts in the other's inputs."""
+    from touchline.operators import profiles
+
+    rows = [(1, 10, 1, 2, 5, 0), (2, 20, 1, 3, 4, 0), (3, 20, 1, 2, 2, 0), (4, 30, 1, 2, 1, 1)]
+    team = results.team_match(matches(spark, rows))
+    recent = {(r["match_id"], r["team_id"]): r for r in profiles.recent_profile(team).collect()}
+    assert recent[2, 1]["n"] == recent[3, 1]["n"] == 1 and recent[2, 1]["attack"] == recent[3, 1]["attack"] == 5.0
+    assert recent[4, 1]["n"] == 3 and recent[4, 1]["attack"] == pytest.approx(11 / 3) and recent[1, 1]["attack"] is None
+    wins = {(r["match_id"], r["team_id"]): r["last_win"] for r in identity.latest_before(team).collect()}
+    assert wins[2, 1] == wins[3, 1] == 1 and wins[4, 1] == 3 and wins[1, 1] is None
+    cup = spark.createDataFrame([(1, 10, 1, 2, 1), (2, 10, 3, 4, 3), (3, 20, 1, 5, 1), (4, 20, 1, 3, 3)], "match_id long, day long, home_team_id int, away_team_id int, winner int")
+    assert [tuple(r) for r in identity.feeders(cup).collect()] == [(4, 1, 2)]
+    eight = [(k, k, 1, 2, k, 0) for k in range(1, 13)]
+    last = {r["match_id"]: r for r in profiles.recent_profile(results.team_match(matches(spark, eight))).where("team_id = 1").collect()}
+    assert last[12]["n"] == 8 and last[12]["attack"] == sum(range(4, 12)) / 8
+
+
+def test_related_names_everyone(spark):
+    """An entity that more than 50 articles name still relates them."""
+    from touchline.operators import text as words
+
+    articles = spark.createDataFrame([(k, "d", k) for k in range(80)], "id int, desk string, day int")
+    entities = spark.createDataFrame([(k, "Person", 1) for k in range(80)], "id int, type string, entity int")
+    got = {r["id"]: [] for r in articles.collect()}
+    for r in words.related(articles, entities).collect():
+        got[r["id"]].append((r["place"], r["other"], r["score"]))
+    assert all(len(v) == 4 for v in got.values()) and sorted(got[79])[0] == (1, 78, 60 + 4 + 12)
+
+
+def test_guards_refuse(spark):
+    from touchline.operators import decisions
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, state string")
+    with pytest.raises(ValueError):
+        decisions.conditional_update(df, None, {"state": F.lit("x")})
+    with pytest.raises(ValueError):
+        decisions.conditional_update(df, F.col("id") > 0, {"other": F.lit("x")})
+    assert sorted((r["id"], r["state"], r["updated"]) for r in decisions.conditional_update(df, F.col("state") == "a", {"state": F.lit("x")}).collect()) == [(1, "x", True), (2, None, False)]
+    taken = spark.createDataFrame([("old-boys",)], "slug string")
+    names = spark.createDataFrame([(1, "Old Boys", 1900), (2, "Old Boys", 1900), (3, "New", 5), (4, "", None)], "entity int, name string, year int")
+    assert {r["entity"]: r["slug"] for r in decisions.slugs(names, taken).where("entity <> 2").collect()} == {1: "old-boys-1900", 3: "new", 4: "unnamed"}

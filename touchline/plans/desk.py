@@ -16,14 +16,19 @@ from .results import table_sql
 c = F.col
 NOW = 10227
 S = lambda body, *more: sql(body, M, TM, *more)
-q = c("match_id")
+
+
+def q():
+    return c("match_id")
+
+
 VERIFIED = "(select competition_id, season, season <> 1997 or not bool_or(team_id = 3) as verified from team_match group by competition_id, season)"
 
 
 def parts(s, d):
     state = F.element_at(F.array(*[F.lit(x) for x in ("complete", "empty", "unavailable", "not_applicable", "complete")]), (c("l_partkey") % 5 + 1).cast("int"))
     rows = table(s, d, "lineitem").select(c("l_orderkey").alias("match_id"), state.alias("status"), F.when(c("l_suppkey") % 3 == 0, c("l_suppkey")).alias("retry_at"))
-    return k.recap_ready(matches(s, d).where("status = 'finished'").select("match_id", (F.lit(10) - q % 12).alias("kickoff")), rows, 10)
+    return k.recap_ready(matches(s, d).where("status = 'finished'").select("match_id", (F.lit(10) - q() % 12).alias("kickoff")), rows, 10)
 
 
 def preview(s, d):
@@ -41,17 +46,17 @@ def named(s, d):
 
 def claimed(s, d):
     n = lambda x: x.cast("string")
-    text = F.concat(F.lit("In the last "), n(q % 7), F.lit(" league matches, scoring "), n(q % 11), F.lit(" and conceding "), n(q % 13), F.lit(". They lead the table by "), n(q % 3), F.lit(" points."))
+    text = F.concat(F.lit("In the last "), n(q() % 7), F.lit(" league matches, scoring "), n(q() % 11), F.lit(" and conceding "), n(q() % 13), F.lit(". They lead the table by "), n(q() % 3), F.lit(" points."))
     x = matches(s, d)
-    told = x.select(q.alias("id"), (q % 7).alias("matches"), (q % 11 + (q % 17 == 0).cast("int")).alias("goals_for"), (q % 13).alias("goals_against"), F.lit(None).cast("long").alias("run"), F.when(q % 5 != 0, q % 3).alias("gap"))
-    return k.wrong_claims(x.select(q.alias("id"), text.alias("text")), told)
+    told = x.select(q().alias("id"), (q() % 7).alias("matches"), (q() % 11 + (q() % 17 == 0).cast("int")).alias("goals_for"), (q() % 13).alias("goals_against"), F.lit(None).cast("long").alias("run"), F.when(q() % 5 != 0, q() % 3).alias("gap"))
+    return k.wrong_claims(x.select(q().alias("id"), text.alias("text")), told)
 
 
 def formed(s, d):
     h, a = c("home_score").cast("string"), c("away_score").cast("string")
     x = matches(s, d).where("status = 'finished'")
-    head = F.concat(F.lit("Team wins "), F.when(q % 6 == 0, F.concat_ws("-", a, h)).when(q % 7 == 0, F.lit("")).otherwise(F.concat_ws("-", h, a)), F.when(q % 4 != 0, F.lit(" in the late match")).otherwise(F.lit("")))
-    return k.article_checks(x.select(q.alias("id"), head.alias("headline"), F.when(q % 9 == 0, F.lit("shots: undefined")).otherwise(F.lit("nullable")).alias("text"), (q % 5).alias("paragraphs"), "home_score", "away_score", (c("home_score") + c("away_score") - (q % 8 == 0).cast("int")).alias("goals")))
+    head = F.concat(F.lit("Team wins "), F.when(q() % 6 == 0, F.concat_ws("-", a, h)).when(q() % 7 == 0, F.lit("")).otherwise(F.concat_ws("-", h, a)), F.when(q() % 4 != 0, F.lit(" in the late match")).otherwise(F.lit("")))
+    return k.article_checks(x.select(q().alias("id"), head.alias("headline"), F.when(q() % 9 == 0, F.lit("shots: undefined")).otherwise(F.lit("nullable")).alias("text"), (q() % 5).alias("paragraphs"), "home_score", "away_score", (c("home_score") + c("away_score") - (q() % 8 == 0).cast("int")).alias("goals")))
 
 
 def charts(s, d):
@@ -62,7 +67,7 @@ def charts(s, d):
 
 def desk_rows(s, d):
     state = F.when(c("status") == "finished", "published").when(c("status") == "scheduled", "held").otherwise("draft")
-    return matches(s, d).select(q.alias("id"), c("competition_id").alias("desk"), state.alias("status"), "day")
+    return matches(s, d).select(q().alias("id"), c("competition_id").alias("desk"), state.alias("status"), "day")
 
 
 def media(s, d):
@@ -86,7 +91,7 @@ def rosters(s, d):
     one = F.struct((c("first") <= 3).alias("starter"), (c("player_id") % 99).cast("string").alias("jersey"), (c("first") > 3).alias("subbedIn"), F.struct(F.when(c("player_id") % 41 != 0, c("player_id").cast("string")).alias("id"), F.concat(F.lit("P"), c("player_id").cast("string")).alias("displayName")).alias("athlete"), F.array(F.struct(F.lit("totalGoals").alias("name"), c("goals").cast("double").alias("value"))).alias("stats"))
     sides = e.groupBy("match_id", "team_id").agg(F.collect_list(one).alias("roster"))
     files = sides.groupBy("match_id").agg(F.to_json(F.struct(F.collect_list(F.struct(F.lit("home").alias("homeAway"), F.struct(c("team_id").cast("string").alias("id")).alias("team"), "roster")).alias("rosters"))).alias("body"))
-    return k.roster_rows(files.unionByName(files.limit(1).select((-q).alias("match_id"), F.lit("{broken").alias("body"))))
+    return k.roster_rows(files.unionByName(files.limit(1).select((-q()).alias("match_id"), F.lit("{broken").alias("body"))))
 
 
 def entries(s, d):
@@ -144,7 +149,7 @@ QUERIES = {
         sql("select match_id, sequence, floor((case when team_id = home_team_id then x_m else 105.0 - x_m end) * 10 + 0.5) / 10 as x, floor((case when team_id = home_team_id then y_m else 68.0 - y_m end) * 10 + 0.5) / 10 as y, case when is_goal then 'goal' when outcome = 'success' then 'saved' else 'off' end as result from ledger where event_type = 'shot' and x_m is not null", M, L),
     ),
     "tx15_feed": (
-        lambda s, d: k.feed(desk_rows(s, d), ledger(s, d).select(q.alias("id"), c("player_id").alias("entity")), 7),
+        lambda s, d: k.feed(desk_rows(s, d), ledger(s, d).select(q().alias("id"), c("player_id").alias("entity")), 7),
         sql("select match_id as id, day from matches where status = 'finished' and match_id in (select match_id from ledger where player_id = 7) order by day desc, match_id desc limit 20", M, L),
     ),
     "tx17_desk_health": (
@@ -157,7 +162,7 @@ QUERIES = {
         "select l_orderkey as id, cast(l_linenumber as varchar) as locale, case when o_orderkey % 31 = 0 then 'orphan' when l_partkey % 5 <> o_custkey % 5 then 'outdated' when l_suppkey % 4 = 0 then 'unverified' else 'current' end as state from lineitem join orders on l_orderkey = o_orderkey",
     ),
     "xt10_secondary_view": (
-        lambda s, d: k.secondary_view(matches(s, d).select("match_id", "status", "home_score", "away_score"), matches(s, d).where("match_id % 3 = 0").select("match_id", F.lit("live").alias("e_status"), (q % 4).cast("int").alias("e_home"), (q % 2).cast("int").alias("e_away"), (F.lit(100) - q % 9).alias("observed_at")), 100),
+        lambda s, d: k.secondary_view(matches(s, d).select("match_id", "status", "home_score", "away_score"), matches(s, d).where("match_id % 3 = 0").select("match_id", F.lit("live").alias("e_status"), (q() % 4).cast("int").alias("e_home"), (q() % 2).cast("int").alias("e_away"), (F.lit(100) - q() % 9).alias("observed_at")), 100),
         S("select match_id, case when new then 'live' else status end as status, case when new then cast(match_id % 4 as int) else home_score end as home_score, case when new then cast(match_id % 2 as int) else away_score end as away_score, case when new then 'enrichment' else 'canonical' end as source from (select *, match_id % 3 = 0 and match_id % 9 <= 5 and status <> 'finished' as new from matches)"),
     ),
     "xt12_video_feed": (
@@ -226,7 +231,7 @@ v as (select *, min(t) over (partition by match_id, run) as since from u) select
         S("select season, day // 7 as matchday, count(*) as token from matches group by all having count(*) filter (where match_id % 50 = 0) > 0"),
     ),
     "str15_late_rules": (
-        lambda s, d: k.late_rules(matches(s, d).select((q + 5).alias("pick_id"), "match_id", (c("day") * 24).alias("kickoff")), matches(s, d).where("match_id % 29 <> 0").select("match_id", "status", (c("day") * 24 + q % 60).alias("starts")), NOW * 24 + 4),
+        lambda s, d: k.late_rules(matches(s, d).select((q() + 5).alias("pick_id"), "match_id", (c("day") * 24).alias("kickoff")), matches(s, d).where("match_id % 29 <> 0").select("match_id", "status", (c("day") * 24 + q() % 60).alias("starts")), NOW * 24 + 4),
         S(f"""select match_id + 5 as pick_id, match_id, case when match_id % 29 = 0 then 'unknown' when match_id % 60 > 48 then 'void' when status = 'finished' then 'settle' else 'pending' end as state, match_id % 29 <> 0 and status = 'finished' and {NOW * 24 + 4} - (day * 24 + match_id % 60) between 0 and 8 as recap_due from matches"""),
     ),
     "src10_rosters": (
