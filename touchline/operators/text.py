@@ -125,6 +125,91 @@ def cost_report(calls: DataFrame, usd_in: float = 2.5, usd_out: float = 10.0) ->
     return sums.agg(F.count("*").alias("calls"), F.sum(c("tokens_in") + c("tokens_out")).cast("long").alias("tokens"), (F.floor(F.sum("usd") * 1e6 + 0.5) / 1e6).alias("usd")).select("trigger", "lane", "model", "calls", "tokens", "usd")
 
 
+#: What each angle of a result weighs; from PUBLISH on it is worth a story.
+ANGLES = {
+    "leader_change": 1.2,
+    "title_race_swing": 1.0,
+    "top4_entry_exit": 0.8,
+    "relegation_zone_move": 0.8,
+    "upset": 1.0,
+    "comeback_from_ht": 1.0,
+    "multi_goal_scorer": 0.6,
+    "winning_streak": 1.0,
+    "unbeaten_run_ended": 1.0,
+    "high_scoring": 0.6,
+    "heavy_margin": 0.6,
+}
+PUBLISH = 1.0
+
+
+def materiality(finished: DataFrame, rows: DataFrame, scorers: DataFrame) -> DataFrame:
+    """Angles of every finished match and whether they are worth a story.
+
+    finished: matches with home_score_ht and away_score_ht (may be null); rows: their team rows; scorers:
+    (match_id, player_id, goals). The tables before and after a match are those of its season's earlier
+    days, so a match meets each team of its season once: the interval of days in which a team's totals
+    hold is found by a join on the season.
+    """
+    key = ["competition_id", "season"]
+    by_day = rows.groupBy(*key, "team_id", "day").agg(F.sum("points").alias("p"), F.sum(c("gf") - c("ga")).alias("d"), F.sum("gf").alias("g"), F.count("*").alias("n"))
+    team = Window.partitionBy(*key, "team_id").orderBy("day")
+    upto = team.rowsBetween(Window.unboundedPreceding, 0)
+    totals = by_day.select(*key, "team_id", c("day").alias("since"), F.lead("day").over(team).alias("until"), *[F.sum(x).over(upto).alias(x) for x in "pdgn"])
+    games = finished.select(*key, "match_id", "day", "home_team_id", "away_team_id", "home_score", "away_score", "home_score_ht", "away_score_ht")
+    known = games.join(totals, key).where((c("day") > c("since")) & (c("until").isNull() | (c("day") <= c("until")))).drop("since", "until")
+    sides = games.withColumn("team_id", F.explode(F.array("home_team_id", "away_team_id")))
+    fresh = sides.join(known.select("match_id", "team_id"), ["match_id", "team_id"], "left_anti").select("*", *[F.lit(0).cast("long").alias(x) for x in "pdgn"])
+    every = known.unionByName(fresh.select(known.columns))
+    home, away = c("team_id") == c("home_team_id"), c("team_id") == c("away_team_id")
+    margin = F.when(home, c("home_score") - c("away_score")).when(away, c("away_score") - c("home_score"))
+    points = F.when(margin > 0, 3).when(margin == 0, 1).otherwise(0)
+    after = every.select("*", (c("p") + points).alias("p2"), (c("d") + F.coalesce(margin, F.lit(0))).alias("d2"), (c("g") + F.when(home, c("home_score")).when(away, c("away_score")).otherwise(0)).alias("g2"))
+    own = Window.partitionBy("match_id")
+    place = lambda *x: F.row_number().over(own.orderBy(*[F.desc(v) for v in x], "team_id"))
+    placed = after.select("*", F.when(c("n") > 0, place(F.expr("n > 0"), c("p"), c("d"), c("g"))).alias("b"), place(c("p2"), c("d2"), c("g2")).alias("a"))
+    at = lambda pos, k, x: F.max(F.when(c(pos) == k, c(x)))
+    side = lambda s, x: F.max(F.when(c("team_id") == c(f"{s}_team_id"), c(x)))
+    tables = placed.groupBy("match_id").agg(
+        F.count("*").alias("teams"),
+        *[at(pos, k, x).alias(f"{name}{k}_{pos}") for pos, pts in (("b", "p"), ("a", "p2")) for k in (1, 2) for name, x in (("team", "team_id"), ("points", pts))],
+        *[side(s, x).alias(f"{s}_{x}") for s in ("home", "away") for x in ("b", "a", "n")],
+    )
+    ever = Window.partitionBy(*key, "team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key, "team_id").orderBy("day", "match_id")))
+    run = lambda broken: F.count("*").over(ever) - F.coalesce(F.max(F.when(broken, c("k"))).over(ever), F.lit(0))
+    runs = numbered.select("match_id", "team_id", run(c("points") < 3).alias("wins"), run(c("points") == 0).alias("unbeaten"))
+    winner = F.when(c("home_score") > c("away_score"), c("home_team_id")).when(c("home_score") < c("away_score"), c("away_team_id"))
+    loser = F.when(c("home_score") > c("away_score"), c("away_team_id")).when(c("home_score") < c("away_score"), c("home_team_id"))
+    many = scorers.where("goals >= 2").groupBy("match_id").agg(F.array_sort(F.collect_list("goals")).alias("many"))
+    m = games.select("*", winner.alias("winner"), loser.alias("loser")).join(tables, "match_id").join(many, "match_id", "left")
+    m = m.join(runs.select("match_id", c("team_id").alias("winner"), "wins"), ["match_id", "winner"], "left").join(runs.select("match_id", c("team_id").alias("loser"), "unbeaten"), ["match_id", "loser"], "left")
+    md = F.greatest("home_n", "away_n") + 1
+    either = lambda t: (c(t) == c("home_team_id")) | (c(t) == c("away_team_id"))
+    within = lambda x, low, high: (c(x) >= low) & (c(x) <= high)
+    moved = lambda s, low, high: c(f"{s}_b").isNotNull() & (md >= 5) & (within(f"{s}_b", low, high) != within(f"{s}_a", low, high))
+    win_b, lose_b = (F.when(c("winner") == c("home_team_id"), c(f"{x}_b")).when(c("winner") == c("away_team_id"), c(f"{y}_b")) for x, y in (("home", "away"), ("away", "home")))
+    half = F.when(c("winner") == c("home_team_id"), c("home_score_ht") - c("away_score_ht")).when(c("winner") == c("away_team_id"), c("away_score_ht") - c("home_score_ht"))
+    low4 = c("teams") - 2
+    rules = [
+        ("leader_change", c("team1_b").isNotNull() & (c("team1_b") != c("team1_a")) & either("team1_a") & (md >= 3)),
+        ("title_race_swing", (md >= 10) & c("team2_b").isNotNull() & (either("team1_b") | either("team2_b") | either("team1_a") | either("team2_a")) & (F.abs((c("points1_a") - c("points2_a")) - (c("points1_b") - c("points2_b"))) >= 3)),
+        *[("top4_entry_exit", moved(s, 1, 4)) for s in ("home", "away")],
+        *[("relegation_zone_move", moved(s, low4, c("teams"))) for s in ("home", "away")],
+        ("upset", (md > 5) & (win_b - lose_b >= 8)),
+        ("comeback_from_ht", half < 0),
+        ("winning_streak", c("wins") + 1 >= 5),
+        ("unbeaten_run_ended", c("unbeaten") >= 8),
+        ("high_scoring", c("home_score") + c("away_score") >= 6),
+        ("heavy_margin", F.abs(c("home_score") - c("away_score")) >= 4),
+    ]
+    angle = lambda name, weight: F.struct(F.lit(name).alias("angle"), weight.alias("weight"))
+    plain = F.filter(F.array(*[F.when(rule, angle(name, F.lit(ANGLES[name]))) for name, rule in rules]), lambda x: x.isNotNull())
+    scoring = F.transform(F.coalesce("many", F.array().cast("array<bigint>")), lambda n: angle("multi_goal_scorer", F.when(n >= 3, 1.2).otherwise(ANGLES["multi_goal_scorer"])))
+    found = m.select("match_id", F.concat(plain, scoring).alias("angles"))
+    score = F.floor(F.aggregate("angles", F.lit(0.0), lambda t, x: t + x["weight"]) * 100 + 0.5) / 100
+    return found.select("match_id", F.array_join(F.transform("angles", lambda x: x["angle"]), ",").alias("angles"), score.alias("score"), (score >= PUBLISH).alias("material"))
+
+
 def stories(runs: DataFrame, forms: DataFrame, least_run: int = 3) -> DataFrame:
     """Angles of each team with their weights, and whether their sum is worth a story."""
     angles = F.filter(
@@ -137,5 +222,5 @@ def stories(runs: DataFrame, forms: DataFrame, least_run: int = 3) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     each = runs.join(forms, "team_id").select("team_id", angles.alias("angles"))
-    weight = F.aggregate("angles", F.lit(0.0), lambda a, x: a + x["weight"])
+    weight = F.floor(F.aggregate("angles", F.lit(0.0), lambda a, x: a + x["weight"]) * 100 + 0.5) / 100
     return each.select("team_id", F.array_join(F.transform("angles", lambda x: x["angle"]), ",").alias("angles"), weight.alias("weight"), (weight >= 1.0).alias("material"))

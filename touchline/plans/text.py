@@ -79,6 +79,29 @@ def calls(s, d):
     return table(s, d, "events").select(c("event_type").alias("trigger"), (c("user_id") % 3).cast("string").alias("lane"), (c("user_id") % 2).cast("string").alias("model"), F.floor(c("value")).cast("long").alias("tokens_in"), F.floor(c("value") * 2).cast("long").alias("tokens_out"))
 
 
+def material(s, d):
+    """All finished matches, with half-time scores made of their ids and scorers of the ledger."""
+    m = matches(s, d).where("status = 'finished'")
+    half = m.withColumn("home_score_ht", F.when(c("match_id") % 3 == 0, F.lit(0))).withColumn("away_score_ht", F.when(c("match_id") % 3 == 0, F.least(F.lit(1), c("away_score"))))
+    scorers = ledger(s, d).where("is_goal").groupBy("match_id", "player_id").agg(F.count("*").alias("goals"))
+    return t.materiality(half, r.team_match(matches(s, d)), scorers)
+
+
+MATERIAL = """
+dayrows as (select competition_id, season, team_id, day, sum(points) as p, sum(gf - ga) as d, sum(gf) as g, count(*) as n from team_match group by all),
+totals as (select competition_id, season, team_id, day as since, lead(day) over w as until, sum(p) over u as p, sum(d) over u as d, sum(g) over u as g, sum(n) over u as n from dayrows window w as (partition by competition_id, season, team_id order by day), u as (partition by competition_id, season, team_id order by day rows unbounded preceding)),
+games as (select match_id, competition_id, season, day, home_team_id as h, away_team_id as w, home_score as hs, away_score as ws, case when match_id % 3 = 0 then 0 end as hht, case when match_id % 3 = 0 then least(1, away_score) end as wht from matches where status = 'finished'),
+known as (select match_id, h, w, hs, ws, team_id, p, d, g, n from games join totals using (competition_id, season) where day > since and (until is null or day <= until)),
+every_ as (select * from known union all select match_id, h, w, hs, ws, team, 0, 0, 0, 0 from (select *, unnest([h, w]) as team from games) x where not exists (select 1 from known k where k.match_id = x.match_id and k.team_id = team)),
+after_ as (select *, case when team_id = h then hs - ws when team_id = w then ws - hs end as dm from every_),
+placed as (select *, p + case when dm > 0 then 3 when dm = 0 then 1 else 0 end as p2, case when n > 0 then row_number() over (partition by match_id order by n > 0 desc, p desc, d desc, g desc, team_id) end as b,
+  row_number() over (partition by match_id order by p + case when dm > 0 then 3 when dm = 0 then 1 else 0 end desc, d + coalesce(dm, 0) desc, g + case when team_id = h then hs when team_id = w then ws else 0 end desc, team_id) as a from after_),
+tables as (select match_id, count(*) as teams, max(team_id) filter (where b = 1) as t1b, max(team_id) filter (where b = 2) as t2b, max(team_id) filter (where a = 1) as t1a, max(team_id) filter (where a = 2) as t2a, max(p) filter (where b = 1) as p1b, max(p) filter (where b = 2) as p2b, max(p2) filter (where a = 1) as p1a, max(p2) filter (where a = 2) as p2a,
+  max(b) filter (where team_id = h) as hb, max(a) filter (where team_id = h) as ha, max(n) filter (where team_id = h) as hn, max(b) filter (where team_id = w) as wb, max(a) filter (where team_id = w) as wa, max(n) filter (where team_id = w) as wn from placed group by all),
+numbered as (select *, row_number() over (partition by competition_id, season, team_id order by day, match_id) as k from team_match),
+runs as (select match_id, team_id, count(*) over e - coalesce(max(case when points < 3 then k end) over e, 0) as wins, count(*) over e - coalesce(max(case when points = 0 then k end) over e, 0) as unb from numbered window e as (partition by competition_id, season, team_id order by day range between unbounded preceding and 1 preceding)),
+scored as (select match_id, list_sort(list(goals)) as many from (select match_id, player_id, count(*) as goals from ledger where is_goal group by all) where goals >= 2 group by all),
+whole as (select g.*, t.* exclude (match_id), greatest(hn, wn) + 1 as md, many, x.wins as hwins, y.wins as wwins, x.unb as hunb, y.unb as wunb from games g join tables t using (match_id) left join scored using (match_id) left join runs x on x.match_id = g.match_id and x.team_id = h left join runs y on y.match_id = g.match_id and y.team_id = w)"""
 RULES = {"positive quantity": "l_quantity > 0", "discount range": "l_discount between 0 and 0.05", "known flag": "l_returnflag in ('A', 'N', 'R')", "line number": "l_linenumber between 1 and 6", "tax": "l_tax <= 0.08"}
 AT = "2024-01-15 00:00:00"
 
@@ -174,9 +197,22 @@ select alias, min(entity) as entity from each where alias <> '' group by alias h
         """select trigger, lane, model, count(*) as calls, cast(sum(i + o) as bigint) as tokens, floor(sum((i * 2.5e0 + o * 10.0e0) / 1e6) * 1e6 + 0.5) / 1e6 as usd from (select event_type as trigger, cast(user_id % 3 as varchar) as lane, cast(user_id % 2 as varchar) as model,
   cast(floor(value) as bigint) as i, cast(floor(value * 2) as bigint) as o from events) group by grouping sets ((), (trigger), (lane), (model))""",
     ),
-    "tx1_tx3_stories": (
+    "tx1_materiality": (
+        material,
+        sql("""select match_id, array_to_string(list_concat(l, [x for x in list_transform(coalesce(many, []), lambda n: 'multi_goal_scorer')]), ',') as angles, score, score >= 1.0 as material from (select *, floor((list_sum(list_concat([0.0e0], list_transform(l, lambda x: case x when 'leader_change' then 1.2e0 when 'top4_entry_exit' then 0.8e0 when 'relegation_zone_move' then 0.8e0 when 'high_scoring' then 0.6e0 when 'heavy_margin' then 0.6e0 else 1.0e0 end),
+  list_transform(coalesce(many, []), lambda n: case when n >= 3 then 1.2e0 else 0.6e0 end)))) * 100 + 0.5) / 100 as score from (select match_id, many, list_filter([case when t1b is not null and t1b <> t1a and t1a in (h, w) and md >= 3 then 'leader_change' end,
+  case when md >= 10 and t2b is not null and (t1b in (h, w) or t2b in (h, w) or t1a in (h, w) or t2a in (h, w)) and abs((p1a - p2a) - (p1b - p2b)) >= 3 then 'title_race_swing' end,
+  case when hb is not null and md >= 5 and (hb <= 4) <> (ha <= 4) then 'top4_entry_exit' end, case when wb is not null and md >= 5 and (wb <= 4) <> (wa <= 4) then 'top4_entry_exit' end,
+  case when hb is not null and md >= 5 and (hb between teams - 2 and teams) <> (ha between teams - 2 and teams) then 'relegation_zone_move' end, case when wb is not null and md >= 5 and (wb between teams - 2 and teams) <> (wa between teams - 2 and teams) then 'relegation_zone_move' end,
+  case when md > 5 and case when hs > ws then hb - wb when hs < ws then wb - hb end >= 8 then 'upset' end, case when case when hs > ws then hht - wht when hs < ws then wht - hht end < 0 then 'comeback_from_ht' end,
+  case when case when hs > ws then hwins when hs < ws then wwins end + 1 >= 5 then 'winning_streak' end, case when case when hs > ws then wunb when hs < ws then hunb end >= 8 then 'unbeaten_run_ended' end,
+  case when hs + ws >= 6 then 'high_scoring' end, case when abs(hs - ws) >= 4 then 'heavy_margin' end], lambda x: x is not null) as l from whole))""".replace("[x for x in list_transform(coalesce(many, []), lambda n: 'multi_goal_scorer')]", "list_transform(coalesce(many, []), lambda n: 'multi_goal_scorer')"), M, TM, L, MATERIAL),
+    ),
+    "tx3_stories": (
         lambda s, d: t.stories(r.trailing_runs(r.team_match(matches(s, d)), "team_id"), r.form(r.team_match(matches(s, d)), keys=("team_id",))),
-        None,
+        S("""select team_id, array_to_string(l, ',') as angles, floor((list_sum(list_concat([0.0e0], list_transform(l, lambda x: case x when 'winning run' then 1.0e0 when 'losing run' then 0.8e0 when 'unbeaten run' then 0.7e0 else 0.4e0 end)))) * 100 + 0.5) / 100 as weight, list_sum(list_concat([0.0e0], list_transform(l, lambda x: case x when 'winning run' then 1.0e0 when 'losing run' then 0.8e0 when 'unbeaten run' then 0.7e0 else 0.4e0 end))) >= 1.0 as material from (
+  select team_id, list_filter([case when winning >= 3 then 'winning run' end, case when losing >= 3 then 'losing run' end, case when unbeaten >= 6 and winning < 3 then 'unbeaten run' end, case when regexp_matches(form, '^W.*L$') then 'turnaround' end], lambda x: x is not null) as l from (select team_id, coalesce(min(k) filter (where points < 3) - 1, max(k)) as winning, coalesce(min(k) filter (where points = 0) - 1, max(k)) as unbeaten,
+  coalesce(min(k) filter (where points > 0) - 1, max(k)) as losing, string_agg(case points when 3 then 'W' when 1 then 'D' else 'L' end, '' order by k) filter (where k <= 5) as form from (select *, row_number() over (partition by team_id order by day desc, match_id desc) as k from team_match) group by all))"""),
     ),
     "dq1_violations": (
         lambda s, d: q.violations(table(s, d, "lineitem"), "l_orderkey", RULES).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")),
