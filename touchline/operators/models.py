@@ -147,6 +147,13 @@ def rho_scores(expected: DataFrame, matches: DataFrame, grid: list[float]) -> Da
     return tried.groupBy("rho").agg(F.sum(F.log(F.greatest(tau, F.lit(1e-9)))).alias("log_likelihood"))
 
 
+def fitted_rho(expected: DataFrame, matches: DataFrame, low: float = -0.2, step: float = 0.0025, steps: int = 100) -> DataFrame:
+    """The correction of greatest likelihood: on a coarse grid, then on a fine one around its best. Each grid is one aggregate."""
+    best = lambda grid: rho_scores(expected, matches, grid).agg(F.max_by("rho", "log_likelihood").alias("rho"), F.max("log_likelihood").alias("log_likelihood"))
+    coarse = best([low + step * k for k in range(steps + 1)]).first()["rho"]
+    return best([coarse + (k - 25) * (step / 25) for k in range(51)] if coarse is not None else [0.0])
+
+
 def scoreline_loss(expected: DataFrame, matches: DataFrame, rho: float = -0.1099) -> DataFrame:
     """Mean negative log probability of the scorelines that came, in the corrected grid."""
     h, a, x, y = c("home_rate"), c("away_rate"), c("home_score"), c("away_score")

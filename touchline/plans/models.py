@@ -51,6 +51,7 @@ picked as (select match_id, market, probability from (select *, row_number() ove
 graded as (select match_id, season, market, probability, case when status = 'postponed' then 'void' when status <> 'finished' then 'pending' when case market when 'home' then home_score > away_score when 'away' then away_score > home_score
   when 'over25' then home_score + away_score > 2 else home_score > 0 end then 'won' else 'lost' end as grade from picked join matches using (match_id))"""
 S = lambda body: sql(body, M, TM, STRENGTH)
+TAU = "case when home_score = 0 and away_score = 0 then 1 - home_rate * away_rate * rho when home_score = 0 and away_score = 1 then 1 + home_rate * rho when home_score = 1 and away_score = 0 then 1 + away_rate * rho else 1 - rho end"
 NAMES = ["home_rate", "away_rate", "home", "draw", "away", "over25", "both", "home_scores"]
 LOSS = f"""count(*) as n, {r6("avg(-ln(greatest(hit, 1e-12)))")} as log_loss, {r6("avg(pow(home - (y = 0)::int, 2) + pow(draw - (y = 1)::int, 2) + pow(away - (y = 2)::int, 2))")} as brier, {r6("avg((floor(hit * 1e9 + 0.5) = floor(greatest(home, draw, away) * 1e9 + 0.5))::int)")} as accuracy"""
 
@@ -68,6 +69,11 @@ QUERIES = {
         lambda s, d: rounded(m.rho_scores(expected(s, d), matches(s, d), [-0.2, -0.15, -0.1, -0.05, 0.0, 0.05]), "log_likelihood"),
         S(f"""select rho, {r6('sum(ln(greatest(case when home_score = 0 and away_score = 0 then 1 - home_rate * away_rate * rho when home_score = 0 and away_score = 1 then 1 + home_rate * rho when home_score = 1 and away_score = 0 then 1 + away_rate * rho else 1 - rho end, 1e-9)))')} as log_likelihood
   from expected join matches using (match_id), (select cast(unnest([-0.2, -0.15, -0.1, -0.05, 0.0, 0.05]) as double) as rho) where home_score <= 1 and away_score <= 1 group by all"""),
+    ),
+    "ml7_fitted_rho": (
+        lambda s, d: rounded(m.fitted_rho(expected(s, d), matches(s, d)), "rho", "log_likelihood"),
+        sql(f"""select {r6('arg_max(rho, ll)')} as rho, {r6('max(ll)')} as log_likelihood from (select rho, sum(ln(greatest({TAU}, 1e-9))) as ll from low, (select arg_max(rho, ll) + (unnest(range(51)) - 25) * (0.0025e0 / 25) as rho from
+  (select rho, sum(ln(greatest({TAU}, 1e-9))) as ll from low, (select -0.2e0 + 0.0025e0 * unnest(range(101)) as rho) group by rho)) group by rho)""", M, TM, STRENGTH, "\nlow as (select * from expected join matches using (match_id) where home_score <= 1 and away_score <= 1)"),
     ),
     "ml8_wn23_elo": (lambda s, d: m.elo(matches(s, d)), None),
     "ml10_national_strengths": (lambda s, d: m.national_strengths(matches(s, d)), None),
