@@ -22,8 +22,8 @@ NOTE = "A-C: title; D: qualified; G-V: relegated"
 
 def due(s, d):
     """Unsettled components whose retry is due, by match."""
-    a = table(s, d, "lineitem").select((c("l_orderkey") % 500).alias("match_id"), c("l_linenumber").alias("component"), (c("l_partkey") % 8).alias("attempts"), (c("l_suppkey") % 60).alias("due_in"))
-    ready = a.where("attempts < 7 and due_in <= 10").groupBy("match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("component")), lambda v: v.cast("string")), ",").alias("components"), F.count("*").alias("n"))
+    a = table(s, d, "lineitem").select((c("l_orderkey") % 500).alias("match_id"), c("l_linenumber").alias("component"), (c("l_partkey") % 10).alias("attempts"), (c("l_suppkey") % 60).alias("due_in"))
+    ready = a.where("attempts < 8 and due_in <= 10").groupBy("match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("component")), lambda v: v.cast("string")), ",").alias("components"), F.count("*").alias("n"))
     return ready
 
 
@@ -83,7 +83,7 @@ QUERIES = {
     ),
     "ing15_due_retries": (
         due,
-        "select match_id, array_to_string(list_sort(list_distinct(list(component))), ',') as components, count(*) as n from (select l_orderkey % 500 as match_id, l_linenumber as component from lineitem where l_partkey % 8 < 7 and l_suppkey % 60 <= 10) group by all",
+        "select match_id, array_to_string(list_sort(list_distinct(list(component))), ',') as components, count(*) as n from (select l_orderkey % 500 as match_id, l_linenumber as component from lineitem where l_partkey % 10 < 8 and l_suppkey % 60 <= 10) group by all",
     ),
     "so5_distinct": (lambda s, d: matches(s, d).select("competition_id", "season").distinct(), S("select distinct competition_id, season from matches")),
     "tk1_nulls_last": (
