@@ -111,7 +111,7 @@ def longest_alias(titles: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def classify(title: Column) -> Column:
     """Kind of a video by its title; the first rule that fits."""
-    rules = [("press", "press conference|pressekonferenz"), ("highlights", "highlights|zusammenfassung"), ("goals", "goals?|tore?"), ("interview", "interview"), ("preview", "preview|vorschau")]
+    rules = [("press", "press conference|pressekonferenz"), ("highlights", "highlights|zusammenfassung"), ("goals", "goals?|tore?"), ("recap", "recap|spielbericht"), ("interview", "interview|reacts|mixed zone"), ("preview", "preview|vorschau"), ("analysis", "analysis|tactical|breakdown|explained")]
     out = F.when(F.lower(title).rlike(rules[0][1]), rules[0][0])
     for name, pattern in rules[1:]:
         out = out.when(F.lower(title).rlike(pattern), name)
@@ -119,10 +119,11 @@ def classify(title: Column) -> Column:
 
 
 def cost_report(calls: DataFrame, usd_in: float = 2.5, usd_out: float = 10.0) -> DataFrame:
-    """Calls, tokens and cost: in total and by each of three dimensions."""
+    """Calls, tokens and cost: in total and by each of five dimensions."""
+    by = ("trigger", "lane", "pool", "model", "story")
     cost = (c("tokens_in") * usd_in + c("tokens_out") * usd_out) / 1e6
-    sums = calls.withColumn("usd", cost).groupingSets([[], [c("trigger")], [c("lane")], [c("model")]], "trigger", "lane", "model")
-    return sums.agg(F.count("*").alias("calls"), F.sum(c("tokens_in") + c("tokens_out")).cast("long").alias("tokens"), (F.floor(F.sum("usd") * 1e6 + 0.5) / 1e6).alias("usd")).select("trigger", "lane", "model", "calls", "tokens", "usd")
+    sums = calls.withColumn("usd", cost).groupingSets([[], *[[c(x)] for x in by]], *by)
+    return sums.agg(F.count("*").alias("calls"), F.sum(c("tokens_in") + c("tokens_out")).cast("long").alias("tokens"), (F.floor(F.sum("usd") * 1e6 + 0.5) / 1e6).alias("usd")).select(*by, "calls", "tokens", "usd")
 
 
 #: What each angle of a result weighs; from PUBLISH on it is worth a story.
@@ -142,8 +143,8 @@ ANGLES = {
 PUBLISH = 1.0
 
 
-def materiality(finished: DataFrame, rows: DataFrame, scorers: DataFrame) -> DataFrame:
-    """Angles of every finished match and whether they are worth a story.
+def match_angles(finished: DataFrame, rows: DataFrame, scorers: DataFrame) -> DataFrame:
+    """Angles of every finished match with what each weighs.
 
     finished: matches with home_score_ht and away_score_ht (may be null); rows: their team rows; scorers:
     (match_id, player_id, goals). The tables before and after a match are those of its season's earlier
@@ -205,7 +206,12 @@ def materiality(finished: DataFrame, rows: DataFrame, scorers: DataFrame) -> Dat
     angle = lambda name, weight: F.struct(F.lit(name).alias("angle"), weight.alias("weight"))
     plain = F.filter(F.array(*[F.when(rule, angle(name, F.lit(ANGLES[name]))) for name, rule in rules]), lambda x: x.isNotNull())
     scoring = F.transform(F.coalesce("many", F.array().cast("array<bigint>")), lambda n: angle("multi_goal_scorer", F.when(n >= 3, 1.2).otherwise(ANGLES["multi_goal_scorer"])))
-    found = m.select("match_id", F.concat(plain, scoring).alias("angles"))
+    return m.select("match_id", F.concat(plain, scoring).alias("angles"))
+
+
+def materiality(finished: DataFrame, rows: DataFrame, scorers: DataFrame) -> DataFrame:
+    """The angles of every finished match (``match_angles``), their sum, and whether it is worth a story."""
+    found = match_angles(finished, rows, scorers)
     score = F.floor(F.aggregate("angles", F.lit(0.0), lambda t, x: t + x["weight"]) * 100 + 0.5) / 100
     return found.select("match_id", F.array_join(F.transform("angles", lambda x: x["angle"]), ",").alias("angles"), score.alias("score"), (score >= PUBLISH).alias("material"))
 

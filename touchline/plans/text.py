@@ -76,15 +76,21 @@ def articles_of_events(s, d):
 
 
 def calls(s, d):
-    return table(s, d, "events").select(c("event_type").alias("trigger"), (c("user_id") % 3).cast("string").alias("lane"), (c("user_id") % 2).cast("string").alias("model"), F.floor(c("value")).cast("long").alias("tokens_in"), F.floor(c("value") * 2).cast("long").alias("tokens_out"))
+    return table(s, d, "events").select(c("event_type").alias("trigger"), (c("user_id") % 3).cast("string").alias("lane"), (c("user_id") % 2).cast("string").alias("model"), F.when(c("event_id") % 5 == 0, "premium").otherwise("shared").alias("pool"), (c("event_id") % 97).cast("string").alias("story"), F.floor(c("value")).cast("long").alias("tokens_in"), F.floor(c("value") * 2).cast("long").alias("tokens_out"))
 
 
-def material(s, d):
-    """All finished matches, with half-time scores made of their ids and scorers of the ledger."""
+def finished_halves(s, d):
+    """All finished matches, with half-time scores made of their ids."""
     m = matches(s, d).where("status = 'finished'")
-    half = m.withColumn("home_score_ht", F.when(c("match_id") % 3 == 0, F.lit(0))).withColumn("away_score_ht", F.when(c("match_id") % 3 == 0, F.least(F.lit(1), c("away_score"))))
-    scorers = ledger(s, d).where("is_goal").groupBy("match_id", "player_id").agg(F.count("*").alias("goals"))
-    return t.materiality(half, r.team_match(matches(s, d)), scorers)
+    return m.withColumn("home_score_ht", F.when(c("match_id") % 3 == 0, F.lit(0))).withColumn("away_score_ht", F.when(c("match_id") % 3 == 0, F.least(F.lit(1), c("away_score"))))
+
+
+def scorers(s, d):
+    return ledger(s, d).where("is_goal").groupBy("match_id", "player_id").agg(F.count("*").alias("goals"))
+
+
+def material(s, d):
+    return t.materiality(finished_halves(s, d), r.team_match(matches(s, d)), scorers(s, d))
 
 
 MATERIAL = """
@@ -191,11 +197,12 @@ select alias, min(entity) as entity from each where alias <> '' group by alias h
         None,
     ),
     "id17_video_kinds": (lambda s, d: table(s, d, "pages").groupBy(t.classify(c("html")).alias("kind")).agg(F.count("*").alias("n")), """select case when lower(html) similar to '(.|\n)*(press conference|pressekonferenz)(.|\n)*' then 'press' when lower(html) similar to '(.|\n)*(highlights|zusammenfassung)(.|\n)*' then 'highlights'
-  when lower(html) similar to '(.|\n)*(goals?|tore?)(.|\n)*' then 'goals' when lower(html) similar to '(.|\n)*interview(.|\n)*' then 'interview' when lower(html) similar to '(.|\n)*(preview|vorschau)(.|\n)*' then 'preview' else 'other' end as kind, count(*) as n from pages group by all"""),
+  when lower(html) similar to '(.|\n)*(goals?|tore?)(.|\n)*' then 'goals' when lower(html) similar to '(.|\n)*(recap|spielbericht)(.|\n)*' then 'recap' when lower(html) similar to '(.|\n)*(interview|reacts|mixed zone)(.|\n)*' then 'interview' when lower(html) similar to '(.|\n)*(preview|vorschau)(.|\n)*' then 'preview'
+  when lower(html) similar to '(.|\n)*(analysis|tactical|breakdown|explained)(.|\n)*' then 'analysis' else 'other' end as kind, count(*) as n from pages group by all"""),
     "ag23_fn31_cost_report": (
         lambda s, d: t.cost_report(calls(s, d)),
-        """select trigger, lane, model, count(*) as calls, cast(sum(i + o) as bigint) as tokens, floor(sum((i * 2.5e0 + o * 10.0e0) / 1e6) * 1e6 + 0.5) / 1e6 as usd from (select event_type as trigger, cast(user_id % 3 as varchar) as lane, cast(user_id % 2 as varchar) as model,
-  cast(floor(value) as bigint) as i, cast(floor(value * 2) as bigint) as o from events) group by grouping sets ((), (trigger), (lane), (model))""",
+        """select trigger, lane, pool, model, story, count(*) as calls, cast(sum(i + o) as bigint) as tokens, floor(sum((i * 2.5e0 + o * 10.0e0) / 1e6) * 1e6 + 0.5) / 1e6 as usd from (select event_type as trigger, cast(user_id % 3 as varchar) as lane, cast(user_id % 2 as varchar) as model, case when event_id % 5 = 0 then 'premium' else 'shared' end as pool, cast(event_id % 97 as varchar) as story,
+  cast(floor(value) as bigint) as i, cast(floor(value * 2) as bigint) as o from events) group by grouping sets ((), (trigger), (lane), (pool), (model), (story))""",
     ),
     "tx1_materiality": (
         material,
