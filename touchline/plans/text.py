@@ -246,6 +246,11 @@ select 'labels to documents', count(distinct doc_id), count(*) from labels where
         lambda s, d: live.breaker(events(s, d).select(c("user_id").alias("provider"), c("event_id").alias("at"), (c("value") > 60).alias("ok"))),
         "select user_id as provider, event_id as at, value > 60 as ok, sum((value <= 60)::int) over (partition by user_id order by event_id rows between 2 preceding and current row) = 3 as open from events",
     ),
+    "str9_waits": (
+        lambda s, d: live.waits(events(s, d).select(c("user_id").alias("provider"), (c("event_id") * 60).alias("at"), F.when(c("event_id") % 41 == 0, "blocked").when(c("value") > 60, "ok").otherwise("failed").alias("outcome"))),
+        """select provider, "at", outcome, until, coalesce("at" < max(until) over (partition by provider order by "at" rows between unbounded preceding and 1 preceding), false) as early from (select *, case when outcome = 'blocked' then "at" + 3600 when sum((outcome <> 'ok')::int) over (partition by provider order by "at" rows between 2 preceding and current row) = 3 then "at" + 300 end as until
+  from (select user_id as provider, event_id * 60 as "at", case when event_id % 41 = 0 then 'blocked' when value > 60 then 'ok' else 'failed' end as outcome from events))""",
+    ),
     "str10_stale": (
         lambda s, d: live.stale(events(s, d), AT, 600),
         f"select user_id, cast(floor((epoch_us(timestamp '{AT}') - epoch_us(max(ts))) / 60e6) as bigint) as age_minutes, (epoch_us(timestamp '{AT}') - epoch_us(max(ts))) / 60e6 > 600 as delayed from events group by all",

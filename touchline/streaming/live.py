@@ -87,6 +87,20 @@ def breaker(ticks: DataFrame, failures: int = 3) -> DataFrame:
     return ticks.select("provider", "at", "ok", (fails == failures).alias("open"))
 
 
+def waits(ticks: DataFrame, failures: int = 3, pause: int = 300, blocked: int = 3600) -> DataFrame:
+    """The breaker's waits over made requests (provider, at in seconds, outcome ok, failed or blocked).
+
+    ``until``: how long a request's outcome closes its provider, null where it doesn't; ``early``: made
+    within a wait that an earlier request set.
+    """
+    order = Window.partitionBy("provider").orderBy("at")
+    fails = F.count_if(c("outcome") != "ok").over(order.rowsBetween(-(failures - 1), 0))
+    until = F.when(c("outcome") == "blocked", c("at") + blocked).when(fails == failures, c("at") + pause)
+    closed = ticks.select("provider", "at", "outcome", until.alias("until"))
+    before = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return closed.withColumn("early", F.coalesce(c("at") < before, F.lit(False)))
+
+
 def stale(events: DataFrame, now: str, minutes: int = 5) -> DataFrame:
     """Matches whose last observation is older than ``minutes``."""
     last = events.groupBy("user_id").agg(F.max("ts").alias("last"))
