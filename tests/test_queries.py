@@ -26,6 +26,10 @@ def test_query(spark, con, name):
         assert name in PLAIN and df.count() > 0
 
 
+def test_names_are_used_once():
+    assert len(catalog.queries()) == sum(len(module.QUERIES) for module in catalog.MODULES)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

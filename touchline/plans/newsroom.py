@@ -74,7 +74,7 @@ each as (select match_id, competition_id, unnest(string_split(angles, ',')) as a
 select match_id, competition_id, angles, score, score >= 1.0 as material from (select match_id, competition_id, coalesce(string_agg(angle, ',' order by place) filter (where ok), '') as angles, floor((coalesce(sum({_weights}::double) filter (where ok), 0.0e0) + 0.6e0 * coalesce(any_value(tricks), 0)) * 100 + 0.5) / 100 as score
   from (select *, {_allowed} as ok from each) left join hat using (match_id) group by all)""",
     ),
-    "tx3_stories": (
+    "tx3_detected_stories": (
         lambda s, d: n.stories_of(matches(s, d), r.team_match(matches(s, d)), appearances(s, d), NOW, WINDOW),
         "with" + M + "," + TM + "," + L + "," + MINUTES + f""",
 runs as (select competition_id, season, team_id, max(day) as last, {", ".join(_runs.values())} from (select *, row_number() over (partition by competition_id, season, team_id order by day desc, match_id desc) as k from team_match where day <= {NOW}) group by all),
