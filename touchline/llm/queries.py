@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, katz, packing, pseudonyms, quality_rules, separator_scan, sharding, sql, token_files, toxicity
+from . import decontaminate, filter_audit, jaccard_join, katz, line_dedup, merkle, packing, pseudonyms, quality_rules, separator_scan, sharding, sql, token_files, toxicity
 from .common import bounded_batches, crc_of, pick, scratch
 
 
@@ -95,6 +95,23 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), percent=80)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more of them hold, but in the last that holds one."""
+    kept = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_walsh_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language, from Walsh-Hadamard sums."""
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and whether a fifth of them, tampered with, still verify."""
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), tampering=merkle.tampered("doc_id", "text"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
     return {
         "op1_separator_scan": op1_separator_scan,
@@ -107,9 +124,12 @@ def queries() -> dict:
         "op8_suffix_automaton": op8_suffix_automaton,
         "op9_two_pass_shuffle": op9_two_pass_shuffle,
         "op10_partenum_join": op10_partenum_join,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_walsh_audit": op12_walsh_audit,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL knows no tokenizer, keyed hash, model fit or seeded shuffle; the other queries' tests are against plain versions."""
-    return {"op2_adaptive_quality": sql.quality(), "op8_suffix_automaton": sql.HITS, "op10_partenum_join": sql.LINKS}
+    return {"op2_adaptive_quality": sql.quality(), "op8_suffix_automaton": sql.HITS, "op10_partenum_join": sql.LINKS, "op11_line_dedup": sql.LINES, "op12_walsh_audit": sql.AUDIT, "op13_merkle_manifest": sql.merkle()}

@@ -61,3 +61,68 @@ sizes as (select doc_id, count(*) as n from s group by all),
 links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as both_ from s x join s y using (g) where x.doc_id <> y.doc_id group by all) join sizes p on a = p.doc_id join sizes q on b = q.doc_id where 100 * both_ >= 80 * (p.n + q.n - both_)),
 reach as (select doc_id, doc_id as label from documents union select l.b, r.label from reach r join links l on r.doc_id = l.a)
 select doc_id, coalesce(n, 0) as n_shingles, component_id from (select doc_id, min(label) as component_id from reach group by all) left join sizes using (doc_id)"""
+
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LINES = rf"""with k as (select doc_id, place, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UP}', '{LOW}') as key
+  from (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as place from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
+many as (select key, max(doc_id) as keep from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select doc_id, place, line, many.keep is not null and doc_id <> keep as gone from k left join many using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256 from m group by doc_id"""
+
+AUDIT = r"""with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+f as (select part, coalesce(quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic, case when len(words) < 100 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 80 * len(words) then 'B' else '' end
+  || case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) then 'C' else '' end || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+  || case when w.doc_id > min(w.doc_id) over (partition by text) then 'E' else '' end as failed from w left join labels l using (doc_id)),
+cells as (select part, good, toxic, failed, count(*) as n from f group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, step, filter_order[step] as letter, filter_order[1:step - 1] as earlier from orders, (select unnest(range(1, 6)) as step)),
+m as (select part, filter_order, step, letter, n, good, toxic, failed = letter as alone, contains(failed, letter) as own, len(list_intersect(string_split(failed, ''), string_split(earlier, ''))) > 0 and failed <> '' and earlier <> '' as before from cells, steps),
+counted as (select part, filter_order, cast(step as integer) as step, letter, coalesce(sum(n) filter (where not own and not before), 0) as kept, coalesce(sum(n) filter (where own and not before), 0) as removed,
+  coalesce(sum(n) filter (where own and before), 0) as redundant, coalesce(sum(n) filter (where alone), 0) as unique_fails, coalesce(sum(n) filter (where own and not before and good), 0) as good_lost,
+  coalesce(sum(n) filter (where own and not before and toxic), 0) as toxic_lost from m group by all)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from counted"""
+
+
+def _tree(name: str, levels: int) -> str:
+    """Levels of a tree over the CTE {name}0 (grp, idx, n, hash); {name}p<k> has each parent's run."""
+    parts = []
+    for k in range(1, levels + 1):
+        parts.append(f"{name}{k} as (select grp, idx // 16 as idx, (max(n) + 15) // 16 as n, sha256(string_agg(hash, '' order by idx)) as hash, list(hash order by idx) as run from {name}{k - 1} where n > 1 group by grp, idx // 16)")
+    roots = " union all ".join(f"select grp, hash as root from {name}{k} where n = 1" for k in range(levels + 1))
+    return ",\n".join([*parts, f"{name}_roots as ({roots})"])
+
+
+def _climb(name: str, of: str, levels: int, columns: str, start: str) -> str:
+    """From the CTE ``of`` (grp, place, h, proof and columns) up the tree ``name``: the folded hash and the proof's text."""
+    parts = [f"{start}0 as (select grp, place, h, proof, {columns} from {of})"]
+    for k in range(1, levels + 1):
+        left, right = "array_to_string(run[1:place % 16], '')", "array_to_string(run[place % 16 + 2:], '')"
+        step = lambda yes, no: f"case when run is null then {no} else {yes} end"
+        parts.append(
+            f"{start}{k} as (select c.grp, {step('place // 16', 'place')} as place, {step(f'sha256({left} || h || {right})', 'h')} as h, {step(f'proof || {left} || {right}', 'proof')} as proof, {columns} "
+            f"from {start}{k - 1} c left join {name}{k} p on c.grp = p.grp and c.place // 16 = p.idx)"
+        )
+    return ",\n".join(parts)
+
+
+def merkle(levels: int = 6, source_levels: int = 3) -> str:
+    """Trees of at most 16 ** levels leaves a source and 16 ** source_levels sources."""
+    framed = lambda x: f"case when {x} is null then '-' else strlen(cast({x} as varchar)) || ':' || {x} end"
+    head = " || ".join(framed(x) for x in ("doc_id", "source", "lang", "n_chars"))
+    changed = f"translate(text, '{UP}', '{LOW}')"
+    # crc32 with the reflected polynomial, bit by bit over the decimal's digits.
+    bit = "case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    crc = f"xor(list_reduce([cast(4294967295 as bigint)] || list_transform(string_split(cast(doc_id as varchar), ''), lambda d: cast(ascii(d) as bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {bit})), 4294967295)"
+    return f"""with hashed as (select doc_id, case when source is null then '-' else 's' || source end as grp, sha256({head} || {framed("text")}) as leaf,
+  case when {crc} % 5 = 0 then sha256({head} || {framed(changed)}) else sha256({head} || {framed("text")}) end as changed from documents),
+d0 as (select *, leaf as hash, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by grp) as n from hashed),
+{_tree("d", levels)},
+s0 as (select '' as grp, grp as of, root as hash, row_number() over (order by grp) - 1 as idx, count(*) over () as n from d_roots),
+{_tree("s", source_levels)},
+leaves as (select grp, idx as place, changed as h, '' as proof, doc_id, leaf from d0),
+{_climb("d", "leaves", levels, "doc_id, leaf", "u")},
+subs as (select '' as grp, s0.idx as place, h, proof, doc_id, leaf, s0.hash as subroot from u{levels} u join s0 on u.grp = s0.of),
+{_climb("s", "subs", source_levels, "doc_id, leaf, subroot", "v")}
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified from v{source_levels} v join s_roots r on v.grp = r.grp"""
