@@ -8,24 +8,46 @@ from pyspark.sql import functions as F
 from .exprs import fold
 
 
-def event_kind(code: Column, sub: Column) -> Column:
-    """Type and subtype of an event code; an unknown one is kept as it is, never guessed."""
-    known = {"A": "pass", "N": "shot", "R": "duel"}
-    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), code), F.concat(F.lit("unmapped:"), code))
-    return F.concat_ws("/", kind, F.when(sub == "F", F.lit("set piece")))
+#: Event codes of the ledger files, as (type, subtype) or (type, subtype, set piece).
+SUB_EVENTS = {
+    10: ("duel", "aerial"), 11: ("duel", "ground_attacking"), 12: ("duel", "ground_defending"), 13: ("duel", "ground_loose_ball"),
+    20: ("foul", "foul"), 21: ("foul", "hand_ball"), 22: ("foul", "late_card"), 23: ("foul", "out_of_game"), 24: ("foul", "protest"), 25: ("foul", "simulation"), 26: ("foul", "time_lost"), 27: ("foul", "violent"),
+    30: ("pass", "corner", "corner"), 31: ("pass", "free_kick", "free_kick"), 32: ("pass", "cross", "free_kick"), 33: ("shot", "free_kick", "free_kick"), 34: ("pass", "goal_kick", "goal_kick"), 35: ("shot", "penalty", "penalty"), 36: ("pass", "throw_in", "throw_in"),
+    50: ("interruption", "ball_out"), 51: ("interruption", "whistle"), 70: ("acceleration", "acceleration"), 71: ("clearance", "clearance"), 72: ("touch", "touch"),
+    80: ("pass", "cross"), 81: ("pass", "hand_pass"), 82: ("pass", "head_pass"), 83: ("pass", "high_pass"), 84: ("pass", "launch"), 85: ("pass", "simple"), 86: ("pass", "smart"),
+    90: ("save", "reflexes"), 91: ("save", "save_attempt"), 100: ("shot", "open_play"),
+}
+EVENTS = {4: ("keeper_exit", "keeper_exit"), 6: ("offside", "offside")}
+#: Tags of the ledger files.
+TAGS = {"goal": 101, "accurate": 1801, "not_accurate": 1802, "blocked": 2101, "lost": 701, "neutral": 702, "won": 703}
 
 
-def outcome(tags: Column) -> Column:
-    """Outcome by the first of goal, on target, off target, won, lost among the tags."""
-    out = F.when(F.array_contains(tags, 1), "goal")
-    for tag, name in ((2, "on target"), (3, "off target"), (4, "won"), (5, "lost")):
-        out = out.when(F.array_contains(tags, tag), name)
-    return out
+def _coded(table: dict[int, tuple], code: Column) -> Column:
+    kinds = [F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("type", "subtype", "set_piece"), (*kind, None)[:3])]) for kind in table.values()]
+    return F.try_element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in table]), F.array(*kinds)), code.cast("int"))
 
 
-def match_state(status: Column, kickoff_day: Column, now: int) -> Column:
-    """finished and postponed as told; scheduled ones are live on their day, unknown after it."""
-    return F.when(status.isin("finished", "postponed"), status).when(kickoff_day > now, "scheduled").when(kickoff_day == now, "live").otherwise("unknown")
+def event_kind(event: Column, sub: Column) -> Column:
+    """type, subtype and set_piece of an event: by its sub-event, else by its event; null for codes that aren't known, which are never guessed."""
+    return F.coalesce(_coded(SUB_EVENTS, sub), _coded(EVENTS, event))
+
+
+def outcome(kind: Column, tags: Column) -> Column:
+    """What became of an event of a type, by its tags; null where they don't say."""
+    has = lambda name: F.coalesce(F.array_contains(tags, TAGS[name]), F.lit(False))
+    shot = kind == "shot"
+    duel = F.when(has("won"), "won").when(has("lost"), "lost").when(has("neutral"), "neutral")
+    missed = F.when(shot, F.when(has("blocked"), "blocked").otherwise("off_target")).otherwise("fail")
+    return F.when(shot & has("goal"), "goal").when(kind == "duel", duel).when(has("accurate"), F.when(shot, "on_target").otherwise("success")).when(has("not_accurate"), missed)
+
+
+#: A match without a final word counts as live for so long after its kickoff.
+LIVE_FOR = "3 hours"
+
+
+def match_state(status: Column, kickoff: Column, now: Column) -> Column:
+    """finished and postponed as told; others by the clock: scheduled before the kickoff, live for LIVE_FOR from it on, then unknown."""
+    return F.when(status.isin("finished", "postponed"), status).when(kickoff > now, "scheduled").when(kickoff > now - F.expr(f"interval {LIVE_FOR}"), "live").otherwise("unknown")
 
 
 def stage_role(name: Column) -> Column:
@@ -73,6 +95,18 @@ def number_words(text: Column) -> Column:
     return F.transform(words, lambda w: F.element_at(table, w))
 
 
-def licence(text: Column, author: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike("all rights reserved|trademark"), "rejected").when(low.rlike(r"\bcc0\b|public domain"), "approved").when(low.rlike(r"cc[ -]by") & author.isNotNull(), "approved").when(low.rlike(r"\bnc\b|\bnd\b"), "restricted").otherwise("review required")
+def licence(name: Column, code: Column, url: Column, author: Column, non_free: Column, crest: Column) -> Column:
+    """Whether a picture may be used, by its file's licence name and code; what isn't clearly free isn't approved.
+
+    Non-free files are rejected, and those not for trade or changes are restricted, whatever else they
+    say. A licence that asks for credit needs an author and an address. A crest is approved only
+    where the file itself is in the public domain.
+    """
+    name, code = F.lower(F.trim(F.coalesce(name, F.lit("")))), F.lower(F.trim(F.coalesce(code, F.lit(""))))
+    said = lambda x: F.coalesce(x, F.lit("")) != ""
+    public = code.rlike("^(cc0|pd)") | name.rlike("public domain|^cc0")
+    credited = code.rlike(r"^cc-by(-sa)?-\d") | name.rlike(r"^cc by(-sa)? \d")
+    owned = crest & ~code.rlike("^pd") & ~name.rlike("public domain")
+    review = (credited & ~(said(author) & said(url))) | owned
+    free = F.when(review, "review_required").otherwise("approved")
+    return F.when(F.coalesce(non_free, F.lit(False)), "rejected").when(code.rlike("-nc|-nd") | name.rlike(r"\b(nc|nd)\b"), "restricted").when(public | credited, free).otherwise("review_required")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fold, half_up
-from .ordered import before
+from .ordered import at_ranks, before
 
 c = F.col
 
@@ -56,9 +56,8 @@ def streak_up_to_last(rows: DataFrame, key: str, order: list[str], good: Column)
 
 def lead_times(df: DataFrame, hours: Column, *keys: str) -> DataFrame:
     """Least, median (lower) and most of a duration."""
-    order = Window.partitionBy(*keys).orderBy("h")
-    ranked = df.select(*keys, hours.alias("h")).withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.groupBy(*keys).agg(F.min("h").alias("least"), F.max(F.when(c("k") == F.floor((c("n") - 1) / 2), c("h"))).alias("median"), F.max("h").alias("most"))
+    ranks = {"least": F.lit(0), "median": F.floor((c("n") - 1) / 2), "most": c("n") - 1}
+    return at_ranks(df.select(*keys, hours.alias("h")), "h", ranks, *keys).drop("n")
 
 
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:

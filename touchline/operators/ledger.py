@@ -73,18 +73,26 @@ def score_check(events: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def minutes(events: DataFrame, full: int = 90) -> DataFrame:
-    """Nominal minutes: starters from 0, others from their first event; until the first own goal, taken as a dismissal, or the end."""
-    player = events.groupBy("match_id", "team_id", "player_id").agg(F.min("sequence").alias("first"), F.min("minute").alias("entered"), F.min(F.when(c("is_own_goal"), c("minute"))).alias("dismissed"))
+    """Nominal minutes: starters from 0, others from their first event; until their first red card, or the end."""
+    player = events.groupBy("match_id", "team_id", "player_id").agg(F.min("sequence").alias("first"), F.min("minute").alias("entered"), F.min(F.when(c("card") == "red", c("minute"))).alias("dismissed"))
     starter = c("first") <= 3
     since = F.when(starter, 0).otherwise(c("entered"))
     until = F.least(F.lit(full), F.coalesce("dismissed", F.lit(full)))
     return player.select("match_id", "team_id", "player_id", starter.alias("is_starter"), F.greatest(F.lit(0), until - since).cast("long").alias("minutes"))
 
 
+#: A player's counters in a match, besides the minutes.
+IMPACT = {
+    "goals": "is_goal", "own_goals": "is_own_goal", "assists": "subtype = 'assist'", "key_passes": "subtype = 'key_pass'", "shots": "event_type = 'shot'", "shots_on_target": "event_type = 'shot' and outcome = 'success'",
+    "passes": "event_type = 'pass'", "completed": "event_type = 'pass' and outcome = 'success'", "tackles": "subtype = 'tackle'", "interceptions": "subtype = 'interception'", "clearances": "subtype = 'clearance'", "saves": "subtype = 'save'",
+    "fouls": "event_type = 'foul'", "duels": "event_type = 'duel'", "yellow_cards": "card = 'yellow'", "red_cards": "card = 'red'",
+}
+
+
 def impact(events: DataFrame) -> DataFrame:
-    """A player's counters in a match."""
-    named = {"n_goals": "is_goal", "n_own_goals": "is_own_goal", "n_shots": "event_type = 'shot'", "n_passes": "event_type = 'pass'", "n_completed": "event_type = 'pass' and outcome = 'success'", "n_fouls": "event_type = 'foul'", "n_duels": "event_type = 'duel'"}
-    return events.groupBy("match_id", "player_id").agg(*[F.count_if(F.expr(p)).alias(k) for k, p in named.items()], F.count("*").alias("n_events"))
+    """A player's counters in a match, with nominal minutes."""
+    counts = events.groupBy("match_id", "player_id").agg(*[F.count_if(F.expr(p)).alias(f"n_{k}") for k, p in IMPACT.items()], F.count("*").alias("n_events"))
+    return counts.join(minutes(events).select("match_id", "player_id", "is_starter", "minutes"), ["match_id", "player_id"])
 
 
 def phases(events: DataFrame) -> DataFrame:
@@ -171,12 +179,41 @@ def thirds(events: DataFrame) -> DataFrame:
     return located.groupBy("team_id").pivot("third", ["defensive", "middle", "final"]).count()
 
 
-def player_profile(events: DataFrame, played: DataFrame) -> DataFrame:
-    """Season counts of a player, and per 90 nominal minutes (missing without minutes)."""
-    sums = events.groupBy("player_id").agg(*[F.count_if(F.expr(PLAYER_STATS[k])).alias(k) for k in ("goals", "shots", "passes", "passes_completed")])
-    time = played.groupBy("player_id").agg(F.count("*").alias("appearances"), F.count_if("is_starter").alias("starts"), F.sum("minutes").alias("minutes"))
-    per90 = lambda x: ratio(c(x) * 90, c("minutes")).alias(f"{x}_per90")
-    return time.join(sums, "player_id").select("*", per90("goals"), per90("shots"), ratio(c("passes_completed"), c("passes")).alias("pass_accuracy"))
+#: Rates of a player's profile that get percentiles; of the last one less is better.
+PLAYER_METRICS = ["start_rate", "minutes_per_appearance", "goals_per90", "assists_per90", "goal_contributions_per90", "shots_per90", "shots_on_target_rate", "goals_per_shot", "key_passes_per90", "cards_per90"]
+LEAST_MINUTES = 450
+
+
+def player_profile(events: DataFrame, played: DataFrame, last: int = 5) -> DataFrame:
+    """A player's counts, rates, home and away split and last appearances. A red card counts as two; rates without minutes, appearances or shots are missing."""
+    cards = F.sum(F.when(c("card") == "red", 2).when(c("card") == "yellow", 1).otherwise(0))
+    names = ["goals", "assists", "key_passes", "shots", "shots_on_target", "passes", "completed"]
+    by_match = events.groupBy("match_id", "player_id").agg(F.max("day").alias("day"), F.max(c("team_id") == c("home_team_id")).alias("home"), cards.cast("long").alias("cards"), *[F.count_if(F.expr(IMPACT[k])).alias(k) for k in names])
+    apps = by_match.join(played.select("match_id", "player_id", "is_starter", "minutes"), ["match_id", "player_id"])
+    newest = Window.partitionBy("player_id").orderBy(F.desc("day"), F.desc("match_id"))
+    total = lambda x, when=None: F.coalesce(F.sum(c(x) if when is None else F.when(when, c(x))), F.lit(0)).cast("long")
+    late = c("k") <= last
+    sums = apps.withColumn("k", F.row_number().over(newest)).groupBy("player_id").agg(
+        F.count("*").alias("appearances"), F.count_if("is_starter").alias("starts"), F.count_if(~c("is_starter")).alias("sub_appearances"), total("minutes").alias("minutes"), *[total(k).alias(k) for k in [*names, "cards"]],
+        F.count_if("home").alias("home_appearances"), total("goals", c("home")).alias("home_goals"), F.count_if(~c("home")).alias("away_appearances"), total("goals", ~c("home")).alias("away_goals"),
+        F.count_if(late).alias("last_appearances"), total("goals", late).alias("last_goals"), total("shots", late).alias("last_shots"),
+    )
+    per = lambda a, b: ratio(a, b, 2)
+    n90 = c("minutes") / 90
+    return sums.select(
+        "*", per(c("starts"), c("appearances")).alias("start_rate"), per(c("minutes"), c("appearances")).alias("minutes_per_appearance"), per(c("goals"), n90).alias("goals_per90"), per(c("assists"), n90).alias("assists_per90"),
+        per(c("goals") + c("assists"), n90).alias("goal_contributions_per90"), per(c("shots"), n90).alias("shots_per90"), per(c("shots_on_target"), c("shots")).alias("shots_on_target_rate"), per(c("goals"), c("shots")).alias("goals_per_shot"),
+        per(c("key_passes"), n90).alias("key_passes_per90"), per(c("cards"), n90).alias("cards_per90"), per(c("completed"), c("passes")).alias("pass_accuracy"),
+    )
+
+
+def with_percentiles(profiles: DataFrame, keys: list[str], metrics: list[str], lower: tuple[str, ...], eligible: Column, pool: tuple[str, ...] = ()) -> DataFrame:
+    """Profiles with p_<metric>: the mid-rank percentile of each metric among the eligible profiles of a pool; all metrics in one pass over the values."""
+    each = profiles.where(eligible).unpivot(list(dict.fromkeys([*keys, *pool])), metrics, "metric", "value")
+    signed = each.withColumn("value", F.when(c("metric").isin(*lower), -c("value")).otherwise(c("value"))) if lower else each
+    ranked = mid_rank_percentile(signed, "value", *pool, "metric")
+    wide = ranked.groupBy(*keys).agg(*[F.max(F.when(c("metric") == m, c("percentile"))).alias(f"p_{m}") for m in metrics])
+    return profiles.join(wide, keys, "left")
 
 
 def mid_rank_percentile(df: DataFrame, value: str, *pool: str, lower_is_better: bool = False) -> DataFrame:

@@ -177,7 +177,10 @@ def leaks(rows: DataFrame) -> DataFrame:
 
 
 def truncation_differences(build, rows: DataFrame, keys: list[str], values: list[str], day: int) -> DataFrame:
-    """Rows up to a day whose values change when all later rows are left out: none, for an operator that looks back only."""
+    """Rows up to a day whose values change when all later rows are left out: none, for an operator that looks back only.
+
+    ``build`` gets the rows and returns the keys, the day and the values.
+    """
     whole, cut = build(rows).where(c("day") <= day), build(rows.where(c("day") <= day))
     both = whole.select(*keys, F.struct(*values).alias("a")).join(cut.select(*keys, F.struct(*values).alias("b")), keys, "full")
     return both.agg(F.count("*").alias("compared"), F.count_if(~c("a").eqNullSafe(c("b"))).alias("different"))

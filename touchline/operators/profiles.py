@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up, ratio
-from .results import rest, tally
+from .ordered import at_ranks
+from .results import tally
 
 c = F.col
 
@@ -30,15 +31,52 @@ def team_season(rows: DataFrame) -> DataFrame:
     return out.select("*", ratio(c("points"), c("played")).alias("points_rate"), ratio(c("clean_sheets"), c("played")).alias("clean_rate"))
 
 
-def team_load(rows: DataFrame) -> DataFrame:
-    """Load before each match: congestion, rest and travel, from 0 to 100."""
-    r = rest(rows)
-    index = weighted({
-        "congestion": (F.least(c("last_14") / 5.0, F.lit(1.0)), 0.5),
-        "rest": (F.when(c("gap").isNotNull(), F.greatest(F.lit(0.0), 1 - c("gap") / 7.0)), 0.3),
-        "away": (F.when(c("is_home"), 0.0).otherwise(1.0), 0.2),
-    })
-    return r.select("match_id", "team_id", "gap", "last_14", half_up(index * 100, 2).alias("load"))
+#: Shares of the fatigue index, and what counts as a full value of each part.
+FATIGUE = {"congestion": (0.35, 5), "short_rest": (0.25, 3), "rest": (0.25, 4), "away": (0.1, 1), "switching": (0.05, 3)}
+REST_DAYS, SHORT_REST = 6, 4
+
+
+def team_load(matches: DataFrame, last: int = 5) -> DataFrame:
+    """Load and fatigue of both teams as of the day of each match, from finished matches of earlier days.
+
+    matches: match_id, competition_id, day, home_team_id, away_team_id, status, duration. A team's matches
+    are summed by day; all measures are frames over those days, but for the last matches, whose own
+    frames are carried from the latest one. The index weighs five parts, each from 0 to 1; ``load`` is
+    the sum of the parts' contributions, from 0 to 100, rounded.
+    """
+    side = lambda team, away: F.struct(c(team).alias("team_id"), F.lit(away).alias("away"))
+    rows = matches.select("match_id", "competition_id", "day", "status", "duration", F.explode(F.array(side("home_team_id", 0), side("away_team_id", 1))).alias("s")).select("match_id", "competition_id", "day", "status", "duration", "s.*")
+    order = Window.partitionBy("team_id").orderBy("day", "match_id")
+    back = lambda k: order.rowsBetween(-k, 0)
+    done = rows.where("status = 'finished'").select("*", (c("day") - F.lag("day").over(order)).alias("gap"), (c("competition_id") != F.lag("competition_id").over(order)).cast("int").alias("switch"))
+    done = done.select("*", F.count("*").over(back(last - 1)).alias("recent"), F.sum("away").over(back(last - 1)).alias("recent_away"), F.coalesce(F.sum("switch").over(back(last - 2)), F.lit(0)).alias("switches"))
+    short = (c("gap") < SHORT_REST).cast("int")
+    by_day = done.groupBy("team_id", "day").agg(
+        F.count("*").alias("n"), F.sum(F.coalesce(short, F.lit(0))).alias("shorts"), F.min_by(F.coalesce(short, F.lit(0)), "match_id").alias("first_short"), F.count_if(c("duration").isin("extra_time", "penalties")).alias("extra"),
+        F.max_by(F.struct("match_id", "recent", "recent_away", "switches"), "match_id").alias("latest"),
+    )
+    ahead = rows.where("status = 'scheduled'").groupBy("team_id", "day").agg(F.min("match_id").alias("next_id"))
+    days = rows.select("team_id", "day").distinct().join(by_day, ["team_id", "day"], "left").join(ahead, ["team_id", "day"], "left")
+    w = Window.partitionBy("team_id").orderBy("day")
+    within = lambda k: w.rangeBetween(-k, -1)
+    earlier, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    count = lambda x, k: F.coalesce(F.sum(x).over(within(k)), F.lit(0))
+    # The first match of the window has its earlier one outside.
+    turnarounds = count("shorts", 21) - F.coalesce(F.first("first_short", ignorenulls=True).over(within(21)), F.lit(0))
+    known = days.select(
+        "team_id", "day", *[count("n", k).alias(f"matches_{k}") for k in (7, 14, 21)], turnarounds.alias("short_rest"), count("extra", 21).alias("extra_time"),
+        F.max(F.when(c("n") > 0, c("day"))).over(earlier).alias("last_day"), F.last("latest", ignorenulls=True).over(earlier).alias("latest"), F.min(F.when(c("next_id").isNotNull(), F.struct("day", "next_id"))).over(later).alias("next"),
+    )
+    known = known.select(
+        "team_id", "day", "matches_7", "matches_14", "matches_21", "short_rest", "extra_time", (c("day") - c("last_day")).alias("days_since_last"), c("latest.match_id").alias("last_match_id"),
+        ratio(c("latest.recent_away"), c("latest.recent"), 2).alias("away_share"), F.coalesce("latest.switches", F.lit(0)).cast("long").alias("switches"), c("next.next_id").alias("next_match_id"), (c("next.day") - c("last_day")).alias("rest_before_next"),
+    )
+    rest = F.coalesce("rest_before_next", "days_since_last")
+    values = {"congestion": c("matches_14"), "short_rest": c("short_rest"), "rest": F.coalesce(REST_DAYS - rest, F.lit(0)), "away": F.coalesce("away_share", F.lit(0.0)), "switching": c("switches")}
+    part = lambda k: half_up(100 * FATIGUE[k][0] * F.least(F.greatest(values[k] / FATIGUE[k][1], F.lit(0.0)), F.lit(1.0)), 2)
+    parts = known.select("*", *[part(k).alias(f"from_{k}") for k in FATIGUE])
+    index = parts.withColumn("load", F.floor(sum((c(f"from_{k}") for k in FATIGUE), F.lit(0.0)) + 0.5).cast("long"))
+    return rows.select("match_id", "team_id", "day").join(index, ["team_id", "day"])
 
 
 def recent_profile(rows: DataFrame, last: int = 8) -> DataFrame:
@@ -78,9 +116,9 @@ def top_components(rows: DataFrame, k: int = 2) -> DataFrame:
 
 
 def eleven_overlap(events: DataFrame) -> DataFrame:
-    """How many players of a team's match also played its match before."""
-    squads = events.groupBy("team_id", "match_id").agg(F.collect_set("player_id").alias("squad"))
-    before = F.lag("squad").over(Window.partitionBy("team_id").orderBy("match_id"))
+    """How many players of a team's match also played its match before: of an earlier day, or of the same day with a smaller id."""
+    squads = events.groupBy("team_id", "day", "match_id").agg(F.collect_set("player_id").alias("squad"))
+    before = F.lag("squad").over(Window.partitionBy("team_id").orderBy("day", "match_id"))
     staged = squads.withColumn("before", before)
     return staged.where("before is not null").select("team_id", "match_id", F.size(F.array_intersect("squad", "before")).cast("long").alias("shared"), F.size("squad").cast("long").alias("used"))
 
@@ -95,17 +133,19 @@ def minute_share(played: DataFrame, top: int = 11) -> DataFrame:
 
 def collapsed_runs(events: DataFrame) -> DataFrame:
     """A player's teams in order, repeats in a row taken as one."""
-    order = Window.partitionBy("player_id").orderBy("match_id", "sequence")
-    turns = events.select("player_id", "team_id", "match_id", "sequence", F.lag("team_id").over(order).alias("before")).where("before is null or before <> team_id")
+    order = Window.partitionBy("player_id").orderBy("day", "match_id", "sequence")
+    turns = events.select("player_id", "team_id", "day", "match_id", "sequence", F.lag("team_id").over(order).alias("before")).where("before is null or before <> team_id")
     return turns.groupBy("player_id").agg(F.count("*").alias("spells"))
 
 
 def terciles(df: DataFrame, value: str, *pool: str) -> DataFrame:
     """Values at a third and two thirds of a sorted pool."""
-    order = Window.partitionBy(*pool).orderBy(value)
-    ranked = df.where(c(value).isNotNull()).select(*pool, value, (F.row_number().over(order) - 1).alias("k"), F.count("*").over(Window.partitionBy(*pool)).alias("n"))
-    at = lambda share: F.max(F.when(c("k") == F.floor(c("n") * share), c(value)))
-    return ranked.groupBy(*pool).agg(at(1 / 3).alias("lower"), at(2 / 3).alias("upper"))
+    return at_ranks(df, value, {"lower": F.floor(c("n") / 3.0), "upper": F.floor(c("n") * (2 / 3.0))}, *pool).drop("n")
+
+
+def nearest_percentiles(df: DataFrame, value: str, shares: dict[str, float], *pool: str, least: int = 1) -> DataFrame:
+    """Values at the nearest ranks of shares of (n - 1), for pools of ``least`` rows or more."""
+    return at_ranks(df, value, {name: F.floor(q * (c("n") - 1) + 0.5) for name, q in shares.items()}, *pool).where(c("n") >= least).drop("n")
 
 
 def split_points(rows: DataFrame) -> DataFrame:

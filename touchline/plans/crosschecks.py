@@ -80,12 +80,12 @@ select a_id, b_id, count(*) over (partition by a_id) = 1 and count(*) over (part
         sql("select match_id, count(distinct player_id) as n from ledger group by all having bool_or(player_id = 7)", M, L),
     ),
     "wn7_scoring_streak": (
-        lambda s, d: k.streak_up_to_last(ledger(s, d).groupBy("player_id", "match_id").agg(F.max("is_goal").alias("scored")), "player_id", ["match_id"], c("scored")),
-        sql("select player_id, cast(coalesce(min(k) filter (where not scored) - 1, max(k)) as bigint) as streak from (select player_id, match_id, bool_or(is_goal) as scored, row_number() over (partition by player_id order by match_id desc) as k from ledger group by player_id, match_id) group by all", M, L),
+        lambda s, d: k.streak_up_to_last(ledger(s, d).groupBy("player_id", "day", "match_id").agg(F.max("is_goal").alias("scored")), "player_id", ["day", "match_id"], c("scored")),
+        sql("select player_id, cast(coalesce(min(k) filter (where not scored) - 1, max(k)) as bigint) as streak from (select player_id, match_id, bool_or(is_goal) as scored, row_number() over (partition by player_id order by day desc, match_id desc) as k from ledger group by player_id, day, match_id) group by all", M, L),
     ),
     "wn11_starts_in_a_row": (
-        lambda s, d: k.streak_up_to_last(g.minutes(ledger(s, d)).groupBy("player_id", "match_id").agg(F.max("is_starter").alias("started")), "player_id", ["match_id"], c("started")),
-        sql("select player_id, cast(coalesce(min(k) filter (where not started) - 1, max(k)) as bigint) as streak from (select player_id, match_id, min(sequence) <= 3 as started, row_number() over (partition by player_id order by match_id desc) as k from ledger group by player_id, match_id) group by all", M, L),
+        lambda s, d: k.streak_up_to_last(ledger(s, d).groupBy("player_id", "day", "match_id").agg((F.min("sequence") <= 3).alias("started")), "player_id", ["day", "match_id"], c("started")),
+        sql("select player_id, cast(coalesce(min(k) filter (where not started) - 1, max(k)) as bigint) as streak from (select player_id, match_id, min(sequence) <= 3 as started, row_number() over (partition by player_id order by day desc, match_id desc) as k from ledger group by player_id, day, match_id) group by all", M, L),
     ),
     "wn16_record_numbers": (
         lambda s, d: orders(s, d).select("o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).alias("number")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up
@@ -15,8 +16,28 @@ from .models import STRENGTH, expected, judged, r6, rounded
 
 c = F.col
 S = lambda body: sql(body, M, TM)
-J = lambda body: sql(body, M, TM, STRENGTH)
+J = lambda body, *more: sql(body, M, TM, STRENGTH, *more)
 NOW = 10227
+CUT_DAY = 10200
+#: The strengths once more, from rows that end with a day.
+CUT = f"""
+team_match_cut as (select * from team_match where day <= {CUT_DAY})""" + "," + STRENGTH[: STRENGTH.index("expected as")].rstrip().rstrip(",").replace("from team_match", "from team_match_cut").replace("scaled", "scaled_cut").replace("league", "league_cut").replace("from team join", "from team_cut join").replace("team as (", "team_cut as (").replace("strengths as (", "strengths_cut as (")
+_pair = lambda t: f"case when {t}.attack is not null then (floor({t}.attack * 1e9 + 0.5), floor({t}.defence * 1e9 + 0.5)) end"
+_ahead = lambda rows: f"select match_id, team_id, day, avg(gf) over (partition by competition_id order by day range between 30 preceding and 30 following) as attack from {rows}"
+
+
+def looks_ahead(rows):
+    """A mean that sees the days to come: what the check has to find."""
+    w = Window.partitionBy("competition_id").orderBy("day").rangeBetween(-30, 30)
+    return rows.select("match_id", "team_id", "day", F.avg("gf").over(w).alias("attack"), F.lit(0.0).alias("defence"))
+
+
+def truncation(s, d):
+    """Changed values of an operator that looks back only, and of one that doesn't."""
+    rows = r.team_match(matches(s, d))
+    builds = {"strengths": lambda x: m.decayed_strengths(x).withColumns({k: half_up(c(k), 9) for k in ("attack", "defence")}), "looks ahead": looks_ahead}
+    checks = [m.truncation_differences(b, rows, ["match_id", "team_id"], ["attack", "defence"], CUT_DAY).withColumn("build", F.lit(name)) for name, b in builds.items()]
+    return checks[0].unionByName(checks[1])
 
 
 def athletes(s, d):
@@ -221,8 +242,10 @@ from r0 union all from r1 union all from r2""",
           + " from (select j.*, strftime(kickoff_at, '%Y-%m') as month from judged j join matches using (match_id)) group by grouping sets ((), (season), (month))"),
     ),
     "ml28_truncation": (
-        lambda s, d: m.truncation_differences(m.decayed_strengths, r.team_match(matches(s, d)), ["match_id", "team_id"], ["attack", "defence"], 10200),
-        J("select count(*) as compared, cast(0 as bigint) as different from strengths where day <= 10200"),
+        truncation,
+        J(f"""select build, count(*) as compared, count(*) filter (where a is distinct from b) as different from (
+  select 'strengths' as build, {_pair("x")} as a, {_pair("y")} as b from (select * from strengths where day <= {CUT_DAY}) x full join strengths_cut y using (match_id, team_id)
+  union all select 'looks ahead', case when x.attack is not null then (x.attack, 0e0) end, case when y.attack is not null then (y.attack, 0e0) end from (select * from ({_ahead("team_match")}) where day <= {CUT_DAY}) x full join ({_ahead("team_match_cut")}) y using (match_id, team_id)) group by all""", CUT),
     ),
     "xt19_scoreline_loss": (
         lambda s, d: rounded(m.scoreline_loss(expected(s, d), matches(s, d)), "log_likelihood", "log_loss"),

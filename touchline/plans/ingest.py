@@ -156,16 +156,22 @@ QUERIES = {
     ),
     "id12_acceptance": (
         lambda s, d: i.acceptance(matches(s, d)),
-        sql("""select "check", failures, failures = 0 as passed from (select 'scores present' as "check", count(*) filter (where home_score is null or away_score is null) as failures from f
-  union all select 'scores in range', count(*) filter (where home_score not between 0 and 30 or away_score not between 0 and 30) from f union all select 'two different teams', count(*) filter (where home_team_id = away_team_id) from f
-  union all select 'season fits the day', count(*) filter (where season <> year(kickoff_at)) from f union all select 'kickoff present', count(*) filter (where kickoff_at is null) from f union all select 'teams present', count(*) filter (where home_team_id is null or away_team_id is null) from f
-  union all select 'competition present', count(*) filter (where competition_id is null) from f union all select 'day fits the kickoff', count(*) filter (where day <> date_diff('day', date '1970-01-01', cast(kickoff_at as date))) from f union all select 'any match', cast(count(*) = 0 as bigint) from f
-  union all select 'unique ids', count(*) from (select 1 from f group by match_id having count(*) > 1) union all select 'one listing per pair and day', count(*) from (select 1 from f group by home_team_id, away_team_id, day having count(*) > 1)
-  union all select 'one match per pair and season', count(*) from (select 1 from f group by competition_id, season, home_team_id, away_team_id having count(*) > 1)
-  union all select 'one competition per team and season', count(*) from (select 1 from t group by season, team having count(*) > 1)
-  union all select 'balanced seasons', count(*) from (select 1 from t group by competition_id, season having max(n) > min(n)) union all select 'four teams or more', count(*) from (select 1 from t group by competition_id, season having count(*) < 4)
-  union all select 'as many matches at home as away', count(*) from (select 1 from t group by competition_id, season having max(abs(2 * home - n)) > 1))""", M, "\nf as (select * from matches where status = 'finished')",
-  "\nt as (select competition_id, season, team, count(*) as n, sum(home) as home from (select competition_id, season, home_team_id as team, 1 as home from f union all select competition_id, season, away_team_id, 0 from f) group by all)"),
+        sql("""select competition_id, season, "check", coalesce(failures, 0) as failures, coalesce(failures, 0) = 0 as passed from (select distinct competition_id, season from matches) cross join (select unnest(['scores present', 'scores in range', 'two different teams', 'season fits the day', 'kickoff present', 'teams present', 'day fits the kickoff', 'unique ids', 'one listing per pair and day', 'one match per pair', 'one competition per team', 'balanced', 'four teams or more', 'as many matches at home as away', 'any match']) as "check") left join (
+  select competition_id, season, 'scores present' as "check", count(*) filter (where home_score is null or away_score is null) as failures from f group by all
+  union all select competition_id, season, 'scores in range' as "check", count(*) filter (where home_score not between 0 and 30 or away_score not between 0 and 30) as failures from f group by all
+  union all select competition_id, season, 'two different teams' as "check", count(*) filter (where home_team_id = away_team_id) as failures from f group by all
+  union all select competition_id, season, 'season fits the day' as "check", count(*) filter (where season <> year(kickoff_at)) as failures from f group by all
+  union all select competition_id, season, 'kickoff present' as "check", count(*) filter (where kickoff_at is null) as failures from f group by all
+  union all select competition_id, season, 'teams present' as "check", count(*) filter (where home_team_id is null or away_team_id is null) as failures from f group by all
+  union all select competition_id, season, 'day fits the kickoff' as "check", count(*) filter (where day <> date_diff('day', date '1970-01-01', cast(kickoff_at as date))) as failures from f group by all
+  union all select competition_id, season, 'unique ids', count(distinct match_id) from (select *, count(*) over (partition by match_id) as k from f) where k > 1 group by all
+  union all select competition_id, season, 'one listing per pair and day', count(distinct (home_team_id, away_team_id, day)) from (select *, count(*) over (partition by home_team_id, away_team_id, day) as k from f) where k > 1 group by all
+  union all select competition_id, season, 'one match per pair', count(distinct (home_team_id, away_team_id)) from (select *, count(*) over (partition by competition_id, season, home_team_id, away_team_id) as k from f) where k > 1 group by all
+  union all select competition_id, season, 'one competition per team', count(*) from (select *, count(*) over (partition by season, team) as k from t) where k > 1 group by all
+  union all select competition_id, season, 'balanced', cast(max(n) > min(n) as bigint) from t group by all union all select competition_id, season, 'four teams or more', cast(count(*) < 4 as bigint) from t group by all
+  union all select competition_id, season, 'as many matches at home as away', cast(max(abs(2 * h - n)) > 1 as bigint) from t group by all
+  union all select competition_id, season, 'any match', cast(count(*) filter (where status = 'finished') = 0 as bigint) from matches group by all) using (competition_id, season, "check")""", M, """
+f as (select * from matches where status = 'finished'), t as (select competition_id, season, team, count(*) as n, sum(h) as h from (select competition_id, season, home_team_id as team, 1 as h from f union all select competition_id, season, away_team_id, 0 from f) group by all)"""),
     ),
     "jn7_near_days": (
         lambda s, d: i.near_days(matches(s, d).where("season = 1995").select("match_id", "home_team_id", F.col("day").alias("day_a")), matches(s, d).where("season = 1995").select(F.col("match_id").alias("other_id"), "home_team_id", F.col("day").alias("day_b")), ["home_team_id"], "day_a", "day_b").where("match_id < other_id").select("match_id", "other_id", "home_team_id"),

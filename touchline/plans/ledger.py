@@ -21,7 +21,7 @@ def _stats_sql(stats: dict[str, str], keys: str, zeros: bool) -> str:
 
 MINUTES = """
 minutes as (select match_id, team_id, player_id, first <= 3 as is_starter, cast(greatest(0, least(90, coalesce(dismissed, 90)) - case when first <= 3 then 0 else entered end) as bigint) as minutes from (
-  select match_id, team_id, player_id, min(sequence) as first, min(minute) as entered, min(minute) filter (where is_own_goal) as dismissed from ledger group by all))"""
+  select match_id, team_id, player_id, min(sequence) as first, min(minute) as entered, min(minute) filter (where card = 'red') as dismissed from ledger group by all))"""
 PHASE = "case when minute <= 15 then '01-15' when minute <= 30 then '16-30' when minute <= 45 then '31-45' when minute <= 60 then '46-60' when minute <= 75 then '61-75' else '76-90' end"
 INSIDE = "count(*) filter (where x_m >= 88.5 and abs(y_m - 34.0) <= 20.16)"
 ratio = lambda a, b: f"floor({a} * 1.0e0 / nullif({b}, 0) * 1e4 + 0.5) / 1e4"
@@ -32,9 +32,24 @@ def profiles(s, d):
     return g.player_profile(e, g.minutes(e))
 
 
-PROFILE = f"""select player_id, appearances, starts, minutes, goals, shots, passes, passes_completed, {ratio("goals * 90", "minutes")} as goals_per90, {ratio("shots * 90", "minutes")} as shots_per90, {ratio("passes_completed", "passes")} as pass_accuracy
-  from (select player_id, count(*) as appearances, count(*) filter (where is_starter) as starts, cast(sum(minutes) as bigint) as minutes from minutes group by all)
-  join (select player_id, {", ".join(f"count(*) filter (where {g.PLAYER_STATS[k]}) as {k}" for k in ("goals", "shots", "passes", "passes_completed"))} from ledger group by all) using (player_id)"""
+_names = ["goals", "assists", "key_passes", "shots", "shots_on_target", "passes", "completed"]
+_r2 = lambda a, b: f"floor(({a}) * 1.0e0 / nullif({b}, 0) * 1e2 + 0.5) / 1e2"
+_rates = {
+    "start_rate": ("starts", "appearances"), "minutes_per_appearance": ("minutes", "appearances"), "goals_per90": ("goals", "(minutes / 90.0e0)"), "assists_per90": ("assists", "(minutes / 90.0e0)"), "goal_contributions_per90": ("goals + assists", "(minutes / 90.0e0)"),
+    "shots_per90": ("shots", "(minutes / 90.0e0)"), "shots_on_target_rate": ("shots_on_target", "shots"), "goals_per_shot": ("goals", "shots"), "key_passes_per90": ("key_passes", "(minutes / 90.0e0)"), "cards_per90": ("cards", "(minutes / 90.0e0)"), "pass_accuracy": ("completed", "passes"),
+}
+PROFILE = f"""select *, {", ".join(f"{_r2(*v)} as {k}" for k, v in _rates.items())} from (select player_id, count(*) as appearances, count(*) filter (where is_starter) as starts, count(*) filter (where not is_starter) as sub_appearances, cast(sum(minutes) as bigint) as minutes,
+  {", ".join(f"cast(sum({k}) as bigint) as {k}" for k in [*_names, "cards"])}, count(*) filter (where home) as home_appearances, cast(coalesce(sum(goals) filter (where home), 0) as bigint) as home_goals, count(*) filter (where not home) as away_appearances,
+  cast(coalesce(sum(goals) filter (where not home), 0) as bigint) as away_goals, count(*) filter (where k <= 5) as last_appearances, cast(coalesce(sum(goals) filter (where k <= 5), 0) as bigint) as last_goals, cast(coalesce(sum(shots) filter (where k <= 5), 0) as bigint) as last_shots
+  from (select a.*, row_number() over (partition by a.player_id order by a.day desc, a.match_id desc) as k, mi.is_starter, mi.minutes from (select match_id, player_id, max(day) as day, bool_or(team_id = home_team_id) as home, sum(case card when 'red' then 2 when 'yellow' then 1 else 0 end) as cards,
+    {", ".join(f"count(*) filter (where {g.IMPACT[k]}) as {k}" for k in _names)} from ledger group by match_id, player_id) a join minutes mi using (match_id, player_id)) group by player_id)"""
+_lowered = lambda m: f"-{m}" if m == "cards_per90" else m
+_share = lambda m: f"case when {m} is not null and minutes >= {g.LEAST_MINUTES} then cast(floor((rank() over (partition by minutes >= {g.LEAST_MINUTES} order by {_lowered(m)}) - 1 + 0.5 * (count(*) over (partition by minutes >= {g.LEAST_MINUTES}, {m}) - 1)) / (count({m}) over (partition by minutes >= {g.LEAST_MINUTES}) - 1) * 100 + 0.5) as bigint) end as p_{m}"
+
+
+def profiles_placed(s, d):
+    return g.with_percentiles(profiles(s, d), ["player_id"], g.PLAYER_METRICS, ("cards_per90",), F.col("minutes") >= g.LEAST_MINUTES)
+
 
 QUERIES = {
     "src7_event_sequence": (lambda s, d: ledger(s, d).select("match_id", "sequence", "minute", "player_id", "team_id", "event_type"), S("select match_id, sequence, minute, player_id, team_id, event_type from ledger")),
@@ -50,11 +65,10 @@ QUERIES = {
         S(f"""select * from (select *, cast(row_number() over (partition by team_id order by goals desc, shots_on_target desc, passes_completed desc, duels_won desc, player_id) as int) as place from (
   select team_id, player_id, {", ".join(f"count(*) filter (where {g.TEAM_STATS[k]}) as {k}" for k in ("goals", "shots_on_target", "passes_completed", "duels_won"))} from ledger group by all)) where place <= 4"""),
     ),
-    "ag16_pr3_player_profile": (profiles, sql(PROFILE, M, L, MINUTES)),
+    "ag16_pr3_player_profile": (profiles_placed, sql(f"select *, {', '.join(_share(m) for m in g.PLAYER_METRICS)} from ({PROFILE})", M, L, MINUTES)),
     "ag20_player_impact": (
         lambda s, d: g.impact(ledger(s, d)),
-        S("""select match_id, player_id, count(*) filter (where is_goal) as n_goals, count(*) filter (where is_own_goal) as n_own_goals, count(*) filter (where event_type = 'shot') as n_shots, count(*) filter (where event_type = 'pass') as n_passes,
-  count(*) filter (where event_type = 'pass' and outcome = 'success') as n_completed, count(*) filter (where event_type = 'foul') as n_fouls, count(*) filter (where event_type = 'duel') as n_duels, count(*) as n_events from ledger group by all"""),
+        sql(f"select * from (select match_id, player_id, {', '.join(f'count(*) filter (where {p}) as n_{k}' for k, p in g.IMPACT.items())}, count(*) as n_events from ledger group by all) join (select match_id, player_id, is_starter, minutes from minutes) using (match_id, player_id)", M, L, MINUTES),
     ),
     "ag21_phases": (
         lambda s, d: g.phases(ledger(s, d)),

@@ -43,7 +43,7 @@ def appearances(s, d):
 
 
 def evidence(s, d):
-    return n.evidence(assembly.QUERIES["pr15_match_assembly"][0](s, d), p.team_load(r.team_match(matches(s, d))), text.material(s, d))
+    return n.evidence(assembly.QUERIES["pr15_match_assembly"][0](s, d), profiles.loads(s, d), text.material(s, d))
 
 
 def windows(s, d):

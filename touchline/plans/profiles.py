@@ -47,7 +47,28 @@ placed as (select *, min(k) over (partition by team_id, day) as first_k from num
 recent as (select match_id, is_home, case when n >= 3 then a0 end as attack, case when n >= 3 then c0 end as conceded, case when n >= 3 then f0 end as form, a0, c0, f0 from (
   select p.match_id, p.is_home, count(b.k) as n, avg(b.gf) as a0, avg(b.ga) as c0, avg(b.points) as f0 from placed p left join numbered b on b.team_id = p.team_id and b.k between p.first_k - 8 and p.first_k - 1 group by p.match_id, p.is_home)),
 edges as (select h.match_id, h.attack - a.attack as ea, a.conceded - h.conceded as ec, h.form - a.form as ef, h.a0 - a.a0 as xa, h.c0 - a.c0 as xc, h.f0 - a.f0 as xf from recent h join recent a on h.match_id = a.match_id and h.is_home and not a.is_home)"""
-_ROLL14 = "count(*) over (partition by team_id order by day range between 14 preceding and 1 preceding)"
+
+DURATION = "case when match_id % 23 = 0 then 'penalties' when match_id % 11 = 0 then 'extra_time' else 'regular' end"
+
+
+def loads(s, d):
+    return p.team_load(matches(s, d).withColumn("duration", F.expr(DURATION)))
+
+
+_parts = {"congestion": "matches_14", "short_rest": "short_rest", "rest": "coalesce(6 - coalesce(rest_before_next, days_since_last), 0)", "away": "coalesce(away_share, 0)", "switching": "switches"}
+_part = {k: f"floor(100 * {w} * least(greatest({_parts[k]} * 1.0e0 / {full}, 0), 1) * 100 + 0.5) / 100" for k, (w, full) in p.FATIGUE.items()}
+#: Every (team, day) meets the finished matches before it one by one.
+LOAD = f"""
+sides as (select match_id, competition_id, day, status, {DURATION} as duration, unnest([home_team_id, away_team_id]) as team_id, unnest([0, 1]) as away from matches),
+as_of as (select distinct team_id, day as t from sides),
+past as (select a.team_id, t, s.match_id, s.competition_id, s.day, s.away, s.duration, row_number() over (partition by a.team_id, t order by s.day desc, s.match_id desc) as k from as_of a join sides s on a.team_id = s.team_id and s.status = 'finished' and s.day < t),
+gaps as (select *, lead(day) over w as before_day, lead(competition_id) over w as before_comp from past window w as (partition by team_id, t order by k)),
+seen as (select team_id, t, count(*) filter (where t - day <= 7) as matches_7, count(*) filter (where t - day <= 14) as matches_14, count(*) filter (where t - day <= 21) as matches_21, count(*) filter (where t - before_day <= 21 and day - before_day < 4) as short_rest,
+  count(*) filter (where t - day <= 21 and duration <> 'regular') as extra_time, min(t - day) as days_since_last, arg_min(match_id, k) as last_match_id, floor(avg(away) filter (where k <= 5) * 100 + 0.5) / 100 as away_share, count(*) filter (where k <= 4 and competition_id <> before_comp) as switches from gaps group by all),
+ahead as (select team_id, t, min({{'day': s.day, 'id': s.match_id}}) as nxt from as_of join sides s using (team_id) where s.status = 'scheduled' and s.day >= t group by all),
+measured as (select a.team_id, t as day, coalesce(matches_7, 0) as matches_7, coalesce(matches_14, 0) as matches_14, coalesce(matches_21, 0) as matches_21, coalesce(short_rest, 0) as short_rest, coalesce(extra_time, 0) as extra_time, days_since_last, last_match_id, away_share, coalesce(switches, 0) as switches,
+  nxt.id as next_match_id, nxt.day - (t - days_since_last) as rest_before_next from as_of a left join seen using (team_id, t) left join ahead using (team_id, t)),
+load as (select match_id, m.*, {", ".join(f"{v} as from_{k}" for k, v in _part.items())}, cast(floor({" + ".join(_part.values())} + 0.5) as bigint) as load from measured m join (select match_id, team_id, day from sides) using (team_id, day))"""
 
 QUERIES = {
     "src1_filtered_scan": (
@@ -90,11 +111,7 @@ QUERIES = {
         S("""select *, floor(points * 1.0e0 / played * 1e4 + 0.5) / 1e4 as points_rate, floor(clean_sheets * 1.0e0 / played * 1e4 + 0.5) / 1e4 as clean_rate from (select competition_id, season, team_id, count(*) as played, cast(sum(points) as bigint) as points, count(*) filter (where ga = 0) as clean_sheets,
   count(*) filter (where gf = 0) as scoreless, cast(sum(points) filter (where k <= 5) as bigint) as last_five, cast(sum(gf) as bigint) as gf, cast(sum(ga) as bigint) as ga from (select *, row_number() over (partition by competition_id, season, team_id order by day desc, match_id desc) as k from team_match) group by all)"""),
     ),
-    "pr5_pr6_ag31_team_load": (
-        lambda s, d: p.team_load(rows(s, d)),
-        S(f"""select match_id, team_id, gap, last_14, floor((least(last_14 / 5.0e0, 1.0) * 0.5 + case when gap is not null then greatest(0.0, 1 - gap / 7.0e0) * 0.3 else 0 end + case when is_home then 0.0 else 0.2 end) / (0.7e0 + case when gap is not null then 0.3e0 else 0 end) * 100 * 100 + 0.5) / 100 as load
-  from (select match_id, team_id, is_home, day - lag(day) over (partition by team_id order by day, match_id) as gap, {_ROLL14} as last_14 from team_match)"""),
-    ),
+    "pr5_pr6_ag31_team_load": (loads, sql("select * from load", M, LOAD)),
     "pr9_pr10_matchup": (
         lambda s, d: p.matchup(rows(s, d)),
         sql("""select match_id, floor((coalesce(ea * 0.5, 0) + coalesce(ec * 0.3, 0) + coalesce(ef * 0.2, 0)) / nullif(case when ea is null then 0 else 0.5e0 end + case when ec is null then 0 else 0.3e0 end + case when ef is null then 0 else 0.2e0 end, 0) * 1e4 + 0.5) / 1e4 as edge from edges""", M, TM, RECENT),
@@ -106,8 +123,8 @@ QUERIES = {
     ),
     "wn14_so4_squad_overlap": (
         lambda s, d: p.eleven_overlap(ledger(s, d)),
-        sql("""select team_id, match_id, cast(len(list_intersect(squad, before)) as bigint) as shared, cast(len(squad) as bigint) as used from (select *, lag(squad) over (partition by team_id order by match_id) as before from (
-  select team_id, match_id, list_distinct(list(player_id)) as squad from ledger group by all)) where before is not null""", M, L),
+        sql("""select team_id, match_id, cast(len(list_intersect(squad, before)) as bigint) as shared, cast(len(squad) as bigint) as used from (select *, lag(squad) over (partition by team_id order by day, match_id) as before from (
+  select team_id, day, match_id, list_distinct(list(player_id)) as squad from ledger group by all)) where before is not null""", M, L),
     ),
     "ag18_minute_share": (
         lambda s, d: p.minute_share(g.minutes(ledger(s, d)), 3),
@@ -115,7 +132,7 @@ QUERIES = {
     ),
     "wn12_collapsed_runs": (
         lambda s, d: p.collapsed_runs(ledger(s, d)),
-        sql("select player_id, count(*) filter (where before is null or before <> team_id) as spells from (select *, lag(team_id) over (partition by player_id order by match_id, sequence) as before from ledger) group by all", M, L),
+        sql("select player_id, count(*) filter (where before is null or before <> team_id) as spells from (select *, lag(team_id) over (partition by player_id order by day, match_id, sequence) as before from ledger) group by all", M, L),
     ),
     "wn25_terciles": (
         lambda s, d: p.terciles(table(s, d, "orders"), "o_totalprice", "o_orderpriority"),
@@ -126,7 +143,7 @@ QUERIES = {
         S("select home_team_id, away_team_id, season, count(*) as n from matches group by all having count(*) > 1"),
     ),
     "ag12_latency_percentiles": (
-        lambda s, d: table(s, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("event_type"))).where("n >= 5").groupBy("event_type").agg(F.max(F.expr("case when k = floor(0.5 * (n - 1) + 0.5) then value end")).alias("p50"), F.max(F.expr("case when k = floor(0.95 * (n - 1) + 0.5) then value end")).alias("p95")),
+        lambda s, d: p.nearest_percentiles(table(s, d, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_type", least=5),
         "select event_type, max(value) filter (where k = floor(0.5 * (n - 1) + 0.5)) as p50, max(value) filter (where k = floor(0.95 * (n - 1) + 0.5)) as p95 from (select *, row_number() over (partition by event_type order by value, event_id) - 1 as k, count(*) over (partition by event_type) as n from events) where n >= 5 group by all",
     ),
 }

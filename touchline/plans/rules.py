@@ -29,9 +29,9 @@ def due(s, d):
 
 def rolling(s, d):
     """Brier scores of the last 30 and 100 forecasts of a season; missing where there are fewer."""
-    j = judged(s, d)
+    j = judged(s, d).join(matches(s, d).select("match_id", "day"), "match_id")
     brier = (c("home") - F.expr("cast(y = 0 as int)")) ** 2
-    ranked = j.select("season", brier.alias("b"), F.row_number().over(Window.partitionBy("season").orderBy(F.desc("match_id"))).alias("k"), F.count("*").over(Window.partitionBy("season")).alias("n"))
+    ranked = j.select("season", brier.alias("b"), F.row_number().over(Window.partitionBy("season").orderBy(F.desc("day"), F.desc("match_id"))).alias("k"), F.count("*").over(Window.partitionBy("season")).alias("n"))
     last = lambda m: F.expr(f"floor(case when max(n) >= {m} then avg(case when k <= {m} then b end) end * 1e6 + 0.5) / 1e6").alias(f"last_{m}")
     return ranked.groupBy("season").agg(last(30), last(100))
 
@@ -43,22 +43,51 @@ def goal_sequences(s, d):
     return g.sequences_agree(r.withColumn("told", told))
 
 
+#: Licences as picture files tell them; a part's key picks one of each.
+PICTURES = {
+    "name": ["CC BY-SA 4.0", "CC BY 2.0", "CC BY-NC 4.0", "CC BY-ND 2.0", "CC0", "Public domain", "GFDL", "FAL", "Fair use", None, "CC BY-NC-SA 3.0", "cc by 3.0 de"],
+    "code": ["cc-by-sa-4.0", "cc-by-2.0", "cc-by-nc-4.0", "cc0", "pd-old", "", None, "gfdl"],
+    "url": ["https://licence.example/1", "", None],
+    "author": ["A. Author", "", None, "B. Author", "C. Author"],
+}
+PICTURES_AT = {"name": 1, "code": 7, "url": 3, "author": 11}
+CLOCK = "1998-01-01 14:30:00"
+
+
+def pictured(what):
+    values = PICTURES[what]
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(c("p_partkey") / PICTURES_AT[what]) % len(values)).cast("int"))
+
+
+def coded(s, d):
+    """Line items as events of the ledger files: codes, and tags by their numbers."""
+    tags = F.array(*[F.when(c("l_suppkey") % k == 0, t) for k, t in zip((7, 2, 3, 5, 4, 6, 9), x.TAGS.values())])
+    return table(s, d, "lineitem").select(x.event_kind(c("l_linenumber"), c("l_partkey") % 105).alias("kind"), F.filter(tags, lambda t: t.isNotNull()).alias("tags"))
+
+
+_kind = lambda k: "{'type': '" + k[0] + "', 'subtype': '" + k[1] + "', 'set_piece': " + (f"'{k[2]}'" if len(k) > 2 else "null") + "}"
+CODED = f"""(select case {" ".join(f"when l_partkey % 105 = {n} then {_kind(k)}" for n, k in x.SUB_EVENTS.items())} {" ".join(f"when l_linenumber = {n} then {_kind(k)}" for n, k in x.EVENTS.items())} end as kind,
+  list_filter([{", ".join(f"case when l_suppkey % {k} = 0 then {t} end" for k, t in zip((7, 2, 3, 5, 4, 6, 9), x.TAGS.values()))}], lambda v: v is not null) as tags from lineitem)"""
+
 QUERIES = {
     "fn1_predicates": (
         lambda s, d: table(s, d, "orders").where(~c("o_orderstatus").eqNullSafe("F") & (c("o_custkey") <= 500) & c("o_orderpriority").isin("1-URGENT", "5-LOW") & c("o_totalprice").isNotNull()).select("o_orderkey"),
         "select o_orderkey from orders where o_orderstatus is distinct from 'F' and o_custkey <= 500 and o_orderpriority in ('1-URGENT', '5-LOW') and o_totalprice is not null",
     ),
     "fn11_event_kinds": (
-        lambda s, d: table(s, d, "lineitem").groupBy(x.event_kind(c("l_returnflag"), c("l_linestatus")).alias("kind")).agg(F.count("*").alias("n")),
-        "select case l_returnflag when 'A' then 'pass' when 'N' then 'shot' when 'R' then 'duel' else 'unmapped:' || l_returnflag end || case when l_linestatus = 'F' then '/set piece' else '' end as kind, count(*) as n from lineitem group by all",
+        lambda s, d: coded(s, d).groupBy("kind.type", "kind.subtype", "kind.set_piece").agg(F.count("*").alias("n")),
+        f"select kind.type as type, kind.subtype as subtype, kind.set_piece as set_piece, count(*) as n from {CODED} group by all",
     ),
     "fn12_outcomes": (
-        lambda s, d: table(s, d, "lineitem").groupBy(x.outcome(F.array((c("l_partkey") % 7).cast("int"), (c("l_suppkey") % 6).cast("int"))).alias("outcome")).agg(F.count("*").alias("n")),
-        "select case " + " ".join(f"when l_partkey % 7 = {t} or l_suppkey % 6 = {t} then '{n}'" for t, n in ((1, "goal"), (2, "on target"), (3, "off target"), (4, "won"), (5, "lost"))) + " end as outcome, count(*) as n from lineitem group by all",
+        lambda s, d: coded(s, d).groupBy(c("kind.type").alias("type"), x.outcome(c("kind.type"), c("tags")).alias("outcome")).agg(F.count("*").alias("n")),
+        f"""select type, case when type = 'shot' and list_contains(tags, 101) then 'goal' when type = 'duel' then case when list_contains(tags, 703) then 'won' when list_contains(tags, 701) then 'lost' when list_contains(tags, 702) then 'neutral' end
+  when list_contains(tags, 1801) then case when type = 'shot' then 'on_target' else 'success' end when list_contains(tags, 1802) then case when type <> 'shot' or type is null then 'fail' when list_contains(tags, 2101) then 'blocked' else 'off_target' end end as outcome, count(*) as n
+  from (select kind.type as type, tags from {CODED}) group by all""",
     ),
     "fn16_match_states": (
-        lambda s, d: matches(s, d).groupBy(x.match_state(c("status"), c("day"), NOW).alias("state")).agg(F.count("*").alias("n")),
-        S(f"select case when status in ('finished', 'postponed') then status when day > {NOW} then 'scheduled' when day = {NOW} then 'live' else 'unknown' end as state, count(*) as n from matches group by all"),
+        lambda s, d: matches(s, d).select(x.match_state(c("status"), c("kickoff_at") + F.expr("make_interval(0, 0, 0, 0, match_id % 24)"), F.lit(f"{CLOCK}").cast("timestamp")).alias("state")).groupBy("state").agg(F.count("*").alias("n")),
+        S(f"""select case when status in ('finished', 'postponed') then status when k > t then 'scheduled' when date_diff('minute', k, t) < 180 then 'live' else 'unknown' end as state, count(*) as n from (
+  select status, cast(kickoff_at as timestamp) + to_hours(cast(match_id % 24 as int)) as k, timestamp '{CLOCK}' as t from matches) group by all"""),
     ),
     "fn18_fn19_stages": (
         lambda s, d: table(s, d, "part").select("p_partkey", x.stage_role(F.concat("p_type", F.when(c("p_size") > 40, " Play-Off").otherwise(""))).alias("role"), x.stage_key(c("p_type")).alias("key")),
@@ -78,8 +107,11 @@ QUERIES = {
         "select n_nationkey, case when n_nationkey < 3 then 'title' when n_nationkey = 3 then 'qualified' when n_nationkey between 6 and 21 then 'relegated' end as zone from nation",
     ),
     "fn34_licences": (
-        lambda s, d: table(s, d, "documents").groupBy(x.licence(c("text"), c("source")).alias("licence")).agg(F.count("*").alias("n")),
-        r"select case when regexp_matches(lower(coalesce(text, '')), 'all rights reserved|trademark') then 'rejected' when regexp_matches(lower(coalesce(text, '')), '\bcc0\b|public domain') then 'approved' when regexp_matches(lower(coalesce(text, '')), 'cc[ -]by') and source is not null then 'approved' when regexp_matches(lower(coalesce(text, '')), '\bnc\b|\bnd\b') then 'restricted' else 'review required' end as licence, count(*) as n from documents group by all",
+        lambda s, d: table(s, d, "part").select("p_partkey", x.licence(*[pictured(k) for k in ("name", "code", "url", "author")], c("p_partkey") % 29 == 0, c("p_partkey") % 4 == 0).alias("licence")),
+        f"""select p_partkey, case when p_partkey % 29 = 0 then 'rejected' when contains(lower(code), '-nc') or contains(lower(code), '-nd') or regexp_matches(lower(name), '\\b(nc|nd)\\b') then 'restricted'
+  when starts_with(lower(code), 'cc0') or starts_with(lower(code), 'pd') or contains(lower(name), 'public domain') or starts_with(lower(name), 'cc0') or regexp_matches(lower(code), '^cc-by(-sa)?-[0-9]') or regexp_matches(lower(name), '^cc by(-sa)? [0-9]')
+  then case when (regexp_matches(lower(code), '^cc-by(-sa)?-[0-9]') or regexp_matches(lower(name), '^cc by(-sa)? [0-9]')) and (author = '' or url = '') then 'review_required' when p_partkey % 4 = 0 and not starts_with(lower(code), 'pd') and not contains(lower(name), 'public domain') then 'review_required' else 'approved' end
+  else 'review_required' end as licence from (select p_partkey, {", ".join(f"coalesce({[v for v in PICTURES[k]]}[p_partkey // {PICTURES_AT[k]} % {len(PICTURES[k])} + 1], '') as {k}" for k in PICTURES).replace("None", "null")} from part)""",
     ),
     "ing15_due_retries": (
         due,
@@ -92,7 +124,7 @@ QUERIES = {
     ),
     "wn18_rolling_metrics": (
         rolling,
-        sql("select season, floor(case when max(n) >= 30 then avg(b) filter (where k <= 30) end * 1e6 + 0.5) / 1e6 as last_30, floor(case when max(n) >= 100 then avg(b) filter (where k <= 100) end * 1e6 + 0.5) / 1e6 as last_100 from (select season, pow(home - (y = 0)::int, 2) as b, row_number() over (partition by season order by match_id desc) as k, count(*) over (partition by season) as n from judged) group by all", M, TM, STRENGTH),
+        sql("select season, floor(case when max(n) >= 30 then avg(b) filter (where k <= 30) end * 1e6 + 0.5) / 1e6 as last_30, floor(case when max(n) >= 100 then avg(b) filter (where k <= 100) end * 1e6 + 0.5) / 1e6 as last_100 from (select season, pow(home - (y = 0)::int, 2) as b, row_number() over (partition by season order by day desc, match_id desc) as k, count(*) over (partition by season) as n from judged join (select match_id, day from matches) using (match_id)) group by all", M, TM, STRENGTH),
     ),
     "tx12_goal_sequences": (
         goal_sequences,

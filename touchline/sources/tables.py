@@ -43,21 +43,32 @@ def matches(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: What a duel of the ledger was.
+DUELS = ["tackle", "interception", "clearance", "save", "aerial"]
+
+
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Match events in order: sequence, minute, player, team, type, outcome, goals, place, family."""
-    m = matches(spark, path).select("match_id", "home_team_id", "away_team_id")
+    """Match events in order: sequence, day, minute, player, team, type, subtype, outcome, card, goals, place, family."""
+    m = matches(spark, path).select("match_id", "day", "home_team_id", "away_team_id")
+    kind = F.when(F.col("l_returnflag") == "A", "pass").when(F.col("l_returnflag") == "N", "shot").when(F.col("l_linestatus") == "F", "foul").otherwise("duel")
+    part = F.col("l_partkey")
+    subtype = F.when(kind == "pass", F.when(part % 13 == 0, "assist").when(part % 13 == 1, "key_pass").otherwise("simple")).when(kind == "shot", F.when(part % 17 == 0, "penalty").otherwise("open_play"))
+    subtype = subtype.when(kind == "foul", "foul").otherwise(F.element_at(F.array(*[F.lit(x) for x in DUELS]), (part % len(DUELS) + 1).cast("int")))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     unlocated = (F.col("l_partkey") + F.col("l_linenumber")) % 11 == 0
     rows = table(spark, path, "lineitem").withColumn("sequence", F.row_number().over(order).cast("int"))
     return rows.join(m, F.col("l_orderkey") == F.col("match_id")).select(
         "match_id",
+        "day",
         "sequence",
         (1 + F.col("l_partkey") % 90).cast("int").alias("minute"),
         F.col("l_suppkey").alias("player_id"),
         F.when(F.col("l_suppkey") % 2 == 0, F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("team_id"),
         "home_team_id",
         "away_team_id",
-        F.when(F.col("l_returnflag") == "A", "pass").when(F.col("l_returnflag") == "N", "shot").when(F.col("l_linestatus") == "F", "foul").otherwise("duel").alias("event_type"),
+        kind.alias("event_type"),
+        subtype.alias("subtype"),
+        F.when((kind == "foul") & (part % 41 == 0), "red").when((kind == "foul") & (part % 6 == 0), "yellow").alias("card"),
         F.when(F.col("l_linestatus") == "F", "success").otherwise("fail").alias("outcome"),
         F.expr("l_returnflag = 'N' and l_linestatus = 'F' and l_partkey % 5 = 0").alias("is_goal"),
         F.expr("l_returnflag = 'R' and l_linestatus = 'O' and l_partkey % 31 = 0").alias("is_own_goal"),
@@ -84,13 +95,16 @@ team_match as (
   union all
   select match_id, competition_id, season, day, away_team_id, home_team_id, false, away_score, home_score,
     case when away_score > home_score then 3 when home_score = away_score then 1 else 0 end from matches where status = 'finished')"""
-SQL_LEDGER = """
+SQL_LEDGER = f"""
 ledger as (
-  select l.l_orderkey as match_id,
+  select l.l_orderkey as match_id, m.day,
     cast(row_number() over (partition by l.l_orderkey order by l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) as int) as sequence,
     cast(1 + l.l_partkey % 90 as int) as minute, l.l_suppkey as player_id,
     case when l.l_suppkey % 2 = 0 then m.home_team_id else m.away_team_id end as team_id, m.home_team_id, m.away_team_id,
     case l.l_returnflag when 'A' then 'pass' when 'N' then 'shot' else case l.l_linestatus when 'F' then 'foul' else 'duel' end end as event_type,
+    case l.l_returnflag when 'A' then case l.l_partkey % 13 when 0 then 'assist' when 1 then 'key_pass' else 'simple' end when 'N' then case when l.l_partkey % 17 = 0 then 'penalty' else 'open_play' end
+      else case when l.l_linestatus = 'F' then 'foul' else {DUELS}[l.l_partkey % {len(DUELS)} + 1] end end as subtype,
+    case when l.l_returnflag not in ('A', 'N') and l.l_linestatus = 'F' then case when l.l_partkey % 41 = 0 then 'red' when l.l_partkey % 6 = 0 then 'yellow' end end as card,
     case when l.l_linestatus = 'F' then 'success' else 'fail' end as outcome,
     l.l_returnflag = 'N' and l.l_linestatus = 'F' and l.l_partkey % 5 = 0 as is_goal,
     l.l_returnflag = 'R' and l.l_linestatus = 'O' and l.l_partkey % 31 = 0 as is_own_goal,
