@@ -28,6 +28,9 @@ COLUMNS = {
     "op8_suffix_automaton": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_two_pass_shuffle": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_partenum_join": "doc_id n_shingles component_id",
+    "op11_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+    "op12_walsh_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
