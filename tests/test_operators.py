@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import exprs as x
-from touchline.operators import identity, ingest, models, quality, results, text
+from touchline.operators import identity, ingest, models, quality, ratings, results, text
 from touchline.sources import captures
 from touchline.streaming import live
 
@@ -28,7 +28,7 @@ def test_matches_of_one_day_do_not_see_each_other(spark):
     # The future doesn't matter.
     cut = {(r["match_id"], r["team_id"]): r["attack"] for r in models.decayed_strengths(team.where("day <= 20")).collect()}
     assert all(known[k]["attack"] == v for k, v in cut.items())
-    ratings = {r["match_id"]: r for r in models.elo(matches(spark, rows)).collect()}
+    ratings = {r["match_id"]: r for r in ratings.elo(matches(spark, rows)).collect()}
     assert ratings[2]["home_elo"] == ratings[3]["home_elo"] != ratings[1]["home_elo"]
 
 

@@ -144,7 +144,7 @@ def test_sums_before_a_value(spark):
     rows = [(int(k), float(v), int(x)) for k, v, x in zip(rng.integers(0, 3, 3000), np.round(rng.normal(size=3000), 1), rng.integers(0, 9, 3000))] + [(0, None, 5)]
     df = spark.createDataFrame(rows, "pool int, v double, x int").repartition(5)
     for pool in ((), ("pool",)):
-        got = {(*[r[p] for p in pool], r["v"]): (r["n"], r["x"], r["before_n"], r["before_x"]) for r in ordered.before(df, "v", {"x": "x"}, pool=pool, pieces=7).collect()}
+        got = {(*[r[p] for p in pool], r["v"]): (r["n"], r["x"], r["before_n"], r["before_x"]) for r in ordered.before(df, "v", {"x": "x"}, pool=pool).collect()}
         for key, found in got.items():
             mine = [r for r in rows if r[1] is not None and (not pool or r[0] == key[0])]
             same, below = [r for r in mine if r[1] == key[-1]], [r for r in mine if r[1] < key[-1]]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fold, half_up
+from ..sources.shared import written
 from .ordered import at_ranks, before
 
 c = F.col
@@ -93,6 +94,7 @@ def allocated(demands: DataFrame, pool: int) -> DataFrame:
 def confident_accuracy(df: DataFrame, shares: list[float]) -> DataFrame:
     """Accuracy of the most confident shares of forecasts: (id, p, hit); of equal probabilities the smaller ids count first."""
     out = None
+    df = written(df.select("id", "p", "hit"), "forecasts")  # read for every share
     n = df.count()
     levels = before(df.withColumn("v", -c("p")), "v", {"hits": "cast(hit as int)"})
     for share in shares:

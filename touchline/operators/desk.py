@@ -269,9 +269,13 @@ def video_entries(feeds: DataFrame, body: str = "body") -> DataFrame:
     return entries.select("channel", one("yt:videoId").alias("video_id"), plain(one("title")).alias("title"), one("published").alias("published")).where("video_id <> ''")
 
 
-def keep_calibrator(raw: DataFrame, seasons: DataFrame) -> DataFrame:
-    """Whether a calibrator is kept: (method, d_log_loss, d_brier, d_ece, lowest, highest, shift) and (method, season, d_log_loss)."""
+def keep_calibrator(raw: DataFrame, seasons: DataFrame, order: DataFrame) -> DataFrame:
+    """Whether a calibrator is kept: (method, d_log_loss, d_brier, d_ece, lowest, highest, draw_low, draw_high, shift), (method, season, d_log_loss), (method, k5, k6) of ``order_kept``.
+
+    A rule of which a measure is missing fails.
+    """
     worse = seasons.groupBy("method").agg(F.count_if(c("d_log_loss") > 0.002).alias("worse"))
-    rules = {"K1": c("d_log_loss") <= -0.0005, "K2": c("d_brier") <= 0.0005, "K3": c("d_ece") < 0, "K4": c("worse") <= 1, "K7": (c("lowest") >= 0.02) & (c("highest") <= 0.95) & (c("shift") <= 0.10)}
-    failed = F.array_join(F.filter(F.array(*[F.when(~r, F.lit(k)) for k, r in rules.items()]), lambda x: x.isNotNull()), ",")
-    return raw.join(worse, "method").select("method", "worse", failed.alias("failed"), (failed == "").alias("kept"))
+    spread = (c("lowest") >= 0.02) & (c("highest") <= 0.95) & (c("draw_low") >= 0.05) & (c("draw_high") <= 0.45) & (c("shift") <= 0.10)
+    rules = {"K1": c("d_log_loss") <= -0.0005, "K2": c("d_brier") <= 0.0005, "K3": c("d_ece") < 0, "K4": c("worse") <= 1, "K5": c("k5"), "K6": c("k6"), "K7": spread}
+    failed = F.array_join(F.filter(F.array(*[F.when(~F.coalesce(r, F.lit(False)), F.lit(k)) for k, r in rules.items()]), lambda x: x.isNotNull()), ",")
+    return raw.join(worse, "method").join(order.select("method", "k5", "k6"), "method", "left").select("method", "worse", failed.alias("failed"), (failed == "").alias("kept"))

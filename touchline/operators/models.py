@@ -84,60 +84,6 @@ def markets(expected: DataFrame, rho: float = -0.1099) -> DataFrame:
     return sums.select("match_id", "home_rate", "away_rate", *[share(x) for x in ("home", "draw", "away", "over25", "both", "home_scores")])
 
 
-def elo(matches: DataFrame, k: float = 20.0, home: float = 60.0, carry: float = 0.75) -> DataFrame:
-    """Ratings of both sides before each match; a new season pulls them to 1500.
-
-    A recurrence over a competition's matches in order, so one task for each competition. Matches
-    of one day see the ratings of the days before.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ratings: dict[int, float] = {}
-        season = None
-        out = []
-        for day, same in pdf.sort_values(["day", "match_id"]).groupby("day", sort=True):
-            if season is not None and same.season.iloc[0] != season:
-                ratings = {t: 1500 + carry * (v - 1500) for t, v in ratings.items()}
-            season = same.season.iloc[0]
-            moves: dict[int, float] = {}
-            for m in same.itertuples():
-                h, a = ratings.get(m.home_team_id, 1500.0), ratings.get(m.away_team_id, 1500.0)
-                expected = 1 / (1 + 10 ** (-(h + home - a) / 400))
-                scored = 1.0 if m.home_score > m.away_score else 0.5 if m.home_score == m.away_score else 0.0
-                out.append((m.match_id, m.competition_id, h, a, expected))
-                moves[m.home_team_id] = moves.get(m.home_team_id, 0.0) + k * (scored - expected)
-                moves[m.away_team_id] = moves.get(m.away_team_id, 0.0) - k * (scored - expected)
-            for t, v in moves.items():
-                ratings[t] = ratings.get(t, 1500.0) + v
-        return pd.DataFrame(out, columns=["match_id", "competition_id", "home_elo", "away_elo", "expected"])
-
-    done = matches.where("status = 'finished'").select("match_id", "competition_id", "season", "day", "home_team_id", "away_team_id", "home_score", "away_score")
-    return done.groupBy("competition_id").applyInPandas(run, "match_id long, competition_id int, home_elo double, away_elo double, expected double")
-
-
-def national_strengths(matches: DataFrame, rounds: int = 30, shrink: float = 3.0) -> DataFrame:
-    """Opponent-adjusted attack and defence by fixed-point rounds, one task for each competition and season."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        teams = sorted(set(pdf.home_team_id) | set(pdf.away_team_id))
-        at = {t: i for i, t in enumerate(teams)}
-        h, a = pdf.home_team_id.map(at).to_numpy(), pdf.away_team_id.map(at).to_numpy()
-        hg, ag = pdf.home_score.to_numpy(float), pdf.away_score.to_numpy(float)
-        mean = max((hg.sum() + ag.sum()) / (2 * len(pdf)), 1e-9)
-        attack, defence = np.ones(len(teams)), np.ones(len(teams))
-        for _ in range(rounds):
-            goals = np.bincount(h, hg, len(teams)) + np.bincount(a, ag, len(teams))
-            due = np.bincount(h, mean * defence[a], len(teams)) + np.bincount(a, mean * defence[h], len(teams))
-            attack = (goals + shrink) / (due + shrink)
-            lost = np.bincount(h, ag, len(teams)) + np.bincount(a, hg, len(teams))
-            due = np.bincount(h, mean * attack[a], len(teams)) + np.bincount(a, mean * attack[h], len(teams))
-            defence = (lost + shrink) / (due + shrink)
-        return pd.DataFrame({"competition_id": pdf.competition_id.iloc[0], "season": pdf.season.iloc[0], "team_id": teams, "attack": attack, "defence": defence})
-
-    done = matches.where("status = 'finished'").select("competition_id", "season", "home_team_id", "away_team_id", "home_score", "away_score")
-    return done.groupBy("competition_id", "season").applyInPandas(run, "competition_id int, season int, team_id int, attack double, defence double")
-
-
 def rho_scores(expected: DataFrame, matches: DataFrame, grid: list[float]) -> DataFrame:
     """Log likelihood of each correction in a fixed grid, from the four low scores that it changes."""
     low = expected.join(matches.where("home_score <= 1 and away_score <= 1").select("match_id", "home_score", "away_score"), "match_id")

@@ -81,7 +81,7 @@ def at_ranks(df: DataFrame, value: str, ranks: dict[str, Column], *pool: str, fe
     upto = values.withColumn("upto", c("below") + F.sum("k").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     found = upto.where(c("upto") > c("rank")).groupBy(*keys).agg(F.min("v").alias("v"))
     wide = found.groupBy(*pool).agg(*[F.max(F.when(c("name") == name, c("v"))).alias(name) for name in ranks]).withColumnsRenamed({p: f"of_{p}" for p in pool})
-    return sizes.join(wide, [c(p).eqNullSafe(c(f"of_{p}")) for p in pool], "left").select(*pool, "n", *ranks)
+    return sizes.select(*pool, "n").join(wide, [c(p).eqNullSafe(c(f"of_{p}")) for p in pool], "left").select(*pool, "n", *ranks)
 
 
 class Pages:

@@ -20,15 +20,45 @@ def weighted(components: dict[str, tuple[Column, float]]) -> Column:
     return F.try_divide(total(lambda p: p["v"] * p["w"]), total(lambda p: p["w"]))
 
 
-def team_season(rows: DataFrame) -> DataFrame:
-    """A team's season: points a match, goals, clean sheets, scoreless matches, last five points."""
-    newest = Window.partitionBy("competition_id", "season", "team_id").orderBy(F.desc("day"), F.desc("match_id"))
-    ranked = rows.withColumn("k", F.row_number().over(newest))
-    out = ranked.groupBy("competition_id", "season", "team_id").agg(
-        F.count("*").alias("played"), F.sum("points").cast("long").alias("points"), F.count_if(c("ga") == 0).alias("clean_sheets"), F.count_if(c("gf") == 0).alias("scoreless"),
-        F.sum(F.when(c("k") <= 5, c("points"))).cast("long").alias("last_five"), F.sum("gf").cast("long").alias("gf"), F.sum("ga").cast("long").alias("ga"),
+#: Metrics of a team's season that get percentiles, and those of which less is better.
+TEAM_METRICS = [
+    "points_per_match", "goals_for_per_match", "goals_against_per_match", "clean_sheet_rate", "failed_to_score_rate", "scored_first_rate", "points_per_match_after_conceding_first", "shots_per_match", "shots_against_per_match",
+    "shots_on_target_per_match", "shot_conversion", "possession_avg", "cards_per_match", "home_points_per_match", "away_points_per_match", "last5_points_per_match",
+]
+LESS_IS_BETTER = ("goals_against_per_match", "failed_to_score_rate", "shots_against_per_match", "cards_per_match")
+
+
+def team_season(rows: DataFrame, firsts: DataFrame, stats: DataFrame, last: int = 5, form: int = 10) -> DataFrame:
+    """A team's season in sixteen metrics, with counts and form.
+
+    rows: team rows of matches; firsts: (match_id, team_id) that the first goal counted for; stats: (match_id,
+    team_id, shots, shots_on_target, possession, cards). Shots count where both teams have them; cards count a
+    red one twice. Rates without matches are missing.
+    """
+    key = ["competition_id", "season", "team_id"]
+    newest = Window.partitionBy(*key).orderBy(F.desc("day"), F.desc("match_id"))
+    other = stats.select("match_id", c("team_id").alias("opponent_id"), c("shots").alias("shots_against"))
+    all_rows = rows.withColumn("k", F.row_number().over(newest)).join(firsts.select("match_id", c("team_id").alias("first_team")), "match_id", "left").join(stats, ["match_id", "team_id"], "left").join(other, ["match_id", "opponent_id"], "left")
+    both = c("shots").isNotNull() & c("shots_against").isNotNull()
+    scored_first, conceded_first = c("first_team") == c("team_id"), c("first_team") != c("team_id")
+    total = lambda x, when=None: F.coalesce(F.sum(x if when is None else F.when(when, x)), F.lit(0)).cast("long")
+    letter = F.when(c("points") == 3, "W").when(c("points") == 1, "D").otherwise("L")
+    sums = all_rows.groupBy(*key).agg(
+        F.count("*").alias("played"), total(c("points")).alias("points"), total(c("gf")).alias("gf"), total(c("ga")).alias("ga"), F.count_if(c("ga") == 0).alias("clean_sheets"), F.count_if(c("gf") == 0).alias("scoreless"),
+        F.count_if(scored_first).alias("scored_first"), F.count_if(conceded_first).alias("conceded_first"), total(c("points"), conceded_first).alias("points_behind"), F.count_if(conceded_first & (c("points") == 3)).alias("comebacks"),
+        F.count_if(both).alias("stats_matches"), total(c("shots"), both).alias("shots"), total(c("shots_against"), both).alias("shots_against"), total(c("shots_on_target"), both).alias("on_target"), F.avg(F.when(both, c("possession"))).alias("possession"), total(c("cards")).alias("cards"),
+        F.count_if("is_home").alias("home_played"), total(c("points"), c("is_home")).alias("home_points"), F.count_if(~c("is_home")).alias("away_played"), total(c("points"), ~c("is_home")).alias("away_points"),
+        F.count_if(c("k") <= last).alias("last_played"), total(c("points"), c("k") <= last).alias("last_points"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("k") <= form, F.struct("k", letter.alias("r"))))), lambda x: x["r"]), "").alias("form"),
     )
-    return out.select("*", ratio(c("points"), c("played")).alias("points_rate"), ratio(c("clean_sheets"), c("played")).alias("clean_rate"))
+    per = lambda a, b: ratio(c(a), c(b), 2)
+    rates = {
+        "points_per_match": per("points", "played"), "goals_for_per_match": per("gf", "played"), "goals_against_per_match": per("ga", "played"), "clean_sheet_rate": per("clean_sheets", "played"), "failed_to_score_rate": per("scoreless", "played"),
+        "scored_first_rate": ratio(c("scored_first"), c("scored_first") + c("conceded_first"), 2), "points_per_match_after_conceding_first": per("points_behind", "conceded_first"), "shots_per_match": per("shots", "stats_matches"),
+        "shots_against_per_match": per("shots_against", "stats_matches"), "shots_on_target_per_match": per("on_target", "stats_matches"), "shot_conversion": F.when(c("stats_matches") > 0, per("gf", "shots")), "possession_avg": half_up(c("possession"), 2),
+        "cards_per_match": per("cards", "played"), "home_points_per_match": per("home_points", "home_played"), "away_points_per_match": per("away_points", "away_played"), "last5_points_per_match": per("last_points", "last_played"),
+    }
+    return sums.select(*key, "played", "points", "gf", "ga", "comebacks", "conceded_first", "stats_matches", "form", *[x.alias(k) for k, x in rates.items()])
 
 
 #: Shares of the fatigue index, and what counts as a full value of each part.

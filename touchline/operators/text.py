@@ -143,37 +143,49 @@ ANGLES = {
 PUBLISH = 1.0
 
 
+def tables_before(rows: DataFrame) -> DataFrame:
+    """The table of each season before each of its days: competition_id, season, day, before (its lines in order, of teams that have played).
+
+    Teams and days of a season are met once and totals carried forward, so there are as many rows
+    as days times teams, however many matches a day has.
+    """
+    key = ["competition_id", "season"]
+    by_day = rows.groupBy(*key, "team_id", "day").agg(F.sum("points").alias("p"), F.sum(c("gf") - c("ga")).alias("d"), F.sum("gf").alias("g"), F.count("*").alias("n"))
+    grid = by_day.select(*key, "day").distinct().join(by_day.select(*key, "team_id").distinct(), key)
+    earlier = Window.partitionBy(*key, "team_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    held = grid.join(by_day, [*key, "team_id", "day"], "left").select(*key, "day", "team_id", *[F.sum(x).over(earlier).alias(x) for x in "pdgn"])
+    line = F.struct((-c("p")).alias("p"), (-c("d")).alias("d"), (-c("g")).alias("g"), c("team_id").cast("long").alias("team"), "n")
+    return held.groupBy(*key, "day").agg(F.array_sort(F.collect_list(F.when(c("n") > 0, line))).alias("before"))
+
+
 def match_angles(finished: DataFrame, rows: DataFrame, scorers: DataFrame) -> DataFrame:
     """Angles of every finished match with what each weighs.
 
     finished: matches with home_score_ht and away_score_ht (may be null); rows: their team rows; scorers:
-    (match_id, player_id, goals). The tables before and after a match are those of its season's earlier
-    days, so a match meets each team of its season once: the interval of days in which a team's totals
-    hold is found by a join on the season.
+    (match_id, player_id, goals). A season's table before each of its days is one row, which its matches
+    meet by equality of the day; the table after a match is that row with the match's two teams changed.
     """
     key = ["competition_id", "season"]
-    by_day = rows.groupBy(*key, "team_id", "day").agg(F.sum("points").alias("p"), F.sum(c("gf") - c("ga")).alias("d"), F.sum("gf").alias("g"), F.count("*").alias("n"))
-    team = Window.partitionBy(*key, "team_id").orderBy("day")
-    upto = team.rowsBetween(Window.unboundedPreceding, 0)
-    totals = by_day.select(*key, "team_id", c("day").alias("since"), F.lead("day").over(team).alias("until"), *[F.sum(x).over(upto).alias(x) for x in "pdgn"])
     games = finished.select(*key, "match_id", "day", "home_team_id", "away_team_id", "home_score", "away_score", "home_score_ht", "away_score_ht")
-    known = games.join(totals, key).where((c("day") > c("since")) & (c("until").isNull() | (c("day") <= c("until")))).drop("since", "until")
-    sides = games.withColumn("team_id", F.explode(F.array("home_team_id", "away_team_id")))
-    fresh = sides.join(known.select("match_id", "team_id"), ["match_id", "team_id"], "left_anti").select("*", *[F.lit(0).cast("long").alias(x) for x in "pdgn"])
-    every = known.unionByName(fresh.select(known.columns))
-    home, away = c("team_id") == c("home_team_id"), c("team_id") == c("away_team_id")
-    margin = F.when(home, c("home_score") - c("away_score")).when(away, c("away_score") - c("home_score"))
-    points = F.when(margin > 0, 3).when(margin == 0, 1).otherwise(0)
-    after = every.select("*", (c("p") + points).alias("p2"), (c("d") + F.coalesce(margin, F.lit(0))).alias("d2"), (c("g") + F.when(home, c("home_score")).when(away, c("away_score")).otherwise(0)).alias("g2"))
-    own = Window.partitionBy("match_id")
-    place = lambda *x: F.row_number().over(own.orderBy(*[F.desc(v) for v in x], "team_id"))
-    placed = after.select("*", F.when(c("n") > 0, place(F.expr("n > 0"), c("p"), c("d"), c("g"))).alias("b"), place(c("p2"), c("d2"), c("g2")).alias("a"))
-    at = lambda pos, k, x: F.max(F.when(c(pos) == k, c(x)))
-    side = lambda s, x: F.max(F.when(c("team_id") == c(f"{s}_team_id"), c(x)))
-    tables = placed.groupBy("match_id").agg(
-        F.count("*").alias("teams"),
-        *[at(pos, k, x).alias(f"{name}{k}_{pos}") for pos, pts in (("b", "p"), ("a", "p2")) for k in (1, 2) for name, x in (("team", "team_id"), ("points", pts))],
-        *[side(s, x).alias(f"{s}_{x}") for s in ("home", "away") for x in ("b", "a", "n")],
+    known = games.join(tables_before(rows), [*key, "day"])
+    # A place in the table: what counts, the larger the sooner, then the team.
+    line = lambda p, d, g, team, n: F.struct((-p).alias("p"), (-d).alias("d"), (-g).alias("g"), team.cast("long").alias("team"), n.cast("long").alias("n"))
+    zero = F.lit(0).cast("long")
+    newcomer = lambda team: F.when(F.exists("before", lambda x: x["team"] == team), F.array()).otherwise(F.array(line(zero, zero, zero, team, zero)))
+    home, away = (lambda x: x["team"] == c("home_team_id")), (lambda x: x["team"] == c("away_team_id"))
+    margin = c("home_score") - c("away_score")
+    won = lambda m: F.when(m > 0, 3).when(m == 0, 1).otherwise(0)
+    plus = lambda x, m, g: line(-x["p"] + won(m), -x["d"] + m, -x["g"] + g, x["team"], x["n"])
+    both = F.concat("before", newcomer(c("home_team_id")), newcomer(c("away_team_id")))
+    played = F.transform(both, lambda x: F.when(home(x), plus(x, margin, c("home_score"))).when(away(x), plus(x, -margin, c("away_score"))).otherwise(x))
+    placed = known.withColumn("after", F.array_sort(played))
+    at = lambda t, k, x: F.get(F.transform(t, lambda e: e[x]), F.lit(k - 1))
+    place = lambda t, team: F.nullif(F.array_position(F.transform(t, lambda e: e["team"]), c(team).cast("long")), zero)
+    matches_of = lambda team: F.coalesce(F.get(F.transform(F.filter("before", lambda e: e["team"] == c(team)), lambda e: e["n"]), F.lit(0)), zero)
+    tables = placed.select(
+        "match_id", F.size("after").alias("teams"),
+        *[at(t, k, "team").alias(f"team{k}_{t[0]}") for t in ("before", "after") for k in (1, 2)], *[(-at(t, k, "p")).alias(f"points{k}_{t[0]}") for t in ("before", "after") for k in (1, 2)],
+        *[place(t, f"{s}_team_id").alias(f"{s}_{t[0]}") for s in ("home", "away") for t in ("before", "after")], *[matches_of(f"{s}_team_id").alias(f"{s}_n") for s in ("home", "away")],
     )
     ever = Window.partitionBy(*key, "team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key, "team_id").orderBy("day", "match_id")))

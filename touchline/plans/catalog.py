@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, crosschecks, decisions, desk, ingest, ledger, matchup, models, newsroom, profiles, results, rules, text
+from . import assembly, crosschecks, decisions, depth, desk, ingest, ledger, matchup, models, newsroom, profiles, results, rules, text
 
-MODULES = [results, ledger, ingest, models, text, profiles, crosschecks, rules, assembly, decisions, desk, matchup, newsroom]
+MODULES = [results, ledger, ingest, models, text, profiles, crosschecks, rules, assembly, decisions, desk, matchup, newsroom, depth]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,10 +101,15 @@ def entries(s, d):
 
 
 def kept(s, d):
+    """Priorities as methods, with measures made of their orders' keys."""
     o = table(s, d, "orders").select(c("o_orderpriority").alias("method"), F.year("o_orderdate").alias("season"), (c("o_custkey") % 9 - 4).alias("x"), (c("o_orderkey") % 50).alias("y"))
     seasons = o.groupBy("method", "season").agg((F.avg("x") / 40).alias("d_log_loss"))
-    raw = o.groupBy("method").agg((F.avg("x") / 10).alias("d_log_loss"), (F.avg("x") / 5).alias("d_brier"), (F.avg("x")).alias("d_ece"), (F.min("y") / 100 + 0.02).alias("lowest"), (F.max("y") / 50).alias("highest"), (F.max("x") / 100).alias("shift"))
-    return k.keep_calibrator(raw, seasons)
+    raw = o.groupBy("method").agg(
+        (F.avg("x") / 10).alias("d_log_loss"), (F.avg("x") / 5).alias("d_brier"), F.avg("x").alias("d_ece"), (F.min("y") / 100 + 0.02).alias("lowest"), (F.max("y") / 50).alias("highest"),
+        (F.count("*") % 10 / 100).alias("draw_low"), (F.count("*") % 7 / 14).alias("draw_high"), (F.max("x") / 100).alias("shift"),
+    )
+    order = o.groupBy("method").agg((F.count("*") % 2 == 0).alias("k5"), F.when(F.count("*") % 3 != 0, F.count("*") % 5 != 0).alias("k6"))
+    return k.keep_calibrator(raw, seasons, order)
 
 
 QUERIES = {
@@ -185,8 +190,8 @@ QUERIES = {
     ),
     "xt18_keep_calibrator": (
         kept,
-        """select method, worse, failed, failed = '' as kept from (select method, worse, array_to_string(list_filter([case when ll > -0.0005 then 'K1' end, case when br > 0.0005 then 'K2' end, case when ece >= 0 then 'K3' end, case when worse > 1 then 'K4' end, case when lo < 0.02 or hi > 0.95 or sh > 0.10 then 'K7' end], lambda x: x is not null), ',') as failed from (
-  select o_orderpriority as method, avg(o_custkey % 9 - 4) / 10 as ll, avg(o_custkey % 9 - 4) / 5 as br, avg(o_custkey % 9 - 4) as ece, min(o_orderkey % 50) / 100 + 0.02e0 as lo, max(o_orderkey % 50) / 50 as hi, max(o_custkey % 9 - 4) / 100 as sh from orders group by all)
+        """select method, worse, failed, failed = '' as kept from (select method, worse, array_to_string(list_filter([case when ll > -0.0005 then 'K1' end, case when br > 0.0005 then 'K2' end, case when ece >= 0 then 'K3' end, case when worse > 1 then 'K4' end, case when n % 2 <> 0 then 'K5' end, case when n % 3 = 0 or n % 5 = 0 then 'K6' end, case when lo < 0.02 or hi > 0.95 or sh > 0.10 or n % 10 < 5 or n % 7 / 14 > 0.45 then 'K7' end], lambda x: x is not null), ',') as failed from (
+  select o_orderpriority as method, avg(o_custkey % 9 - 4) / 10 as ll, avg(o_custkey % 9 - 4) / 5 as br, avg(o_custkey % 9 - 4) as ece, min(o_orderkey % 50) / 100 + 0.02e0 as lo, max(o_orderkey % 50) / 50 as hi, max(o_custkey % 9 - 4) / 100 as sh, count(*) as n from orders group by all)
   join (select method, count(*) filter (where x > 0.002) as worse from (select o_orderpriority as method, year(o_orderdate) as season, avg(o_custkey % 9 - 4) / 40 as x from orders group by all) group by all) using (method))""",
     ),
     "xt20_group_context": (

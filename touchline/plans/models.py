@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up
 from ..operators import models as m
+from ..operators import ratings
 from ..operators import results as r
 from ..sources.tables import SQL_MATCHES as M
 from ..sources.tables import SQL_TEAM_MATCH as TM
@@ -75,8 +76,8 @@ QUERIES = {
         sql(f"""select {r6('arg_max(rho, ll)')} as rho, {r6('max(ll)')} as log_likelihood from (select rho, sum(ln(greatest({TAU}, 1e-9))) as ll from low, (select arg_max(rho, ll) + (unnest(range(51)) - 25) * (0.0025e0 / 25) as rho from
   (select rho, sum(ln(greatest({TAU}, 1e-9))) as ll from low, (select -0.2e0 + 0.0025e0 * unnest(range(101)) as rho) group by rho)) group by rho)""", M, TM, STRENGTH, "\nlow as (select * from expected join matches using (match_id) where home_score <= 1 and away_score <= 1)"),
     ),
-    "ml8_wn23_elo": (lambda s, d: m.elo(matches(s, d)), None),
-    "ml10_national_strengths": (lambda s, d: m.national_strengths(matches(s, d)), None),
+    "ml8_wn23_elo": (lambda s, d: ratings.elo(matches(s, d)), None),
+    "ml10_national_strengths": (lambda s, d: ratings.national_strengths(matches(s, d)), None),
     "ml12_losses_by_season": (lambda s, d: rounded(m.losses(judged(s, d), "season"), "log_loss", "brier", "accuracy"), S(f"select season, {LOSS} from judged group by all")),
     "ml13_calibration_error": (
         lambda s, d: rounded(m.calibration_error(judged(s, d), c("home"), c("y") == 0), "ece"),

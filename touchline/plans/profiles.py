@@ -55,6 +55,37 @@ def loads(s, d):
     return p.team_load(matches(s, d).withColumn("duration", F.expr(DURATION)))
 
 
+def team_seasons(s, d):
+    """Shots, cards and the first goal from the ledger; possession is told for a third of the matches."""
+    e = ledger(s, d)
+    cards = F.sum(F.when(c("card") == "red", 2).when(c("card") == "yellow", 1).otherwise(0)).cast("long")
+    home = F.max(c("team_id") == c("home_team_id"))
+    share = 40 + c("match_id") % 21
+    stats = e.groupBy("match_id", "team_id").agg(F.count_if(c("event_type") == "shot").alias("shots"), F.count_if((c("event_type") == "shot") & (c("outcome") == "success")).alias("shots_on_target"), cards.alias("cards"), home.alias("home"))
+    stats = stats.withColumn("possession", F.when(c("match_id") % 3 == 0, F.when(c("home"), share).otherwise(100 - share))).drop("home")
+    first = g.goals(e).groupBy("match_id").agg(F.min_by("home", "sequence").alias("home"), F.first("home_team_id").alias("h"), F.first("away_team_id").alias("a")).select("match_id", F.when(c("home"), c("h")).otherwise(c("a")).alias("team_id"))
+    return g.with_percentiles(p.team_season(rows(s, d), first, stats), ["competition_id", "season", "team_id"], p.TEAM_METRICS, p.LESS_IS_BETTER, F.lit(True), pool=("competition_id", "season"))
+
+
+_r2 = lambda a, b: f"floor(({a}) * 1.0e0 / nullif({b}, 0) * 1e2 + 0.5) / 1e2"
+_season_rates = {
+    "points_per_match": ("points", "played"), "goals_for_per_match": ("gf", "played"), "goals_against_per_match": ("ga", "played"), "clean_sheet_rate": ("clean", "played"), "failed_to_score_rate": ("blank", "played"), "scored_first_rate": ("ahead", "ahead + conceded_first"),
+    "points_per_match_after_conceding_first": ("behind", "conceded_first"), "shots_per_match": ("shots", "stats_matches"), "shots_against_per_match": ("against", "stats_matches"), "shots_on_target_per_match": ("target", "stats_matches"), "shot_conversion": ("gf", "shots"),
+    "possession_avg": ("possession", "1"), "cards_per_match": ("cards", "played"), "home_points_per_match": ("hp", "hm"), "away_points_per_match": ("ap", "am"), "last5_points_per_match": ("lp", "lm"),
+}
+_placed = lambda m: f"case when {m} is not null then cast(floor((rank() over (partition by competition_id, season order by {'-' if m in p.LESS_IS_BETTER else ''}{m} nulls last) - 1 + 0.5 * (count(*) over (partition by competition_id, season, {m}) - 1)) / nullif(count({m}) over (partition by competition_id, season) - 1, 0) * 100 + 0.5) as bigint) end as p_{m}"
+TEAM_SEASON = f"""with st as (select match_id, team_id, count(*) filter (where event_type = 'shot') as shots, count(*) filter (where event_type = 'shot' and outcome = 'success') as target, sum(case card when 'red' then 2 when 'yellow' then 1 else 0 end) as cards,
+    case when match_id % 3 = 0 then case when bool_or(team_id = home_team_id) then 40 + match_id % 21 else 60 - match_id % 21 end end as possession from ledger group by match_id, team_id),
+fg as (select match_id, arg_min(case when (team_id = home_team_id) <> is_own_goal then home_team_id else away_team_id end, sequence) as first_team from ledger where is_goal or is_own_goal group by all),
+x as (select t.*, f.first_team, a.shots, a.target, a.cards, a.possession, b.shots as against, a.shots is not null and b.shots is not null as known, row_number() over (partition by competition_id, season, t.team_id order by day desc, t.match_id desc) as k
+  from team_match t left join fg f on f.match_id = t.match_id left join st a on a.match_id = t.match_id and a.team_id = t.team_id left join st b on b.match_id = t.match_id and b.team_id = t.opponent_id),
+y as (select competition_id, season, team_id, count(*) as played, cast(sum(points) as bigint) as points, cast(sum(gf) as bigint) as gf, cast(sum(ga) as bigint) as ga, count(*) filter (where ga = 0) as clean, count(*) filter (where gf = 0) as blank, count(*) filter (where first_team = team_id) as ahead,
+  count(*) filter (where first_team <> team_id) as conceded_first, coalesce(sum(points) filter (where first_team <> team_id), 0) as behind, count(*) filter (where first_team <> team_id and points = 3) as comebacks, count(*) filter (where known) as stats_matches, coalesce(sum(shots) filter (where known), 0) as shots,
+  sum(against) filter (where known) as against, sum(target) filter (where known) as target, avg(possession) filter (where known) as possession, coalesce(sum(cards), 0) as cards, count(*) filter (where is_home) as hm, coalesce(sum(points) filter (where is_home), 0) as hp,
+  count(*) filter (where not is_home) as am, coalesce(sum(points) filter (where not is_home), 0) as ap, count(*) filter (where k <= 5) as lm, sum(points) filter (where k <= 5) as lp,
+  string_agg(case points when 3 then 'W' when 1 then 'D' else 'L' end, '' order by k) filter (where k <= 10) as form from x group by competition_id, season, team_id)
+select competition_id, season, team_id, played, points, gf, ga, comebacks, conceded_first, stats_matches, form, {", ".join(f"{_r2(*v)} as {k}" for k, v in _season_rates.items())} from y"""
+
 _parts = {"congestion": "matches_14", "short_rest": "short_rest", "rest": "coalesce(6 - coalesce(rest_before_next, days_since_last), 0)", "away": "coalesce(away_share, 0)", "switching": "switches"}
 _part = {k: f"floor(100 * {w} * least(greatest({_parts[k]} * 1.0e0 / {full}, 0), 1) * 100 + 0.5) / 100" for k, (w, full) in p.FATIGUE.items()}
 #: Every (team, day) meets the finished matches before it one by one.
@@ -106,11 +137,7 @@ QUERIES = {
         lambda s, d: ledger(s, d).join(matches(s, d).select("match_id", "season"), "match_id").groupBy("player_id", "season").agg(F.array_join(F.transform(F.array_sort(F.collect_set("team_id")), lambda x: x.cast("string")), ",").alias("clubs")),
         sql("select player_id, season, array_to_string(list_transform(list_sort(list_distinct(list(team_id))), lambda x: cast(x as varchar)), ',') as clubs from ledger join matches using (match_id) group by all", M, L),
     ),
-    "ag15_pr2_team_season": (
-        lambda s, d: p.team_season(rows(s, d)),
-        S("""select *, floor(points * 1.0e0 / played * 1e4 + 0.5) / 1e4 as points_rate, floor(clean_sheets * 1.0e0 / played * 1e4 + 0.5) / 1e4 as clean_rate from (select competition_id, season, team_id, count(*) as played, cast(sum(points) as bigint) as points, count(*) filter (where ga = 0) as clean_sheets,
-  count(*) filter (where gf = 0) as scoreless, cast(sum(points) filter (where k <= 5) as bigint) as last_five, cast(sum(gf) as bigint) as gf, cast(sum(ga) as bigint) as ga from (select *, row_number() over (partition by competition_id, season, team_id order by day desc, match_id desc) as k from team_match) group by all)"""),
-    ),
+    "ag15_pr2_team_season": (team_seasons, sql(f"select *, {', '.join(_placed(m) for m in p.TEAM_METRICS)} from ({TEAM_SEASON})", M, TM, L)),
     "pr5_pr6_ag31_team_load": (loads, sql("select * from load", M, LOAD)),
     "pr9_pr10_matchup": (
         lambda s, d: p.matchup(rows(s, d)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..operators import gates as g
 from ..operators import quality as q
 from ..operators import results as r
 from ..operators import text as t
@@ -62,6 +63,30 @@ def written(s, d):
     return articles(s, d).select("id", F.concat("text", F.element_at(F.array(*[F.lit(e) for e in ends]), (c("id") % 11 + 1).cast("int"))).alias("text"))
 
 
+#: Ends of texts, of which some break a rule of a kind or profile.
+ENDS = ["", "who will win the cup", "top four", "a relegation fight", "the Western Conference", "playoff spots", "in the standings", "through to the last 16", "European places", "promoted at last", "top of their group", "quarter-final hopes", "a club", "possession", "play-offs ahead", "team news"]
+ZONES = ["Promotion to League A", "Quarter-finals", "Relegation play-off"]
+
+
+def gate_articles(s, d):
+    k = c("id")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    ended = articles(s, d).select("id", F.concat_ws(" ", "text", pick(ENDS, k % len(ENDS))).alias("text"))
+    return ended.select(
+        "id", "text", F.when(k % 3 == 0, "match_preview").otherwise("match_recap").alias("kind"), pick(list(g.PROFILES), F.floor(k / 2) % len(g.PROFILES)).alias("profile"), (k % 5 < 2).alias("verified"),
+        F.array(pick(ZONES, k % len(ZONES))).alias("zones"), (k % 7 == 0).alias("possession"),
+    )
+
+
+GATE_ARTICLES = f"""select doc_id as id, concat_ws(' ', text, {ENDS}[doc_id % {len(ENDS)} + 1]) as text, doc_id % 3 = 0 as preview, {list(g.PROFILES)}[doc_id // 2 % {len(g.PROFILES)} + 1] as profile, doc_id % 5 < 2 as verified, {ZONES}[doc_id % {len(ZONES)} + 1] as zone, doc_id % 7 = 0 as possession from documents"""
+_said = lambda pattern, of="text": f"regexp_matches({of}, '{pattern}')"
+_gate = lambda name, when: f"case when {when} then '{name}' end"
+_gate_rules = [_gate(k, _said(v) + (" and not possession" if k == "unsupported_possession" else "")) for k, v in t.BANNED.items()]
+_gate_rules += [_gate(k, f"profile = '{of}' and {_said(v)}" + (" and not verified" if k in g.LIFTED else "")) for of, rules in g.PROFILES.items() for k, v in rules.items()]
+_gate_rules += [_gate(k, f"preview and {_said(v)}") for k, v in g.PREVIEW.items()]
+_gate_rules += [_gate(k, f"profile = '{of}' and {_said(v)} and not (verified" + (f" and {_said(z, 'zone')})" if z else ")")) for of, rules in g.CLAIMS.items() for k, (v, z) in rules.items()]
+
+
 def grounded(s, d):
     packets = articles(s, d).where("id % 2 = 0").select((c("id") + 1).alias("id"), "text").unionByName(articles(s, d).where("id % 10 = 0"))
     return t.ungrounded_numbers(articles(s, d), packets)
@@ -173,6 +198,10 @@ select n.id, len(n.l) as stated, len(list_filter(n.l, lambda x: not list_contain
         "select id, array_to_string(l, ',') as rules, len(l) as n from (select id, list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{name}' end" for name, p in t.BANNED.items())
         + "], lambda x: x is not null) as l from (select doc_id as id, text || list_extract(['', ' he Said so', ' a Hamstring', ' rumoured', ' the odds', ' HISTORICAL', ' frustration', ' an xG of one', ' possession', ' a game of two halves', ' saidso unsaid'], cast(doc_id % 11 + 1 as int)) as text from documents)) where len(l) > 0",
     ),
+    "fn28_tx10_profile_gates": (
+        lambda s, d: g.gated(gate_articles(s, d)),
+        f"select id, array_to_string(l, ',') as failed, len(l) = 0 as passes from (select id, list_filter([{', '.join(_gate_rules)}], lambda x: x is not null) as l from ({GATE_ARTICLES}))",
+    ),
     "jn19_tk7_related": (
         lambda s, d: t.related(*articles_of_events(s, d)),
         """with ev as (select *, event_id // 5 as id from events), meta as (select id, min(event_type) as desk, max(date_diff('day', date '2024-01-01', cast(ts as date))) as day from ev group by all),
