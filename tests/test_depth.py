@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import rules
-from touchline.operators import calibration, desk, identity, models, ordered, profiles, variants
+from touchline.operators import calibration, decisions, desk, gates, identity, models, ordered, profiles, variants
 from touchline.operators import ledger as g
+from touchline.operators import text as texts
 from touchline.sources import playbyplay, registry
 
 c = F.col
@@ -224,3 +225,51 @@ def test_each_rule_of_a_calibrator_fails_once(spark, rule, change, k5, k6, seaso
     order = spark.createDataFrame([("m", k5, k6)], "method string, k5 boolean, k6 boolean")
     r = desk.keep_calibrator(raw, seasons, order).first()
     assert (r["failed"], r["kept"]) == (rule, rule == "")
+
+
+HELD = [("m", 1, 0.9, True, 0.5)] * 30 + [("m", 2, 0.8, True, 0.5)] * 24 + [("m", 2, 0.8, False, 0.5)] * 6
+
+
+@pytest.mark.parametrize(
+    "rows, failed",
+    [
+        (HELD, ""), ([(*r[:4], 0.93 if r[3] else 0.05) for r in HELD], "H0,H3"), ([(*r[:2], 0.99, *r[3:]) for r in HELD], "H1,H5"), ([("m", 1, 0.7, k % 2 == 0, 0.3) for k in range(20)], "H0,H1,H2,H5"),
+        ([("m", 1, 0.9, k >= 3, 0.85) for k in range(30)], "H3"), (HELD[:19], "H4"), (HELD[:30] * 3 + [("m", 2, 0.9, k < 7, 0.5) for k in range(10)], "H5"), ([("m", 1, 0.4, False, 0.5)] * 30, "H1,H2,H3,H4"),
+    ],
+)
+def test_each_holdout_rule_fails_once(spark, rows, failed):
+    df = spark.createDataFrame(rows, "market string, season int, probability double, hit boolean, base double")
+    r = decisions.holdout_rules(df, {"m": 0.6}).first()
+    assert (r["failed"], r["active"]) == (failed, failed == "")
+
+
+@pytest.mark.parametrize(
+    "text, kind, profile, verified, zones, possession, failed",
+    [
+        ("A draw in the rain.", "match_recap", "mls", False, [], False, ""), ("They will win the cup", "match_preview", "mls", False, [], False, "preview_prediction"), ("They will win the cup", "match_recap", "mls", False, [], False, ""),
+        ("a Relegation fight", "match_recap", "mls", False, [], False, "mls_relegation"), ("a relegation fight", "match_recap", "domestic_european_league", False, [], False, ""), ("they go down", "match_recap", "domestic_league_relegation_playoff", False, [], False, "relegation_claim_unsupported"),
+        ("Eastern Conference leaders", "match_recap", "mls", False, [], False, "mls_conference_claim"), ("Eastern Conference leaders", "match_recap", "mls", True, [], False, ""), ("the top-four", "match_recap", "ucl_league_phase", True, [], False, "ucl_top_four"),
+        ("promoted to League A", "match_recap", "nations_league", True, ["Relegation"], False, "nl_promotion_claim"), ("promoted to League A", "match_recap", "nations_league", True, ["Promotion to A"], False, ""), ("promoted", "match_recap", "nations_league", False, ["Promotion"], False, "nl_promotion_claim"),
+        ("top of their group", "match_recap", "nations_league", True, None, False, ""), ("60 % possession", "match_recap", None, None, None, True, ""), ("60 % possession", "match_recap", None, None, None, False, "unsupported_possession"), (None, None, None, None, None, None, ""),
+    ],
+)
+def test_gates_by_kind_and_profile(spark, text, kind, profile, verified, zones, possession, failed):
+    df = spark.createDataFrame([(1, text, kind, profile, verified, zones, possession)], "id long, text string, kind string, profile string, verified boolean, zones array<string>, possession boolean")
+    assert gates.gated(df).first() == (1, failed, failed == "")
+
+
+def test_videos_of_an_article(spark):
+    links = spark.createDataFrame([(1, v, s) for v, s in ((10, 90), (11, 80), (12, 80), (13, 80), (14, 95), (15, 99), (16, 70))], "article_id long, video_id long, score int")
+    videos = spark.createDataFrame([(10, "a", "other", 50, None, None, None), (11, "a", "highlights", 90, True, False, False), (12, "a", "highlights", 300, True, False, False), (13, "a", "highlights", 200, True, False, False), (14, "x", "goals", 10, True, False, False), (15, "a", "goals", 10, False, False, False), (16, "a", "goals", 10, True, True, False)],
+        "video_id long, channel string, type string, seconds int, embeddable boolean, short boolean, live boolean")
+    got = desk.article_videos(links, videos, spark.createDataFrame([("a",)], "channel string"), k=3).orderBy("place").collect()
+    assert [r["video_id"] for r in got] == [10, 13, 12]  # unknown channel, not to be embedded and short ones left out; the shorter full cut first
+
+
+def test_table_before_each_day(spark):
+    """Two matches of one day don't see each other; the table after one of them has only its own result."""
+    m = [(1, 1, 2, 2, 0), (1, 3, 4, 1, 1), (2, 1, 3, 0, 1), (2, 2, 4, 0, 0)]
+    rows = [(1, 2000, d, h, a, True, x, y) for d, h, a, x, y in m] + [(1, 2000, d, a, h, False, y, x) for d, h, a, x, y in m]
+    df = spark.createDataFrame([(k, *r, 3 if r[6] > r[7] else int(r[6] == r[7])) for k, r in enumerate(rows)], "match_id long, competition_id int, season int, day long, team_id int, opponent_id int, is_home boolean, gf int, ga int, points int")
+    before = {r["day"]: [(x["team"], -x["p"], -x["d"], x["n"]) for x in r["before"]] for r in texts.tables_before(df).collect()}
+    assert before == {1: [], 2: [(1, 3, 2, 1), (3, 1, 0, 1), (4, 1, 0, 1), (2, 0, -2, 1)]}

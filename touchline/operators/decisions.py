@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fold, half_up, slug, wilson_low
+from ..sources.shared import written
 
 c = F.col
 
@@ -44,7 +45,7 @@ def guarded(crosswalk: DataFrame, teams: DataFrame, competitions: DataFrame) ->
 
     crosswalk: (external_id, competition_id, team_id); teams: (team_id, team_type, gender); competitions: (competition_id, national, gender).
     """
-    both = crosswalk.join(teams.select("team_id", "team_type", c("gender").alias("team_gender")), "team_id").join(F.broadcast(competitions.select("competition_id", "national", c("gender").alias("wanted"))), "competition_id")
+    both = crosswalk.join(teams.select("team_id", "team_type", c("gender").alias("team_gender")), "team_id").join((competitions.select("competition_id", "national", c("gender").alias("wanted"))), "competition_id")
     reason = first_reason((c("national") & (c("team_type") != "national"), "club_in_national_competition"), (c("team_gender") != c("wanted"), "gender_differs"))
     return both.select("external_id", "competition_id", "team_id", reason.alias("reason")).where("reason is not null")
 
@@ -110,7 +111,7 @@ def slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
         if done is not None:
             here = here.join(done, "entity", "left_anti").join(done.select("slug"), "slug", "left_anti")
         won = here.groupBy("slug").agg(F.min("entity").alias("entity"))
-        done = won if done is None else done.unionByName(won)
+        done = written(won if done is None else done.unionByName(won), "slugs")  # read twice by the next step
     return done.select("entity", "slug")
 
 
@@ -222,6 +223,42 @@ def policy_statistics(offers: DataFrame, thresholds: list[float], gates: dict[st
     return shown.select("*", failed.alias("failed"), (failed == "").alias("eligible"))
 
 
+#: What a policy has to show on seasons that its choice has not seen.
+HOLDOUT = {
+    "H0": "log_loss < base_log_loss and brier < base_brier",
+    "H1": "n > 0 and hit_rate >= mean_probability - 0.04",
+    "H2": "wilson_low >= 0.5",
+    "H3": "hit_rate - base_rate >= 0.08",
+    "H4": "n >= 20",
+    "H5": "weak_seasons = 0",
+}
+
+
+def holdout_rules(offers: DataFrame, thresholds: dict[str, float], rules: dict[str, str] = HOLDOUT, least: int = 10) -> DataFrame:
+    """Each market's policy at its threshold over held-out seasons: figures, the rules that fail, and whether it is active.
+
+    offers: (market, season, probability, hit, base), base the probability without a model. All offers of
+    a market count for H0; picks are those from the threshold on. A season of ``least`` picks or more
+    is weak if its hit rate is more than a tenth below its mean probability. One pass, first by season.
+    """
+    limit = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
+    tried = offers.withColumn("threshold", F.try_element_at(limit, c("market"))).where("threshold is not null").withColumn("picked", c("probability") >= c("threshold"))
+    loss = lambda p: -F.log(F.greatest(F.when(c("hit"), p).otherwise(1 - p), F.lit(1e-12)))
+    square = lambda p: (p - c("hit").cast("int")) ** 2
+    chosen = lambda x: F.coalesce(F.sum(F.when(c("picked"), x)), F.lit(0))
+    by_season = tried.groupBy("market", "threshold", "season").agg(
+        F.count("*").alias("rows"), F.count_if("picked").alias("n"), chosen(c("hit").cast("int")).alias("hits"), chosen(c("probability")).alias("p"), chosen(c("base")).alias("b"),
+        *[F.sum(f(c(x))).alias(f"{k}{name}") for x, k in (("probability", ""), ("base", "base_")) for name, f in (("log_loss", loss), ("brier", square))],
+    )
+    weak = F.count_if((c("n") >= least) & (half_up(c("hits") / c("n"), 4) < half_up(c("p") / c("n"), 4) - 0.10))
+    sums = by_season.groupBy("market", "threshold").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("p").alias("p"), F.sum("b").alias("b"), weak.alias("weak_seasons"), *[F.sum(x).alias(x) for x in ("log_loss", "brier", "base_log_loss", "base_brier")])
+    per = lambda a, n: half_up(F.try_divide(c(a), c(n)), 4)
+    low = F.when(c("n") > 0, half_up(wilson_low(c("hits"), F.greatest(c("n"), F.lit(1))), 4))
+    shown = sums.select("market", "threshold", "n", "hits", per("hits", "n").alias("hit_rate"), per("p", "n").alias("mean_probability"), per("b", "n").alias("base_rate"), low.alias("wilson_low"), "weak_seasons", *[per(x, "rows").alias(x) for x in ("log_loss", "brier", "base_log_loss", "base_brier")])
+    failed = F.array_join(F.filter(F.array(*[F.when(~F.coalesce(F.expr(p), F.lit(False)), F.lit(g)) for g, p in rules.items()]), lambda x: x.isNotNull()), ",")
+    return shown.select("*", failed.alias("failed"), (failed == "").alias("active"))
+
+
 def ordered_logit(df: DataFrame, x: Column, steps: list[tuple[float, float, float]]) -> DataFrame:
     """Log loss of an ordered logit on x at every (slope, lower cut, gap) of a grid: rows with y 0 home, 1 draw, 2 away.
 

@@ -146,6 +146,38 @@ def video_feed(videos: DataFrame, k: int = 4, per_channel: int = 2) -> DataFrame
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("desk").orderBy(*order))).where(c("place") <= k).select("desk", "video_id", "channel", "place")
 
 
+#: Types of videos in the order in which an article shows them; others come after.
+VIDEO_TYPES = ("highlights", "goals", "match_recap")
+FULL_CUT = 120
+
+
+def article_videos(links: DataFrame, videos: DataFrame, channels: DataFrame, k: int = 2, offered: int = 10) -> DataFrame:
+    """The videos of each article, strongest link first: (article_id, video_id, score), (video_id, channel, type, seconds, embeddable, short, live), (channel).
+
+    Of an article's ``offered`` best links those to videos that may be embedded, of known channels, are
+    shown; equal scores go by type, full cuts before clips, then the shorter one, then the id.
+    """
+    best = Window.partitionBy("article_id").orderBy(F.desc("score"), "video_id")
+    near = links.withColumn("k", F.row_number().over(best)).where(c("k") <= offered)
+    able = videos.where(~c("embeddable").eqNullSafe(False) & ~F.coalesce("short", F.lit(False)) & ~F.coalesce("live", F.lit(False))).join(channels.select("channel"), "channel", "left_semi")
+    rank = F.array_position(F.array(*[F.lit(t) for t in VIDEO_TYPES]), F.coalesce("type", F.lit("")))
+    order = Window.partitionBy("article_id").orderBy(F.desc("score"), F.when(rank > 0, rank).otherwise(len(VIDEO_TYPES) + 1), F.coalesce(c("seconds") >= FULL_CUT, F.lit(False)).desc(), c("seconds").asc_nulls_last(), "video_id")
+    shown = near.select("article_id", "video_id", "score").join(able, "video_id").withColumn("place", F.row_number().over(order))
+    return shown.where(c("place") <= k).select("article_id", "video_id", "place", "score")
+
+
+def sitemap(articles: DataFrame, translated: DataFrame, k: int = 1000) -> DataFrame:
+    """The newest published articles as address keys, with their last change and the locales of current translations.
+
+    articles: (id, desk, slug, status, published, updated, revision); translated: (id, locale, of_revision, verified). A
+    translation is current if it is verified and of the article's revision.
+    """
+    newest = articles.where("status = 'published'").orderBy(F.desc("published"), F.desc("id")).limit(k)
+    current = newest.select("id", "revision").join(translated.where("verified"), "id").where(c("of_revision") == c("revision"))
+    locales = current.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("locale")), ",").alias("locales"))
+    return newest.join(locales, "id", "left").select(F.concat_ws("/", "desk", "slug").alias("key"), F.coalesce("updated", "published").alias("updated"), "published", F.coalesce("locales", F.lit("")).alias("locales"))
+
+
 def relinked(old: DataFrame, new: DataFrame) -> DataFrame:
     """Links of videos after a new round of scores: the better one stays, the old one on a tie; a link whose video scores no more is withdrawn: (video_id, article_id, points) both."""
     both = old.select("video_id", c("article_id").alias("o"), c("points").alias("op")).join(new.select("video_id", c("article_id").alias("n"), c("points").alias("np")), "video_id", "full")

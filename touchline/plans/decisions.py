@@ -123,6 +123,29 @@ def offers(s, d):
     return k.policy_statistics(j.select("season", F.explode(each).alias("o")).select("season", "o.*"), [0.3, 0.4, 0.5, 0.6])
 
 
+HELD_FROM = 1996
+r4 = lambda x: f"floor(({x}) * 1e4 + 0.5) / 1e4"
+
+
+def held_out(s, d):
+    """Three markets over the later seasons, against fixed base rates."""
+    j = judged(s, d).where(c("season") >= HELD_FROM)
+    goals = c("home_score") + c("away_score")
+    offer = lambda market, p, hit, base: F.struct(F.lit(market).alias("market"), half_up(c(p), 6).alias("probability"), hit.alias("hit"), F.lit(base).alias("base"))
+    each = F.array(offer("home", "home", c("y") == 0, 0.45), offer("over25", "over25", goals > 2, 0.5), offer("both", "both", (c("home_score") > 0) & (c("away_score") > 0), 0.5))
+    return k.holdout_rules(j.select("season", F.explode(each).alias("o")).select("season", "o.*"), {"home": 0.3, "over25": 0.4, "both": 0.99})
+
+
+HOLDOUT_SQL = J("select *, failed = '' as active from f", f"""
+o as (select season, unnest(['home', 'over25', 'both']) as market, unnest([{r6('home')}, {r6('over25')}, {r6('"both"')}]) as p, unnest([y = 0, home_score + away_score > 2, home_score > 0 and away_score > 0]) as hit, unnest([0.45e0, 0.5e0, 0.5e0]) as base, unnest([0.3e0, 0.4e0, 0.99e0]) as threshold from judged where season >= {HELD_FROM}),
+s as (select market, threshold, season, count(*) as r, count(*) filter (where p >= threshold) as n, coalesce(sum(hit::int) filter (where p >= threshold), 0) as hits, coalesce(sum(p) filter (where p >= threshold), 0) as sp, coalesce(sum(base) filter (where p >= threshold), 0) as sb,
+  sum(-ln(case when hit then p else 1 - p end)) as l, sum(pow(p - hit::int, 2)) as q, sum(-ln(case when hit then base else 1 - base end)) as bl, sum(pow(base - hit::int, 2)) as bq from o group by all),
+m as (select market, threshold, cast(sum(n) as bigint) as n, cast(sum(hits) as bigint) as hits, {r4('sum(hits) * 1.0e0 / nullif(sum(n), 0)')} as hit_rate, {r4('sum(sp) / nullif(sum(n), 0)')} as mean_probability, {r4('sum(sb) / nullif(sum(n), 0)')} as base_rate, sum(hits) * 1.0e0 / nullif(sum(n), 0) as h, nullif(sum(n), 0) as k,
+  count(*) filter (where n >= 10 and {r4('hits * 1.0e0 / n')} < {r4('sp / n')} - 0.10) as weak_seasons, {r4('sum(l) / sum(r)')} as log_loss, {r4('sum(q) / sum(r)')} as brier, {r4('sum(bl) / sum(r)')} as base_log_loss, {r4('sum(bq) / sum(r)')} as base_brier from s group by all),
+w as (select * exclude (h, k), {r4('(h + 3.8416 / (2 * k) - 1.96 * sqrt((h * (1 - h) + 3.8416 / (4 * k)) / k)) / (1 + 3.8416 / k)')} as wilson_low from m),
+f as (select *, array_to_string(list_filter([case when not (log_loss < base_log_loss and brier < base_brier) then 'H0' end, case when coalesce(hit_rate < mean_probability - 0.04, true) then 'H1' end, case when coalesce(wilson_low < 0.5, true) then 'H2' end, case when coalesce(hit_rate - base_rate < 0.08, true) then 'H3' end, case when n < 20 then 'H4' end, case when weak_seasons > 0 then 'H5' end], lambda x: x is not null), ',') as failed from w)""")
+
+
 def monthly(s, d):
     j = judged(s, d).join(matches(s, d).select("match_id", F.date_format("kickoff_at", "yyyy-MM").alias("month")), "match_id")
     return k.shadow_metrics(j, [0.45, 0.25, 0.3])
@@ -226,6 +249,10 @@ from r0 union all from r1 union all from r2""",
   select market, threshold, n, hits, {r6('h')} as hit_rate, {r6('p / n')} as mean_probability, {r6('((h + 3.8416 / (2 * n) - 1.96 * sqrt((h * (1 - h) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n))')} as wilson_low, seasons, {r6('worst')} as worst from (select market, threshold, cast(sum(n) as bigint) as n, cast(sum(hits) as bigint) as hits, sum(hits) * 1.0e0 / sum(n) as h, sum(p) as p, count(*) as seasons, min(hits * 1.0e0 / n) as worst from (
   select market, threshold, season, count(*) as n, sum(hit::int) as hits, sum(probability) as p from (select season, unnest(['home', 'over25']) as market, unnest([{r6('home')}, {r6('over25')}]) as probability, unnest([y = 0, home_score + away_score > 2]) as hit from judged), (select cast(unnest([0.3, 0.4, 0.5, 0.6]) as double) as threshold) where probability >= threshold group by all) group by all)))"""),
     ),
+    "ml19_holdout_rules": (
+        held_out,
+        HOLDOUT_SQL,
+    ),
     "ml22_issue": (
         issues,
         sql(f"""select match_id, competition_id, case when reason is null then 'issue' else 'hold' end as decision, reason, input_as_of from (select m.*, input_as_of, case when missing > 0 then 'prior_result_unavailable' when input_as_of is null then 'no_time_safe_inputs' end as reason from matches m join p using (competition_id) where status = 'scheduled' and day - 1 >= {NOW} and day <= {NOW + 14} and match_id % 3 <> 0)""", M, f"\np as (select competition_id, count(*) filter (where day < {NOW} and competition_id >= 2 and status <> 'postponed' and (status <> 'finished' or home_score is null)) as missing, max(day) filter (where day < {NOW} and (competition_id < 2 or status = 'finished')) as input_as_of from matches group by all)"),

@@ -100,6 +100,22 @@ def entries(s, d):
     return k.video_entries(table(s, d, "part").select(c("p_brand").alias("channel"), F.concat(F.lit("<feed>"), xml, F.lit("</feed>")).alias("body")))
 
 
+def article_videos(s, d):
+    videos = table(s, d, "part").select(
+        c("p_partkey").alias("video_id"), c("p_brand").alias("channel"), F.when(c("p_size") % 4 == 0, "highlights").when(c("p_size") % 4 == 1, "goals").when(c("p_size") % 4 == 2, "other").alias("type"),
+        F.when(c("p_size") % 6 != 0, c("p_size") * 9).alias("seconds"), (c("p_partkey") % 11 != 0).alias("embeddable"), (c("p_partkey") % 13 == 0).alias("short"), (c("p_partkey") % 17 == 0).alias("live"),
+    )
+    links = table(s, d, "lineitem").select(c("l_orderkey").alias("article_id"), c("l_partkey").alias("video_id"), (c("l_partkey") % 5 + 60).alias("score")).distinct()
+    return k.article_videos(links, videos, videos.select("channel").distinct().where("channel <> 'Brand#1'"))
+
+
+def site(s, d):
+    day = F.datediff(c("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    articles = table(s, d, "orders").select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("desk"), F.concat(F.lit("a-"), c("o_orderkey").cast("string")).alias("slug"), F.when(c("o_orderstatus") == "F", "published").otherwise("held").alias("status"), day.alias("published"), F.when(c("o_custkey") % 3 == 0, day + 2).alias("updated"), (c("o_custkey") % 5).alias("revision"))
+    translated = table(s, d, "lineitem").select(c("l_orderkey").alias("id"), c("l_linenumber").cast("string").alias("locale"), (c("l_partkey") % 5).alias("of_revision"), (c("l_suppkey") % 4 != 0).alias("verified"))
+    return k.sitemap(articles, translated)
+
+
 def kept(s, d):
     """Priorities as methods, with measures made of their orders' keys."""
     o = table(s, d, "orders").select(c("o_orderpriority").alias("method"), F.year("o_orderdate").alias("season"), (c("o_custkey") % 9 - 4).alias("x"), (c("o_orderkey") % 50).alias("y"))
@@ -174,6 +190,20 @@ QUERIES = {
         lambda s, d: k.video_feed(table(s, d, "part").select((c("p_size") % 5).cast("int").alias("desk"), c("p_partkey").alias("video_id"), c("p_brand").alias("channel"), c("p_size").alias("day"), (c("p_partkey") % 7 == 0).alias("linked"))),
         """select desk, video_id, channel, cast(place as int) as place from (select *, row_number() over (partition by desk order by linked desc, day desc, video_id desc) as place from (select *, row_number() over (partition by desk, channel order by linked desc, day desc, video_id desc) as k from (
   select cast(p_size % 5 as int) as desk, p_partkey as video_id, p_brand as channel, p_size as day, p_partkey % 7 = 0 as linked from part)) where k <= 2) where place <= 4""",
+    ),
+    "xt12_article_videos": (
+        article_videos,
+        """with v as (select p_partkey as video_id, p_brand as channel, case p_size % 4 when 0 then 'highlights' when 1 then 'goals' when 2 then 'other' end as type, case when p_size % 6 <> 0 then p_size * 9 end as seconds, p_partkey % 11 <> 0 as embeddable, p_partkey % 13 = 0 as short, p_partkey % 17 = 0 as live from part),
+l as (select distinct l_orderkey as article_id, l_partkey as video_id, l_partkey % 5 + 60 as score from lineitem),
+n as (select * from (select *, row_number() over (partition by article_id order by score desc, video_id) as k from l) where k <= 10)
+select article_id, video_id, cast(place as int) as place, score from (select article_id, n.video_id, score, row_number() over (partition by article_id order by score desc, coalesce(case type when 'highlights' then 1 when 'goals' then 2 end, 4), coalesce(seconds >= 120, false) desc, seconds nulls last, n.video_id) as place
+  from n join v using (video_id) where embeddable and not short and not live and channel <> 'Brand#1') where place <= 2""",
+    ),
+    "tx15_sitemap": (
+        site,
+        """with a as (select o_orderkey as id, o_orderpriority as desk, 'a-' || o_orderkey as slug, date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as published, case when o_custkey % 3 = 0 then date_diff('day', date '1970-01-01', cast(o_orderdate as date)) + 2 end as updated, o_custkey % 5 as revision from orders where o_orderstatus = 'F'),
+n as (from a order by published desc, id desc limit 1000)
+select desk || '/' || slug as key, coalesce(updated, published) as updated, published, coalesce(locales, '') as locales from n left join (select id, string_agg(locale, ',' order by locale) as locales from (select distinct l_orderkey as id, cast(l_linenumber as varchar) as locale from lineitem join n on n.id = l_orderkey where l_suppkey % 4 <> 0 and l_partkey % 5 = revision) group by id) using (id)""",
     ),
     "xt13_relinked": (
         lambda s, d: k.relinked(table(s, d, "orders").where("o_orderkey % 4 <> 0").select(c("o_orderkey").alias("video_id"), (c("o_custkey") % 100).alias("article_id"), (c("o_custkey") % 70 + 40).alias("points")), table(s, d, "orders").where("o_orderkey % 5 <> 0").select(c("o_orderkey").alias("video_id"), (c("o_custkey") % 50).alias("article_id"), (c("o_custkey") % 60 + 50).alias("points"))),
