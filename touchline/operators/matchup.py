@@ -182,3 +182,38 @@ def analyzer(fixtures: DataFrame, played: DataFrame, starters: DataFrame, as_of:
     out = out.withColumn("lean", F.when(enough, weighted({g: (mean_edge(g), w) for g, w in GROUPS.items()})))
     label = F.when(c("lean").isNull(), "withheld").when(F.exists("used", lambda p: p["group"] == "style"), "results and shots").otherwise("results and schedule")
     return out.select("match_id", half_up(50 + 50 * c("lean"), 0).cast("long").alias("home_rating"), half_up(50 - 50 * c("lean"), 0).cast("long").alias("away_rating"), F.size("used").alias("components_used"), F.array_join(F.transform("omitted", lambda p: p["key"]), ",").alias("omitted"), label.alias("label"))
+
+
+def season_context(rows: DataFrame, windows: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """A team's season beside its last earlier ones in the same competition, one row for each window of seasons.
+
+    Baselines weigh seasons by their matches; a window with fewer earlier seasons takes what there are,
+    and without any there is no row. Changes are the season's goals a match less the baseline's.
+    """
+    key = ["competition_id", "team_id"]
+    seasons = rows.groupBy(*key, "season").agg(F.count("*").alias("played"), F.sum("gf").alias("gf"), F.sum("ga").alias("ga"))
+    order = Window.partitionBy(*key).orderBy("season")
+    before = lambda x, n: F.sum(x).over(order.rowsBetween(-n, -1))
+    each = F.array(*[F.struct(F.lit(n).alias("window"), F.count("*").over(order.rowsBetween(-n, -1)).alias("seasons"), *[before(x, n).alias(f"{x}_before") for x in ("played", "gf", "ga")]) for n in windows])
+    known = seasons.select("*", each.alias("ws")).select(*key, "season", "played", "gf", "ga", F.explode("ws").alias("w")).select(*key, "season", "played", "gf", "ga", "w.*").where("seasons > 0")
+    rate = lambda x, n: half_up(c(x) / c(n), 2)
+    out = known.select(*key, "season", "window", "seasons", c("played_before").alias("matches"), "played", *[rate(f"{x}_before", "played_before").alias(f"{name}_before") for x, name in (("gf", "scored"), ("ga", "conceded"))], rate("gf", "played").alias("scored"), rate("ga", "played").alias("conceded"))
+    return out.select("*", half_up(c("scored") - c("scored_before"), 2).alias("scored_change"), half_up(c("conceded") - c("conceded_before"), 2).alias("conceded_change"))
+
+
+def meetings_before(fixtures: DataFrame, matches: DataFrame, as_of: int) -> DataFrame:
+    """Earlier meetings of each fixture's teams, either way round, from the home side's view: (match_id, home_team_id, away_team_id).
+
+    Meetings are summed by pair and orientation first, so a fixture meets two rows at most.
+    """
+    done = matches.where((c("status") == "finished") & (c("day") < as_of))
+    sums = done.groupBy(c("home_team_id").alias("h"), c("away_team_id").alias("a")).agg(
+        F.count("*").alias("n"), F.count_if(c("home_score") > c("away_score")).alias("h_won"), F.count_if(c("home_score") == c("away_score")).alias("drawn"), F.sum("home_score").alias("h_goals"), F.sum("away_score").alias("a_goals"), F.max("day").alias("last")
+    )
+    lost = c("n") - c("h_won") - c("drawn")
+    either = sums.select(c("h").alias("home_team_id"), c("a").alias("away_team_id"), "n", c("h_won").alias("won"), "drawn", c("h_goals").alias("gf"), c("a_goals").alias("ga"), "last")
+    either = either.unionByName(sums.select(c("a").alias("home_team_id"), c("h").alias("away_team_id"), "n", lost.alias("won"), "drawn", c("a_goals").alias("gf"), c("h_goals").alias("ga"), "last"))
+    whole = either.groupBy("home_team_id", "away_team_id").agg(F.max("last").alias("last_day"), *[F.sum(x).cast("long").alias(x) for x in ("n", "won", "drawn", "gf", "ga")])
+    met = fixtures.select("match_id", "home_team_id", "away_team_id").join(whole, ["home_team_id", "away_team_id"], "left")
+    zero = lambda x: F.coalesce(c(x), F.lit(0).cast("long"))
+    return met.select("match_id", zero("n").alias("meetings"), zero("won").alias("home_won"), zero("drawn").alias("drawn"), (zero("n") - zero("won") - zero("drawn")).alias("away_won"), zero("gf").alias("home_goals"), zero("ga").alias("away_goals"), "last_day")

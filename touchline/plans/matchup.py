@@ -114,4 +114,17 @@ means as (select match_id, hn, an, {", ".join(f"list_sum({_known(of)}) / nullif(
 select match_id, cast(floor(50 + 50 * lean + 0.5) as bigint) as home_rating, cast(floor(50 - 50 * lean + 0.5) as bigint) as away_rating, components_used, omitted, case when lean is null then 'withheld' when style is not null then 'results and shots' else 'results and schedule' end as label
   from (select *, case when coalesce(hn, 0) >= 3 and coalesce(an, 0) >= 3 and components_used >= 3 then {mean_sql({"results": "0.5e0", "style": "0.3e0", "schedule": "0.2e0"})} end as lean from means)""",
     ),
+    "pr11_season_context": (
+        lambda s, d: u.season_context(r.team_match(matches(s, d))),
+        sql("""select competition_id, team_id, season, "window", seasons, matches, played, sb as scored_before, cb as conceded_before, sc as scored, co as conceded, floor((sc - sb) * 100 + 0.5) / 100 as scored_change, floor((co - cb) * 100 + 0.5) / 100 as conceded_change from (
+  select competition_id, team_id, season, "window", played, count(k) as seasons, cast(sum(p) as bigint) as matches, floor(sum(f) * 1.0e0 / sum(p) * 100 + 0.5) / 100 as sb, floor(sum(g) * 1.0e0 / sum(p) * 100 + 0.5) / 100 as cb, floor(gf * 1.0e0 / played * 100 + 0.5) / 100 as sc, floor(ga * 1.0e0 / played * 100 + 0.5) / 100 as co from (
+    select a.*, "window", b.season as k, b.played as p, b.gf as f, b.ga as g, row_number() over (partition by a.competition_id, a.team_id, a.season, "window" order by b.season desc) as back from seasons a join seasons b on a.competition_id = b.competition_id and a.team_id = b.team_id and b.season < a.season, (select cast(unnest([3, 5]) as int) as "window"))
+  where back <= "window" group by competition_id, team_id, season, "window", played, gf, ga)""", M, TM, """
+seasons as (select competition_id, team_id, season, count(*) as played, sum(gf) as gf, sum(ga) as ga from team_match group by all)"""),
+    ),
+    "pr11_meetings": (
+        lambda s, d: u.meetings_before(matches(s, d).where("status = 'scheduled'"), matches(s, d), AS_OF),
+        sql(f"""select f.match_id, count(m.match_id) as meetings, count(*) filter (where won) as home_won, count(*) filter (where drawn) as drawn, count(*) filter (where not won and not drawn) as away_won, cast(coalesce(sum(gf), 0) as bigint) as home_goals, cast(coalesce(sum(ga), 0) as bigint) as away_goals, max(m.day) as last_day
+  from (select match_id, home_team_id as h, away_team_id as a from matches where status = 'scheduled') f left join (select match_id, day, team_id, opponent_id, points = 3 as won, points = 1 as drawn, gf, ga from team_match where day < {AS_OF}) m on m.team_id = f.h and m.opponent_id = f.a group by f.match_id""", M, TM),
+    ),
 }
