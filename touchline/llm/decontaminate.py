@@ -29,7 +29,7 @@ from . import workers
 from .common import pick, saved
 
 #: Words of items that one automaton may hold.
-MAX_ITEM_WORDS = 1_000_000
+MAX_ITEM_WORDS = 200_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BREAKS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -226,6 +226,7 @@ def _hit_rows(rows: DataFrame, match) -> DataFrame:
             found = [match(value.as_py()) for value in batch.column(1)]
             spans = pa.array([[{"first": a, "end": b} for a, b in x[1]] for x in found], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans, pa.array([x[2] for x in found], pa.list_(pa.string())), pa.array([x[0] for x in found], pa.int32())], ["row", "hit_spans", "hit_items", "hit_words"])
+        workers.give_back()
 
     return rows.mapInArrow(judge, f"row long, hit_spans {_SPANS}, hit_items {_ITEMS}, hit_words int")
 
@@ -329,6 +330,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             taken = pa.array(keep, pa.int64())
             flags = pa.array([k in new for k in keep], pa.bool_())
             yield pa.RecordBatch.from_arrays([*[c.take(taken) for c in columns], flags], [*batch.schema.names[:width], changed])
+        workers.give_back()
 
     return hits.mapInArrow(cut, schema)
 

@@ -34,8 +34,13 @@ def turn_to(operator: str) -> None:
 
 
 def trim() -> None:
-    """Give memory that is free in this process back to the system."""
+    """Collect garbage and give memory that is free in this process back to the system."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Give memory that is free in this process back to the system: for the end of a task, as a worker may then wait through stages without Python."""
     pa.default_memory_pool().release_unused()
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give_back:
