@@ -28,8 +28,8 @@ def test_matches_of_one_day_do_not_see_each_other(spark):
     # The future doesn't matter.
     cut = {(r["match_id"], r["team_id"]): r["attack"] for r in models.decayed_strengths(team.where("day <= 20")).collect()}
     assert all(known[k]["attack"] == v for k, v in cut.items())
-    ratings = {r["match_id"]: r for r in ratings.elo(matches(spark, rows)).collect()}
-    assert ratings[2]["home_elo"] == ratings[3]["home_elo"] != ratings[1]["home_elo"]
+    rated = {r["match_id"]: r for r in ratings.elo(matches(spark, rows)).collect()}
+    assert rated[2]["home_elo"] == rated[3]["home_elo"] != rated[1]["home_elo"]
 
 
 def test_markets_add_up(spark):

@@ -27,7 +27,10 @@ def test_goals_and_names(spark):
 
 
 def test_licences_and_outcomes(spark):
-    kind = lambda text, author: one(spark, rules.licence(F.lit(text), F.lit(author)))
-    assert [kind("CC BY 4.0", "someone"), kind("CC BY 4.0", None), kind("CC0", None), kind("All rights reserved", "x"), kind(None, None)] == ["approved", "review required", "approved", "rejected", "review required"]
-    assert one(spark, rules.outcome(F.array(F.lit(4), F.lit(1)))) == "goal"
-    assert one(spark, rules.event_kind(F.lit("Q"), F.lit("F"))) == "unmapped:Q/set piece"
+    kind = lambda text, author, non_free=False: one(spark, rules.licence(F.lit(text), F.lit(None), F.lit("https://licence.example"), F.lit(author), F.lit(non_free), F.lit(False)))
+    assert [kind("CC BY 4.0", "someone"), kind("CC BY 4.0", None), kind("CC0", None), kind("All rights reserved", "x", True), kind(None, None)] == ["approved", "review_required", "approved", "rejected", "review_required"]
+    assert one(spark, rules.outcome(F.lit("shot"), F.array(F.lit(1801), F.lit(101)))) == "goal"
+    assert one(spark, rules.event_kind(F.lit(99), F.lit(99))) is None
+    now = F.lit("2024-05-01 15:00:00").cast("timestamp")
+    state = lambda status, at: one(spark, rules.match_state(F.lit(status), F.lit(at).cast("timestamp"), now))
+    assert [state("scheduled", f"2024-05-01 {h}") for h in ("15:00:01", "15:00:00", "12:00:01", "12:00:00")] == ["scheduled", "live", "live", "unknown"] and state("finished", "2024-05-01 14:00:00") == "finished"

@@ -78,7 +78,7 @@ select match_id, competition_id, angles, score, score >= 1.0 as material from (s
         lambda s, d: n.stories_of(matches(s, d), r.team_match(matches(s, d)), appearances(s, d), NOW, WINDOW),
         "with" + M + "," + TM + "," + L + "," + MINUTES + f""",
 runs as (select competition_id, season, team_id, max(day) as last, {", ".join(_runs.values())} from (select *, row_number() over (partition by competition_id, season, team_id order by day desc, match_id desc) as k from team_match where day <= {NOW}) group by all),
-apps as (select competition_id, season, player_id, match_id, day, count(*) filter (where is_goal) as goals from ledger join matches using (match_id) where (match_id, player_id) in (select (match_id, player_id) from minutes where minutes > 0) group by all),
+apps as (select competition_id, season, player_id, match_id, matches.day, count(*) filter (where is_goal) as goals from ledger join matches using (match_id) where (match_id, player_id) in (select (match_id, player_id) from minutes where minutes > 0) group by all),
 form as (select competition_id, season, player_id, max(day) as last, coalesce(min(k) filter (where goals = 0), count(*) + 1) - 1 as run from (select *, row_number() over (partition by competition_id, season, player_id order by day desc, match_id desc) as k from apps where day <= {NOW}) group by all),
 watch as (select competition_id, season, count(*) filter (where status = 'finished') as run, max(day) filter (where status = 'finished') as last, count(*) filter (where status <> 'finished' and day = {NOW}) as open from matches where day between {NOW - WINDOW} and {NOW} group by all)
 select 'team_trend' as story, competition_id, season, cast(team_id as bigint) as subject, kind, run, score from ({_told})
