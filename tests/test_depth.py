@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import rules
-from touchline.operators import calibration, decisions, desk, gates, identity, models, ordered, profiles, variants
+from touchline.operators import assembly, calibration, decisions, desk, gates, identity, models, ordered, profiles, variants
 from touchline.operators import ledger as g
 from touchline.operators import text as texts
 from touchline.sources import playbyplay, registry
@@ -273,3 +273,12 @@ def test_table_before_each_day(spark):
     df = spark.createDataFrame([(k, *r, 3 if r[6] > r[7] else int(r[6] == r[7])) for k, r in enumerate(rows)], "match_id long, competition_id int, season int, day long, team_id int, opponent_id int, is_home boolean, gf int, ga int, points int")
     before = {r["day"]: [(x["team"], -x["p"], -x["d"], x["n"]) for x in r["before"]] for r in texts.tables_before(df).collect()}
     assert before == {1: [], 2: [(1, 3, 2, 1), (3, 1, 0, 1), (4, 1, 0, 1), (2, 0, -2, 1)]}
+
+
+def test_season_inputs_take_the_richest_family_before_the_day(spark):
+    m = spark.createDataFrame([(1, 1, 2000, 5, "finished"), (2, 1, 2000, 6, "finished"), (3, 1, 2000, 9, "finished"), (4, 1, 2000, 4, "scheduled"), (5, 1, 2000, 3, "finished")], "match_id long, competition_id int, season int, day long, status string")
+    e = [(1, "espn", "shot", True, False, None), (1, "wyscout_figshare", "shot", False, False, None), (1, "wyscout_figshare", "foul", False, False, "red"), (1, "espn", "foul", False, False, "yellow"), (2, "openligadb", "touch", False, True, None), (3, "espn", "shot", True, False, None), (5, "espn", "foul", False, False, "yellow"), (5, "espn", "pass", False, False, None)]
+    events = spark.createDataFrame([(a, 1, b, k, g_, o, x) for a, b, k, g_, o, x in e], "match_id long, player_id long, source_family string, event_type string, is_goal boolean, is_own_goal boolean, card string")
+    r = assembly.season_inputs(m, events, 9).first().asDict()
+    # Of match 1 the richest family alone: its shot without the goal, its card; match 5 has a card only; match 3 is of the day itself.
+    assert r == {"competition_id": 1, "season": 2000, "matches": 3, "first_day": 3, "cutoff": 6, "with_events": 3, "goals": 0, "own_goals": 1, "shots": 1, "cards": 2}

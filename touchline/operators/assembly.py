@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up, ratio
-from .ledger import mid_rank_percentile
+from .ledger import FAMILIES, mid_rank_percentile
 
 c = F.col
 
@@ -148,3 +148,21 @@ def swings(goals: DataFrame) -> DataFrame:
         .when((F.signum(before) != F.signum(after)), "turned").when(F.abs(after) > F.abs(before), "lead extended").otherwise("lead cut")
     )
     return goals.select("match_id", "sequence", kind.alias("swing"))
+
+
+def season_inputs(matches: DataFrame, events: DataFrame, as_of: int) -> DataFrame:
+    """What a season's profiles may read as of a day: finished matches of earlier days, and their events of one family each, the richest that tells of goals or shots.
+
+    One row for each season: matches, the days they span, and the events by what they are. The day itself
+    and all later ones are left out, so profiles of a day are the same whatever is added after it.
+    """
+    done = matches.where((c("status") == "finished") & (c("day") < as_of)).select("match_id", "competition_id", "season", "day")
+    goal, own, shot, card = c("is_goal"), c("is_own_goal"), c("event_type") == "shot", c("card").isNotNull()
+    rank = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), c("source_family"))
+    told = events.select("match_id", "player_id", "is_goal", "is_own_goal", "event_type", "card", rank.alias("rank")).where(goal | own | shot | card)
+    best = F.min(F.when(goal | own | shot, c("rank"))).over(Window.partitionBy("match_id"))
+    picked = told.withColumn("best", best).where(c("best").isNull() | (c("rank") == c("best")))
+    sums = picked.groupBy("match_id").agg(*[F.count_if(x).alias(k) for k, x in (("goals", goal), ("own_goals", own), ("shots", shot), ("cards", card))])
+    both = done.join(sums, "match_id", "left")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x)
+    return both.groupBy("competition_id", "season").agg(F.count("*").alias("matches"), F.min("day").alias("first_day"), F.max("day").alias("cutoff"), F.count("goals").alias("with_events"), *[total(x) for x in ("goals", "own_goals", "shots", "cards")])

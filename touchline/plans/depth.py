@@ -6,15 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up
+from ..operators import assembly
 from ..operators import calibration as cal
 from ..operators import variants as v
 from ..operators.ordered import Pages
 from ..sources import playbyplay as pbp
 from ..sources import registry
 from ..sources.shared import shared_folder, written
+from ..sources.tables import SQL_LEDGER as L
 from ..sources.tables import SQL_MATCHES as M
 from ..sources.tables import SQL_TEAM_MATCH as TM
-from ..sources.tables import matches, sql, table
+from ..sources.tables import ledger, matches, sql, table
 from ..streaming import reconcile, upsert
 from .models import STRENGTH, judged
 
@@ -186,7 +188,33 @@ both_ as (select o.*, most_d_auc, least_spearman from o join (select method, max
 select *, most_d_auc < 0.005 and least_spearman >= 0.99 as k5, changes <= 0.02 * n and abs(d_favourite) < 0.01 and d_top10 >= -0.02 and d_top20 >= -0.02 as k6 from both_)"""
 
 
+CUTOFF = 10200
+
+
+def lists(s, d):
+    """Each order's parts in line order, and what the array helpers say of them."""
+    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_partkey"] % 7).alias("a"), F.array_sort(F.collect_set(key("l_suppkey", 7))).alias("b"))
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return lines.select(
+        "l_orderkey", text(F.array_distinct("a")).alias("distinct"), F.array_contains("a", 3).alias("has_three"), text(F.slice("a", 1, 2)).alias("first_two"), F.try_element_at("a", F.lit(-1)).alias("last"), text(F.array_sort(F.array_intersect("a", "b"))).alias("shared"),
+        text(F.array_sort(F.array_except("a", "b"))).alias("only_a"), F.arrays_overlap("a", "b").alias("overlap"), F.size(F.array_union("a", "b")).alias("n_either"), F.array_position("a", 3).alias("at_three"), F.forall("a", lambda x: x < 6).alias("all_small"), F.exists("a", lambda x: x == 6).alias("any_six"),
+    )
+
+
+_csv = lambda x: f"array_to_string(list_transform({x}, lambda v: cast(v as varchar)), ',')"
+LISTS_SQL = f"""with l as (select l_orderkey, list(l_partkey % 7 order by l_linenumber, l_partkey, l_suppkey) as a, list_sort(list_distinct(list(l_suppkey % 7))) as b from lineitem group by all)
+select l_orderkey, {_csv("list_filter(a, lambda x, i: list_position(a, x) = i)")} as "distinct", list_contains(a, 3) as has_three, {_csv("a[1:2]")} as first_two, a[-1] as last, {_csv("list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x))))")} as shared,
+  {_csv("list_sort(list_distinct(list_filter(a, lambda x: not list_contains(b, x))))")} as only_a, len(list_filter(a, lambda x: list_contains(b, x))) > 0 as overlap, cast(len(list_distinct(list_concat(a, b))) as int) as n_either, cast(coalesce(list_position(a, 3), 0) as bigint) as at_three,
+  len(list_filter(a, lambda x: x >= 6)) = 0 as all_small, len(list_filter(a, lambda x: x = 6)) > 0 as any_six from l"""
+
 QUERIES = {
+    "fn33_array_helpers": (lists, LISTS_SQL),
+    "pr1_season_inputs": (
+        lambda s, d: assembly.season_inputs(matches(s, d), ledger(s, d), CUTOFF),
+        sql(f"""select competition_id, season, count(*) as matches, min(day) as first_day, max(day) as cutoff, count(goals) as with_events, cast(coalesce(sum(goals), 0) as bigint) as goals, cast(coalesce(sum(own_goals), 0) as bigint) as own_goals, cast(coalesce(sum(shots), 0) as bigint) as shots, cast(coalesce(sum(cards), 0) as bigint) as cards
+  from matches left join (select match_id, count(*) filter (where is_goal) as goals, count(*) filter (where is_own_goal) as own_goals, count(*) filter (where event_type = 'shot') as shots, count(card) as cards from ledger where is_goal or is_own_goal or event_type = 'shot' or card is not null group by all) using (match_id)
+  where status = 'finished' and day < {CUTOFF} group by all""", M, L),  # a match of this ledger has one family; tests/test_depth.py mixes them
+    ),
     "src2_keyset_pages": (paged, "select o_orderkey, p // 100 as page, p % 100 as at from (select o_orderkey, row_number() over (order by o_totalprice nulls first, o_orderkey) - 1 as p from orders)"),
     "src2_page_and_cursor": (
         two_pages,
