@@ -248,7 +248,7 @@ m as (select *, case when pair is not distinct from lag(pair) over w and row_num
 v as (select *, min(t) over (partition by match_id, run) as since from u) select match_id, pair, since, min(t) as logged_at from v where pair is not null and t - since >= 60 group by all""",
     ),
     "str7_final_reconciliation": (
-        lambda s, d: k.final_reconciliation(matches(s, d), table(s, d, "lineitem").select(c("l_orderkey").alias("match_id"), (c("l_partkey") * 1000 + c("l_suppkey")).alias("at"), (c("l_orderkey") % 5).cast("int").alias("home"), (F.floor(c("l_orderkey") / 5) % 4 + (c("l_partkey") % 6 == 0).cast("int")).cast("int").alias("away"))),
+        lambda s, d: k.final_reconciliation(matches(s, d), table(s, d, "lineitem").select(c("l_orderkey").alias("match_id"), F.struct("l_partkey", "l_suppkey").alias("at"), (c("l_orderkey") % 5).cast("int").alias("home"), (F.floor(c("l_orderkey") / 5) % 4 + (c("l_partkey") % 6 == 0).cast("int")).cast("int").alias("away"))),
         S("select match_id, case when status <> 'finished' then 'waiting' when latest % 6 = 0 then 'differs' else 'agrees' end as result from matches join (select l_orderkey as match_id, max(l_partkey) as latest from lineitem group by all) using (match_id)"),
     ),
     "str11_snapshot_policy": (
