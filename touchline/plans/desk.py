@@ -215,7 +215,7 @@ select desk || '/' || slug as key, coalesce(updated, published) as updated, publ
         "select p_partkey, 'note ' || p_size || ';note a' || case when p_size = 7 then '' else ';note 7' end || ';lineups for ' || (p_partkey % 100) || '% of finished matches' as lines from part",
     ),
     "xt16_neutral_sites": (
-        lambda s, d: k.neutral_sites(matches(s, d), table(s, d, "lineitem").where("l_partkey % 3 = 0").select(c("l_orderkey").alias("match_id"), (c("l_partkey") * 1000 + c("l_suppkey")).alias("at"), F.concat(F.lit('{"neutralSite": '), F.when(c("l_partkey") % 2 == 0, "true").otherwise("false"), F.lit("}")).alias("body"))),
+        lambda s, d: k.neutral_sites(matches(s, d), table(s, d, "lineitem").where("l_partkey % 3 = 0").select(c("l_orderkey").alias("match_id"), F.struct("l_partkey", "l_suppkey").alias("at"), F.concat(F.lit('{"neutralSite": '), F.when(c("l_partkey") % 2 == 0, "true").otherwise("false"), F.lit("}")).alias("body"))),
         S("select match_id, coalesce(latest % 2 = 0, false) as neutral, latest is not null as captured from matches left join (select l_orderkey as match_id, max(l_partkey) as latest from lineitem where l_partkey % 3 = 0 group by all) using (match_id)"),
     ),
     "xt18_keep_calibrator": (
