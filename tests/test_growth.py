@@ -59,3 +59,12 @@ def most(df, metric):
 @pytest.mark.parametrize("name", ["str7_final_reconciliation", "xt16_neutral_sites"])
 def test_latest_read_by_both_keys(spark, far_players, name):
     assert difference(catalog.queries()[name](spark, far_players), catalog.oracle_sql()[name], duck(far_players)) == ""
+
+
+def test_namesakes_make_no_pairs(spark):
+    rows = spark.range(400).selectExpr("id", "'One Name' as name", "1 as born", "1 as country")
+    theirs, ours = rows.withColumnRenamed("id", "athlete_id"), rows.selectExpr("id as player_id", "name", "born", "country", "cast(null as long) as other_id")
+    windows = spark.createDataFrame([(1, 1995, 1)], "player_id long, season int, team_id int")
+    df = decisions.corroborated(theirs, ours, windows, windows.withColumnRenamed("player_id", "athlete_id"))
+    assert {(r["decision"], r["reason"]) for r in df.collect()} == {("queue", "multiple_candidates")}
+    assert most(df, "numOutputRows") <= 2 * 400

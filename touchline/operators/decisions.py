@@ -27,10 +27,13 @@ def corroborated(athletes: DataFrame, candidates: DataFrame, windows: DataFrame,
     One candidate by folded name and birth day; no other id of the provider; no other country where both
     state one; at least one season with a club in common, and none with another.
     """
-    met = athletes.select("athlete_id", fold(c("name")).alias("key"), "born", c("country").alias("a_country")).join(candidates.select("player_id", fold(c("name")).alias("key"), "born", c("country").alias("p_country"), "other_id"), ["key", "born"])
-    n = met.groupBy("athlete_id").agg(F.count("*").alias("n"), F.min(F.struct("player_id", "a_country", "p_country", "other_id")).alias("m")).select("athlete_id", "n", "m.*")
-    own = windows.groupBy("player_id", "season").agg(F.collect_set("team_id").alias("teams"))
-    seasons = n.where("n = 1").select("athlete_id", "player_id").join(clubs, "athlete_id").join(own, ["player_id", "season"])
+    # Candidates are counted by name and birth day before they are met, so namesakes make no pairs.
+    own = candidates.select("player_id", fold(c("name")).alias("key"), "born", c("country").alias("p_country"), "other_id")
+    named = own.groupBy("key", "born").agg(F.count("*").alias("k"), F.min(F.struct("player_id", "p_country", "other_id")).alias("first"))
+    met = athletes.select("athlete_id", fold(c("name")).alias("key"), "born", c("country").alias("a_country")).join(named, ["key", "born"])
+    n = met.groupBy("athlete_id").agg(F.sum("k").alias("n"), F.min(F.struct("first.player_id", "a_country", "first.p_country", "first.other_id")).alias("m")).select("athlete_id", "n", "m.*")
+    clubs_of = windows.groupBy("player_id", "season").agg(F.collect_set("team_id").alias("teams"))
+    seasons = n.where("n = 1").select("athlete_id", "player_id").join(clubs, "athlete_id").join(clubs_of, ["player_id", "season"])
     seen = seasons.groupBy("athlete_id").agg(F.count_if(F.array_contains("teams", c("team_id"))).alias("same"), F.count_if(~F.array_contains("teams", c("team_id"))).alias("different"))
     both = athletes.select("athlete_id").join(n, "athlete_id", "left").join(seen, "athlete_id", "left")
     reason = first_reason(
