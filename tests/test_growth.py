@@ -68,3 +68,13 @@ def test_namesakes_make_no_pairs(spark):
     df = decisions.corroborated(theirs, ours, windows, windows.withColumnRenamed("player_id", "athlete_id"))
     assert {(r["decision"], r["reason"]) for r in df.collect()} == {("queue", "multiple_candidates")}
     assert most(df, "numOutputRows") <= 2 * 400
+
+
+def test_repeated_days_prove_once(spark):
+    """Many matches of two teams on the same few days are met once for each day."""
+    rows = spark.range(600).selectExpr("id % 4 as day", "1 as home", "2 as away")
+    theirs = rows.selectExpr("day", "11 as home", "12 as away")
+    df = identity.fixture_proof(rows, theirs)
+    assert {r["provider_team"]: (r["fixtures"], r["canonical_team"]) for r in df.collect()} == {11: (4, 1), 12: (4, 2)}
+    ran = list(flat(nodes(df)))
+    assert max(n[1].get("numOutputRows", 0) for n in ran if "Join" in n[0]) <= 100

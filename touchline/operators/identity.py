@@ -28,10 +28,12 @@ def fixture_proof(canonical: DataFrame, provider: DataFrame, keys: tuple[str, ..
     """
     keys = list(keys)
     sides = lambda df, tag: df.select(*keys, F.posexplode(F.array("home", "away")).alias("side", f"{tag}_team"), c("day").alias(f"{tag}_day"))
-    mine, theirs = sides(canonical, "canonical"), sides(provider, "provider")
-    total = theirs.groupBy(*keys, "provider_team").agg(F.count_distinct("side", "provider_day").alias("fixtures"))
-    met = near_days(theirs, mine, [*keys, "side"], "provider_day", "canonical_day", reach)
-    cover = met.groupBy(*keys, "provider_team", "canonical_team").agg(F.count_distinct("side", "provider_day").alias("covered"))
+    # A team's days on a side, once each: what a day's other matches repeat covers nothing more.
+    mine, theirs = sides(canonical, "canonical").distinct(), sides(provider, "provider").distinct()
+    total = theirs.groupBy(*keys, "provider_team").agg(F.count_if(c("side").isNotNull() & c("provider_day").isNotNull()).alias("fixtures"))
+    near = mine.select(*keys, "side", "canonical_team", F.explode(F.sequence(c("canonical_day") - reach, c("canonical_day") + reach)).alias("provider_day")).distinct()
+    met = theirs.join(near, [*keys, "side", "provider_day"])
+    cover = met.groupBy(*keys, "provider_team", "canonical_team").agg(F.count("*").alias("covered"))
     full = cover.join(total, [*keys, "provider_team"]).where("covered = fixtures")
     # Taken together: how many candidates each side has.
     full = full.withColumn("claims", F.count("*").over(Window.partitionBy(*keys, "canonical_team")))
