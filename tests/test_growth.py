@@ -78,3 +78,19 @@ def test_repeated_days_prove_once(spark):
     assert {r["provider_team"]: (r["fixtures"], r["canonical_team"]) for r in df.collect()} == {11: (4, 1), 12: (4, 2)}
     ran = list(flat(nodes(df)))
     assert max(n[1].get("numOutputRows", 0) for n in ran if "Join" in n[0]) <= 100
+
+
+def test_pairs_of_namesakes_are_not_shuffled(spark):
+    rows = spark.range(300).selectExpr("id", "'One' as name", "1 as born")
+    alone = spark.createDataFrame([(1000, "Two", 2)], "id long, name string, born int")
+    df = crosschecks.same_person(rows.unionByName(alone), rows.unionByName(alone))
+    got = df.collect()
+    assert len(got) == 300 * 300 + 1 and [r["a_id"] for r in got if r["unique"]] == [1000]
+    assert most(df, "shuffleRecordsWritten") <= 8 * 301
+
+
+def test_one_id_under_two_names_is_not_unique(spark):
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 1), (2, "z", 1), (None, "w", 1)], "id int, name string, born int")
+    b = spark.createDataFrame([(5, "x", 1), (6, "y", 1), (7, "z", 1), (8, "w", 1)], "id int, name string, born int")
+    got = {(r["a_id"], r["b_id"]): r["unique"] for r in crosschecks.same_person(a, b).collect()}
+    assert got == {(1, 5): False, (1, 6): False, (2, 7): True, (None, 8): True}

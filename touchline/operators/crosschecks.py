@@ -10,6 +10,8 @@ from ..sources.shared import written
 from .ordered import at_ranks, before
 
 c = F.col
+#: Pieces over which the pairs of one name and birth day are dealt.
+PIECES = 8
 
 
 def resolved(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -26,9 +28,16 @@ def same_person(a: DataFrame, b: DataFrame) -> DataFrame:
     """Candidates with one folded name and one birth day: (id, name, born) both; unique on both sides, or ambiguous."""
     left = a.select(c("id").alias("a_id"), fold(c("name")).alias("key"), "born")
     right = b.select(c("id").alias("b_id"), fold(c("name")).alias("key"), "born")
-    met = left.join(right, ["key", "born"])
-    n_a, n_b = F.count("*").over(Window.partitionBy("a_id")), F.count("*").over(Window.partitionBy("b_id"))
-    return met.select("a_id", "b_id", ((n_a == 1) & (n_b == 1)).alias("unique"))
+    # Partners are counted by name and birth day, so the pairs themselves are neither shuffled nor sorted.
+    sizes = lambda rows: rows.groupBy("key", "born").agg(F.count("*").alias("n"))
+    alone = lambda rows, others, id_: rows.join(sizes(others), ["key", "born"]).withColumn(f"{id_}_alone", F.sum("n").over(Window.partitionBy(id_)) == 1).drop("n")
+    # A group's pairs are dealt over pieces of its left rows, in a fixed number of parts: few rows go in, many come out.
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = alone(left, right, "a_id").withColumn("piece", F.pmod(F.hash("a_id"), F.lit(PIECES)))
+    others = alone(right, left, "b_id").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    dealt = lambda rows: rows.repartition(parts, "key", "born", "piece")
+    met = dealt(mine).join(dealt(others), ["key", "born", "piece"])
+    return met.select("a_id", "b_id", (c("a_id_alone") & c("b_id_alone")).alias("unique"))
 
 
 def preferred(stats: DataFrame) -> DataFrame:
