@@ -94,3 +94,14 @@ def test_one_id_under_two_names_is_not_unique(spark):
     b = spark.createDataFrame([(5, "x", 1), (6, "y", 1), (7, "z", 1), (8, "w", 1)], "id int, name string, born int")
     got = {(r["a_id"], r["b_id"]): r["unique"] for r in crosschecks.same_person(a, b).collect()}
     assert got == {(1, 5): False, (1, 6): False, (2, 7): True, (None, 8): True}
+
+
+def test_frames_of_strengths_hold_days(spark):
+    """However many matches a day has, a moving frame holds a row for each team and day."""
+    rows = spark.range(500).selectExpr(
+        "id as match_id", "1 as competition_id", "id % 5 as day", "explode(array(struct(1 as team_id, true as is_home, 2 as gf, 1 as ga), struct(2 as team_id, false as is_home, 1 as gf, 2 as ga))) as x"
+    ).select("match_id", "competition_id", "day", "x.*")
+    df = models.decayed_strengths(rows)
+    assert df.count() == 2 * 400
+    windows = [n for n in flat(nodes(df)) if n[0] == "Window"]
+    assert windows and max(rows_into(n) for n in windows) <= 4 * 2 * 5

@@ -21,7 +21,8 @@ def decayed_strengths(rows: DataFrame, half_life: float = HALF_LIFE, shrink: flo
 
     The weight 2 ** (-(t - s) / H) splits into a factor of t and one of s, so goals are scaled
     once and added up by windows over days; days equal to the match's own stay out of the frame.
-    A competition's window is first summed by day, so its rows are days, not matches.
+    Both windows are first summed by day, so their rows are days, not matches: a frame that moves is
+    added up anew for each day, and what it holds must not grow with the matches.
     """
     scaled = rows.withColumn("w", F.pow(F.lit(2.0), (c("day") - 9000) / half_life))
     back = int(reach * half_life)
@@ -30,13 +31,12 @@ def decayed_strengths(rows: DataFrame, half_life: float = HALF_LIFE, shrink: flo
     over = frame("competition_id")
     league = days.select("competition_id", "day", F.sum("dw").over(over).alias("lw"), F.sum("dg").over(over).alias("lg"))
     own = frame("competition_id", "team_id")
-    team = scaled.select(
-        "match_id", "competition_id", "team_id", "day", "is_home",
-        F.sum("w").over(own).alias("tw"), F.sum(c("w") * c("gf")).over(own).alias("tf"), F.sum(c("w") * c("ga")).over(own).alias("ta"),
-    )
+    own_days = scaled.groupBy("competition_id", "team_id", "day").agg(F.sum("w").alias("dw"), F.sum(c("w") * c("gf")).alias("df"), F.sum(c("w") * c("ga")).alias("da"))
+    sums = own_days.select("competition_id", c("team_id").alias("of_team"), "day", F.sum("dw").over(own).alias("tw"), F.sum("df").over(own).alias("tf"), F.sum("da").over(own).alias("ta"))
+    known = sums.join(league, ["competition_id", "day"]).withColumnsRenamed({"competition_id": "of_competition", "day": "of_day"})
     decay = F.pow(F.lit(2.0), -(c("day") - 9000) / half_life)
     zero = lambda x: F.coalesce(c(x), F.lit(0.0)) * decay
-    joined = team.join(league, ["competition_id", "day"])
+    joined = rows.join(known, (c("competition_id") == c("of_competition")) & c("team_id").eqNullSafe(c("of_team")) & (c("day") == c("of_day")))
     mean = c("lg") / c("lw")
     rate = lambda x: (zero(x) + shrink * mean) / (zero("tw") + shrink) / mean
     return joined.where("lw > 0 and lg > 0").select("match_id", "competition_id", "team_id", "day", "is_home", mean.alias("mean_goals"), rate("tf").alias("attack"), rate("ta").alias("defence"), zero("tw").alias("weight"))
