@@ -105,3 +105,11 @@ def test_frames_of_strengths_hold_days(spark):
     assert df.count() == 2 * 400
     windows = [n for n in flat(nodes(df)) if n[0] == "Window"]
     assert windows and max(rows_into(n) for n in windows) <= 4 * 2 * 5
+
+
+def test_related_pairs_are_not_shuffled(spark):
+    articles = spark.range(400).selectExpr("id", "'d' as desk", "id as day")
+    entities = spark.range(400).selectExpr("id", "'Person' as type", "1 as entity")
+    df = text.related(articles, entities)
+    assert df.count() == 4 * 400
+    assert most(df, "shuffleRecordsWritten") <= 400
