@@ -5,8 +5,9 @@ import os
 import pytest
 from parity import difference, duck
 
-from touchline.operators import crosschecks, decisions, identity, models, text
+from touchline.operators import assembly, crosschecks, decisions, identity, ledger, models, text
 from touchline.plans import catalog
+from touchline.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +114,16 @@ def test_related_pairs_are_not_shuffled(spark):
     df = text.related(articles, entities)
     assert df.count() == 4 * 400
     assert most(df, "shuffleRecordsWritten") <= 400
+
+
+@pytest.mark.parametrize("name", ["ag6_player_stats", "ag17_observed_record", "ag16_pr3_player_profile"])
+def test_ledger_is_dealt_by_its_rows(spark, monkeypatch, name):
+    """Parts follow the number of rows, and the results stay."""
+    monkeypatch.setattr(tables, "LEDGER_ROWS", 600)
+    df = catalog.queries()[name](spark, SF)
+    assert difference(df, catalog.oracle_sql()[name], duck(SF)) == ""
+    items = tables.table(spark, SF, "lineitem")
+    assert tables.by_match(items).rdd.getNumPartitions() == items.count() // 600
+
+
+EVENTS = "match_id int, team_id int, player_id int, sequence int, minute int, event_type string, subtype string, outcome string, card string, is_goal boolean, is_own_goal boolean"
