@@ -127,3 +127,12 @@ def test_ledger_is_dealt_by_its_rows(spark, monkeypatch, name):
 
 
 EVENTS = "match_id int, team_id int, player_id int, sequence int, minute int, event_type string, subtype string, outcome string, card string, is_goal boolean, is_own_goal boolean"
+
+
+def test_impact_is_one_pass(spark):
+    """A player of both teams keeps a row for each, with the counters of both; the events are met with nothing."""
+    events = spark.createDataFrame([(1, 1, 7, 1, 5, "shot", None, "success", None, True, False), (1, 2, 7, 9, 60, "pass", None, "fail", None, False, False), (1, 1, 8, 2, 9, "foul", None, "success", "red", False, False)], EVENTS)
+    df = ledger.impact(events)
+    got = sorted((r["player_id"], r["is_starter"], r["minutes"], r["n_goals"], r["n_passes"], r["n_events"]) for r in df.collect())
+    assert got == [(7, False, 30, 1, 1, 2), (7, True, 90, 1, 1, 2), (8, True, 9, 0, 0, 1)]
+    assert not [n for n in flat(nodes(df)) if "Join" in n[0]]
