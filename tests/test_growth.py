@@ -136,3 +136,11 @@ def test_impact_is_one_pass(spark):
     got = sorted((r["player_id"], r["is_starter"], r["minutes"], r["n_goals"], r["n_passes"], r["n_events"]) for r in df.collect())
     assert got == [(7, False, 30, 1, 1, 2), (7, True, 90, 1, 1, 2), (8, True, 9, 0, 0, 1)]
     assert not [n for n in flat(nodes(df)) if "Join" in n[0]]
+
+
+def test_load_is_one_pass(spark):
+    """Starts in a row are counted without meeting a player's matches again."""
+    rows = [(1, k, k * 3, 90, k != 2, False, "club") for k in range(1, 6)]
+    df = assembly.player_load(spark.createDataFrame(rows, "player_id int, match_id int, day int, minutes int, started boolean, came_on boolean, team_kind string"))
+    assert {r["match_id"]: r["starts_in_a_row"] for r in df.collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 2}
+    assert not [n for n in flat(nodes(df)) if "Join" in n[0]]

@@ -82,20 +82,18 @@ def player_load(apps: DataFrame) -> DataFrame:
     ever = Window.partitionBy("player_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     total = lambda x, d: F.coalesce(F.sum(x).over(back(d)), F.lit(0)).cast("long")
     one = lambda p: F.when(p, 1).otherwise(0)
-    # Starts in a row: matches after the last one without a start.
-    missed = F.max(F.when(~c("started"), F.struct("day", "match_id"))).over(ever)
-    staged = apps.select(
+    # Starts in a row: matches after the last one without a start, by its place among the player's matches.
+    numbered = apps.withColumn("k", F.row_number().over(Window.partitionBy("player_id").orderBy("day", "match_id")))
+    staged = numbered.select(
         "*",
         *[total("minutes", d).alias(f"minutes_{d}") for d in (7, 14, 21)],
         total(one(c("started")), 21).alias("starts_21"), total(one(c("started") | c("came_on")), 21).alias("appearances_21"),
         total(one(c("minutes") >= 75), 21).alias("long_21"), total(one(~c("started") & ~c("came_on")), 21).alias("unused_21"),
         total(one((c("team_kind") == "national") & (c("started") | c("came_on"))), 21).alias("national_21"),
-        F.count("*").over(ever).alias("seen"), F.row_number().over(Window.partitionBy("player_id").orderBy("day", "match_id")).alias("k"), missed.alias("missed"),
+        F.count("*").over(ever).alias("seen"), F.max(F.when(~c("started"), c("k"))).over(ever).alias("missed_k"),
     )
-    upto = staged.select(c("player_id").alias("p"), F.struct("day", "match_id").alias("at"), c("k").alias("missed_k"))
-    joined = staged.join(upto, (c("player_id") == c("p")) & (c("missed") == c("at")), "left")
     out = ["minutes_7", "minutes_14", "minutes_21", "starts_21", "appearances_21", "long_21", "unused_21", "national_21"]
-    return joined.select("player_id", "match_id", *out, (c("seen") - F.coalesce("missed_k", F.lit(0))).cast("long").alias("starts_in_a_row"))
+    return staged.select("player_id", "match_id", *out, (c("seen") - F.coalesce("missed_k", F.lit(0))).cast("long").alias("starts_in_a_row"))
 
 
 def eleven_load(load: DataFrame, starters: DataFrame, team_matches: DataFrame) -> DataFrame:
